@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as _line
+from . import quality_rules as _rules
 from . import sentencepiece_bpe as _piece
+from . import token_store as _tokens
+from ._shared import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +28,30 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    _tokens.write_tokens(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return _tokens.read_checksums(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _piece.digests(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = _rules.quality_rules(docs, vocabulary("piece_bpe_32k.model"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "script", "chars_per_token", "byte_share", "entropy_share",
+    )
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op4_token_store": op4_token_store,
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 SQL = {
