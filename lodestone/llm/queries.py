@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as _line
+from . import minhash as _near
 from . import quality_rules as _rules
 from . import sentencepiece_bpe as _piece
 from . import token_store as _tokens
@@ -34,6 +35,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.read_checksums(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _piece.digests(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -50,6 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_token_store": op4_token_store,
+    "op6_near_dedup": op6_near_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_quality_rules": op10_quality_rules,
 }
