@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate as _bench
 from . import line_dedup as _line
 from . import minhash as _near
+from . import quality_classifier as _quality
 from . import quality_rules as _rules
 from . import sentencepiece_bpe as _piece
 from . import token_store as _tokens
@@ -39,6 +41,14 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bench.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _piece.digests(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -56,7 +66,9 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_token_store": op4_token_store,
     "op6_near_dedup": op6_near_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
 
