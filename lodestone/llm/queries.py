@@ -10,8 +10,10 @@ from . import line_dedup as _line
 from . import minhash as _near
 from . import quality_classifier as _quality
 from . import quality_rules as _rules
+from . import secret_scan as _secrets
 from . import sentencepiece_bpe as _piece
 from . import token_store as _tokens
+from . import url_filter as _urls
 from ._shared import fresh_path
 
 
@@ -26,11 +28,45 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _secrets.scan_secrets(docs, model_file=vocabulary("piece_bpe_32k.model"), path_col="source")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _line.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+#: The tables hold no list and no fetch times; the query derives both from the
+#: pages: a date from page_id, and entries from each host's letters.
+_LIST = """
+WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:@]+)', 1)) AS host FROM pages WHERE url IS NOT NULL),
+n AS (SELECT host, length(host) * 37 + ascii(host) * 11 + ascii(substr(host, 4, 1)) * 5 + ascii(substr(host, 7, 1)) * 3 AS n FROM h WHERE host <> ''),
+p AS (SELECT regexp_replace(host, '^[^.]*[.]', '') AS value, min(n) AS n FROM n WHERE length(host) - length(replace(host, '.', '')) >= 3 GROUP BY 1)
+SELECT 'host' AS kind, host AS value, CAST(n % 200 AS INT) AS day, 'block' AS action FROM n WHERE n % 3 = 0
+UNION ALL SELECT 'host', host, CAST(n % 200 + 40 AS INT), 'remove' FROM n WHERE n % 6 = 0
+UNION ALL SELECT 'host', host, CAST(n % 200 + 90 AS INT), 'allow' FROM n WHERE n % 12 = 0
+UNION ALL SELECT 'domain', value, CAST(n % 150 AS INT), 'block' FROM p WHERE n % 2 = 0
+UNION ALL SELECT 'prefix', concat(host, '/en'), CAST(n % 300 AS INT), 'allow' FROM n WHERE n % 4 = 0
+UNION ALL SELECT 'prefix', concat(host, '/de'), CAST(n % 250 AS INT), 'block' FROM n WHERE n % 5 = 0
+"""
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    entries = spark.sql(_LIST.replace("FROM pages", "FROM {pages}"), pages=pages)
+    entries = entries.withColumn("since", F.expr("date_add(DATE'2024-01-01', day)"))
+    captures = pages.withColumn("fetched", F.expr("date_add(DATE'2024-01-01', CAST(page_id * 7919 % 366 AS INT))"))
+    # dates leave as text
+    out = _urls.filter_urls(captures, entries)
+    day = "yyyy-MM-dd"
+    return out.select(
+        "page_id", "url", F.date_format("fetched", day).alias("fetched"), "host", "verdict", "entry_kind", "entry_value",
+        F.date_format("entry_since", day).alias("entry_since"),
+    )
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     _tokens.write_tokens(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
@@ -63,7 +99,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_line_dedup": op2_line_dedup,
+    "op3_url_filter": op3_url_filter,
     "op4_token_store": op4_token_store,
     "op6_near_dedup": op6_near_dedup,
     "op7_decontaminate": op7_decontaminate,
@@ -84,5 +122,29 @@ m AS (SELECT k.doc_id, k.line, k.pos, (c.key IS NOT NULL AND k.doc_id <> c.keepe
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
+""",
+    "op3_url_filter": r"""
+WITH e0 AS ("""
+    + _LIST
+    + r"""),
+e AS (SELECT kind, value, DATE '2024-01-01' + day AS since,
+             max(CASE action WHEN 'block' THEN 2 WHEN 'allow' THEN 1 ELSE 0 END) AS act
+      FROM e0 GROUP BY 1, 2, 3),
+i AS (SELECT *, lead(since) OVER (PARTITION BY kind, value ORDER BY since) AS until FROM e),
+c AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 7919 % 366 AS INT) AS fetched,
+             nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
+             lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/+$', '')) AS path
+      FROM pages),
+v AS (SELECT c.*, 4 AS rank, 'url' AS kind, host || path AS value FROM c WHERE host IS NOT NULL
+      UNION ALL SELECT c.*, 3, 'prefix', unnest(list_transform(range(1, len(string_split(host || path, '/')) + 1), lambda k: array_to_string(string_split(host || path, '/')[1:k], '/'))) FROM c WHERE host IS NOT NULL
+      UNION ALL SELECT c.*, 2, 'host', host FROM c WHERE host IS NOT NULL
+      UNION ALL SELECT c.*, 1, 'domain', unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda k: array_to_string(string_split(host, '.')[k:], '.'))) FROM c WHERE host IS NOT NULL),
+m AS (SELECT v.page_id, i.kind, i.value, i.since, i.act, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, length(v.value) DESC) AS r
+      FROM v JOIN i ON v.kind = i.kind AND v.value = lower(i.value) AND i.since <= v.fetched AND (i.until IS NULL OR v.fetched < i.until)
+      WHERE i.act > 0)
+SELECT c.page_id, c.url, strftime(c.fetched, '%Y-%m-%d') AS fetched, c.host,
+       CASE m.act WHEN 2 THEN 'block' WHEN 1 THEN 'allow' ELSE 'none' END AS verdict,
+       m.kind AS entry_kind, m.value AS entry_value, strftime(m.since, '%Y-%m-%d') AS entry_since
+FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.r = 1
 """,
 }
