@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _bench
+from . import html_extract as _html
 from . import line_dedup as _line
 from . import minhash as _near
 from . import quality_classifier as _quality
@@ -73,6 +74,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.read_checksums(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -103,6 +108,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_token_store": op4_token_store,
+    "op5_html_extract": op5_html_extract,
     "op6_near_dedup": op6_near_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_sentencepiece": op8_sentencepiece,
@@ -146,5 +152,12 @@ SELECT c.page_id, c.url, strftime(c.fetched, '%Y-%m-%d') AS fetched, c.host,
        CASE m.act WHEN 2 THEN 'block' WHEN 1 THEN 'allow' ELSE 'none' END AS verdict,
        m.kind AS entry_kind, m.value AS entry_value, strftime(m.since, '%Y-%m-%d') AS entry_since
 FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.r = 1
+""",
+    "op5_html_extract": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|<footer|$)', 1, 's') AS art FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(art, '</?b>', '', 'g'), '</?(?:p|h1|br)>'),
+        lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS ls FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(ls, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
 """,
 }
