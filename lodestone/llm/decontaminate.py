@@ -236,20 +236,48 @@ class Items:
         return int(d.argmin())
 
 
+def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int):
+    """(ids, texts) of the items, at most about ``block_bytes`` at a time."""
+    items = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    for b in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item").collect()
+        yield [r.item for r in block], [r.text for r in block]
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id",
+                         item_text_col: str = "text", percent: int = 80, block_bytes: int = 2 << 20) -> DataFrame:
+    """The rows of ``docs`` that hold no item, unchanged; one pass for each
+    block of items and no shuffle."""
+    small_batches(docs.sparkSession)
+    for ids, texts in _blocks(items, item_col, item_text_col, block_bytes):
+        docs = docs.mapInArrow(_sieve(ids, texts, percent, text_col), docs.schema)
+    return docs
+
+
+def _sieve(ids: list, texts: list, percent: int, text_col: str):
+    def run(batches):
+        import pyarrow as pa
+
+        items = Items(ids, texts, percent)
+        for batch in batches:
+            held = {t for t, *_ in items.find(batch.column(batch.schema.get_field_index(text_col)).to_pylist())}
+            yield batch.filter(pa.array([k not in held for k in range(batch.num_rows)], pa.bool_()))
+
+    return run
+
+
 def contaminations(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                   item_text_col: str = "text", percent: int = 80, block_bytes: int = 8 << 20) -> DataFrame:
+                   item_text_col: str = "text", percent: int = 80, block_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, item_id, distance, n_words, first_char, end_char): one row for
     each document and item it holds; the span of the best stretch."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    items = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
     found = None
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item").collect()
-        part = rows.mapInPandas(_search([r.item for r in block], [r.text for r in block], percent), _SCHEMA)
+    for ids, texts in _blocks(items, item_col, item_text_col, block_bytes):
+        part = rows.mapInPandas(_search(ids, texts, percent), _SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found
 
