@@ -237,14 +237,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # texts of candidates only
     need = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    texts = cut(texts.join(need, "node", "left_semi").where("text IS NOT NULL").distinct(), "candidate-texts")
+    # candidates grow with the input: never broadcast
+    texts = cut(texts.where("text IS NOT NULL").join(need.hint("merge"), "node", "left_semi").distinct(), "candidate-texts")
 
     # 1. members against their hub, hot hubs salted
     spread = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("salts"))
-    head = spread.join(texts.withColumnRenamed("node", "hub"), "hub").select(
+    head = spread.hint("merge").join(texts.withColumnRenamed("node", "hub"), "hub").select(
         "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("hub").alias("node"), "text"
     )
-    member = pairs.join(spread, "hub").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).join(texts, "node")
+    member = pairs.join(spread, "hub").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).hint("merge").join(texts, "node")
     member = member.select("hub", "salt", F.lit(1).alias("kind"), "node", "text")
     laid = head.union(member).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind", "node")
     star = laid.mapInPandas(_star(shingle, percent), "hub long, node long, linked boolean, far double")
