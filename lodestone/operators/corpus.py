@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 
 def union_documents(*parts: DataFrame) -> DataFrame:
     """All rows of all parts; columns that a part lacks are null."""
@@ -58,9 +60,12 @@ def corpus_sources(docs: DataFrame) -> DataFrame:
 
 def number(rows: DataFrame, *order: str, name: str = "index") -> DataFrame:
     """Consecutive numbers from 0 in a given order, without one task for all: a
-    range partitioning, counts of its partitions, and a number in each."""
+    range partitioning, counts of its partitions, and a number in each.  The
+    partitioning is written down, since its bounds are sampled and both uses
+    must see the same."""
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     spread = spread.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    spread = settle(spread)
     counts = spread.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__m").alias("__first"))
     before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")
     out = spread.join(F.broadcast(before), "__p")

@@ -12,6 +12,7 @@ from .functions.html import extract_page
 from .operators import chunks, corpus, logs, rag, retrieval, tickets
 from .plans import jobs
 from .schemas import DOCUMENT, UPLOAD_TYPES
+from .session import work_dir
 from .sources import uploads
 from .streaming import state
 
@@ -340,7 +341,7 @@ def ticket_filter_priority(spark, sf_dir):
 
 
 def ticket_by_id(spark, sf_dir):
-    return tickets.by_id(_tickets(spark, sf_dir), 1).select("id", "topic", "priority")
+    return tickets.by_id(_tickets(spark, sf_dir), 0).select("id", "topic", "priority")
 
 
 def ticket_delete(spark, sf_dir):
@@ -439,13 +440,8 @@ def stream_log_counts(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = state.window_counts(stream.select("ts", "event_type"))
     name = f"log_counts_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="lodestone-")
     # a day and type is one row: the result is bounded by the days there are
-    table = state.run_available(out, name, f"{base}/{name}", "complete")
+    table = state.run_available(out, name, f"{work_dir(spark)}/{name}", "complete")
     return table.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
@@ -581,7 +577,7 @@ SELECT CASE WHEN grouping(status) = 0 THEN 'status' WHEN grouping(priority) = 0
     "ticket_serial": f"WITH {_TICKETS_SQL} SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS serial FROM tickets",
     "ticket_filter_status": f"WITH {_TICKETS_SQL} SELECT id, status FROM tickets WHERE status = 'Resolved'",
     "ticket_filter_priority": f"WITH {_TICKETS_SQL} SELECT id, priority FROM tickets WHERE priority = 'High'",
-    "ticket_by_id": f"WITH {_TICKETS_SQL} SELECT id, topic, priority FROM tickets WHERE id = 1",
+    "ticket_by_id": f"WITH {_TICKETS_SQL} SELECT id, topic, priority FROM tickets WHERE id = 0",
     "ticket_delete": f"WITH {_TICKETS_SQL} SELECT id FROM tickets WHERE id % 3 <> 0",
     "ticket_update": f"WITH {_TICKETS_SQL} SELECT id, CASE WHEN id % 4 = 0 THEN 'Open' ELSE status END AS status, CASE WHEN id % 8 = 0 THEN 'High' ELSE priority END AS priority FROM tickets",
     "ticket_card": f"WITH {_ANALYSED_SQL} SELECT event_id, topic, 'Neutral' AS sentiment, CASE WHEN priority = 'P0' THEN 'P3' ELSE priority END AS priority FROM a",

@@ -54,8 +54,8 @@ def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
     if not exists(spark, f"{folder}/*"):
         return empty(spark, DOCUMENT)
     rows = spark.read.format("binaryFile").load(folder)
-    rows = rows.where(F.expr("is_valid_utf8(cast(content as string))"))
-    return as_documents(rows, source=F.concat(F.lit("uploaded_files/"), F.element_at(F.split("path", "/"), -1)), content=F.decode("content", "UTF-8"), kind="uploaded_file")
+    rows = rows.select("path", F.expr("try_validate_utf8(cast(content as string))").alias("text")).where("text IS NOT NULL")
+    return as_documents(rows, source=F.concat(F.lit("uploaded_files/"), F.element_at(F.split("path", "/"), -1)), content=F.col("text"), kind="uploaded_file")
 
 
 def as_documents(rows: DataFrame, source: Column, content: Column, kind: str, title: Column | None = None, sections: Column | None = None, code_blocks: Column | None = None) -> DataFrame:

@@ -72,7 +72,7 @@ def ingest(files: DataFrame, limit: int | None = None) -> DataFrame:
     out = out.withColumn("stored_name", F.concat("file_id", suffix(F.col("name")))).withColumn("__way", way)
     plain = F.expr("is_valid_utf8(cast(content as string))")
     built_in = F.col("__way").isin("image", "other") | ((F.col("__way") == "text") & plain)
-    easy = F.when(F.col("__way") == "text", F.col("content").cast("string")).otherwise(placeholder(F.col("__way"), F.col("stored_name")))
+    easy = F.when(F.col("__way") == "text", F.expr("try_validate_utf8(cast(content as string))")).otherwise(placeholder(F.col("__way"), F.col("stored_name")))
     accepted = out.where("reject_reason IS NULL")
     done = accepted.where(built_in).withColumn("text", easy)
     hard = accepted.where(~built_in).withColumn("text", _opaque_text("__way", "content", "stored_name"))
