@@ -9,11 +9,11 @@ from .functions import text as X
 from .functions import triage as G
 from .functions import urls as U
 from .functions.html import extract_page
-from .operators import chunks, corpus, logs, rag, retrieval, tickets
+from .operators import chunks, corpus, crawl, logs, rag, retrieval, tickets
 from .plans import jobs
 from .schemas import DOCUMENT, UPLOAD_TYPES
-from .session import work_dir
-from .sources import uploads
+from .session import settle, work_dir
+from .sources import readers, site, uploads
 from .streaming import state
 
 
@@ -460,6 +460,65 @@ def answer_flow(spark, sf_dir):
     return out.select("query_id", "answer", F.size("sources").cast("long").alias("n_sources"))
 
 
+#: A small site for the crawl: a cycle, repeated links, a failing page.
+_SITE = [
+    ("https://s.com/", '<title>home</title><main><a href="/a">a</a><a href="/b">b</a><a href="/a">again</a></main>'),
+    ("https://s.com/a", '<title>a</title><main><a href="/">home</a><a href="/c">c</a><a href="/gone">x</a></main>'),
+    ("https://s.com/b", '<title>b</title><main><a href="/c">c</a><a href="/d">d</a><a href="/x.json">x</a></main>'),
+    ("https://s.com/c", '<title>c</title><main><a href="/e">e</a><a href="https://t.com/">t</a></main>'),
+    ("https://s.com/d", "<title>d</title><main>d</main>"),
+    ("https://s.com/e", "<title>e</title><main>e</main>"),
+]
+
+
+def crawl_bfs(spark, sf_dir):
+    pages = spark.createDataFrame(_SITE, "url string, html string")
+    out = crawl.crawl(spark, "https://s.com/", lambda f: f.join(pages, "url", "left"), 5, settle)
+    return out.select(F.col("position").cast("long").alias("position"), "url", "title", F.size("links").cast("long").alias("n_links"))
+
+
+def site_scan(spark, sf_dir):
+    import json
+
+    site.register(spark)
+    urls = [u for u, _ in _SITE] + ["https://s.com/gone"]
+    out = spark.read.format("site").option("pages", json.dumps(dict(_SITE))).option("urls", json.dumps(urls)).load()
+    return out.select("url", F.coalesce(F.length("html"), F.lit(0)).cast("long").alias("n_chars"), "error")
+
+
+def ingest_files(spark, sf_dir):
+    rows = [("a.txt", "text/plain", b"one"), ("b.txt", "text/plain", b"\xff"), ("c.json", "application/json", b'{"k": [1]}'), ("e.png", "image/png", b"x"), ("g.zip", "application/zip", b"x")]
+    out = uploads.ingest(spark.createDataFrame(rows, "name string, content_type string, content binary"))
+    text = F.when(F.startswith("text", F.lit("Error processing file")), "Error").otherwise(F.replace("text", F.col("stored_name"), F.lit("STORED")))
+    return out.select("name", "size", "reject_reason", text.alias("text"))
+
+
+def index_job(spark, sf_dir):
+    """Render, chunk, embed and write the benchmark items, then ask for each."""
+    import uuid
+
+    path = f"{work_dir(spark)}/lodestone/index-{uuid.uuid4().hex}"
+    bench = _table(spark, sf_dir, "benchmark")
+    docs = readers.as_documents(bench, source=F.concat(F.lit("bench/"), F.col("item_id")), content=F.col("text"), kind="uploaded_file")
+    jobs.build_index(docs, path)
+    asked = corpus.rendered(docs.withColumn("item_id", F.regexp_extract("source", r"(\d+)$", 1).cast("long"))).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = jobs.retrieve(spark, path, asked, 1)
+    return hits.select("query_id", "source", F.round("score", 4).alias("score"))
+
+
+def stream_ticket_numbers(spark, sf_dir):
+    """Purchases numbered by a stream with one counter for each year."""
+    import uuid
+
+    state.enable_state(spark)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = stream.where("event_type = 'purchase'").select(F.year("ts").alias("year"), F.col("event_id").alias("id"))
+    base = f"{work_dir(spark)}/lodestone/numbers-{uuid.uuid4().hex}"
+    state.write_available(state.number_tickets(rows), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").select("id", tickets.ticket_number(F.col("n"), F.col("year")).alias("ticket_number"))
+
+
 #: Flagship: the answers to the first questions, from retrieved context.
 def flagship(spark, sf_dir):
     return rag_answer(spark, sf_dir)
@@ -470,7 +529,7 @@ corpus_union corpus_format corpus_stats corpus_by_type corpus_sources distinct_s
 knn_cosine_top2 knn_l2 knn_single knn_lookup index_stats rag_context rag_prompt rag_answer classify_rules classify_documents canned_reply classify_json
 route_tickets route_counts badge_map ticket_create ticket_stats ticket_serial ticket_filter_status ticket_filter_priority ticket_by_id ticket_delete
 ticket_update ticket_card log_tail log_tail_by_user log_by_type log_counts escalations query_events upload_validate mime_dispatch file_size_fmt
-attachment_latest stream_log_counts site_rank answer_flow""".split()
+attachment_latest stream_log_counts site_rank answer_flow crawl_bfs site_scan ingest_files index_job stream_ticket_numbers""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _UNESCAPED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&')"
@@ -601,4 +660,12 @@ SELECT id, status, CASE status WHEN 'uploading' THEN 'spinner' WHEN 'success' TH
     "site_rank": f"WITH c AS (SELECT {_AUTH} AS site, count(*) AS n FROM pages GROUP BY 1) SELECT site, n, rank() OVER (ORDER BY n DESC) AS place FROM c",
     "answer_flow": f"""SELECT conv_id * 1000 + turn AS query_id, 'This ticket has been classified as ''' || {_TOPIC_SQL} || ''' and routed to the appropriate team.' AS answer, 0::BIGINT AS n_sources
 FROM conversations WHERE role = 'user' AND trim(text) <> ''""",
+    "crawl_bfs": """SELECT * FROM (VALUES (0::BIGINT, 'https://s.com/', 'home', 3::BIGINT), (1, 'https://s.com/a', 'a', 3), (2, 'https://s.com/b', 'b', 2), (3, 'https://s.com/c', 'c', 1),
+  (4, 'https://s.com/d', 'd', 0)) v(position, url, title, n_links)""",
+    "site_scan": "SELECT * FROM (VALUES " + ", ".join(f"('{u}', {len(h)}::BIGINT, NULL::VARCHAR)" for u, h in _SITE) + ", ('https://s.com/gone', 0, '404')) v(url, n_chars, error)",
+    "ingest_files": """SELECT * FROM (VALUES ('a.txt', 3::BIGINT, NULL::VARCHAR, 'one'), ('b.txt', 1, NULL, 'Error'), ('c.json', 10, NULL, '{' || chr(10) || '  "k": [' || chr(10) || '    1' || chr(10) || '  ]' || chr(10) || '}'),
+  ('e.png', 1, NULL, 'Image file: STORED (OCR processing not implemented yet)'), ('g.zip', 1, 'unsupported_type', NULL)) v(name, size, reject_reason, text)""",
+    "index_job": "SELECT item_id AS query_id, 'bench/' || item_id AS source, 1.0::DOUBLE AS score FROM benchmark",
+    "stream_ticket_numbers": """SELECT event_id AS id, printf('TKT-%d-%03d', year(ts), row_number() OVER (PARTITION BY year(ts) ORDER BY event_id)) AS ticket_number
+FROM events WHERE event_type = 'purchase'""",
 }
