@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Rows an Arrow batch may hold, so that a batch of long texts stays small.
 BATCH_ROWS = 1000
@@ -42,6 +42,22 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def id_text(column: Column) -> Column:
+    """An id on its way through pandas: as text, since a long column with a null
+    would become floats there and lose digits."""
+    return column.cast("long").cast("string")
+
+
+def id_longs(ids) -> list:
+    return [None if x is None else int(x) for x in ids]
+
+
+def id_array(ids):
+    import pandas as pd
+
+    return pd.array(id_longs(ids), dtype="Int64")
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches
+from ._shared import id_longs, id_text, small_batches
 from ._text import flat, mix, slabs, span_hashes, spans
 from .token_store import _Classes
 
@@ -274,7 +274,7 @@ def contaminations(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     each document and item it holds; the span of the best stretch."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    rows = docs.select(id_text(F.col(id_col)).alias("__id"), F.col(text_col).alias("__text"))
     found = None
     for ids, texts in _blocks(items, item_col, item_text_col, block_bytes):
         part = rows.mapInPandas(_search(ids, texts, percent), _SCHEMA)
@@ -291,7 +291,7 @@ def _search(ids: list, texts: list, percent: int):
 
         items = Items(ids, texts, percent)
         for pdf in batches:
-            doc = pdf["__id"].astype("Int64").tolist()
+            doc = id_longs(pdf["__id"])
             hits = items.find(pdf["__text"].tolist())
             yield pd.DataFrame({
                 "doc_id": pd.array([doc[t] for t, *_ in hits], dtype="Int64"),

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, small_batches
+from ._shared import cut, id_array, id_text, small_batches
 from ._text import flat, lower_ascii, mix, slabs, span_hashes, words
 from .components import components, follow
 
@@ -114,10 +114,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
                 k1.append(mix(x ^ s1).sum().view(np.int64))
                 k2.append(mix(x ^ s2).sum().view(np.int64))
                 keys.append(hasher.band_keys(x) if len(x) else np.empty(0, np.int64))
-            yield pd.DataFrame({"doc": pdf["__id"], "n_shingles": n, "k1": np.array(k1, np.int64), "k2": np.array(k2, np.int64), "bands": keys})
+            yield pd.DataFrame({"doc": id_array(pdf["__id"]), "n_shingles": n, "k1": np.array(k1, np.int64), "k2": np.array(k2, np.int64), "bands": keys})
 
     small_batches(docs.sparkSession)
-    rows_ = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    rows_ = docs.select(id_text(F.col(id_col)).alias("__id"), F.col(text_col).alias("__text"))
     return rows_.mapInPandas(run, "doc long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches
+from ._shared import id_array, id_text, small_batches
 from ._text import flat, mix, slabs, span_hashes, spans
 from .decontaminate import _Lower
 from .token_store import _Classes
@@ -203,8 +203,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         import pandas as pd
 
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["__id"], "score": net.scores(features(pdf["__text"].tolist(), table))})
+            yield pd.DataFrame({"doc_id": id_array(pdf["__id"]), "score": net.scores(features(pdf["__text"].tolist(), table))})
 
-    out = texts.mapInPandas(score, "doc_id long, score double")
+    out = texts.withColumn("__id", id_text(F.col("__id"))).mapInPandas(score, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

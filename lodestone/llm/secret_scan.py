@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches
+from ._shared import id_longs, id_text, small_batches
 
 _ASSIGNED = re.compile(
     r"(?:key|token|secret|passw(?:or)?d|pwd|credential|auth)\w{0,20}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"'`;,<>]{6,})", re.IGNORECASE
@@ -285,7 +285,7 @@ def scan_secrets(docs: DataFrame, *, model_file: str | None = None, labelled: li
         names = [c.split()[0] for c in _SCHEMA.split(", ")]
         for pdf in batches:
             found, x = [], []
-            for key, text, path in zip(pdf["__id"].astype("Int64").tolist(), pdf["__text"].tolist(), pdf["__path"].tolist()):
+            for key, text, path in zip(id_longs(pdf["__id"]), pdf["__text"].tolist(), pdf["__path"].tolist()):
                 for k, (s, e, rule) in enumerate(candidates(text or "")):
                     value = text[s:e]
                     found.append([key, k, rule, s, e, hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()])
@@ -297,5 +297,5 @@ def scan_secrets(docs: DataFrame, *, model_file: str | None = None, labelled: li
 
     small_batches(docs.sparkSession)
     path = F.col(path_col) if path_col else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), path.alias("__path"))
+    rows = docs.select(id_text(F.col(id_col)).alias("__id"), F.col(text_col).alias("__text"), path.alias("__path"))
     return rows.mapInPandas(run, _SCHEMA)

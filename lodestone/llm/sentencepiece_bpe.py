@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 
+from ._shared import id_array
 from ._text import IdCache, _Flat, flat, gather, slabs, span_hashes, spans
 
 SPACE = 0x2581
@@ -200,7 +201,7 @@ def _digests(model_file: str):
                 ids = enc.encode(part["__text"].tolist())
                 back = enc.decode(ids)
                 yield pd.DataFrame({
-                    "doc_id": part["__id"].to_numpy(),
+                    "doc_id": id_array(part["__id"]),
                     "n_tokens": [len(x) for x in ids],
                     "ids_sha256": [hashlib.sha256(",".join(names[x].tolist()).encode()).hexdigest() for x in ids],
                     "decoded_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back],
@@ -213,7 +214,7 @@ def encode_texts(docs, model_file: str, *, id_col: str = "doc_id", text_col: str
     """(id, ids array<int>, decoded string) of every whole text."""
     from pyspark.sql import functions as F
 
-    from ._shared import small_batches
+    from ._shared import id_text, small_batches
 
     def run(batches):
         import pandas as pd
@@ -223,10 +224,10 @@ def encode_texts(docs, model_file: str, *, id_col: str = "doc_id", text_col: str
             for at in range(0, len(pdf), 200):
                 part = pdf.iloc[at : at + 200]
                 ids = enc.encode(part["__text"].tolist())
-                yield pd.DataFrame({"doc_id": part["__id"].to_numpy(), "ids": [x.astype(np.int32) for x in ids], "decoded": enc.decode(ids)})
+                yield pd.DataFrame({"doc_id": id_array(part["__id"]), "ids": [x.astype(np.int32) for x in ids], "decoded": enc.decode(ids)})
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    rows = docs.select(id_text(F.col(id_col)).alias("__id"), F.col(text_col).alias("__text"))
     return rows.mapInPandas(run, "doc_id long, ids array<int>, decoded string")
 
 
@@ -235,8 +236,8 @@ def digests(docs, model_file: str, *, id_col: str = "doc_id", text_col: str = "t
     the encoder's ids and the library's decoding of them."""
     from pyspark.sql import functions as F
 
-    from ._shared import small_batches
+    from ._shared import id_text, small_batches
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    rows = docs.select(id_text(F.col(id_col)).alias("__id"), F.col(text_col).alias("__text"))
     return rows.mapInPandas(_digests(model_file), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

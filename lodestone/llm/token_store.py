@@ -32,6 +32,7 @@ import zlib
 
 import numpy as np
 
+from ._shared import id_array, id_longs
 from ._text import IdCache, flat, gather, slabs, span_hashes
 
 BLOCK = 1024
@@ -261,7 +262,7 @@ def write_tokens(docs, path: str, vocabulary: str, *, end_id: int = 0, id_col: s
     """Encode every whole text, append ``end_id`` and write the chunk rows."""
     from pyspark.sql import functions as F
 
-    from ._shared import small_batches
+    from ._shared import id_text, small_batches
 
     spark = docs.sparkSession
     small_batches(spark)
@@ -279,14 +280,14 @@ def write_tokens(docs, path: str, vocabulary: str, *, end_id: int = 0, id_col: s
                 counts = np.array([len(x) for x in ids], np.int64)
                 words, offsets = pack(np.concatenate(ids))
                 yield pd.DataFrame({
-                    "file": [file], "chunk": [chunk], "start": [start], "doc_ids": [part["__id"].tolist()],
+                    "file": [file], "chunk": [chunk], "start": [start], "doc_ids": [id_longs(part["__id"])],
                     "counts": [counts], "offsets": [offsets], "words": [words.astype("<u8").tobytes()],
                 })
                 chunk, start = chunk + 1, start + int(counts.sum())
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    rows = rows.repartitionByRange(n, "__id").sortWithinPartitions("__id", F.xxhash64("__text"))
+    rows = rows.repartitionByRange(n, "__id").sortWithinPartitions("__id", F.xxhash64("__text")).withColumn("__id", id_text(F.col("__id")))
     rows.mapInPandas(run, FORMAT).write.parquet(path)
 
 
@@ -317,12 +318,12 @@ def _read(spark, path: str, column: str, make):
                 ends = np.cumsum(np.asarray(r.counts, np.int64))
                 begins = ends - r.counts
                 yield pd.DataFrame({
-                    "file": r.file, "doc_id": pd.array(list(r.doc_ids), dtype="Int64"), "start": begins + r.start, "n_tokens": r.counts,
+                    "file": r.file, "doc_id": id_array(r.doc_ids), "start": begins + r.start, "n_tokens": r.counts,
                     name: [make(ids[a:b]) for a, b in zip(begins.tolist(), ends.tolist())],
                 })
 
     rows = spark.read.schema(FORMAT).parquet(path)
-    docs = rows.select("file", "start", "doc_ids", "counts", "offsets", "words").mapInPandas(run, f"file int, doc_id long, start long, n_tokens long, {column}")
+    docs = rows.select("file", "start", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "counts", "offsets", "words").mapInPandas(run, f"file int, doc_id long, start long, n_tokens long, {column}")
     # a row for each file: their number is that of the writer's partitions
     last = rows.select("file", (F.col("start") + F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("stop"))
     total = last.groupBy("file").agg(F.max("stop").alias("n"))
