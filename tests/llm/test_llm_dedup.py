@@ -114,7 +114,7 @@ def near_docs():
             w[k] = r.choice(words)
         docs.append((i, " ".join(w)))
         i += 1
-    docs += [(i, None), (i + 1, ""), (i + 2, " \t"), (i + 3, "one"), (i + 4, "ONE"), (i + 5, "one two"), (i + 6, "One Two"), (None, "one two")]
+    docs += [(i, None), (i + 1, ""), (i + 2, " \t"), (i + 3, "one"), (i + 4, "ONE"), (i + 5, "one two"), (i + 6, "One Two"), (None, "one two"), (2**60 + 1, "far off"), (2**60 + 3, "Far off")]
     r.shuffle(docs)
     return docs
 

@@ -85,6 +85,8 @@ CASES = [
     (page('<article><h1>T</h1><p>Text.</p><div class="advert">Ad</div><ul><li>a<li>b</ul><script>var x="<p>no</p>";</script><p hidden>h</p><p style="display: none">h</p></article>'), "T\nText.\na\nb"),
     (page("<nav>open <ul><li>x<article><h1>T</h1><p>Inside an unclosed menu.</p></article>"), "T\nInside an unclosed menu."),
     (page("<article><p>1 &lt; 2 &#233; &#x41; &bogus; &amp;lt;</p><!-- <p>no</p> --><table><tr><td>a<td>b</table></article>"), "1 < 2 é A &bogus; &lt;\na\nb"),
+    (page('<div class="main-wrapper"><div class="latest"><p>Other story one.</p><p>Other story two, longer than the text.</p></div><article><h1>T</h1><p>The text.</p></article></div>'), "T\nThe text."),
+    (page("<main><h1>T</h1><article><p>The text of the page.</p></article></main><div><p>Elsewhere.</p></div>"), "T\nThe text of the page."),
     ("plain text only", "plain text only"),
     ("", ""),
     (None, ""),
@@ -117,6 +119,13 @@ def test_template_by_host(spark):
     assert {x.page_id: x.text for x in got} == want
 
 
+def test_copies_are_no_template(spark):
+    one = page("<article><h1>Same title</h1><p>Same short text.</p><p>And more of the same.</p></article>")
+    rows = [(k, "https://copy.com/p", one) for k in range(30)]
+    got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {x.text for x in got} == {"Same title\nSame short text.\nAnd more of the same."}
+
+
 # ---- secrets ---------------------------------------------------------------
 def test_forest_on_held_out_findings():
     words = secrets.dictionary(PIECE)

@@ -73,7 +73,7 @@ def test_span_hashes_tell_words_apart():
     assert h[0] == h[2] == h[3] and len(set(h.tolist())) == 4 and first.tolist() == [0, 3, 4, 6]
 
 
-DOCS = [(3, "hello world", "x"), (1, None, "x"), (2, "", "x"), (9, "the " * 3000, "x"), (7, "same", "x"), (7, "same", "x"), (None, "no id", "x")]
+DOCS = [(3, "hello world", "x"), (1, None, "x"), (2, "", "x"), (9, "the " * 3000, "x"), (7, "same", "x"), (7, "same", "x"), (None, "no id", "x"), (2**60 + 1, "far", "x")]
 
 
 def _docs(spark, rows=DOCS):
