@@ -9,7 +9,7 @@ from .functions import text as X
 from .functions import triage as G
 from .functions import urls as U
 from .functions.html import extract_page
-from .operators import chunks, corpus, crawl, logs, rag, retrieval, tickets
+from .operators import chat, chunks, corpus, crawl, logs, rag, retrieval, tickets
 from .plans import jobs
 from .schemas import DOCUMENT, UPLOAD_TYPES
 from .session import settle, work_dir
@@ -430,6 +430,33 @@ def attachment_latest(spark, sf_dir):
     return state.latest_status(rows).select("id", "status", G.attachment_mark(F.col("status")).alias("mark"))
 
 
+def attach_files(spark, sf_dir):
+    files = _files(spark, sf_dir).select(F.col("doc_id").alias("id"), "name", "size", F.col("content_type").alias("type"))
+    out = chat.remove_attachment(chat.attach(files), 4)
+    return out.select("id", "status", F.col("upload_progress").cast("long").alias("upload_progress"), G.attachment_mark(F.col("status")).alias("mark"))
+
+
+def chat_update(spark, sf_dir):
+    """Assistant turns as pending messages; those of even conversations get an
+    answer, every fifth conversation an error."""
+    turns = _table(spark, sf_dir, "conversations")
+    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("id")
+    messages = turns.select(key, "role", chat.default_query(F.when(F.col("turn") % 3 != 0, F.col("text"))).alias("content"), (F.col("role") == "assistant").alias("is_thinking"), F.lit(False).alias("is_error"))
+    answers = turns.where("conv_id % 2 = 0").select(key, F.concat(F.lit("answer "), F.col("conv_id")).alias("content"), (F.col("conv_id") % 5 == 0).alias("is_error"))
+    return chat.settle_messages(messages, answers)
+
+
+def demo_scores(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select(G.demo_confidence(7).alias("c"), G.demo_duration(8).alias("d"))
+    return rows.agg((F.min("c") >= 85).alias("c_low"), (F.max("c") <= 99).alias("c_high"), (F.min("d") >= 200).alias("d_low"), (F.max("d") <= 699).alias("d_high"))
+
+
+def rag_context_l2(spark, sf_dir):
+    meta = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source")
+    out = rag.context(retrieval.look_up(_hits(spark, sf_dir, 3, "l2"), meta))
+    return out.select("query_id", "context", F.array_join("sources", ",").alias("sources"))
+
+
 # ---- streams and jobs ------------------------------------------------------
 def stream_log_counts(spark, sf_dir):
     """Events by day and type through a stream that is drained once; complete
@@ -529,7 +556,7 @@ corpus_union corpus_format corpus_stats corpus_by_type corpus_sources distinct_s
 knn_cosine_top2 knn_l2 knn_single knn_lookup index_stats rag_context rag_prompt rag_answer classify_rules classify_documents canned_reply classify_json
 route_tickets route_counts badge_map ticket_create ticket_stats ticket_serial ticket_filter_status ticket_filter_priority ticket_by_id ticket_delete
 ticket_update ticket_card log_tail log_tail_by_user log_by_type log_counts escalations query_events upload_validate mime_dispatch file_size_fmt
-attachment_latest stream_log_counts site_rank answer_flow crawl_bfs site_scan ingest_files index_job stream_ticket_numbers""".split()
+attachment_latest stream_log_counts site_rank answer_flow crawl_bfs site_scan ingest_files index_job stream_ticket_numbers attach_files chat_update demo_scores rag_context_l2""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _UNESCAPED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&')"
@@ -668,4 +695,11 @@ FROM conversations WHERE role = 'user' AND trim(text) <> ''""",
     "index_job": "SELECT item_id AS query_id, 'bench/' || item_id AS source, 1.0::DOUBLE AS score FROM benchmark",
     "stream_ticket_numbers": """SELECT event_id AS id, printf('TKT-%d-%03d', year(ts), row_number() OVER (PARTITION BY year(ts) ORDER BY event_id)) AS ticket_number
 FROM events WHERE event_type = 'purchase'""",
+    "attach_files": f"""WITH {_FILES_SQL} SELECT doc_id AS id, 'pending' AS status, 0::BIGINT AS upload_progress, 'gray' AS mark FROM f
+WHERE size <= 10485760 AND content_type <> 'application/zip' AND doc_id <> 4""",
+    "chat_update": """SELECT conv_id * 1000 + turn AS id, role, CASE WHEN role = 'assistant' AND conv_id % 2 = 0 THEN 'answer ' || conv_id
+  WHEN turn % 3 = 0 OR text = '' THEN 'File upload analysis' ELSE text END AS content, role = 'assistant' AND conv_id % 2 <> 0 AS is_thinking,
+  role = 'assistant' AND conv_id % 2 = 0 AND conv_id % 5 = 0 AS is_error FROM conversations""",
+    "demo_scores": "SELECT true AS c_low, true AS c_high, true AS d_low, true AS d_high",
+    "rag_context_l2": f"WITH {_CONTEXT.replace(_knn_sql(3), _knn_sql(3, True))} SELECT query_id, context, array_to_string(sources, ',') AS sources FROM ctx",
 }

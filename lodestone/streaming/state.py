@@ -5,14 +5,16 @@ kept) and returns one; ``run_available`` drains a stream into a table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.corpus import number
 from ..operators.logs import KEPT
+from ..operators.retrieval import normalize
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -113,6 +115,19 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy("id").agg(F.max_by("status", F.struct("ts", "status")).alias("status"))
 
 
+def index_stream(documents: DataFrame, path: str, checkpoint: str, embed: Callable[[Column], Column]) -> None:
+    """Add new documents (source, text) to an index as they come.  Each batch is a
+    folder of its own that a repeated batch overwrites, so every document is in
+    the index once; row numbers continue over batches within ``batch``."""
+
+    def add(batch: DataFrame, n: int) -> None:
+        rows = number(batch.select("source", "text"), "source", "text")
+        rows = rows.withColumn("embedding", normalize(embed(F.col("text"))).cast("array<float>"))
+        rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process what there is, then stop; the result is a table in memory, so only
     for results of bounded size (use ``write_available`` for others)."""
