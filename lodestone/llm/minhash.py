@@ -24,8 +24,9 @@ are chunks of members.
 
 Defined cases: null text and text without words have an empty set and link with
 nothing; a null id links with nothing, its component is null and it is kept;
-rows that repeat an id are one node, linked by each of their texts, and stay or
-go together; an empty table gives an empty result."""
+rows that repeat an id each take the component of their own text, and texts whose
+smallest holder is the same id are one node; an empty table gives an empty
+result."""
 
 from __future__ import annotations
 
@@ -270,7 +271,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labels = follow(labels.unionByName(need.join(labels, "node", "left_anti").withColumn("label", F.col("node"))), upper)
 
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
-    out = sig.select("doc", "n_shingles", F.when(F.expr("doc IS NOT NULL AND n_shingles > 0"), F.col("k1")).alias("k1"), "k2").join(found, ["k1", "k2"], "left")
-    component = F.coalesce("component_id", "doc")
-    # rows that repeat an id share the smallest component of their texts
-    return out.select(F.col("doc").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
+    # rows without a set go past the join, where they would be one key
+    alone = sig.where("doc IS NULL OR n_shingles = 0").select("doc", "n_shingles", F.col("doc").alias("component_id"))
+    out = full.join(found, ["k1", "k2"]).select("doc", "n_shingles", "component_id").unionByName(alone)
+    return out.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))
