@@ -59,12 +59,16 @@ def classify_rules(text: Column) -> Column:
     return F.struct(chain(lambda r: r[0], DEFAULT[0]).alias("topic"), sentiment.alias("sentiment"), chain(lambda r: r[3], DEFAULT[2]).alias("priority"))
 
 
+#: The sentence around topic and sentiment.
+DETAILS = (
+    "Query analyzed using natural language processing. Classified as ", " with ",
+    " sentiment. Priority determined based on urgency indicators and topic classification.",
+)
+
+
 def describe(c: Column) -> Column:
     """The sentence that tells a classification."""
-    return F.concat(
-        F.lit("Query analyzed using natural language processing. Classified as "), F.lower(c["topic"]), F.lit(" with "), F.lower(c["sentiment"]),
-        F.lit(" sentiment. Priority determined based on urgency indicators and topic classification."),
-    )
+    return F.concat(F.lit(DETAILS[0]), F.lower(c["topic"]), F.lit(DETAILS[1]), F.lower(c["sentiment"]), F.lit(DETAILS[2]))
 
 
 def demo_confidence(seed: int) -> Column:
@@ -96,10 +100,14 @@ def urgent(priority: Column, prefix: bool = False) -> Column:
     return F.coalesce(priority.rlike(r"^P0\b") if prefix else priority == "P0", F.lit(False))
 
 
+#: The answers of the ways that need no retrieval.
 ESCALATED = "⚠️ This ticket has been marked HIGH PRIORITY (P0). Redirecting to a human support agent immediately."
 UNCLEAR = "❌ Sorry, I couldn’t understand your request. Please refine your question."
 
 
+ROUTED = ("This ticket has been classified as '", "' and routed to the appropriate team.")
+
+
 def route(topic: Column, priority: Column, prefix: bool = False, clarify: bool = False) -> Column:
     """escalate, team or rag; with ``clarify`` an unknown topic is asked back."""
     first = F.when(urgent(priority, prefix), F.lit("escalate"))
@@ -110,7 +118,7 @@ def route(topic: Column, priority: Column, prefix: bool = False, clarify: bool =
 
 def routed_answer(way: Column, topic: Column) -> Column:
     """The answer of every way but ``rag``, whose answer is null here."""
-    team = F.concat(F.lit("This ticket has been classified as '"), topic, F.lit("' and routed to the appropriate team."))
+    team = F.concat(F.lit(ROUTED[0]), topic, F.lit(ROUTED[1]))
     return F.when(way == "escalate", F.lit(ESCALATED)).when(way == "clarify", F.lit(UNCLEAR)).when(way == "team", team)
 
 

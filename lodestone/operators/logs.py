@@ -29,6 +29,7 @@ def query_events() -> Column:
 
     named = F.to_json(F.struct("topic", "sentiment", "priority"))
     urgent = F.coalesce(F.col("priority") == "P0", F.lit(False))
+    # fixed values: the messages
     every = F.array(
         event(F.concat(F.lit('Processing query: "'), F.col("query"), F.lit('"')), "INFO", "user"),
         event(F.lit("Starting ticket classification..."), "INFO", "system"),

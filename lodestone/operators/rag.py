@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Own instructions; callers may pass others.
 SYSTEM = "You are a support assistant. Use only the context provided. Always cite sources. If the context does not hold the answer, say so."
+#: The answers without an index and without a hit.
 NOT_AVAILABLE = "Sorry, the knowledge base is not available. Please try again later."
 NOT_FOUND = "I couldn't find relevant information in the knowledge base to answer your question."
 

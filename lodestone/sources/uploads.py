@@ -29,13 +29,20 @@ def extraction_path(kind: Column) -> Column:
     )
 
 
+#: What stands for the text of files that aren't read.
+NO_PDF = "PDF processing not available. Please install PyPDF2."
+IMAGE = ("Image file: ", " (OCR processing not implemented yet)")
+OTHER = ("File uploaded: ", " (Content extraction not implemented for this file type)")
+FAILED = "Error processing file: "
+
+
 def _pdf(data: bytes) -> str:
     try:
         import io
 
         from pypdf import PdfReader
     except ImportError:
-        return "PDF processing not available. Please install PyPDF2."
+        return NO_PDF
     return "".join(page.extract_text() + "\n" for page in PdfReader(io.BytesIO(data)).pages)
 
 
@@ -51,13 +58,13 @@ def _opaque_text(way: pd.Series, content: pd.Series, name: pd.Series) -> pd.Seri
             else:
                 out.append(bytes(c).decode("utf-8"))
         except Exception as e:  # noqa: BLE001  the message is the result
-            out.append(f"Error processing file: {e}")
+            out.append(f"{FAILED}{e}")
     return pd.Series(out)
 
 
 def placeholder(way: Column, name: Column) -> Column:
-    return F.when(way == "image", F.concat(F.lit("Image file: "), name, F.lit(" (OCR processing not implemented yet)"))).when(
-        way == "other", F.concat(F.lit("File uploaded: "), name, F.lit(" (Content extraction not implemented for this file type)"))
+    return F.when(way == "image", F.concat(F.lit(IMAGE[0]), name, F.lit(IMAGE[1]))).when(
+        way == "other", F.concat(F.lit(OTHER[0]), name, F.lit(OTHER[1]))
     )
 
 
