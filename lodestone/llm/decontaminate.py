@@ -21,7 +21,8 @@ each block runs over all documents.
 Defined cases: null or empty texts hold nothing; an item without words is found
 nowhere; items of equal text are all reported; a null document id is reported as
 null; an empty table on either side gives no rows.  Rows that repeat an id are
-reported once for each."""
+reported once for each.  Other columns are not read, so their names can't
+clash."""
 
 from __future__ import annotations
 

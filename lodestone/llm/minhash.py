@@ -25,8 +25,8 @@ are chunks of members.
 Defined cases: null text and text without words have an empty set and link with
 nothing; a null id links with nothing, its component is null and it is kept;
 rows that repeat an id each take the component of their own text, and texts whose
-smallest holder is the same id are one node; an empty table gives an empty
-result."""
+smallest holder is the same id are one node; other columns are not read, so
+their names can't clash; an empty table gives an empty result."""
 
 from __future__ import annotations
 

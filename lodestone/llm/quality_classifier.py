@@ -19,7 +19,10 @@ rows and whole texts.
 Held out are rows whose crc32 of the id as text is 0 modulo 5.  Scores take the
 text only.  Null and empty texts have a zero vector and still get a score.  A
 null id is not held out and never trained on.  Without labels of both kinds
-every score is the share of label 1, or 0.5.  An empty table gives no rows."""
+every score is the share of label 1, or 0.5.  A document with several labels
+counts as 1 if any is.  Rows that repeat an id each get their score.  Other
+columns are not read, so their names can't clash.  An empty table gives no
+rows."""
 
 from __future__ import annotations
 

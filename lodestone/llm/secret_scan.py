@@ -14,8 +14,8 @@ numbers, ids, file paths, identifiers) from rules.
 
 Defined cases: null and empty texts have no candidate; candidates in rows that
 repeat an id are all reported; a null id or path stays null and counts as no
-path; a text of any length is searched to its end; an empty table gives no
-rows."""
+path; a text of any length is searched to its end; other columns are not read, so
+their names can't clash; an empty table gives no rows."""
 
 from __future__ import annotations
 

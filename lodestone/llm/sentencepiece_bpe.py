@@ -12,8 +12,12 @@ without a pair leave.  Merging many at the same time equals merging one after
 the other unless the new symbol could at once form a pair of a better rank; for
 such symbols only the leftmost pair is merged in a round.
 
-Symbols outside the vocabulary end as byte pieces.  Null counts as empty; an
-empty text has no ids."""
+Symbols outside the vocabulary end as byte pieces.
+
+Defined cases: null counts as empty; an empty text has no ids and decodes to an
+empty text; a text of any length is encoded whole; rows are treated one by one,
+so repeated rows and null ids are kept as they are; other columns are not read,
+so their names can't clash; an empty table gives no rows."""
 
 from __future__ import annotations
 

@@ -22,8 +22,8 @@ The rows are Parquet written by Spark: commits are atomic, lost tasks are
 rerun, and any store that Spark writes to will do.
 
 Null text counts as empty (only the end id); rows repeating an id are kept, in
-the order of their texts' hashes; null ids come first; an empty table gives no
-rows."""
+the order of their texts' hashes; null ids come first; other columns are not
+read, so their names can't clash; an empty table gives no rows."""
 
 from __future__ import annotations
 
