@@ -118,11 +118,12 @@ def latest_status(events: DataFrame) -> DataFrame:
 def index_stream(documents: DataFrame, path: str, checkpoint: str, embed: Callable[[Column], Column]) -> None:
     """Add new documents (source, text) to an index as they come.  Each batch is a
     folder of its own that a repeated batch overwrites, so every document is in
-    the index once; row numbers continue over batches within ``batch``."""
+    the index once; rows are numbered from 0 in each batch."""
 
     def add(batch: DataFrame, n: int) -> None:
         rows = number(batch.select("source", "text"), "source", "text")
-        rows = rows.withColumn("embedding", normalize(embed(F.col("text"))).cast("array<float>"))
+        rows = rows.withColumn("embedding", embed(F.col("text"))).where("embedding IS NOT NULL")
+        rows = rows.withColumn("embedding", normalize(F.col("embedding")).cast("array<float>"))
         rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
