@@ -246,6 +246,21 @@ def test_fertility_verdict():
     assert found["script"] == ["other", "greek"] and found["byte_share"][0] > 0.8
 
 
+def test_junk_outside_the_bands():
+    r = random.Random(12)
+    end = "the and ing ion er on re th en ea or at is ha wh ed st ly to of in that ble ness out mar kel vin dro pas lun".split()
+    word = lambda: "".join(r.choices(end, k=r.randint(1, 4)))
+    signs = " ".join(word() + r.choice(["###", "$$$", "%%%", "&&&", "***"]) for _ in range(200))
+    menu = " | ".join(word() for _ in range(300))
+    thai = " ".join("\u0e01\u0e32\u0e23" + "".join(chr(0xE000 + r.randrange(200)) for _ in range(12)) for _ in range(40))
+    turkish = "Komite, eski kütüphanenin kıştan önce ihtiyaç duyduğu onarımlar için birkaç üyenin çok küçük bulduğu gelecek yılın bütçesini görüşmek üzere salı günü toplandı ve karar aldı."
+    vietnamese = "Ủy ban đã họp vào thứ ba để thảo luận về ngân sách năm tới, mà nhiều thành viên cho là quá nhỏ so với việc sửa chữa thư viện cũ trước mùa đông."
+    found = rules.measure([signs, menu, thai, turkish, vietnamese], PIECE)
+    assert found["base_failed"] == [False] * 5
+    assert found["script"] == ["latin", "latin", "thai", "latin", "latin"]
+    assert found["kept"] == [False, False, False, True, True]
+
+
 def test_classifier(spark):
     r = random.Random(9)
     good, bad = [f"{a}{b}" for a in ("ta", "lo", "mi", "re") for b in ("ran", "sol", "ten", "vic")], ["$$$", "%%%", "BUY", "NOW", "!!", "win", "free"]
