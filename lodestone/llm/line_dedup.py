@@ -99,6 +99,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     if hi is None:
         lo = hi = 0
     width = max(1, -(-(hi - lo + 1) // batches))
+    # whole numbers compared, not divided: exact for ids however far apart
+    bounds = [hi - k * width for k in range(1, batches) if hi - k * width >= lo]
+    batch = sum(((F.col("doc") <= F.lit(b)).cast("int") for b in bounds), F.lit(0))
     lines = (
         docs.where(F.col(id_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("row"), F.posexplode(split_lines(F.col(text_col))).alias("pos", "line"))
@@ -106,7 +109,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         .where(F.length("key") >= min_chars)
         .withColumn("key", line_key(F.col("key")))
         .select(
-            F.floor((F.lit(hi) - F.col("doc")) / F.lit(width)).cast("int").alias("batch"),
+            batch.alias("batch"),
             F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc", "row", "pos",
         )
     )

@@ -50,6 +50,14 @@ def test_lines(spark, batches, fanout):
     assert set(got[0].asDict()) == {"doc_id", "text", "key", "n_lines", "n_dropped", "kept_text"}
 
 
+@pytest.mark.parametrize("far", [[2**60 + 3], [-(2**63), 2**63 - 1], [-(2**63), -5]])
+@pytest.mark.parametrize("batches", [2, 5])
+def test_lines_of_far_ids(spark, far, batches):
+    docs = [(i, "\n".join(f"line {k} held by some " + "y" * 40 for k in (i % 7, 100 + i // 5, 200 + i // 4))) for i in [*range(101), *far]]
+    got = lines.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), batches=batches).collect()
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got), key=repr) == brute_lines(docs, 40, 5)
+
+
 def test_lines_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, n_lines string")
     assert lines.line_dedup(df).count() == 0
