@@ -5,16 +5,16 @@ Words are runs of letters (lower-cased; written all in capitals they are another
 word), runs of digits (one word for all) and runs of other signs.  Words fall
 into ``BUCKETS`` by hash.  Every bucket has a fixed sparse ternary *index
 vector*; the *word vector* of a bucket is the normalised sum of the index
-vectors of its neighbours within ``SPAN`` words over the training sample, or its
-own index vector where the sample holds it fewer than ``LEAST`` times.  A
+vectors of its neighbours within ``SPAN`` words over all documents, labelled or
+not, or its own index vector where they hold it fewer than ``LEAST`` times.  A
 document is the mean of its words' vectors with the mean's length, the log of
 the word count and the share of distinct words.
 
 A network with one hidden layer of tanh units and a logistic output is fitted in
 numpy; its logit is divided by a temperature chosen on training rows kept out of
 the fit.  The sample has at most ``sample`` labelled rows (the smallest by a hash
-of the id), all of them rows that are not held out; everything else covers all
-rows and whole texts.
+of the id), all of them rows that are not held out; it serves the network and the
+temperature alone, and everything else covers all rows and whole texts.
 
 Held out are rows whose crc32 of the id as text is 0 modulo 5.  Scores take the
 text only.  Null and empty texts have a zero vector and still get a score.  A
@@ -41,13 +41,18 @@ DIM, BUCKETS, SPAN, LEAST = 64, 1 << 14, 2, 5
 SAMPLE = 8000
 
 
-def index_vectors(nonzero: int = 8) -> np.ndarray:
-    """A sparse vector of +1 and -1 for each bucket, from hashes."""
-    out = np.zeros((BUCKETS, DIM), np.float32)
-    every = np.arange(BUCKETS)
+def _entries(nonzero: int = 8):
+    """(place, +1 or -1) of each entry of all buckets' index vectors, from hashes."""
     for j in range(nonzero):
-        h = mix(every.astype(np.uint64) * np.uint64(nonzero) + np.uint64(j + 1))
-        out[every, (h % np.uint64(DIM)).astype(np.int64)] += np.where(h >> np.uint64(63), 1, -1)
+        h = mix(np.arange(BUCKETS).astype(np.uint64) * np.uint64(nonzero) + np.uint64(j + 1))
+        yield (h % np.uint64(DIM)).astype(np.int64), np.where(h >> np.uint64(63), 1, -1)
+
+
+def index_vectors() -> np.ndarray:
+    """A sparse vector of +1 and -1 for each bucket."""
+    out = np.zeros((BUCKETS, DIM), np.float32)
+    for place, sign in _entries():
+        out[np.arange(BUCKETS), place] += sign
     return out
 
 
@@ -69,19 +74,22 @@ def word_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def contexts(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """(count, summed index vectors of neighbours) of each bucket over texts."""
-    index = index_vectors()
+    entries = list(_entries())
     count, total = np.zeros(BUCKETS, np.int64), np.zeros((BUCKETS, DIM), np.float64)
-    for _, part in slabs(texts, 1 << 18):
+    for _, part in slabs(texts, 1 << 20):
         b, first = word_buckets(part)
         doc = np.repeat(np.arange(len(part)), np.diff(first))
         count += np.bincount(b, minlength=BUCKETS)
+        pairs = []
         for step in range(1, SPAN + 1):
             same = np.flatnonzero(doc[:-step] == doc[step:]) if len(b) > step else np.empty(0, int)
-            for x, y in ((b[same], b[same + step]), (b[same + step], b[same])):
-                order = np.argsort(x, kind="stable")
-                heads = np.flatnonzero(np.diff(x[order], prepend=-1))
-                if len(heads):
-                    total[x[order][heads]] += np.add.reduceat(index[y[order]], heads, axis=0)
+            pairs += [b[same] * BUCKETS + b[same + step], b[same + step] * BUCKETS + b[same]]
+        # each pair of buckets once, with its times; sorted by the first
+        key = np.sort(np.concatenate(pairs))
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        times, x, y = np.diff(np.append(at, len(key))), key[at] // BUCKETS, key[at] % BUCKETS
+        for place, sign in entries:
+            total += np.bincount(x * DIM + place[y], weights=sign[y] * times, minlength=BUCKETS * DIM).reshape(BUCKETS, DIM)
     return count, total
 
 
@@ -174,6 +182,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     train = texts.join(F.broadcast(known), "__id").repartition(8, "__id")
 
+    # every text counts here, labelled or not: sums of whole numbers by bucket
+    sums = [f"v{k}" for k in range(DIM)]
+
     def gather(batches):
         import pandas as pd
 
@@ -182,12 +193,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             c, t = contexts(pdf["__text"].tolist())
             count, total = count + c, total + t
         at = np.flatnonzero(count)
-        yield pd.DataFrame({"b": at, "n": count[at], "v": list(total[at].astype(np.float32))})
+        yield pd.DataFrame(np.column_stack([at, count[at], total[at].astype(np.int64)]), columns=["b", "n", *sums])
 
+    found = (
+        texts.select("__text").mapInPandas(gather, ", ".join(f"{c} long" for c in ["b", "n", *sums]))
+        .groupBy("b").agg(*[F.sum(c).alias(c) for c in ["n", *sums]]).toArrow()
+    )
     count, total = np.zeros(BUCKETS, np.int64), np.zeros((BUCKETS, DIM))
-    for r in train.mapInPandas(gather, "b long, n long, v array<float>").toLocalIterator():
-        count[r.b] += r.n
-        total[r.b] += r.v
+    at = found["b"].to_numpy()
+    count[at] = found["n"].to_numpy()
+    for k, c in enumerate(sums):
+        total[at, k] = found[c].to_numpy()
     table = vectors(count, total)
 
     def rows(batches):

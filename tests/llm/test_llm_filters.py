@@ -287,3 +287,14 @@ def test_classifier(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {x.score for x in clf.score_quality(docs, none).collect()} == {0.5}
     assert clf.score_quality(docs.where("false"), none).count() == 0
+
+
+def test_word_vectors_of_all_documents(spark, monkeypatch):
+    texts = [f"common word{chr(97 + i % 20)} Other {i} !! word{chr(97 + i % 7)}" for i in range(200)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    seen, vectors = [], clf.vectors
+    monkeypatch.setattr(clf, "vectors", lambda *a: seen.append(a) or vectors(*a))
+    clf.score_quality(docs, labels, sample=10)
+    count, total = clf.contexts(texts)
+    assert count.max() >= 200 and np.array_equal(seen[0][0], count) and np.array_equal(seen[0][1], total)
