@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import id_longs, id_text, small_batches
+from ._shared import id_longs, id_text
 from ._text import flat, mix, slabs, span_hashes, spans
 from .token_store import _Classes
 
@@ -251,7 +251,6 @@ def without_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "
                          item_text_col: str = "text", percent: int = 80, block_bytes: int = 2 << 20) -> DataFrame:
     """The rows of ``docs`` that hold no item, unchanged; one pass for each
     block of items and no shuffle."""
-    small_batches(docs.sparkSession)
     for ids, texts in _blocks(items, item_col, item_text_col, block_bytes):
         docs = docs.mapInArrow(_sieve(ids, texts, percent, text_col), docs.schema)
     return docs
@@ -274,7 +273,6 @@ def contaminations(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     """(doc_id, item_id, distance, n_words, first_char, end_char): one row for
     each document and item it holds; the span of the best stretch."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(id_text(F.col(id_col)).alias("__id"), F.col(text_col).alias("__text"))
     found = None
     for ids, texts in _blocks(items, item_col, item_text_col, block_bytes):

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, id_array, id_longs, id_text, small_batches
+from ._shared import cut, id_array, id_longs, id_text
 from .url_filter import url_host
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][A-Za-z0-9:\-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:\-]*)([^>]*)>", re.S)
@@ -218,7 +218,6 @@ def deduce_templates(pages: DataFrame, *, id_col: str = "page_id", url_col: str
                      least_pages: int = 20, share: float = 0.95) -> DataFrame:
     """(host, container, constant): key of the container element and the keys of
     the constant text nodes."""
-    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("string").alias("__id"), F.coalesce(url_host(F.col(url_col)), F.lit("")).alias("__host"), F.col(html_col).alias("__html"))
     # sums of hashes wrap around: 64-bit vectors are added without overflow checks
     wrap = lambda c: F.expr(f"cast(sum(cast({c} as decimal(38,0))) % 9223372036854775808 as long)")

@@ -203,9 +203,8 @@ def quality_rules(docs, model_file: str, *, text_col: str = "text", bands: dict[
     an input column of the same name."""
     from pyspark.sql import types as T
 
-    from ._shared import small_batches
+    from ._shared import parts
 
-    small_batches(docs.sparkSession)
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     own = docs.select(*[c for c in docs.columns if c not in names or c == text_col])
     schema = T.StructType([*own.schema.fields, *T._parse_datatype_string(SCHEMA).fields])
@@ -216,9 +215,10 @@ def quality_rules(docs, model_file: str, *, text_col: str = "text", bands: dict[
         kind = dict(zip(names, (c.split()[1] for c in SCHEMA.split(", "))))
         arrow = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
         for batch in batches:
-            for at in range(0, batch.num_rows, 300):
-                part = batch.slice(at, 300)
-                found = measure(part.column(part.schema.get_field_index(text_col)).to_pylist(), model_file, bands)
+            held = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            for a, b in parts(held):
+                part = batch.slice(a, b - a)
+                found = measure(held[a:b], model_file, bands)
                 arrays = [pa.array(found[c], arrow[kind[c]]) for c in names]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *names])
 

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import id_longs, id_text, small_batches
+from ._shared import id_longs, id_text
 
 _ASSIGNED = re.compile(
     r"(?:key|token|secret|passw(?:or)?d|pwd|credential|auth)\w{0,20}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"'`;,<>]{6,})", re.IGNORECASE
@@ -295,7 +295,6 @@ def scan_secrets(docs: DataFrame, *, model_file: str | None = None, labelled: li
             out["doc_id"] = pd.array(out["doc_id"].tolist(), dtype="Int64")
             yield out
 
-    small_batches(docs.sparkSession)
     path = F.col(path_col) if path_col else F.lit(None).cast("string")
     rows = docs.select(id_text(F.col(id_col)).alias("__id"), F.col(text_col).alias("__text"), path.alias("__path"))
     return rows.mapInPandas(run, _SCHEMA)

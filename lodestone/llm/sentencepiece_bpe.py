@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 
-from ._shared import id_array
+from ._shared import id_array, parts
 from ._text import IdCache, _Flat, flat, gather, slabs, span_hashes, spans
 
 SPACE = 0x2581
@@ -41,6 +41,8 @@ class PieceBpe:
         self.model_file = model_file
         self.lib = lib = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = lib.get_piece_size()
+        if n > 1 << 20:
+            raise ValueError("pairs of pieces are keyed by 20 bits each")
         plain = {}
         self.bytes = np.zeros(256, np.int64)
         for i in range(n):
@@ -143,7 +145,7 @@ class PieceBpe:
             sym[where] = self.bytes[np.frombuffer(b"".join(raw), np.uint8)]
         counts = np.bincount(word, minlength=len(words))
         out = _Flat(range(len(words)))
-        out.flat, out.counts = sym.astype(np.uint16), counts
+        out.flat, out.counts = sym.astype(np.uint32), counts
         return out
 
     def _pieces(self, sym: np.ndarray, word: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
@@ -200,8 +202,8 @@ def _digests(model_file: str):
         enc = Encoder.of(model_file)
         names = np.array([str(i) for i in range(enc.bpe.lib.get_piece_size())], dtype=object)
         for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at : at + 200]
+            for a, b in parts(pdf["__text"].tolist()):
+                part = pdf.iloc[a:b]
                 ids = enc.encode(part["__text"].tolist())
                 back = enc.decode(ids)
                 yield pd.DataFrame({
@@ -218,19 +220,18 @@ def encode_texts(docs, model_file: str, *, id_col: str = "doc_id", text_col: str
     """(id, ids array<int>, decoded string) of every whole text."""
     from pyspark.sql import functions as F
 
-    from ._shared import id_text, small_batches
+    from ._shared import id_text
 
     def run(batches):
         import pandas as pd
 
         enc = Encoder.of(model_file)
         for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at : at + 200]
+            for a, b in parts(pdf["__text"].tolist()):
+                part = pdf.iloc[a:b]
                 ids = enc.encode(part["__text"].tolist())
                 yield pd.DataFrame({"doc_id": id_array(part["__id"]), "ids": [x.astype(np.int32) for x in ids], "decoded": enc.decode(ids)})
 
-    small_batches(docs.sparkSession)
     rows = docs.select(id_text(F.col(id_col)).alias("__id"), F.col(text_col).alias("__text"))
     return rows.mapInPandas(run, "doc_id long, ids array<int>, decoded string")
 
@@ -240,8 +241,7 @@ def digests(docs, model_file: str, *, id_col: str = "doc_id", text_col: str = "t
     the encoder's ids and the library's decoding of them."""
     from pyspark.sql import functions as F
 
-    from ._shared import id_text, small_batches
+    from ._shared import id_text
 
-    small_batches(docs.sparkSession)
     rows = docs.select(id_text(F.col(id_col)).alias("__id"), F.col(text_col).alias("__text"))
     return rows.mapInPandas(_digests(model_file), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
