@@ -132,7 +132,7 @@ class IdCache:
         self.keys = np.empty(0, np.uint64)
         self.slots = np.empty(0, np.int64)
         self.offsets = np.zeros(1, np.int64)
-        self.ids = np.empty(0, np.uint16)
+        self.ids = np.empty(0, np.uint32)
 
     def rows(self, cp: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Slot of each span's word; ids of slot k are ids[offsets[k]:offsets[k+1]]."""
@@ -151,7 +151,7 @@ class IdCache:
             counts = lists.counts if isinstance(lists, _Flat) else np.fromiter(map(len, lists), np.int64, len(lists))
             slot = len(self.offsets) - 1 + np.arange(len(fresh))
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(counts)])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.uint16, int(counts.sum())) if not isinstance(lists, _Flat) else lists.flat])
+            self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.uint32, int(counts.sum())) if not isinstance(lists, _Flat) else lists.flat])
             keys = np.concatenate([self.keys, uniq[fresh]])
             order = np.argsort(keys, kind="stable")
             self.keys, self.slots = keys[order], np.concatenate([self.slots, slot])[order]

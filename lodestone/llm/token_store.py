@@ -1,8 +1,9 @@
 """Token ids in word-aligned Simple-8b files.
 
-Encoding: texts are cut into the byte-level vocabulary's pre-tokens by array
-operations, each distinct pre-token is encoded once by the ``tokenizers``
-library's model (bounded cache), and ids are gathered per text.
+Encoding: the vocabulary's added tokens are found first, as the library does; what
+lies between them is cut into the byte-level pre-tokens by array operations, each
+distinct pre-token is encoded once by the ``tokenizers`` library's model (bounded
+cache), and ids are gathered per text.
 
 File format: documents lie in ascending id order over files (one file per range
 partition) and chunks (whole documents).  A chunk row holds
@@ -16,18 +17,22 @@ A word is a selector (4 bits) over 60 payload bits: the selector says how many
 ids share the word and how wide each is.  Selector 15 is an escape: one value
 too wide for 60 bits follows as a raw word.  A block starts at a word of its
 own, so blocks decode independently and all words of one selector decode in one
-array operation.
+array operation; ``unpack`` takes any range of blocks by the offsets, a full read
+goes through a chunk by so many blocks at a time, and ``read_document`` decodes
+only the blocks that a document touches.
 
 The rows are Parquet written by Spark: commits are atomic, lost tasks are
 rerun, and any store that Spark writes to will do.
 
-Null text counts as empty (only the end id); rows repeating an id are kept, in
-the order of their texts' hashes; null ids come first; other columns are not
+Null text counts as empty (only the end id); a text of any length is encoded
+whole; rows repeating an id are kept, in the order of their texts' hashes, and may
+lie in several files, null ids likewise, which come first; other columns are not
 read, so their names can't clash; an empty table gives no rows."""
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -127,9 +132,13 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, place[first].astype(np.int32)
 
 
-def unpack(words: np.ndarray, offsets: np.ndarray | None = None) -> np.ndarray:
-    """The values of ``pack``; with ``offsets`` each block stands for itself."""
+def unpack(words: np.ndarray, offsets: np.ndarray | None = None, first: int = 0, last: int | None = None) -> np.ndarray:
+    """The values of ``pack``; with ``offsets`` those of the blocks ``first`` to
+    ``last`` (exclusive) alone."""
     words = np.ascontiguousarray(words, np.uint64)
+    if offsets is not None:
+        ends = np.append(offsets, len(words))
+        words = words[ends[first] : ends[len(offsets) if last is None else min(last, len(offsets))]]
     sel = (words >> np.uint64(60)).astype(np.int64)
     payload = words & _RAW
     raw = np.zeros(len(words), bool)
@@ -151,6 +160,22 @@ def unpack(words: np.ndarray, offsets: np.ndarray | None = None) -> np.ndarray:
     return out
 
 
+def documents(words: np.ndarray, offsets: np.ndarray, ends: np.ndarray, blocks: int = 256):
+    """The ids of each document of a chunk, whose ids end at ``ends``; decodes
+    ``blocks`` blocks at a time."""
+    held, have, at = [], 0, 0  # decoded and not yet taken
+    begin = 0
+    for end in ends.tolist():
+        while begin + have < end:
+            got = unpack(words, offsets, at, at + blocks)
+            held.append(got)
+            have, at = have + len(got), at + blocks
+        flat_ = np.concatenate(held) if held else np.empty(0, np.uint64)
+        yield flat_[: end - begin]
+        held, have = [flat_[end - begin :]], have - (end - begin)
+        begin = end
+
+
 class _Classes:
     table: np.ndarray | None = None
 
@@ -226,8 +251,13 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         self.model = self.lib.model
+        added = self.lib.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        # the library takes the leftmost, of those the longest
+        self.found = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")") if added else None
+        # tokens that take white space or whole words along are left to the library
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
         self.letters = _byte_letters()
         self.cache = IdCache(self.fill)
 
@@ -242,6 +272,26 @@ class ByteEncoder:
         return [[t.id for t in run(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))] for w in words]
 
     def encode(self, texts: list) -> list[np.ndarray]:
+        texts = [t or "" for t in texts]
+        held = [k for k, t in enumerate(texts) if self.found is not None and self.found.search(t)]
+        if not held:
+            return self._encode(texts)
+        split = {k: self.found.split(texts[k]) for k in held}
+        # the stretches between added tokens are texts of their own
+        flat_ = [x for k, t in enumerate(texts) for x in (split[k][::2] if k in split else [t])]
+        ids, out = iter(self._encode(flat_)), []
+        for k in range(len(texts)):
+            own = [next(ids) for _ in range(len(split[k][::2]) if k in split else 1)]
+            if k not in split:
+                out += own
+            elif self.plain:
+                between = [np.array([self.added[x]], np.uint32) for x in split[k][1::2]]
+                out.append(np.concatenate([x for pair in zip(own, between) for x in pair] + own[-1:]))
+            else:
+                out.append(np.array(self.lib.encode(texts[k], add_special_tokens=False).ids, np.uint32))
+        return out
+
+    def _encode(self, texts: list) -> list[np.ndarray]:
         out = []
         for _, part in slabs(texts):
             cp, starts = flat(part)
@@ -262,10 +312,9 @@ def write_tokens(docs, path: str, vocabulary: str, *, end_id: int = 0, id_col: s
     """Encode every whole text, append ``end_id`` and write the chunk rows."""
     from pyspark.sql import functions as F
 
-    from ._shared import id_text, small_batches
+    from ._shared import id_text, parts
 
     spark = docs.sparkSession
-    small_batches(spark)
 
     def run(batches):
         import pandas as pd
@@ -274,9 +323,9 @@ def write_tokens(docs, path: str, vocabulary: str, *, end_id: int = 0, id_col: s
         enc = ByteEncoder.of(vocabulary)
         file, chunk, start = TaskContext.get().partitionId(), 0, 0
         for pdf in batches:
-            for at in range(0, len(pdf), chunk_docs):
-                part = pdf.iloc[at : at + chunk_docs]
-                ids = [np.append(x, np.uint16(end_id)) for x in enc.encode(part["__text"].tolist())]
+            for a, b in parts(pdf["__text"].tolist(), rows=chunk_docs):
+                part = pdf.iloc[a:b]
+                ids = [np.append(x, np.uint32(end_id)) for x in enc.encode(part["__text"].tolist())]
                 counts = np.array([len(x) for x in ids], np.int64)
                 words, offsets = pack(np.concatenate(ids))
                 yield pd.DataFrame({
@@ -287,8 +336,9 @@ def write_tokens(docs, path: str, vocabulary: str, *, end_id: int = 0, id_col: s
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    rows = rows.repartitionByRange(n, "__id").sortWithinPartitions("__id", F.xxhash64("__text")).withColumn("__id", id_text(F.col("__id")))
-    rows.mapInPandas(run, FORMAT).write.parquet(path)
+    # by id and hash: rows without an id would be one range otherwise
+    rows = rows.withColumn("__hash", F.xxhash64("__text")).repartitionByRange(n, "__id", "__hash").sortWithinPartitions("__id", "__hash")
+    rows.select(id_text(F.col("__id")).alias("__id"), "__text").mapInPandas(run, FORMAT).write.parquet(path)
 
 
 def read_tokens(spark, path: str):
@@ -314,12 +364,10 @@ def _read(spark, path: str, column: str, make):
 
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                ids = unpack(np.frombuffer(r.words, "<u8"), r.offsets)
                 ends = np.cumsum(np.asarray(r.counts, np.int64))
-                begins = ends - r.counts
                 yield pd.DataFrame({
-                    "file": r.file, "doc_id": id_array(r.doc_ids), "start": begins + r.start, "n_tokens": r.counts,
-                    name: [make(ids[a:b]) for a, b in zip(begins.tolist(), ends.tolist())],
+                    "file": r.file, "doc_id": id_array(r.doc_ids), "start": ends - r.counts + r.start, "n_tokens": r.counts,
+                    name: [make(x) for x in documents(np.frombuffer(r.words, "<u8"), r.offsets, ends)],
                 })
 
     rows = spark.read.schema(FORMAT).parquet(path)
@@ -329,3 +377,24 @@ def _read(spark, path: str, column: str, make):
     total = last.groupBy("file").agg(F.max("stop").alias("n"))
     before = total.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     return docs.join(before, "file").withColumn("start", F.col("start") + F.col("before")).drop("before")
+
+
+def read_document(spark, path: str, doc_id: int):
+    """(doc_id, ids) of the rows with one id; of each chunk that holds it only the
+    blocks that its ids touch are decoded."""
+    from pyspark.sql import functions as F
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                ends, words = np.cumsum(np.asarray(r.counts, np.int64)), np.frombuffer(r.words, "<u8")
+                for k in np.flatnonzero(np.array(r.doc_ids) == str(doc_id)).tolist():
+                    a, b = int(ends[k] - r.counts[k]), int(ends[k])
+                    first = a // BLOCK
+                    got = unpack(words, r.offsets, first, -(-b // BLOCK))
+                    yield pd.DataFrame({"doc_id": [doc_id], "ids": [got[a - first * BLOCK : b - first * BLOCK].astype(np.int32)]})
+
+    rows = spark.read.schema(FORMAT).parquet(path).where(F.array_contains("doc_ids", F.lit(doc_id).cast("long")))
+    return rows.select(F.col("doc_ids").cast("array<string>").alias("doc_ids"), "counts", "offsets", "words").mapInPandas(run, "doc_id long, ids array<int>")
