@@ -20,13 +20,15 @@ only representatives go on.  No bucket is expanded into pairs:
    group of near copies, mostly one component after step 1, is not quadratic.
 
 Hubs of many members are salted: their text is sent to as many places as there
-are chunks of members.
+are chunks of members.  Chunks and blocks are bounded by members and by shingles,
+so that neither many nor long texts gather in one place.
 
 Defined cases: null text and text without words have an empty set and link with
 nothing; a null id links with nothing, its component is null and it is kept;
 rows that repeat an id each take the component of their own text, and texts whose
-smallest holder is the same id are one node; other columns are not read, so
-their names can't clash; an empty table gives an empty result."""
+smallest holder is the same id are one node; a text of any length is shingled
+whole; other columns are not read, so their names can't clash; an empty table
+gives an empty result."""
 
 from __future__ import annotations
 
@@ -36,12 +38,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, id_array, id_text, small_batches
+from ._shared import cut, discard, id_array, id_text, parts
 from ._text import flat, lower_ascii, mix, slabs, span_hashes, words
 from .components import components, follow
 
 BANDS, ROWS = 45, 6
-CHUNK = 400  # members of a hub that are compared in one place
+CHUNK = 400  # members of a hub that are compared with it in one place
+BLOCK = 128  # members on each side of a block
+SHINGLES = 1 << 18  # shingles of such members, at most as many as one text has beyond
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -101,7 +105,8 @@ class MinMax:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc, n_shingles, k1, k2, bands): k1, k2 identify the set."""
+    """(doc, row, n_shingles, k1, k2, bands): row is a hash of the text, k1, k2
+    identify the set."""
 
     def run(batches):
         import pandas as pd
@@ -109,17 +114,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
         hasher = MinMax(bands, rows)
         s1, s2 = _constants(2, 505)
         for pdf in batches:
-            n, k1, k2, keys = [], [], [], []
-            for x in shingle_sets(pdf["__text"].tolist(), shingle):
-                n.append(len(x))
-                k1.append(mix(x ^ s1).sum().view(np.int64))
-                k2.append(mix(x ^ s2).sum().view(np.int64))
-                keys.append(hasher.band_keys(x) if len(x) else np.empty(0, np.int64))
-            yield pd.DataFrame({"doc": id_array(pdf["__id"]), "n_shingles": n, "k1": np.array(k1, np.int64), "k2": np.array(k2, np.int64), "bands": keys})
-
-    small_batches(docs.sparkSession)
-    rows_ = docs.select(id_text(F.col(id_col)).alias("__id"), F.col(text_col).alias("__text"))
-    return rows_.mapInPandas(run, "doc long, n_shingles long, k1 long, k2 long, bands array<long>")
+            held = pdf["__text"].tolist()
+            for a, b in parts(held):
+                n, k1, k2, keys = [], [], [], []
+                for x in shingle_sets(held[a:b], shingle):
+                    n.append(len(x))
+                    k1.append(mix(x ^ s1).sum().view(np.int64))
+                    k2.append(mix(x ^ s2).sum().view(np.int64))
+                    keys.append(hasher.band_keys(x) if len(x) else np.empty(0, np.int64))
+                yield pd.DataFrame({
+                    "doc": id_array(pdf["__id"].iloc[a:b]), "row": pdf["__row"].iloc[a:b].to_numpy(), "n_shingles": n,
+                    "k1": np.array(k1, np.int64), "k2": np.array(k2, np.int64), "bands": keys,
+                })
+
+    rows_ = docs.select(id_text(F.col(id_col)).alias("__id"), F.xxhash64(F.col(text_col)).alias("__row"), F.col(text_col).alias("__text"))
+    return rows_.mapInPandas(run, "doc long, row long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 def _groups(batches, keys: list[str]):
@@ -179,8 +188,8 @@ def _star(shingle: int, percent: int):
                     union = len(x) + len(y) - both
                     best = best or bool(len(x) and _linked(both, len(x), len(y), percent))
                     far = min(far, 1 - both / union if union else 1.0)
-                out.append((key, node, best, far))
-            yield pd.DataFrame(out, columns=["hub", "node", "linked", "far"])
+                out.append((key, node, best, far, len(x)))
+            yield pd.DataFrame(out, columns=["hub", "node", "linked", "far", "size"])
 
     return run
 
@@ -224,16 +233,25 @@ def _blocks(shingle: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
-                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+def _chunks(rows, most: int, shingles):
+    """Into how many chunks so many rows with so many shingles are dealt."""
+    return F.ceil(F.greatest(rows / F.lit(most), shingles / F.lit(SHINGLES), F.lit(1.0))).cast("int")
+
+
+def _dealt(n):
+    return F.pmod(F.xxhash64("node"), n).cast("int")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """(doc, row, n_shingles, component) of every row; row is a hash of its text."""
     sig = cut(signatures(docs, id_col, text_col, shingle, bands, rows), "signatures")
     full = sig.where("doc IS NOT NULL AND n_shingles > 0")
     classes = cut(full.groupBy("k1", "k2").agg(F.min("doc").alias("rep")), "classes")
     reps = full.join(classes.withColumnRenamed("rep", "doc"), ["k1", "k2", "doc"], "left_semi")
-    keyed = reps.select("doc", F.explode("bands").alias("key"))
+    keyed = reps.select("doc", "n_shingles", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    pairs = cut(keyed.join(hubs, "key").where("doc <> hub").select("hub", F.col("doc").alias("node")).distinct(), "star-pairs")
+    pairs = keyed.join(hubs, "key").where("doc <> hub").groupBy("hub", F.col("doc").alias("node")).agg(F.max("n_shingles").alias("size"))
+    pairs = cut(pairs, "star-pairs")
 
     # texts of candidates only
     need = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
@@ -242,36 +260,59 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = cut(texts.where("text IS NOT NULL").join(need.hint("merge"), "node", "left_semi").distinct(), "candidate-texts")
 
     # 1. members against their hub, hot hubs salted
-    spread = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("salts"))
+    spread = pairs.groupBy("hub").agg(_chunks(F.count("*"), CHUNK, F.sum("size")).alias("salts"))
     head = spread.hint("merge").join(texts.withColumnRenamed("node", "hub"), "hub").select(
         "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("hub").alias("node"), "text"
     )
-    member = pairs.join(spread, "hub").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).hint("merge").join(texts, "node")
+    member = pairs.join(spread, "hub").withColumn("salt", _dealt(F.col("salts"))).hint("merge").join(texts, "node")
     member = member.select("hub", "salt", F.lit(1).alias("kind"), "node", "text")
     laid = head.union(member).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind", "node")
-    star = laid.mapInPandas(_star(shingle, percent), "hub long, node long, linked boolean, far double")
-    star = cut(star.groupBy("hub", "node").agg(F.max("linked").alias("linked"), F.min("far").alias("far")), "star")
-    labels = cut(components(star.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))), "star-labels")
+    star = laid.mapInPandas(_star(shingle, percent), "hub long, node long, linked boolean, far double, size long")
+    star = cut(star.groupBy("hub", "node").agg(F.max("linked").alias("linked"), F.min("far").alias("far"), F.max("size").alias("size")), "star")
+    labels = components(star.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
 
     # 2. members outside their hub's component, within the hub's ball
     lab = labels.withColumnRenamed("label", "comp")
     ball = star.join(lab, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ball = ball.join(labels.toDF("hub", "hub_comp"), "hub", "left").withColumn("stray", F.col("comp") != F.coalesce("hub_comp", "hub"))
     # a lone stray that can reach nobody needs no comparison
-    many = ball.groupBy("hub").agg(F.sum(F.col("stray").cast("int")).alias("strays"), F.count("*").alias("n")).where("strays > 0 AND n > 1")
-    many = many.select("hub", F.ceil(F.col("strays") / F.lit(CHUNK)).cast("int").alias("ni"), F.ceil(F.col("n") / F.lit(CHUNK)).cast("int").alias("nj"))
+    stray = F.col("stray").cast("int")
+    many = ball.groupBy("hub").agg(F.sum(stray).alias("strays"), F.sum(stray * F.col("size")).alias("own"), F.count("*").alias("n"), F.sum("size").alias("all"))
+    many = many.where("strays > 0 AND n > 1").select(
+        "hub", _chunks(F.col("strays"), BLOCK, F.col("own")).alias("ni"), _chunks(F.col("n"), BLOCK, F.col("all")).alias("nj")
+    )
     ball = cut(ball.select("hub", "node", "comp", "far", "stray").join(many, "hub"), "balls")
-    cell = ball.withColumn("i", F.pmod(F.xxhash64("node"), F.col("ni")).cast("int")).withColumn("j", F.pmod(F.xxhash64("node"), F.col("nj")).cast("int"))
+    cell = ball.withColumn("i", _dealt(F.col("ni"))).withColumn("j", _dealt(F.col("nj")))
     left = cell.where("stray").select("hub", "i", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "stray", "node", "comp", "far")
     right = cell.select("hub", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), "j", F.lit(False).alias("stray"), "node", "comp", "far")
     laid = left.union(right).join(texts, "node").select("hub", "i", "j", "stray", "node", "comp", "far", "text")
     laid = laid.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     more = laid.mapInPandas(_blocks(shingle, percent), "a long, b long")
     upper = components(more)
-    labels = follow(labels.unionByName(need.join(labels, "node", "left_anti").withColumn("label", F.col("node"))), upper)
+    ends = follow(labels.unionByName(need.join(labels, "node", "left_anti").withColumn("label", F.col("node"))), upper)
+    ends = cut(ends, "near-labels")
+    discard(pairs, texts, star, labels, ball, upper)
 
-    found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
+    found = classes.join(ends.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component"))
     # rows without a set go past the join, where they would be one key
-    alone = sig.where("doc IS NULL OR n_shingles = 0").select("doc", "n_shingles", F.col("doc").alias("component_id"))
-    out = full.join(found, ["k1", "k2"]).select("doc", "n_shingles", "component_id").unionByName(alone)
-    return out.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))
+    alone = sig.where("doc IS NULL OR n_shingles = 0").select("doc", "row", "n_shingles", F.col("doc").alias("component"))
+    return full.join(found, ["k1", "k2"]).select("doc", "row", "n_shingles", "component").unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
+                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    out = _labelled(docs, id_col, text_col, shingle, percent, bands, rows)
+    kept = F.coalesce(F.col("doc") == F.col("component"), F.lit(True))
+    return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
+                            bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The kept rows of ``docs``, unchanged.  Each row is judged by its own text: of
+    two rows with one id the one may stay and the other go."""
+    out = _labelled(docs, id_col, text_col, shingle, percent, bands, rows)
+    gone = out.where("doc <> component").select(F.col("doc").alias("__doc"), F.col("row").alias("__row")).distinct()
+    # their number grows with the input: never broadcast
+    same = (F.col(id_col).cast("long") == F.col("__doc")) & (F.xxhash64(F.col(text_col)) == F.col("__row"))
+    return docs.join(gone.hint("merge"), same, "left_anti")
