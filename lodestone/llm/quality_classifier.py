@@ -20,7 +20,8 @@ Held out are rows whose crc32 of the id as text is 0 modulo 5.  Scores take the
 text only.  Null and empty texts have a zero vector and still get a score.  A
 null id is not held out and never trained on.  Without labels of both kinds
 every score is the share of label 1, or 0.5.  A document with several labels
-counts as 1 if any is.  Rows that repeat an id each get their score.  Other
+counts as 1 if any is.  Rows that repeat an id each get their score; the sample
+takes one of them.  A text of any length is read whole.  Other
 columns are not read, so their names can't clash.  An empty table gives no
 rows."""
 
@@ -32,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import id_array, id_text, small_batches
+from ._shared import cut, discard, id_array, id_text, parts
 from ._text import flat, mix, slabs, span_hashes, spans
 from .decontaminate import _Lower
 from .token_store import _Classes
@@ -174,13 +175,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
                   threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
     spark = docs.sparkSession
-    small_batches(spark)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
     bucket = F.crc32(F.col("__id").cast("string").cast("binary")) % 5
     # at most ``sample`` rows: bounded, so both the join side and what is collected are
     known = known.where(bucket != 0).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    train = texts.join(F.broadcast(known), "__id").repartition(8, "__id")
+    # written once: one scan of the documents, one row an id, so at most ``sample`` rows
+    train = texts.join(F.broadcast(known), "__id").groupBy("__id", "__y").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+    train = cut(train, "labelled-sample")
 
     # every text counts here, labelled or not: sums of whole numbers by bucket
     sums = [f"v{k}" for k in range(DIM)]
@@ -190,8 +192,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
         count, total = np.zeros(BUCKETS, np.int64), np.zeros((BUCKETS, DIM))
         for pdf in batches:
-            c, t = contexts(pdf["__text"].tolist())
-            count, total = count + c, total + t
+            held = pdf["__text"].tolist()
+            for a, b in parts(held):
+                c, t = contexts(held[a:b])
+                count, total = count + c, total + t
         at = np.flatnonzero(count)
         yield pd.DataFrame(np.column_stack([at, count[at], total[at].astype(np.int64)]), columns=["b", "n", *sums])
 
@@ -215,6 +219,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     got = sorted(train.mapInPandas(rows, "id long, y int, x array<double>").collect(), key=lambda r: (r.id, r.x))
     x, y = np.array([r.x for r in got]).reshape(-1, DIM + 3), np.array([r.y for r in got], float)
+    discard(train)
     aside = mix(np.array([r.id for r in got], np.int64).view(np.uint64)) % np.uint64(5) == 0
     net = fit(x, y, aside)
 
