@@ -1,27 +1,40 @@
-"""Benchmark decontamination.
+"""Benchmark decontamination by CGK embeddings and bit-sampling LSH.
 
 Words are runs of letters and digits, lower-cased.  A document holds an item if
 some stretch of its words is within ``floor((100 - percent) / 100 * n)`` word
 edits (insertions, deletions, substitutions) of the item's n words.
 
-Every word position of every whole text is a possible window start.  Windows are
-found without loss: k edits leave one of k + 1 pieces of the item untouched, so
-a window is laid out wherever a piece occurs, at the piece's offset.  Windows
-and items then go through the CGK embedding: a random walk over the words that
-copies the current word and moves on or stays as a random function of step and
-word decides; few edits become few differing places.  Repeated bit sampling
-compares ``picks`` random places a time, ``walks * samples`` times; a window that
-agrees with its item in none is dropped.  Of windows at the largest allowed
-distance more than 999 in 1000 stay (tested), closer ones more.  What stays is
-verified by the exact edit distance to the best stretch around the window.
-
-Items are taken to the executors in blocks of at most ``block_bytes`` of text;
-each block runs over all documents.
+1. Items of equal words are one *class*.  Classes fall into sizes: every length
+   up to ``EXACT`` words by itself, longer ones in steps of a tenth.  A size's
+   windows are as long as its shortest item; a longer item is embedded by its
+   first words.
+2. The CGK embedding walks over a window: at each step it copies the current word
+   and a random function of step and word decides whether to move on, so few
+   edits leave the walks of two windows at the same words for most steps.
+   ``WALKS`` walks are taken, and of each ``SAMPLES`` random samples of ``PICKS``
+   steps; the words at a sample's steps are hashed into a key.
+3. Every position of every whole text starts a window of every size.  Keys of
+   windows and items are joined, and only items that share a key with a window
+   are compared with it.  Two filters, both without loss, keep windows and keys
+   that can meet no item out of the shuffle: a window within k edits of w words
+   has at least w - 1 - 2k of the benchmark's word pairs, and a key that no item
+   has is not in the benchmark's key bitmap.  Both bitmaps are of fixed size; the
+   larger the benchmark, the more they let through, and nothing else changes.
+4. Windows of one text that lie close are one *region*; the exact edit distance of
+   the item to the best stretch of the region decides.
+
+Items are never collected; only the two bitmaps and the sizes go to the driver.
+Keys of windows are spread over ``salts`` where the items are too large to be
+broadcast, so that a passage in a third of all documents is no single task.
+
+Recall: a stretch at the largest allowed distance shares no key with probability
+under 1 in 100 (tested, figures in the README); closer ones less, equal ones never.
 
 Defined cases: null or empty texts hold nothing; an item without words is found
-nowhere; items of equal text are all reported; a null document id is reported as
-null; an empty table on either side gives no rows.  Rows that repeat an id are
-reported once for each.  Other columns are not read, so their names can't
+nowhere; items of equal text are all reported; an item or a document with a null
+id takes part and is reported as null; a text of any length is searched to its
+end; an empty table on either side gives no rows.  Rows that repeat an id are
+reported once for each text.  Other columns are not read, so their names can't
 clash."""
 
 from __future__ import annotations
@@ -30,13 +43,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import id_longs, id_text
+from ._shared import cut, discard, id_longs, parts
 from ._text import flat, mix, slabs, span_hashes, spans
 from .token_store import _Classes
 
-WALKS, SAMPLES, PICKS = 6, 96, 3
-WINDOWS = 4096  # windows that are compared at a time
-_BITMAP = 1 << 22
+WALKS, SAMPLES, PICKS = 5, 32, 3
+EXACT = 16  # lengths beyond share a size with those up to a tenth longer
+PAIR_BITS, KEY_BITS = 1 << 22, 1 << 25  # of the bitmaps
+STEPS = 1 << 22  # walk steps or table cells that are held at a time
+_ALL = (1 << 64) - 1
 
 
 class _Lower:
@@ -46,11 +61,10 @@ class _Lower:
     def get(cls) -> np.ndarray:
         if cls.table is None:
             t = np.arange(0x110000, dtype=np.uint32)
-            for c in range(0x110000):
-                if not 0xD800 <= c < 0xE000:
-                    low = chr(c).lower()
-                    if len(low) == 1:
-                        t[c] = ord(low)
+            # dotted capital I becomes two characters, so it stays; sigma depends on its place
+            c = np.concatenate([t[:0x130], t[0x131:0x3A3], t[0x3A4:0xD800], t[0xE000:]])
+            t[c] = np.frombuffer(c.tobytes().decode("utf-32-le").lower().encode("utf-32-le"), np.uint32)
+            t[0x3A3] = 0x3C3
             cls.table = t
         return cls.table
 
@@ -67,238 +81,322 @@ def word_hashes(texts: list[str]):
     return span_hashes(_Lower.get()[cp], s, e), s, e, np.searchsorted(s, starts), starts
 
 
-def _seeds(h: np.ndarray, q: int) -> np.ndarray:
-    m = len(h) - q + 1
-    total = np.full(max(m, 0), q, np.uint64)
-    for j in range(q):
-        total += h[j : j + m] * np.uint64(pow(0x9E3779B97F4A7C15, 2 * j + 1, 1 << 64))
-    return mix(total)
-
-
-class Items:
-    """A block of benchmark items: pieces by length, and walks of each item."""
-
-    def __init__(self, ids: list, texts: list, percent: int = 80, seed: int = 1):
-        self.ids, self.percent, self.seed = list(ids), percent, seed
-        h, _, _, first, _ = word_hashes([t or "" for t in texts]) if len(texts) else (np.empty(0, np.uint64), 0, 0, np.zeros(1, int), 0)
-        self.words = [h[a:b] for a, b in zip(first[:-1], first[1:])]
-        pieces: dict[int, list] = {}
-        for i, w in enumerate(self.words):
-            if len(w):
-                k = self.allowed(len(w))
-                q = len(w) // (k + 1)
-                for p in range(k + 1):
-                    pieces.setdefault(q, []).append((int(_seeds(w[p * q : p * q + q], q)[0]), i, p * q))
-        self.pieces = {}
-        for q, found in pieces.items():
-            key = np.array([x[0] for x in found], np.uint64)
-            order = np.argsort(key, kind="stable")
-            bitmap = np.zeros(_BITMAP, bool)
-            bitmap[(key % np.uint64(_BITMAP)).astype(np.int64)] = True
-            self.pieces[q] = key[order], np.array([x[1] for x in found])[order], np.array([x[2] for x in found])[order], bitmap
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-
-    def allowed(self, n: int) -> int:
-        return n * (100 - self.percent) // 100
-
-    def windows(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, first word) of every window that holds a piece in place."""
-        found = []
-        for q, (keys, item, offset, bitmap) in self.pieces.items():
-            if len(h) < q:
-                continue
-            seed = _seeds(h, q)
-            at = np.flatnonzero(bitmap[(seed & np.uint64(_BITMAP - 1)).astype(np.int64)])
-            lo, hi = np.searchsorted(keys, seed[at], "left"), np.searchsorted(keys, seed[at], "right")
-            n = hi - lo
-            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-            k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            p = np.repeat(at, n)
-            text = np.searchsorted(first, p, "right") - 1
-            whole = p + q <= first[text + 1]  # a piece lies in one text
-            found.append(np.stack([text, item[k], p - offset[k]], 1)[whole])
-        if not found:
-            return tuple(np.empty((3, 0), np.int64))
-        w = np.unique(np.concatenate(found), axis=0)
-        return w[:, 0], w[:, 1], w[:, 2]
-
-    def walk(self, rows: np.ndarray, steps: int) -> np.ndarray:
-        """CGK embeddings of word rows padded with 0: (walk, row, step)."""
+def allowed(n, percent: int):
+    """Word edits that a stretch may differ by from an item of n words."""
+    return n * (100 - percent) // 100
+
+
+def size_of(n: int) -> int:
+    """The window size of items of n words."""
+    w = EXACT
+    while n >= (up := w + max(1, w // 10)):
+        w = up
+    return n if n <= EXACT else w
+
+
+def longest_of(w: int) -> int:
+    """The most words that an item of window size w has."""
+    n = w
+    while size_of(n + 1) == w:
+        n += 1
+    return n
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    """A hash of each word and the next one."""
+    return mix(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:])
+
+
+def _of_size(pairs: np.ndarray, w: int) -> np.ndarray:
+    """The pairs' hashes as those of items of window size w."""
+    return mix(pairs + np.uint64(w * 0xA0761D6478BD642F & _ALL))
+
+
+def _crowded(at: np.ndarray, width: int, least: int, n: int) -> np.ndarray:
+    """The starts below n of all stretches of ``width`` places that hold at least
+    ``least`` of the places ``at``."""
+    if len(at) < least:
+        return at[:0]
+    first, last = at[: len(at) - least + 1], at[least - 1 :]
+    close = last - first < width
+    step = np.zeros(n + 1, np.int32)
+    np.add.at(step, np.maximum(last[close] - width + 1, 0), 1)
+    np.add.at(step, first[close] + 1, -1)
+    return np.flatnonzero(np.cumsum(step[:-1]))
+
+
+class Sampler:
+    """Keys of windows of ``w`` words."""
+
+    def __init__(self, w: int, seed: int = 1, walks: int = WALKS, samples: int = SAMPLES, picks: int = PICKS):
+        self.w, self.most, self.steps, self.walks = w, longest_of(w), 2 * w, walks
+        self.salt = _constants(walks, seed)
+        rng = np.random.default_rng([seed, w])
+        picks = min(picks, w)
+        self.places = np.sort(np.stack([[rng.choice(self.steps, picks, replace=False) for _ in range(samples)] for _ in range(walks)]), axis=2)
+        self.factor = _constants(picks, 606) | np.uint64(1)
+        self.offset = _constants(walks * samples, 707 + w).reshape(walks, samples)
+
+    def walk(self, rows: np.ndarray, salt: np.uint64) -> np.ndarray:
+        """(step, row): the words that one walk copies; 0 after a window's end."""
         n, width = rows.shape
-        padded = np.concatenate([rows, np.zeros((n, steps + 1), np.uint64)], 1).ravel()
-        base = np.tile(np.arange(n) * (width + steps + 1), WALKS)
-        salt = np.repeat(_constants(WALKS, self.seed), n)
-        out = np.empty((steps, WALKS * n), np.uint64)
-        i = np.zeros(WALKS * n, np.int64)
-        for j in range(steps):
+        padded = np.concatenate([rows, np.zeros((n, self.steps + 1), np.uint64)], 1).ravel()
+        base = np.arange(n) * (width + self.steps + 1)
+        out = np.empty((self.steps, n), np.uint64)
+        i = np.zeros(n, np.int64)
+        for j in range(self.steps):
             out[j] = x = padded[base + i]
-            coin = (x ^ salt) * np.uint64((2 * j + 3) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            coin = (x ^ salt) * np.uint64((2 * j + 3) * 0x9E3779B97F4A7C15 & _ALL)
             i += (coin >> np.uint64(63)).astype(np.int64)
-        return out.reshape(steps, WALKS, n).transpose(1, 2, 0)
-
-    def similar(self, rows: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Whether the sampled places of any walk agree; rows hold windows of
-        their item's size, padded with 0."""
-        size = self.sizes[item]
-        width = int(size.max())
-        mine, back = np.unique(item, return_inverse=True)
-        own = np.zeros((len(mine), width), np.uint64)
-        for k, i in enumerate(mine.tolist()):
-            own[k, : self.sizes[i]] = self.words[i]
-        there = self.walk(own, 2 * width)[:, back]
-        # where both walks have ended counts for nothing
-        equal = (self.walk(rows[:, :width], 2 * width) == there) & (there > 0)
-        picks = np.random.default_rng(self.seed).random((SAMPLES, PICKS))
-        out = np.zeros(len(rows), bool)
-        every = np.arange(len(rows))
-        for pick in picks:
-            place = (pick[:, None] * 2 * size).astype(np.int64)
-            for r in range(WALKS):
-                hit = equal[r][every, place[0]]
-                for at in place[1:]:
-                    hit &= equal[r][every, at]
-                out |= hit
         return out
 
-    def distance(self, rows: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least edits between each item and any stretch of its row, and the
-        stretch's end.  Rows are padded with 0, which equals no word."""
-        w = np.array([self.words[i] for i in item])
-        m = rows.shape[1]
-        place = np.arange(m + 1, dtype=np.int32)
-        d = np.zeros((len(rows), m + 1), np.int32)
-        for i in range(w.shape[1]):
-            new = np.empty_like(d)
-            new[:, 0] = i + 1
-            new[:, 1:] = np.minimum(d[:, :-1] + (rows != w[:, i : i + 1]), d[:, 1:] + 1)
-            d = np.minimum.accumulate(new - place, axis=1) + place
-        return d.min(1), d.argmin(1)
-
-    def find(self, texts: list) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, distance, first character, end character): the best
-        stretch for each text and item."""
-        best: dict[tuple[int, int], tuple] = {}
-        slack = self.allowed(int(self.sizes.max(initial=0)))
-        width = int(self.sizes.max(initial=0)) + 2 * slack
-        held, waiting = [], 0
-
-        def settle():
-            if not held:
-                return
-            wide, item, where = (np.concatenate([x[j] for x in held]) for j in (0, 1, 2))
-            size, k = self.sizes[item], self.sizes[item] * (100 - self.percent) // 100
-            place = np.arange(width)[None, :]
-            inner = np.where(place < size[:, None], np.take_along_axis(wide, np.minimum(place + k[:, None], width - 1), 1), np.uint64(0))
-            keep = np.flatnonzero(self.similar(inner, item))
-            for n in np.unique(size[keep]).tolist():
-                mine, most = keep[size[keep] == n], self.allowed(n)
-                d, end = self.distance(wide[mine, : n + 2 * most], item[mine])
-                for x in np.flatnonzero(d <= most).tolist():
-                    row = mine[x]
-                    text, base, first, stop, number = where[row].tolist()
-                    s, e, starts = spots[number]
-                    # the stretch's start: the best end of the mirrored problem
-                    back = self._mirror(wide[row, : end[x]][::-1], self.words[item[row]][::-1])
-                    b = min(max(base + int(end[x]), first + 1), stop)
-                    f = min(max(base + int(end[x]) - back, first), b - 1)
-                    home = starts[text - firsts[number]]
-                    got = (int(d[x]), int(s[f] - home), int(e[b - 1] - home))
-                    key = (text, int(item[row]))
-                    best[key] = min(best.get(key, got), got)
-
-        spots, firsts = [], []
-        for base, part in slabs(texts):
-            h, s, e, first, starts = word_hashes(part)
-            text, item, start = self.windows(h, first)
-            spots.append((s, e, starts) if len(text) else None)
-            firsts.append(base)
-            for at in range(0, len(text), WINDOWS):
-                t, it = text[at : at + WINDOWS], item[at : at + WINDOWS]
-                a = start[at : at + WINDOWS] - self.sizes[it] * (100 - self.percent) // 100
-                place = a[:, None] + np.arange(width)[None, :]
-                ok = (place >= first[t][:, None]) & (place < first[t + 1][:, None])
-                wide = np.where(ok, h[np.clip(place, 0, len(h) - 1)], np.uint64(0))
-                held.append((wide, it, np.stack([t + base, a, first[t], first[t + 1], np.full(len(t), len(spots) - 1)], 1)))
-                waiting += len(t)
-                if waiting >= WINDOWS:
-                    settle()
-                    held, waiting = [], 0
-        settle()
-        return [(t, i, *v) for (t, i), v in sorted(best.items())]
-
-    @staticmethod
-    def _mirror(row: np.ndarray, w: np.ndarray) -> int:
-        d = np.arange(len(row) + 1)
-        for i, x in enumerate(w):
-            new = np.empty_like(d)
-            new[0] = i + 1
-            new[1:] = np.minimum(d[:-1] + (row != x), d[1:] + 1)
-            d = np.minimum.accumulate(new - np.arange(len(d))) + np.arange(len(d))
-        return int(d.argmin())
-
-
-def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int):
-    """(ids, texts) of the items, at most about ``block_bytes`` at a time."""
-    items = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item").collect()
-        yield [r.item for r in block], [r.text for r in block]
-
-
-def without_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id",
-                         item_text_col: str = "text", percent: int = 80, block_bytes: int = 2 << 20) -> DataFrame:
-    """The rows of ``docs`` that hold no item, unchanged; one pass for each
-    block of items and no shuffle."""
-    for ids, texts in _blocks(items, item_col, item_text_col, block_bytes):
-        docs = docs.mapInArrow(_sieve(ids, texts, percent, text_col), docs.schema)
-    return docs
-
-
-def _sieve(ids: list, texts: list, percent: int, text_col: str):
-    def run(batches):
-        import pyarrow as pa
+    def keys(self, rows: np.ndarray) -> np.ndarray:
+        """(row, walks * samples): the keys; 0 where a sample is past the end."""
+        out = np.empty((len(rows), self.offset.size), np.uint64)
+        some = max(1, STEPS // (4 * self.w))
+        for at in range(0, len(rows), some):
+            part, got = rows[at : at + some], []
+            for r in range(self.walks):
+                words = self.walk(part, self.salt[r])[self.places[r]]  # sample, pick, row
+                key = mix((words * self.factor[None, :, None]).sum(1, dtype=np.uint64) + self.offset[r][:, None])
+                got.append(np.where((words > 0).all(1), key, np.uint64(0)))
+            out[at : at + some] = np.concatenate(got).T
+        return out
 
-        items = Items(ids, texts, percent)
-        for batch in batches:
-            held = {t for t, *_ in items.find(batch.column(batch.schema.get_field_index(text_col)).to_pylist())}
-            yield batch.filter(pa.array([k not in held for k in range(batch.num_rows)], pa.bool_()))
 
-    return run
+def _bit(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h & np.uint64(bits - 1)).astype(np.int64)
 
 
-def contaminations(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                   item_text_col: str = "text", percent: int = 80, block_bytes: int = 2 << 20) -> DataFrame:
-    """(doc_id, item_id, distance, n_words, first_char, end_char): one row for
-    each document and item it holds; the span of the best stretch."""
-    spark = docs.sparkSession
-    rows = docs.select(id_text(F.col(id_col)).alias("__id"), F.col(text_col).alias("__text"))
-    found = None
-    for ids, texts in _blocks(items, item_col, item_text_col, block_bytes):
-        part = rows.mapInPandas(_search(ids, texts, percent), _SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    return found
+class Search:
+    """Windows of texts that may hold an item, by the benchmark's bitmaps."""
 
+    def __init__(self, sizes: list[int], pair_map: bytes, key_map: bytes, percent: int):
+        self.samplers = [Sampler(w) for w in sorted(sizes)]
+        self.percent = percent
+        self.pair_map = np.unpackbits(np.frombuffer(pair_map, np.uint8), bitorder="little").view(bool)
+        self.key_map = np.frombuffer(key_map, np.uint8)
 
-_SCHEMA = "doc_id long, item_id long, distance long, n_words long, first_char long, end_char long"
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        # two bits a key
+        out = keys > 0
+        for x in (keys, keys >> np.uint64(32)):
+            some = np.nonzero(out)
+            at = _bit(x[some], KEY_BITS)
+            out[some] = self.key_map[at >> 3] >> (at & 7).astype(np.uint8) & 1
+        return out
 
+    def regions(self, texts: list):
+        """(text, size, keys, words, first and end characters of the words) of each
+        region whose windows have a key that some item has."""
+        for base, part in slabs(texts):
+            h, s, e, first, starts = word_hashes(part)
+            if not len(h):
+                continue
+            text = np.repeat(np.arange(len(part)), np.diff(first))
+            stop = first[text + 1]
+            pairs = _pairs(h)
+            some = np.flatnonzero(self.pair_map[_bit(pairs, PAIR_BITS)])
+            for sampler in self.samplers:
+                w, n, k = sampler.w, sampler.most, allowed(sampler.most, self.percent)
+                if w == 1:
+                    at = np.flatnonzero(self.pair_map[_bit(mix(h), PAIR_BITS)])
+                else:
+                    # pairs across texts may count: that lets through more, never less
+                    own = some[self.pair_map[_bit(_of_size(pairs[some], w), PAIR_BITS)]]
+                    at = _crowded(own, w - 1, w - 1 - 2 * k, len(h))
+                found = []
+                for lo in range(0, len(at), max(1, STEPS // (8 * w))):
+                    p = at[lo : lo + max(1, STEPS // (8 * w))]
+                    place = p[:, None] + np.arange(w)[None, :]
+                    rows = np.where(place < stop[p][:, None], h[np.minimum(place, len(h) - 1)], np.uint64(0))
+                    keys = sampler.keys(rows)
+                    row, col = np.nonzero(self._known(keys))
+                    found.append((p[row], keys[row, col]))
+                if not found:
+                    continue
+                where, keys = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+                if not len(where):
+                    continue
+                # windows of one text that overlap are one region
+                new = np.flatnonzero((np.diff(where, prepend=-1 << 40) > w) | (np.diff(text[where], prepend=-1) != 0))
+                for a, b in zip(new.tolist(), [*new[1:].tolist(), len(where)]):
+                    t = int(text[where[a]])
+                    left, right = max(int(where[a]) - 2 * k - 1, int(first[t])), min(int(where[b - 1]) + n + 2 * k + 1, int(first[t + 1]))
+                    home = int(starts[t])
+                    yield base + t, w, np.unique(keys[a:b]), h[left:right], s[left:right] - home, e[left:right] - home
+
+
+def distances(rows: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits between an item and any stretch of each row, and the stretch's
+    first end.  Rows are padded with 0, which equals no word."""
+    m = rows.shape[1]
+    place = np.arange(m + 1, dtype=np.int32)
+    d = np.zeros((len(rows), m + 1), np.int32)
+    for i, x in enumerate(item):
+        new = np.empty_like(d)
+        new[:, 0] = i + 1
+        new[:, 1:] = np.minimum(d[:, :-1] + (rows != x), d[:, 1:] + 1)
+        d = np.minimum.accumulate(new - place, axis=1) + place
+    return d.min(1), d.argmin(1)
+
+
+def _back(row: np.ndarray, item: np.ndarray) -> int:
+    """Words of the best stretch that ends with ``row``."""
+    d = np.arange(len(row) + 1)
+    for i, x in enumerate(item[::-1]):
+        new = np.empty_like(d)
+        new[0] = i + 1
+        new[1:] = np.minimum(d[:-1] + (row[::-1] != x), d[1:] + 1)
+        d = np.minimum.accumulate(new - np.arange(len(d))) + np.arange(len(d))
+    return int(d.argmin())
+
+
+def verify(item: np.ndarray, regions: list[np.ndarray], percent: int):
+    """(region, distance, first word, end word) of the regions that hold the item,
+    so many at a time that their tables stay small."""
+    most = allowed(len(item), percent)
+    order = sorted(range(len(regions)), key=lambda k: len(regions[k]))
+    at = 0
+    while at < len(order):
+        width, n = len(regions[order[at]]), 0
+        while at + n < len(order) and (n == 0 or (n + 1) * len(regions[order[at + n]]) <= STEPS):
+            width, n = len(regions[order[at + n]]), n + 1
+        mine = order[at : at + n]
+        rows = np.zeros((n, width), np.uint64)
+        for r, k in enumerate(mine):
+            rows[r, : len(regions[k])] = regions[k]
+        d, end = distances(rows, item)
+        for r in np.flatnonzero(d <= most).tolist():
+            stop = min(max(int(end[r]), 1), len(regions[mine[r]]))
+            first = min(stop - 1, max(0, int(end[r]) - _back(regions[mine[r]][: int(end[r])], item)))
+            yield mine[r], int(d[r]), first, stop
+        at += n
+
+
+_CLASS = "class long, n int, w int, words array<long>, keys array<long>, pairs array<long>"
+
+
+def _classes(items: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(class, n, w, words, keys, pairs) of each distinct word sequence, and (class,
+    item) of all items."""
 
-def _search(ids: list, texts: list, percent: int):
     def run(batches):
         import pandas as pd
 
-        items = Items(ids, texts, percent)
+        samplers: dict[int, Sampler] = {}
         for pdf in batches:
-            doc = id_longs(pdf["__id"])
-            hits = items.find(pdf["__text"].tolist())
-            yield pd.DataFrame({
-                "doc_id": pd.array([doc[t] for t, *_ in hits], dtype="Int64"),
-                "item_id": np.array([ids[i] for _, i, *_ in hits], np.int64),
-                "distance": np.array([d for _, _, d, _, _ in hits], np.int64),
-                "n_words": np.array([len(items.words[i]) for _, i, *_ in hits], np.int64),
-                "first_char": np.array([f for *_, f, _ in hits], np.int64),
-                "end_char": np.array([e for *_, e in hits], np.int64),
-            })
-
-    return run
+            held = pdf["__text"].tolist()
+            for a, b in parts(held):
+                out = []
+                h, _, _, first, _ = word_hashes([t or "" for t in held[a:b]])
+                for x, lo, hi in zip(pdf["__item"].iloc[a:b], first[:-1].tolist(), first[1:].tolist()):
+                    words = h[lo:hi]
+                    if not len(words):
+                        continue
+                    w = size_of(len(words))
+                    keys = samplers.setdefault(w, Sampler(w)).keys(words[None, :w])[0]
+                    name = int(mix(words * _constants(len(words), 909)).sum(dtype=np.uint64).view(np.int64))
+                    pairs = _pairs(words[:w]) if w > 1 else mix(words[:w])
+                    pairs = np.concatenate([pairs, _of_size(pairs, w)])
+                    out.append((x, name, len(words), w, words.view(np.int64), np.unique(keys[keys > 0]).view(np.int64), pairs.view(np.int64)))
+                yield pd.DataFrame(out, columns=["item", "class", "n", "w", "words", "keys", "pairs"])
+
+    rows = items.select(F.col(item_col).cast("long").cast("string").alias("__item"), F.col(text_col).alias("__text")).where("__text IS NOT NULL")
+    every = cut(rows.mapInPandas(run, f"item string, {_CLASS}"), "benchmark-items")
+    return every, every.select("class", F.col("item").cast("long").alias("item"))
+
+
+def _bitmap(hashes: DataFrame, bits: int) -> bytes:
+    """The bitmap of a column ``h`` of hashes: at most bits / 64 rows reach the driver."""
+    slot = F.col("h").bitwiseAND(F.lit(bits - 1))
+    rows = hashes.select(F.shiftright(slot, 6).cast("int").alias("slot"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("one"))
+    got = rows.groupBy("slot").agg(F.bit_or("one").alias("word")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[got["slot"].to_numpy()] = got["word"].to_numpy()
+    return out.view(np.uint64).astype("<u8").tobytes()
+
+
+def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, percent: int,
+           broadcast_bytes: int, salts: int) -> DataFrame:
+    """(doc, row, class, distance, n, first_char, end_char): the best stretch of
+    each text (doc, row) and class that it holds; row is a hash of the text."""
+    every, _ = items
+    classes = every.dropDuplicates(["class"])
+    sizes = [r.w for r in classes.select("w").distinct().collect()]  # one for each window size
+    pair_map = _bitmap(classes.select(F.explode("pairs").alias("h")), PAIR_BITS)
+    key_map = _bitmap(classes.select(F.explode("keys").alias("k")).select(F.explode(F.array("k", F.shiftrightunsigned("k", 32))).alias("h")), KEY_BITS)
+    context = docs.sparkSession.sparkContext
+    maps = context.broadcast((pair_map, key_map))
+
+    def search(batches):
+        import pandas as pd
+
+        look = Search(sizes, *maps.value, percent)
+        for pdf in batches:
+            held = pdf["__text"].tolist()
+            for a, b in parts(held):
+                out = []
+                for k, (t, w, keys, words, s, e) in enumerate(look.regions(held[a:b])):
+                    row = pdf.iloc[a + t]
+                    out.append((row["__id"], row["__row"], k, w, keys.view(np.int64), words.view(np.int64), s.astype(np.int64), e.astype(np.int64)))
+                yield pd.DataFrame(out, columns=["doc", "row", "number", "w", "keys", "words", "first", "end"])
+
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("__id"), F.xxhash64(F.col(text_col)).alias("__row"), F.col(text_col).alias("__text"))
+    schema = "doc string, row long, number long, w int, keys array<long>, words array<long>, first array<long>, end array<long>"
+    regions = cut(rows.where("__text IS NOT NULL").mapInPandas(search, schema).withColumn("region", F.xxhash64("doc", "row", "number", "w", "words")), "windows")
+
+    # windows meet items on their keys
+    mine = regions.select("region", F.explode("keys").alias("key"))
+    theirs = classes.select("class", F.explode("keys").alias("key"))
+    size = classes.agg(F.sum(F.size("keys") * 16 + F.size("words") * 8 + 64)).first()[0] or 0
+    if size <= broadcast_bytes:
+        met = mine.join(F.broadcast(theirs), "key").select("region", "class").distinct()
+    else:
+        theirs = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = mine.withColumn("salt", F.pmod("region", F.lit(salts)).cast("int")).join(theirs, ["key", "salt"]).select("region", "class").distinct()
+    words = classes.select("class", "n", F.col("words").alias("item_words"))
+    near = met.join(F.broadcast(words) if size <= broadcast_bytes else words, "class").join(regions, "region")
+    near = near.select("doc", "row", "class", "n", "item_words", "words", "first", "end")
+
+    def check(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            # equal regions are checked once
+            for name, group in pdf.groupby("class", sort=False):
+                item = np.asarray(group["item_words"].iloc[0], np.int64).view(np.uint64)
+                held = [np.asarray(x, np.int64).view(np.uint64) for x in group["words"]]
+                for k, d, a, b in verify(item, held, percent):
+                    r = group.iloc[k]
+                    out.append((r["doc"], r["row"], name, d, len(item), int(r["first"][a]), int(r["end"][b - 1])))
+            yield pd.DataFrame(out, columns=["doc", "row", "class", "distance", "n", "first_char", "end_char"])
+
+    found = near.mapInPandas(check, "doc string, row long, class long, distance long, n long, first_char long, end_char long")
+    best = found.groupBy("doc", "row", "class").agg(F.min(F.struct("distance", "first_char", "end_char", "n")).alias("b"))
+    best = cut(best.select(F.col("doc").cast("long").alias("doc"), "row", "class", "b.distance", "b.n", "b.first_char", "b.end_char"), "contaminations")
+    discard(regions)
+    return best
+
+
+def contaminations(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                   item_text_col: str = "text", percent: int = 80, broadcast_bytes: int = 32 << 20, salts: int = 16) -> DataFrame:
+    """(doc_id, item_id, distance, n_words, first_char, end_char): one row for
+    each document and item it holds; the span of the best stretch."""
+    known = _classes(items, item_col, item_text_col)
+    found = _found(docs, known, id_col, text_col, item_col, item_text_col, percent, broadcast_bytes, salts)
+    out = found.join(known[1], "class")
+    return out.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "distance", F.col("n").alias("n_words"), "first_char", "end_char")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                         item_text_col: str = "text", percent: int = 80, broadcast_bytes: int = 32 << 20, salts: int = 16) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, unchanged."""
+    known = _classes(items, item_col, item_text_col)
+    found = _found(docs, known, id_col, text_col, item_col, item_text_col, percent, broadcast_bytes, salts)
+    discard(known[0])
+    gone = found.select(F.col("row").alias("__row"), F.col("n").alias("__n")).dropDuplicates(["__row"])
+    # 64 bytes a row, measured; beyond the bound both sides are shuffled
+    gone = F.broadcast(gone) if 64 * gone.count() <= broadcast_bytes else gone.hint("merge")
+    return docs.join(gone, F.xxhash64(F.col(text_col)) == F.col("__row"), "left_anti")

@@ -71,39 +71,44 @@ class LineRuns:
 
     def _merged(self, names: list[str]) -> DataFrame:
         """Runs merged by key, bucket by bucket."""
-        out = self.spark.table(names[0])
+        out = self.spark.table(names[0]).select(*self.keys, "n_docs")
         for name in names[1:]:
-            more = self.spark.table(name).withColumnRenamed("n_docs", "more").hint("merge")
+            more = self.spark.table(name).select(*self.keys, F.col("n_docs").alias("more")).hint("merge")
             out = out.join(more, [*self.keys], "full").select(*self.keys, (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"))
         return out
 
-    def _push(self, name: str, level: int) -> None:
-        while len(self.levels) <= level:
+    def _push(self, name: str) -> None:
+        """Add a run to level 0; a level that is full is merged into the next, and
+        levels that fill up in turn go in one merge."""
+        old, level = [name], 0
+        while level < len(self.levels) and len(self.levels[level]) >= self.fanout - 1:
+            old, self.levels[level], level = self.levels[level] + old, [], level + 1
+        if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(name)
-        if len(self.levels[level]) >= self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            self._push(self._write(self._merged(old), f"line-run-{level + 1}"), level + 1)
-            self._drop(old)
+        self.levels[level].append(self._write(self._merged(old), f"line-run-{level}") if level else name)
+        if level:
+            self._drop([x for x in old if x not in self.keepers])
 
     def add(self, batch: DataFrame) -> None:
         """``batch``: (h1, h2, doc), one row for each document and key."""
         counted = batch.groupBy(*self.keys).agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
         own = self._write(counted, "line-batch")
+        runs = [r for level in self.levels for r in level]
         first = self.spark.table(own).select(*self.keys, "keeper")
-        for run in (r for level in self.levels for r in level):
+        for run in runs:
             first = first.join(self.spark.table(run).select(*self.keys).hint("merge"), [*self.keys], "left_anti")
-        self.keepers.append(self._write(first, "line-keepers"))
-        self._push(own, 0)
+        # the first batch's keys are all new
+        self.keepers.append(self._write(first, "line-keepers") if runs else own)
+        self._push(own)
 
     def table(self) -> DataFrame:
         """(h1, h2, n_docs, keeper): one row for each key."""
         runs = [r for level in self.levels for r in level]
         if not runs:
             return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, keeper long")
-        out = self._merged(runs).select(*self.keys, "n_docs")
+        out = self._merged(runs)
         for k, name in enumerate(self.keepers):
-            more = self.spark.table(name).withColumnRenamed("keeper", f"keeper{k}").hint("merge")
+            more = self.spark.table(name).select(*self.keys, F.col("keeper").alias(f"keeper{k}")).hint("merge")
             out = out.join(more, [*self.keys], "left")
         return out.select(*self.keys, "n_docs", F.coalesce(*[f"keeper{k}" for k in range(len(self.keepers))]).alias("keeper"))
 

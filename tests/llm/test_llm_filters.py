@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate as bench
 from lodestone.llm import html_extract as html
@@ -198,15 +199,93 @@ def test_contaminations(spark):
     want[203, 1] = 0
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     bf = spark.createDataFrame(items, "item_id long, text string")
-    for size in (1 << 20, 300):  # one block of items, and several
-        got = bench.contaminations(df, bf, block_bytes=size).collect()
+    for limit in (1 << 25, 0):  # items broadcast, and shuffled with salts
+        got = bench.contaminations(df, bf, broadcast_bytes=limit, salts=3).collect()
         mine = {(r.doc_id, r.item_id): r.distance for r in got if r.doc_id != 203 or r.item_id == 1}
         assert mine == {k: v for k, v in want.items()}
     spans = {(r.doc_id, r.item_id): (r.first_char, r.end_char) for r in got}
     assert spans[202, 0] == (0, len(items[0][1]) - 1)
-    kept = {r.doc_id for r in bench.without_contaminated(df, bf, block_bytes=300).collect()}
-    assert kept == {i for i, _ in docs} - {r.doc_id for r in got}
+    for limit in (1 << 25, 0):
+        kept = {r.doc_id for r in bench.without_contaminated(df, bf, broadcast_bytes=limit).collect()}
+        assert kept == {i for i, _ in docs} - {r.doc_id for r in got}
     assert bench.contaminations(df.where("false"), bf).count() == 0 and bench.contaminations(df, bf.where("false")).count() == 0
+    assert bench.without_contaminated(df, bf.where("false")).count() == len(docs)
+
+
+def test_items_without_an_id(spark):
+    df = spark.createDataFrame([(1, "x y one two three four z"), (2, "one two"), (None, "one two three four")], "doc_id long, text string")
+    bf = spark.createDataFrame([(None, "One two three four."), (5, "one, two, three, four")], "item_id long, text string")
+    got = bench.contaminations(df, bf).collect()
+    assert sorted((str(r.doc_id), str(r.item_id), r.distance, r.first_char, r.end_char) for r in got) == [
+        ("1", "5", 0, 4, 22), ("1", "None", 0, 4, 22), ("None", "5", 0, 0, 18), ("None", "None", 0, 0, 18)]
+    assert [r.doc_id for r in bench.without_contaminated(df, bf).collect()] == [2]
+
+
+def test_the_samples_find_the_items(spark, monkeypatch):
+    """Without keys nothing is found: no other step proposes a pair."""
+    df = spark.createDataFrame([(1, "a b one two three four five six c")], "doc_id long, text string")
+    every = bench._classes(spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string"), "item_id", "text")
+    known = every[0].withColumn("keys", F.array(F.lit(0).cast("long"))), every[1]
+    args = ("doc_id", "text", "item_id", "text", 80, 1 << 25, 4)
+    assert bench._found(df, every, *args).count() == 1 and bench._found(df, known, *args).count() == 0
+
+
+def _edited(rng, words, k, vocab):
+    out = list(words)
+    for _ in range(k):
+        o, p = rng.integers(3), int(rng.integers(len(out)))
+        if o == 0:
+            out[p] = rng.choice(vocab)
+        elif o == 1:
+            out.insert(p, rng.choice(vocab))
+        else:
+            out.pop(p)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 10, 17, 40, 59, 150])
+def test_recall_at_the_limit(n):
+    """Texts that hold an item with the most edits allowed are found by its keys."""
+    rng, vocab = np.random.default_rng(n), [f"w{k}" for k in range(2000)]
+    k, w, missed = bench.allowed(n, 80), bench.size_of(n), 0
+    sampler = bench.Sampler(w)
+    for _ in range(100):
+        item = list(rng.choice(vocab, n))
+        text = [*rng.choice(vocab, 30), *_edited(rng, item, k, vocab), *rng.choice(vocab, 30)]
+        own, pairs = bench.word_hashes([" ".join(item)])[0], np.zeros(bench.PAIR_BITS, bool)
+        keys, known = sampler.keys(own[None, :w])[0], np.zeros(bench.KEY_BITS, bool)
+        p = bench._pairs(own[:w]) if w > 1 else bench.mix(own)
+        pairs[bench._bit(np.concatenate([p, bench._of_size(p, w)]), bench.PAIR_BITS)] = True
+        known[bench._bit(np.concatenate([keys, keys >> np.uint64(32)]), bench.KEY_BITS)] = True
+        look = bench.Search([w], np.packbits(pairs, bitorder="little").tobytes(), np.packbits(known, bitorder="little").tobytes(), 80)
+        hits = [r for r in look.regions([" ".join(text)]) if np.isin(r[2], keys).any()]
+        best = min((d for r in hits for _, d, _, _ in bench.verify(own, [r[3]], 80)), default=None)
+        missed += best is None or best > k
+    assert missed <= 2
+
+
+def test_a_long_item(spark):
+    r = random.Random(2)
+    item = [f"w{r.randrange(5000)}" for _ in range(3000)]
+    near = [x if r.random() > 0.1 else "new" for x in item]
+    text = " ".join(["start", *near, "stop"])
+    got = bench.contaminations(spark.createDataFrame([(1, text), (2, text.upper())], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.item_id, x.distance) for x in got) == [(k, 7, sum(a != b for a, b in zip(item, near))) for k in (1, 2)]
+
+
+def test_crowded_places():
+    r = random.Random(1)
+    for _ in range(200):
+        n = r.randint(1, 60)
+        at, width, least = sorted(r.sample(range(n), r.randint(0, n))), r.randint(1, 9), r.randint(1, 5)
+        want = [p for p in range(n) if sum(p <= x < p + width for x in at) >= least]
+        assert bench._crowded(np.array(at, np.int64), width, least, n).tolist() == want
+
+
+def test_window_sizes():
+    for n in [*range(1, 200), 1000, 5000]:
+        w = bench.size_of(n)
+        assert w <= n <= bench.longest_of(w) and (n <= bench.EXACT) <= (w == n) and n <= 1.11 * w + 1
 
 
 # ---- quality ---------------------------------------------------------------
