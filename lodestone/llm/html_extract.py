@@ -1,36 +1,52 @@
-"""Main text of web pages by template deduction over same-host pages.
+"""Main text of web pages by equivalence classes of tokens over same-host pages.
 
 Tokens of a page are its elements, named by their path of tags and classes, and
-its short text nodes at their path.  A token's occurrence vector over the pages
-of its host is kept as the sum of a hash of page and count, so vectors add up in
-partial aggregates and equal vectors mean one equivalence class.  The class of
-tokens that occur exactly once on every page is the host's outer template; among
-its elements, nested by path, the *container* is an ``article``, a ``main`` or one
-named so, in this order, if it holds the main headings and a fair part of the
-running text; else the innermost that holds nearly all of both.  Text nodes that
-stand on nearly every page of a host of many pages belong to the template too, if
-they are the smaller part of its text.  What is left in the container is the slot
-that the main text is taken from.
-
-Taken are all its blocks, in page order, except those in menus, headers outside
-the article, footers, sidebars, notices, adverts, forms, scripts, styles, hidden
-elements and reader comments, told by tag, role, class or id.  Character
-references are decoded, white space inside a block is one space, blocks are
-joined by a line feed.  Nothing else is dropped or cut.
+its text blocks at their path, of any length (by hash).  A token's *occurrence
+vector* is its count on each page of its host.  It is kept as sums of a hash of
+the page times the count, so vectors add up in partial aggregates and equal sums
+mean equal vectors.  An ``article`` or ``main`` starts a path of its own, so that
+what was left open around it doesn't change its name.
+
+1. Tokens of a host with equal vectors are one class.  A class is *valid* if it
+   stands on at least ``support`` of the host's pages, two at least, and either
+   has several tokens or stands on every page.  Texts on so many pages are template
+   too.
+2. The valid classes nest by path into the host's template: elements that occur
+   once on each of their pages are its frame, the others stand in the frame's
+   slots.  A *slot* is what an element of the template holds outside of the
+   template's elements below.
+3. From the top, the frame is descended as long as an element holds next to no
+   varying text itself and one of those below holds its main headings and a fair
+   part of the varying text, or, without headings, most of that.  Where this ends
+   is the *container* of the main text.
+4. Of the slots inside the container those go that repeat their text from page to
+   page while the container does not, and those that are lists of links.  What is
+   left, without the template's texts, is extracted in page order.
+
+Last resort, where a template can't tell: blocks in menus, headers outside the
+article, footers, sidebars, notices, adverts, forms and reader comments, told by
+tag, role or a word of class or id (``words``), are left out; and pages of a host
+without a template, such as a lone page, take their article or main element.
+Scripts, styles and hidden elements never count.  Character references are decoded,
+white space inside a block is one space, blocks are joined by a line feed.  Nothing
+else is dropped or cut.
 
 Statistics are aggregated before any shuffle, a host with a third of all pages
-included; a page's text is never grouped by host.  The chosen containers are one
-row a host; they are broadcast while measured to be under ``broadcast_bytes``,
-else joined by host.
+included; a page's text is never grouped by host.  The tokens of a template stand
+on at least ``support`` of the pages, so it is at most 1 / ``support`` as large as
+a page.  Templates are one row a host; they are broadcast while
+measured to be under ``broadcast_bytes``, else joined by host.
 
 Defined cases: null or empty html gives an empty text; a null or bad url is the
-host ''; unclosed, crossed and truncated tags are read as far as they go; pages
-without the host's container take all eligible blocks of the page; repeated rows
-each get their text; other columns are not read, so their names can't clash; an
-empty table gives no rows."""
+host ''; unclosed, crossed and truncated tags are read as far as they go; a page
+of any length is read to its end; pages without the host's container are read as
+lone pages; a host of copies, where more than half of the text would be template,
+has none; repeated rows each get their text; other columns are
+not read, so their names can't clash; an empty table gives no rows."""
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import html as _html
 import re
@@ -40,7 +56,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, id_array, id_longs, id_text
+from ._shared import cut, id_array, id_text
 from .url_filter import url_host
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][A-Za-z0-9:\-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:\-]*)([^>]*)>", re.S)
@@ -50,6 +66,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 _OUT = frozenset("nav aside footer form script style noscript template iframe button select option textarea svg head title dialog menu object canvas audio video map datalist noembed noframes".split())
+#: Of these the ones whose text is never shown as such.
+_NEVER = frozenset("script style noscript template iframe option textarea svg head title object canvas audio video map datalist noembed noframes".split())
 _SECTION = frozenset("article main".split())
 _DIGITS = re.compile(r"\d+")
 #: Words of class, id or role that mark what is no main text.
@@ -64,7 +82,6 @@ _MAIN_WORDS = frozenset("article main post entry story".split())
 _COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond responses discussion".split())
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-SHORT = 200  # longest text node that counts as a token
 
 
 _TELLING = re.compile("class|id|role|style|aria", re.I)
@@ -72,10 +89,10 @@ _NO_WORDS: set[str] = set()
 
 
 class _Node:
-    __slots__ = ("tag", "path", "out", "inside", "comment")
+    __slots__ = ("tag", "path", "gone", "out", "inside", "comment", "heading")
 
-    def __init__(self, tag, path, out, inside, comment):
-        self.tag, self.path, self.out, self.inside, self.comment = tag, path, out, inside, comment
+    def __init__(self, tag, path, gone, out, inside, comment, heading):
+        self.tag, self.path, self.gone, self.out, self.inside, self.comment, self.heading = tag, path, gone, out, inside, comment, heading
 
 
 @functools.lru_cache(4096)
@@ -90,12 +107,21 @@ def _marks(attrs: str) -> tuple[str, set[str], bool]:
     return suffix, words, hidden
 
 
-def parse(page: str) -> tuple[dict[str, list], list[tuple[str, str, bool]]]:
-    """Elements {path: [times, characters of eligible text, main headings, is a
-    section]} and blocks (path, text, eligible) in page order."""
+class Block:
+    """A text block: its element's path, text, whether it is the main heading,
+    whether it counts for the template and whether it is eligible as main text."""
+
+    __slots__ = ("path", "text", "heading", "counts", "eligible")
+
+    def __init__(self, path, text, heading, counts, eligible):
+        self.path, self.text, self.heading, self.counts, self.eligible = path, text, heading, counts, eligible
+
+
+def parse(page: str, words: bool = True) -> tuple[dict[str, list], list[Block]]:
+    """Elements {path: [times, rank as a section]} and blocks in page order."""
     elements: dict[str, list] = {}
-    blocks: list[tuple[str, str, bool]] = []
-    stack = [_Node("", "", False, False, False)]
+    blocks: list[Block] = []
+    stack = [_Node("", "", False, False, False, False, False)]
     held: list[str] = []
     home = stack[0]
 
@@ -105,13 +131,7 @@ def parse(page: str) -> tuple[dict[str, list], list[tuple[str, str, bool]]]:
             text = " ".join(_html.unescape("".join(held)).split())
             held = []
             if text:
-                blocks.append((home.path, text, not home.out))
-                if not home.out:
-                    n, first = len(text), any(x.tag == "h1" for x in stack)
-                    for x in stack[1:]:
-                        e = elements[x.path]
-                        e[1] += n
-                        e[2] += first
+                blocks.append(Block(home.path, text, home.heading, not home.gone, not home.out))
 
     at, size = 0, len(page)
     while at < size:
@@ -149,18 +169,27 @@ def parse(page: str) -> tuple[dict[str, list], list[tuple[str, str, bool]]]:
         elif tag in ("li", "tr", "td", "th", "dt", "dd", "option") and top.tag == tag:
             stack.pop()
             top = stack[-1]
-        suffix, words, hidden = _marks(attrs) if attrs and _TELLING.search(attrs) else ("", _NO_WORDS, False)
-        section = tag in _SECTION or "main" in words and tag not in _INLINE
-        comment = top.comment or bool(words and words & _COMMENT_WORDS)
+        suffix, marks, hidden = _marks(attrs) if attrs and _TELLING.search(attrs) else ("", _NO_WORDS, False)
+        if not words:
+            marks = _NO_WORDS
+        outer = tag in _SECTION
+        section = outer or "main" in marks and tag not in _INLINE
+        comment = top.comment or bool(marks & _COMMENT_WORDS)
         inside = top.inside or section
-        bad = tag in _OUT or hidden or bool(words and words & _OUT_WORDS) or ((tag == "header" or words & _HEAD_WORDS) and not inside)
-        if section and not comment and not words & _OUT_WORDS:
-            out = hidden  # an article ends what was left open around it
+        never = hidden or tag in _NEVER
+        bad = never or tag in _OUT or bool(marks & _OUT_WORDS) or ((tag == "header" or marks & _HEAD_WORDS) and not inside)
+        if section and not comment and not marks & _OUT_WORDS:
+            gone = out = hidden  # an article ends what was left open around it
         else:
-            out = top.out or bad or comment
-        node = _Node(tag, f"{top.path}/{tag}{suffix}", out, inside and not out, comment)
+            gone, out = top.gone or never, top.out or bad or comment
+        if outer:
+            above = next((x.path for x in reversed(stack) if x.tag in _SECTION), "")
+        else:
+            above = top.path
+        node = _Node(tag, f"{above}/{tag}{suffix}", gone, out, inside and not out, comment, top.heading or tag == "h1")
         stack.append(node)
-        e = elements.setdefault(node.path, [0, 0, 0, section])
+        rank = 3 if tag == "article" else 2 if tag == "main" else 1 if section or marks & _MAIN_WORDS else 0
+        e = elements.setdefault(node.path, [0, 0 if out else rank])
         e[0] += 1
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -173,95 +202,208 @@ def _key(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(parts)) - (1 << 63)
 
 
-def extract(page: str | None, container: int | None, constant) -> str:
+def _within(path: str, root: str) -> bool:
+    return not root or path == root or path.startswith(root + "/")
+
+
+def _alone(elements: dict[str, list], blocks: list[Block]) -> str | None:
+    """The article or main element of a page without a template: if it holds the
+    main headings and some of the text, or a fair part of the text."""
+    ok = [b for b in blocks if b.eligible]
+    chars, heads, best = sum(len(b.text) for b in ok), sum(b.heading for b in ok), None
+    for path, (_, rank) in elements.items():
+        if rank:
+            own = [b for b in ok if _within(b.path, path)]
+            n, h = sum(len(b.text) for b in own), sum(b.heading for b in own)
+            if n and (n >= 0.3 * chars or heads and h >= heads and n >= 0.05 * chars):
+                best = max(best or (False, 0, 0, 0, ""), (h >= heads, rank, n, -path.count("/"), path))
+    return best[-1] if best else None
+
+
+@dataclasses.dataclass(frozen=True)
+class Template:
+    """Of a host: the container's path, paths of slots that are no main text, and
+    the keys of the template's texts."""
+
+    container: str | None = None
+    without: tuple[str, ...] = ()
+    texts: frozenset[int] = frozenset()
+
+
+def extract(page: str | None, template: Template | None = None, words: bool = True) -> str:
     """The main text of a page, given its host's template."""
     if not page:
         return ""
-    elements, blocks = parse(page)
-    root = next((p for p in elements if _key("e", p) == container), None) if container is not None else None
-    constant = set() if constant is None else set(constant)
-    taken = [(p, t) for p, t, ok in blocks if ok and (root is None or p == root or p.startswith(root + "/"))]
+    elements, blocks = parse(page, words)
+    template = template or Template()
+    without, texts = template.without, template.texts
+    ok = [b for b in blocks if b.eligible]
+    taken = [b for b in ok if template.container is not None and _within(b.path, template.container)]
     if not taken:
-        taken = [(p, t) for p, t, ok in blocks if ok]
-    return "\n".join(t for p, t in taken if not constant or len(t) > SHORT or _key("t", p, t) not in constant)
+        root = _alone(elements, blocks)
+        taken = [b for b in ok if root is None or _within(b.path, root)]
+    taken = [b for b in taken if not any(_within(b.path, x) for x in without)]
+    return "\n".join(b.text for b in taken if not texts or _key("t", b.path, b.text) not in texts)
 
 
-_STATS = "host string, token long, path string, element boolean, section boolean, depth int, pages long, times long, chars long, headings long, vector long"
+_STATS = "host string, token long, path string, element boolean, pages long, times long, chars long, headings long, v1 long, v2 long"
+_HALF = (1 << 30) - 1
 
 
-def _count(batches):
+def _count(words: bool):
     """Statistics of the tokens of each batch, already summed by host."""
-    import pandas as pd
-
-    for pdf in batches:
-        sums: dict[tuple, list] = {}
-        for key, host, page in zip(pdf["__id"].tolist(), pdf["__host"].tolist(), pdf["__html"].tolist()):
-            elements, blocks = parse(page or "")
-            salt = _key(host, str(key)) | 1
-            all_chars, all_heads = sum(len(t) for _, t, ok in blocks if ok), sum(e[2] for p, e in elements.items() if p.count("/") == 1)
-            rows = [("e", "", 1, all_chars, all_heads, False)]
-            rows += [("e", p, *e) for p, e in elements.items()]
-            rows += [("t", p + "\x1f" + t, 1, len(t), 0, False) for p, t in {(p, t) for p, t, ok in blocks if ok and len(t) <= SHORT}]
-            for kind, name, times, chars, heads, section in rows:
-                token = _key(kind, *name.split("\x1f"))
-                s = sums.setdefault((host, token), [name if kind == "e" else "", kind == "e", section, name.count("/"), 0, 0, 0, 0, 0])
-                s[4] += 1
-                s[5] += times
-                s[6] += chars
-                s[7] += heads
-                s[8] = (s[8] + salt * times) & (1 << 64) - 1
-        out = [[h, t, *s[:8], s[8] - (1 << 64) if s[8] >> 63 else s[8]] for (h, t), s in sums.items()]
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _STATS.split(", ")])
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            sums: dict[tuple, list] = {}
+            for key, host, page in zip(pdf["__id"].tolist(), pdf["__host"].tolist(), pdf["__html"].tolist()):
+                elements, blocks = parse(page or "", words)
+                if not elements and not blocks:
+                    continue
+                h = _key(host, str(key)) & (1 << 60) - 1
+                rows: dict[tuple, list] = {("", True): [1, 0, 0]}
+                for p, e in elements.items():
+                    rows[p, True] = [e[0], 0, 0]
+                for b in blocks:
+                    if b.counts:
+                        # an element has the characters of the text right in it
+                        e = rows.setdefault((b.path, True), [1, 0, 0])
+                        e[1] += len(b.text)
+                        e[2] += len(b.text) * b.heading
+                        t = rows.setdefault((b.path, b.text), [0, 0, 0])
+                        t[0] += 1
+                        t[1] += len(b.text)
+                for (path, text), (times, chars, heads) in rows.items():
+                    token = _key("e", path) if text is True else _key("t", path, text)
+                    s = sums.setdefault((host, token), [path, text is True, 0, 0, 0, 0, 0, 0])
+                    s[2] += 1
+                    s[3] += times
+                    s[4] += chars
+                    s[5] += heads
+                    s[6] += (h & _HALF) * times
+                    s[7] += (h >> 30) * times
+            yield pd.DataFrame([[host, t, *s] for (host, t), s in sums.items()], columns=[c.split()[0] for c in _STATS.split(", ")])
+
+    return run
+
+
+def choose(slots: list[tuple[str, bool, int, int, int, int, float]]) -> tuple[str | None, list[str]]:
+    """(container, slots left out of it) of a template.  ``slots``: (path, in the
+    frame, varying characters, of these repeated, in links and in main headings,
+    blocks a page), each of what the path's element holds outside of those below."""
+    by = {s[0]: s for s in slots}
+    frame = sorted((s[0] for s in slots if s[1]), key=lambda p: p.count("/"))
+    below: dict[str, list[str]] = {}
+    for p in frame:
+        if p:
+            below.setdefault(max((q for q in frame if q != p and _within(p, q)), key=len), []).append(p)
+    body, heads = {}, {}
+    for p in frame:
+        own = [s for s in slots if _within(s[0], p)]
+        heads[p] = sum(s[5] for s in own)
+        body[p] = sum(s[2] for s in own) - heads[p]
+    at = ""
+    while body[at] > 0 and by[at][2] - by[at][5] <= 0.1 * body[at]:
+        if heads[at]:
+            fits = [p for p in below.get(at, []) if heads[p] >= 0.9 * heads[at] and body[p] >= 0.2 * body[at]]
+        else:
+            fits = [p for p in below.get(at, []) if body[p] >= 0.5 * body[at]]
+        if not fits:
+            break
+        at = max(fits, key=lambda p: (body[p], p))
+    if not at:
+        return None, []
+    share = by[at][3] / max(1, by[at][2])
+    without = []
+    for path, _, chars, again, links, head, blocks in slots:
+        if path != at and _within(path, at) and chars and not head:
+            if again >= 0.5 * chars and again >= 3 * share * chars or links >= 0.8 * chars and blocks > 1:
+                without.append(path)
+    return at, sorted(without)
 
 
 def deduce_templates(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                     least_pages: int = 20, share: float = 0.95) -> DataFrame:
-    """(host, container, constant): key of the container element and the keys of
-    the constant text nodes."""
+                     support: float = 0.5, words: bool = True) -> DataFrame:
+    """(host, container, without, texts) of every host with a template."""
     rows = pages.select(F.col(id_col).cast("string").alias("__id"), F.coalesce(url_host(F.col(url_col)), F.lit("")).alias("__host"), F.col(html_col).alias("__html"))
-    # sums of hashes wrap around: 64-bit vectors are added without overflow checks
-    wrap = lambda c: F.expr(f"cast(sum(cast({c} as decimal(38,0))) % 9223372036854775808 as long)")
-    stats = rows.mapInPandas(_count, _STATS).groupBy("host", "token").agg(
-        F.first("path", True).alias("path"), F.first("element").alias("element"), F.max("section").alias("section"), F.first("depth").alias("depth"),
-        F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars"), F.sum("headings").alias("headings"), wrap("vector").alias("vector"),
+    stats = rows.mapInPandas(_count(words), _STATS).groupBy("host", "token").agg(
+        F.first("path").alias("path"), F.first("element").alias("element"),
+        *[F.sum(c).alias(c) for c in ("pages", "times", "chars", "headings", "v1", "v2")],
     )
-    # rarer texts can't be constant; they are nearly all there are
-    stats = cut(stats.where(f"element OR pages >= {least_pages}"), "token-vectors")
-    whole = stats.where("element AND path = ''").select("host", F.col("pages").alias("n"), F.col("chars").alias("all_chars"), F.col("headings").alias("all_heads"), F.col("vector").alias("every"))
-    near = stats.join(whole, "host")
-    # the outer class: the vector of the pages themselves; sections may miss pages
-    outer = near.where("element AND path <> '' AND chars > 0 AND (vector = every OR section AND pages >= 0.5 * n)")
-    kind = F.when(F.col("path").rlike("/article[^/]*$"), 3).when(F.col("path").rlike("/main[^/]*$"), 2).when(F.col("section"), 1).otherwise(0)
-    fits = outer.withColumn("kind", kind).where(
-        "kind > 0 AND (chars >= 0.3 * all_chars OR all_heads > 0 AND headings >= all_heads AND chars >= 0.05 * all_chars) OR chars >= 0.9 * all_chars AND headings >= all_heads"
+    # a text on a single page is in no valid class
+    stats = cut(stats.where("element OR pages > 1"), "token-vectors")
+    whole = stats.where("element AND path = ''").select("host", F.col("pages").alias("n"), F.col("v1").alias("every1"), F.col("v2").alias("every2")).where("n > 1")
+    least = F.greatest(F.lit(2), F.ceil(F.col("n") * support))
+    # classes: equal vectors; they are counted by partial sums before the shuffle
+    common = stats.join(whole, "host").where(F.col("pages") >= least)
+    classes = common.groupBy("host", "v1", "v2").agg(F.count("*").alias("tokens"))
+    common = common.join(classes, ["host", "v1", "v2"])
+    valid = common.where("element AND (tokens > 1 OR v1 = every1 AND v2 = every2)")
+    template = valid.select("host", "path", F.expr("times = pages").alias("frame"))
+    texts = common.where("NOT element").select("host", "token", "path", "chars")
+
+    # what each element holds by itself goes to the nearest element of the template above
+    again = stats.where("NOT element").groupBy("host", "path").agg(F.sum("chars").alias("again"))
+    fixed = texts.groupBy("host", "path").agg(F.sum("chars").alias("fixed"))
+    held = stats.where("element AND chars > 0").join(whole.select("host"), "host", "left_semi")
+    held = held.join(again, ["host", "path"], "left").join(fixed, ["host", "path"], "left").select(
+        "host", "path", "times", "pages", "headings", "chars", F.coalesce("again", F.lit(0)).alias("again"), F.coalesce("fixed", F.lit(0)).alias("fixed")
+    ).withColumn("headings", F.greatest(F.col("headings") - F.col("fixed"), F.lit(0)))
+    parts = F.split("path", "/")
+    above = held.withColumn("up", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))))
+    near = above.join(template.withColumnsRenamed({"path": "up"}), ["host", "up"]).groupBy("host", "path").agg(
+        F.max_by("up", F.length("up")).alias("slot"), *[F.first(c).alias(c) for c in ("times", "pages", "headings", "chars", "again", "fixed")]
     )
-    named = F.col("kind") > 0
-    order = F.struct(
-        (F.col("headings") >= F.col("all_heads")).alias("whole"), "kind", F.when(named, F.col("chars")).otherwise(0).alias("most"),
-        F.when(named, -F.col("depth")).otherwise(F.col("depth")).alias("place"), "path",
+    link = F.when(F.col("path").rlike("/a([.#][^/]*)?$"), F.col("chars") - F.col("fixed")).otherwise(0)
+    slots = near.groupBy("host", "slot").agg(
+        F.sum(F.col("chars") - F.col("fixed")).alias("varying"), F.sum(F.col("again") - F.col("fixed")).alias("again"), F.sum(link).alias("links"),
+        F.sum("headings").alias("headings"), F.max(F.col("times") / F.col("pages")).alias("blocks"), F.sum("fixed").alias("fixed"), F.sum("chars").alias("chars"),
     )
-    best = fits.groupBy("host").agg(F.max_by("token", order).alias("container"))
-    # pages that differ in little are copies, not a template
-    texts = near.where(f"NOT element AND n >= {least_pages} AND pages >= {share} * n").groupBy("host").agg(
-        F.collect_set("token").alias("constant"), F.sum("chars").alias("own"), F.max("all_chars").alias("all_chars")
-    )
-    texts = texts.where("own <= 0.3 * all_chars").select("host", "constant")
-    return whole.select("host").join(best, "host", "left").join(texts, "host", "left")
+    every = template.join(slots.withColumnRenamed("slot", "path"), ["host", "path"], "left").na.fill(0)
+    every = every.groupBy("host").agg(F.collect_list(F.struct("path", "frame", "varying", "again", "links", "headings", "blocks", "fixed", "chars")).alias("slots"))
+    every = every.join(texts.groupBy("host").agg(F.collect_list(F.struct("path", "token", "chars")).alias("texts")), "host", "left")
+
+    def settle(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for host, slots, texts in zip(pdf["host"].tolist(), pdf["slots"].tolist(), pdf["texts"].tolist()):
+                # a template of one page's elements, at most 1 / support of them
+                container, without = choose([(s["path"], s["frame"], s["varying"], s["again"], s["links"], s["headings"], s["blocks"]) for s in slots])
+                inside = [s for s in slots if _within(s["path"], container or "")]
+                # on a host of copies everything repeats
+                copies = sum(s["fixed"] for s in inside) > 0.5 * sum(s["chars"] for s in inside)
+                keys = [] if copies or texts is None else [t["token"] for t in texts]
+                if not copies:
+                    out.append((host, container, without, keys))
+            yield pd.DataFrame(out, columns=["host", "container", "without", "texts"])
+
+    return every.mapInPandas(settle, "host string, container string, without array<string>, texts array<long>")
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                      broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row of ``pages``."""
-    templates = cut(deduce_templates(pages, id_col=id_col, url_col=url_col, html_col=html_col), "templates")
-    size = templates.agg(F.sum(F.length("host") + 64 + 8 * F.coalesce(F.size("constant"), F.lit(0)))).first()[0] or 0
+                      support: float = 0.5, words: bool = True, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """(page_id, url, text, n_chars) for every row of ``pages``; ``words`` off
+    leaves out the words of class and id."""
+    templates = cut(deduce_templates(pages, id_col=id_col, url_col=url_col, html_col=html_col, support=support, words=words), "templates")
+    names = F.aggregate("without", F.lit(0), lambda a, x: a + F.length(x))
+    size = templates.agg(F.sum(F.length("host") + F.coalesce(F.length("container"), F.lit(0)) + names + 64 + 8 * F.size("texts"))).first()[0] or 0
     rows = pages.select(id_text(F.col(id_col)).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(url_host(F.col(url_col)), F.lit("")).alias("host"), F.col(html_col).alias("__html"))
-    joined = rows.join(F.broadcast(templates) if size <= broadcast_bytes else templates, "host", "left").select("page_id", "url", "__html", id_text(F.col("container")).alias("container"), "constant")
+    joined = rows.join(F.broadcast(templates) if size <= broadcast_bytes else templates, "host", "left").select("page_id", "url", "host", "__html", "container", "without", "texts")
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            texts = [extract(h, c, k) for h, c, k in zip(pdf["__html"].tolist(), id_longs(pdf["container"]), pdf["constant"].tolist())]
+            known: dict[str, Template | None] = {}
+            texts = []
+            for html, host, container, without, keys in zip(*(pdf[c].tolist() for c in ("__html", "host", "container", "without", "texts"))):
+                if host not in known:
+                    known[host] = None if keys is None else Template(container, tuple(without), frozenset(keys.tolist()))
+                texts.append(extract(html, known[host], words))
             yield pd.DataFrame({"page_id": id_array(pdf["page_id"]), "url": pdf["url"], "text": texts, "n_chars": np.array([len(t) for t in texts], np.int64)})
 
     return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")

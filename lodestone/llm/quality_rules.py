@@ -5,16 +5,29 @@ words, signs ``#*$%&|<>``, lines equal to an earlier line, and words inside
 8-word windows found at least twice.  A text fails the base with fewer than 20
 words or over 30 % repeated words.
 
-Fertility: a public SentencePiece vocabulary encodes the whole text.  Three
-figures are held against bands of the text's script: characters per token, the
-share of byte-fallback tokens, and the entropy of the token distribution as a
-share of the most that many tokens could have.  Junk takes many tokens for few
-characters, falls back to bytes, or repeats few tokens.  The bands come from
-figures over labelled and natural texts of each script.  A text whose letters are
-of no listed script takes the band ``other``.
+Fertility: public vocabularies encode the whole text, a SentencePiece one with byte
+fallback (*piece*) and a byte-level one (*byte*).  Of each, three figures are held
+against the bands of the text's language or script:
+
+- characters per token;
+- byte share: tokens that are no whole character, that is fallback bytes of the
+  one (without those of control characters) and parts of characters of the other;
+- entropy share: the entropy in bits of the text's token counts, divided by
+  log2(1 + n / (1 + n / SATURATION)) for n tokens.  The divisor is one formula at
+  every size; it nears log2 n for short texts and the bound log2(1 + SATURATION),
+  since natural text of any length goes on with the tokens that it has.
+
+Junk takes many tokens for few characters, falls back to bytes, or repeats few
+tokens.  A text of Latin script takes the bands of the language that holds most
+of its words as function words (``FUNCTION_WORDS``, at least ``LEAST_SHARE`` of
+them), else those of its script.  The bands come from figures over labelled and
+natural texts; a script without figures for a vocabulary has no band there.  A
+text whose letters are of no listed script takes the band ``other``.
 
 Null or empty text: all counts 0, base_failed, not kept.  Rows are treated one
-by one, so ties and repeated rows don't matter; an empty table gives no rows."""
+by one, so ties and repeated rows don't matter; a text of any length is measured
+whole; a result column replaces an input column of the same name; an empty table
+gives no rows."""
 
 from __future__ import annotations
 
@@ -22,8 +35,10 @@ import dataclasses
 
 import numpy as np
 
-from ._text import flat, is_space, mix, slabs, span_hashes, spans, words
+from ._text import flat, mix, slabs, span_hashes, spans, words
+from .decontaminate import word_hashes
 from .sentencepiece_bpe import Encoder
+from .token_store import ByteEncoder
 
 #: First and last code point of the letters of each script.
 SCRIPTS = {
@@ -64,11 +79,16 @@ class Band:
     entropy_low: float
 
 
-#: From figures (README): latin's entropy from all labelled test documents that
-#: pass the base.  Those are all Latin; the rest comes from manual pages and
-#: translated names on the test machine, with room around the extremes seen.
+#: From figures (README): those of the four languages from all labelled test
+#: documents that pass the base, just outside of the extremes of the good ones.
+#: The rest comes from manual pages and translated names on the test machine, with
+#: room around the extremes seen.
 BANDS = {
-    "latin": Band(1.35, 12.0, 0.20, 0.70),
+    "en": Band(1.95, 12.0, 0.20, 0.775),
+    "de": Band(2.30, 12.0, 0.20, 0.755),
+    "fr": Band(1.95, 12.0, 0.20, 0.740),
+    "es": Band(2.00, 12.0, 0.20, 0.758),
+    "latin": Band(1.35, 12.0, 0.20, 0.74),
     "greek": Band(0.93, 8.0, 0.11, 0.47),
     "cyrillic": Band(1.70, 10.0, 0.12, 0.66),
     "hebrew": Band(0.93, 8.0, 0.13, 0.43),
@@ -94,6 +114,22 @@ BANDS = {
     "hangul": Band(0.83, 6.0, 0.26, 0.55),
     "other": Band(0.33, 12.0, 0.96, 0.32),
 }
+BYTE_BANDS = {
+    "en": Band(2.20, 12.0, 0.10, 0.780),
+    "de": Band(2.19, 12.0, 0.15, 0.755),
+    "fr": Band(1.96, 12.0, 0.25, 0.735),
+    "es": Band(1.93, 12.0, 0.25, 0.742),
+    "latin": Band(0.90, 12.0, 0.60, 0.74),
+}
+#: Frequent function words.
+FUNCTION_WORDS = {
+    "en": "the of and to in is that it was for on with as be at by this are from or an have not which but his they had you were".split(),
+    "de": "der die und das zu den mit von ist für auf nicht ein eine dem des sich im auch als es an er so dass nach wird bei einer um".split(),
+    "fr": "le la les de des et un une du en que qui dans pour pas est au sur il ne ce se plus par avec son elle sont mais nous".split(),
+    "es": "el la los las de y en que un una por con para del se no es lo su al como más o pero sus le ha me si sin".split(),
+}
+LEAST_SHARE = 0.04
+SATURATION = 512
 _NAMES = [*SCRIPTS, "other"]
 
 
@@ -109,7 +145,8 @@ _SCRIPT_OF = _script_table()
 WINDOW = 8
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "kept boolean, script string, chars_per_token double, byte_share double, entropy_share double"
+    "kept boolean, script string, language string, chars_per_token double, byte_share double, entropy_share double, "
+    "byte_chars_per_token double, byte_byte_share double, byte_entropy_share double"
 )
 
 
@@ -165,42 +202,90 @@ def scripts(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.where(table.sum(1) > 0, table.argmax(1), len(SCRIPTS))
 
 
-def measure(texts: list, model_file: str, bands: dict[str, Band] = BANDS) -> dict[str, list]:
+def languages(texts: list[str]) -> list[str | None]:
+    """The language whose function words hold most of each text's words."""
+    h, _, _, first, _ = word_hashes(texts)
+    names = list(FUNCTION_WORDS)
+    hits = []
+    for name in names:
+        own = np.sort(word_hashes(FUNCTION_WORDS[name])[0])
+        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+        upto = np.concatenate([[0], np.cumsum(own[at] == h)])
+        hits.append(upto[first[1:]] - upto[first[:-1]])
+    table, n = np.stack(hits, 1), np.diff(first)
+    best = table.argmax(1)
+    return [names[b] if c > 0 and c >= LEAST_SHARE * m else None for b, c, m in zip(best.tolist(), table.max(1).tolist(), n.tolist())]
+
+
+def figures(ids: np.ndarray, chars: int, bad: np.ndarray, less: int = 0) -> tuple[float, float, float]:
+    """(characters per token, byte share, entropy share) of a text's ids; ``bad``
+    marks the tokens that are no whole character, ``less`` of which don't count."""
+    n = len(ids)
+    if not n:
+        return 0.0, 0.0, 0.0
+    counts = np.unique(ids, return_counts=True)[1]
+    p = counts / n
+    entropy = max(0.0, float(-(p * np.log2(p)).sum()))
+    most = np.log2(1 + n / (1 + n / SATURATION))
+    return chars / n, max(0, int(np.count_nonzero(bad[ids])) - less) / n, entropy / float(most)
+
+
+def _parts(enc: ByteEncoder) -> np.ndarray:
+    """Whether each token of a byte-level vocabulary is no run of whole characters."""
+    byte = {c: b for b, c in enc.letters.items()}
+    out = np.zeros(enc.lib.get_vocab_size(), bool)
+    for token, i in enc.lib.get_vocab().items():
+        if token not in enc.added:
+            raw = bytes(byte[c] for c in token)
+            out[i] = raw.decode("utf-8", "ignore").encode() != raw
+    return out
+
+
+def _fits(found: tuple[float, float, float], band: Band | None) -> bool:
+    return band is None or band.chars_low <= found[0] <= band.chars_high and found[1] <= band.bytes_high and found[2] >= band.entropy_low
+
+
+def measure(texts: list, model_file: str, byte_file: str | None = None, bands: dict[str, Band] = BANDS, byte_bands: dict[str, Band] = BYTE_BANDS) -> dict[str, list]:
     """All result columns for a list of texts."""
     enc = Encoder.of(model_file)
     is_byte = np.zeros(enc.bpe.lib.get_piece_size(), bool)
     is_byte[enc.bpe.bytes] = True
+    second = ByteEncoder.of(byte_file) if byte_file else None
+    is_part = _parts(second) if second else None
     found: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ")}
     for _, part in slabs(texts):
         cp, starts = flat(part)
         got = base_counts(cp, starts)
-        kinds = scripts(cp, starts)
+        kinds, spoken = scripts(cp, starts), languages(part)
         failed = (got["n_words"] < 20) | (100 * got["n_repeat_words"] > 30 * got["n_words"])
-        for k, ids in enumerate(enc.encode(part)):
-            band = bands[_NAMES[kinds[k]]]
-            n = len(ids)
-            chars = len(part[k]) / n if n else 0.0
+        control = np.concatenate([[0], np.cumsum(cp < 32)])
+        others = second.encode(part) if second else [None] * len(part)
+        for k, (ids, more) in enumerate(zip(enc.encode(part), others)):
+            script = _NAMES[kinds[k]]
+            language = spoken[k] if script == "latin" else None
+            name = language if language in bands else script
             # line feeds and tabs are byte tokens too, but no fallback for lack of a piece
-            control = int(np.count_nonzero(cp[starts[k] : starts[k + 1] - 1] < 32))
-            share = max(0, int(np.count_nonzero(is_byte[ids])) - control) / n if n else 0.0
-            counts = np.bincount(ids) if n else np.zeros(1)
-            p = counts[counts > 0] / max(n, 1)
-            entropy = float(-(p * np.log2(p)).sum()) / np.log2(min(n, 512)) if n > 1 else 0.0
-            fits = band.chars_low <= chars <= band.chars_high and share <= band.bytes_high and entropy >= band.entropy_low
+            piece = figures(ids, len(part[k]), is_byte, int(control[starts[k + 1] - 1] - control[starts[k]]))
+            byte = figures(more, len(part[k]), is_part) if second else (None, None, None)
+            fits = _fits(piece, bands[name]) and (second is None or _fits(byte, byte_bands.get(name)))
             found["kept"].append(bool(fits and not failed[k]))
-            found["script"].append(_NAMES[kinds[k]])
-            found["chars_per_token"].append(chars)
-            found["byte_share"].append(share)
-            found["entropy_share"].append(entropy)
+            found["script"].append(script)
+            found["language"].append(language)
+            for c, v in zip(("chars_per_token", "byte_share", "entropy_share"), piece):
+                found[c].append(v)
+            for c, v in zip(("byte_chars_per_token", "byte_byte_share", "byte_entropy_share"), byte):
+                found[c].append(v)
         found["base_failed"] += failed.tolist()
         for c, v in got.items():
             found[c] += v.tolist()
     return found
 
 
-def quality_rules(docs, model_file: str, *, text_col: str = "text", bands: dict[str, Band] = BANDS):
+def quality_rules(docs, model_file: str, byte_file: str | None = None, *, text_col: str = "text", bands: dict[str, Band] = BANDS,
+                  byte_bands: dict[str, Band] = BYTE_BANDS):
     """All columns of ``docs`` plus those of ``SCHEMA``; a result column replaces
-    an input column of the same name."""
+    an input column of the same name.  Without ``byte_file`` the byte-level
+    vocabulary's figures are null and judge nothing."""
     from pyspark.sql import types as T
 
     from ._shared import parts
@@ -218,7 +303,7 @@ def quality_rules(docs, model_file: str, *, text_col: str = "text", bands: dict[
             held = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             for a, b in parts(held):
                 part = batch.slice(a, b - a)
-                found = measure(held[a:b], model_file, bands)
+                found = measure(held[a:b], model_file, byte_file, bands, byte_bands)
                 arrays = [pa.array(found[c], arrow[kind[c]]) for c in names]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *names])
 

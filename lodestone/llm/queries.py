@@ -96,10 +96,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = _rules.quality_rules(docs, vocabulary("piece_bpe_32k.model"))
+    out = _rules.quality_rules(docs, vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.json"))
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "script", "chars_per_token", "byte_share", "entropy_share",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "language",
+        "chars_per_token", "byte_share", "entropy_share", "byte_chars_per_token", "byte_byte_share", "byte_entropy_share",
     )
 
 
@@ -156,7 +156,7 @@ FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.r = 1
     "op5_html_extract": r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|<footer|$)', 1, 's') AS art FROM pages),
 b AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(art, '</?b>', '', 'g'), '</?(?:p|h1|br)>'),
-        lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS ls FROM a),
+        lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS ls FROM a),
 t AS (SELECT page_id, url, array_to_string(list_filter(ls, lambda x: x <> ''), chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
 """,
