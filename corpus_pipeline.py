@@ -39,7 +39,7 @@ def _restored(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    judged = quality_rules.quality_rules(_renamed(docs), vocabulary("piece_bpe_32k.model"), text_col=_own("text"))
+    judged = quality_rules.quality_rules(_renamed(docs), vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.json"), text_col=_own("text"))
     return _restored(judged.where("kept"), docs)
 
 
