@@ -1,16 +1,19 @@
 """Secret scans: pattern candidates, then a random forest against false positives.
 
 Candidates of a whole text are (a) values assigned to a name that speaks of a
-key, token, password or the like, (b) runs of at least 16 key characters with a
-digit, (c) private-key headers and signed web tokens.  Overlapping candidates
-are merged into the longest.
+key, token, password or the like, (b) runs of at least ``least_run`` key characters
+with a digit or with several changes of case, (c) private-key headers and signed
+web tokens.  Overlapping candidates are merged into the longest.
 
 The forest sees a candidate's length, its transitions between character classes
 and their entropy, how much of it dictionary words cover, words of its path, and
-the neighbouring words; it is trained from labelled findings.  ``labelled`` may
-be any such findings; the default makes a fixed set of real-looking secrets and
-of the usual false alarms (placeholders, checksums and commits, card and phone
-numbers, ids, file paths, identifiers) from rules.
+the neighbouring words, the assigned name among them; it is trained from labelled
+findings.  A candidate's path is the row's, with the last file name that its text
+mentions shortly before it.  ``labelled`` may be any such findings; the default
+makes a fixed set by rules: real-looking secrets, assigned or told in prose, and
+false alarms both bare (checksums, commits, card numbers, ids, file paths,
+identifiers) and assigned to names that speak of keys (cache keys, public keys,
+token counts, authors, digests, placeholders).
 
 Defined cases: null and empty texts have no candidate; candidates in rows that
 repeat an id are all reported; a null id or path stays null and counts as no
@@ -19,6 +22,7 @@ their names can't clash; an empty table gives no rows."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -33,7 +37,9 @@ from ._shared import id_longs, id_text
 _ASSIGNED = re.compile(
     r"(?:key|token|secret|passw(?:or)?d|pwd|credential|auth)\w{0,20}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"'`;,<>]{6,})", re.IGNORECASE
 )
-_RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
+LEAST_RUN = 16
+_CASES = re.compile(r"[a-z](?=[A-Z])")
+_FILE = re.compile(r"[\w./\-]*\.(?:env|py|js|ts|json|ya?ml|toml|ini|cfg|conf|md|rst|lock|txt|xml|properties|sh|tf|pem|ipynb)\b")
 _KNOWN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]+")
 _DIGIT = re.compile(r"\d")
 #: Shapes of provider keys, by rule name.
@@ -47,19 +53,26 @@ _RULES = [
     ("map_key", re.compile(r"AIza[0-9A-Za-z_\-]{30,}")),
 ]
 _GOOD = ("key", "token", "secret", "password", "passwd", "pwd", "credential", "auth", "api", "access", "bearer", "login")
+_NOT = ("hash", "sha", "md", "digest", "checksum", "cache", "etag", "idempotency", "public", "primary", "foreign", "count", "length", "limit", "type", "name", "author", "authors", "authority", "tokenizer", "tokens", "keyboard", "keyword", "keywords", "secretary", "monkey", "id", "fingerprint", "index", "sort", "partition", "version", "expires", "url", "path", "file")
 _BAD = ("example", "sample", "dummy", "test", "placeholder", "commit", "sha", "md5", "checksum", "hash", "digest", "integrity", "uuid", "guid", "revision", "id", "phone", "card", "version")
 _BAD_PATH = ("test", "example", "sample", "fixture", "mock", "doc", "lock", "vendor", "node_modules")
-AROUND = 48
+AROUND, FAR = 48, 200  # characters read for neighbouring words, and for a file name
 _LETTERS = re.compile(r"[a-z]+")
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
+@functools.lru_cache(16)
+def _run(least: int) -> re.Pattern:
+    return re.compile(rf"[A-Za-z0-9+/_\-]{{{least},}}={{0,2}}")
+
+
+def candidates(text: str, least_run: int = LEAST_RUN) -> list[tuple[int, int, str]]:
     """(start, end, rule), in order and without overlaps."""
     found = []
     if "=" in text or ":" in text:
         found += [(m.start(1), m.end(1), "assigned") for m in _ASSIGNED.finditer(text)]
-    if _DIGIT.search(text):
-        found += [(m.start(), m.end(), "run") for m in _RUN.finditer(text) if _DIGIT.search(m[0])]
+    found += [
+        (m.start(), m.end(), "run") for m in _run(least_run).finditer(text) if _DIGIT.search(m[0]) or len(_CASES.findall(m[0])) >= 4
+    ]
     if "-----BEGIN" in text or "eyJ" in text:
         found += [(m.start(), m.end(), "run") for m in _KNOWN.finditer(text)]
     out: list[tuple[int, int, str]] = []
@@ -72,24 +85,32 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, next((n for n, p in _RULES if p.fullmatch(text[s:e])), rule)) for s, e, rule in out]
 
 
-def dictionary(model_file: str | None) -> frozenset[str]:
+class Words(frozenset):
+    """A dictionary that knows its longest word."""
+
+    @property
+    def longest(self) -> int:
+        return max(map(len, self), default=0)
+
+
+def dictionary(model_file: str | None) -> Words:
     """Words of at least 4 letters of a public vocabulary."""
     if not model_file:
-        return frozenset()
+        return Words()
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=model_file)
     words = (lib.id_to_piece(i).lstrip("▁").lower() for i in range(lib.get_piece_size()))
-    return frozenset(w for w in words if len(w) >= 4 and w.isalpha() and w.isascii())
+    return Words(w for w in words if len(w) >= 4 and w.isalpha() and w.isascii())
 
 
-def coverage(value: str, words: frozenset[str]) -> float:
+def coverage(value: str, words: frozenset[str], longest: int) -> float:
     """Share of the characters covered by dictionary words, longest first."""
     low, i, covered = value.lower(), 0, 0
     if not low or not words:
         return 0.0
     while i < len(low):
-        for n in range(min(14, len(low) - i), 3, -1):
+        for n in range(min(longest, len(low) - i), 3, -1):
             if low[i : i + n] in words:
                 covered += n
                 i += n
@@ -99,11 +120,17 @@ def coverage(value: str, words: frozenset[str]) -> float:
     return covered / len(low)
 
 
+def path_of(path: str | None, before: str) -> str:
+    """The row's path and the last file name in the text before."""
+    named = _FILE.findall(before)
+    return " ".join(x for x in (path, named[-1] if named else None) if x)
+
+
 _CLASS = {c: k for k, cs in enumerate((string.ascii_lowercase, string.ascii_uppercase, string.digits)) for c in cs}
-FEATURES = 27
+FEATURES = 29
 
 
-def features(value: str, before: str, after: str, path: str | None, words: frozenset[str]) -> list[float]:
+def features(value: str, before: str, after: str, path: str | None, words: frozenset[str], longest: int = 16) -> list[float]:
     n = max(len(value), 1)
     kinds = [_CLASS.get(c, 3) for c in value]
     moves = np.zeros(16)
@@ -123,11 +150,13 @@ def features(value: str, before: str, after: str, path: str | None, words: froze
         sum(a != b for a, b in zip(kinds, kinds[1:])) / n, float(-(p * np.log2(p)).sum()), len(counts) / n, step,
         kinds.count(2) / n, kinds.count(1) / n, kinds.count(3) / n,
         float(all(c in "0123456789abcdef" for c in low)), float(low.isdigit()),
-        coverage(value, words), float(value[:1] in "$<{%" or "${" in value),
+        coverage(value, words, longest), float(value[:1] in "$<{%" or "${" in value),
         float(any(w in close[-2:] for w in _GOOD) or any(w in x for x in close[-2:] for w in _GOOD[:7])),
         float(sum(w in near for w in _GOOD)), float(sum(w in near for w in _BAD)),
         float(any(w in where for w in _BAD_PATH)), float(any(w in low for w in ("example", "sample", "test", "changeme", "your", "xxxx", "dummy"))),
         float(before.rstrip(" \"'").endswith(("=", ":"))),
+        float(any(w in _NOT for w in close[-3:])),
+        max((n for n in (len(x) for x in _LETTERS.findall(low))), default=0) / n,
     ]
 
 
@@ -147,7 +176,7 @@ def labelled_findings(n: int = 2400, seed: int = 5) -> list[tuple[str, str, str,
     hexa, b64 = "0123456789abcdef", string.ascii_letters + string.digits
     names = ["token", "api_key", "secret", "password", "passwd", "access_token", "client_secret", "auth_token", "db_password", "SECRET_KEY", "apiKey"]
     out = []
-    for _ in range(n // 2):
+    for _ in range(n * 2 // 5):
         kind = r.randrange(8)
         name, op, quote = r.choice(names), r.choice([" = ", "=", ": ", ":", " := "]), r.choice(['"', "'", ""])
         before, after = f"{prose(4)} {name}{op}{quote}", f"{quote} {prose(3)}"
@@ -175,9 +204,11 @@ def labelled_findings(n: int = 2400, seed: int = 5) -> list[tuple[str, str, str,
             value = "eyJ" + pick(b64, 20) + "." + pick(b64 + "_-", 40) + "." + pick(b64 + "_-", 43)
             if r.random() < 0.5:
                 before, after = "Authorization: Bearer ", " " + prose(2)
+        if kind in (0, 1, 5, 6) and r.random() < 0.25:  # told in prose
+            before, after = f"{prose(3)} {r.choice(['the api key is', 'my password is', 'use the token', 'login with password', 'secret key', 'access token'])} ", f" {prose(3)}"
         out.append((value, before, after, r.choice(["src/app.py", "config/prod.env", "web/page.html", ""]), 1))
-    for _ in range(n - n // 2):
-        kind = r.randrange(11)
+    for _ in range(n - n * 2 // 5):
+        kind = r.randrange(16)
         name, op, quote = r.choice(names), r.choice([" = ", "=", ": "]), r.choice(['"', "'", ""])
         before, after, path = f"{prose(4)} ", f" {prose(4)}", r.choice(["src/app.py", "docs/guide.md", "package-lock.json", "tests/test_app.py", ""])
         if kind == 0:
@@ -204,9 +235,24 @@ def labelled_findings(n: int = 2400, seed: int = 5) -> list[tuple[str, str, str,
             before = f"{prose(3)} {name}{op}"
         elif kind == 9:
             value, before = "sha512-" + pick(b64 + "+/", 86) + "==", f"{prose(2)} integrity: {quote}"
-        else:
+        elif kind == 10:
             value = word(3) if r.random() < 0.6 else word(2) + "," + word(2)
             before = f"{prose(3)} {name}{op}"
+        elif kind in (11, 12):  # names that speak of keys, values that are none
+            value = r.choice([pick(hexa, 32), pick(hexa, 40), pick(hexa, 64), pick(b64 + "+/", 44), "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12))])
+            named = r.choice(["cache_key", "token_hash", "key_sha256", "key_fingerprint", "idempotency_key", "public_key", "password_md5", "etag_key", "authority_id", "key_id", "token_digest", "sort_key", "partition_key", "author_id"])
+            before = f"{prose(3)} {named}{op}{quote}"
+        elif kind == 13:
+            value = r.choice([pick(string.digits, r.randint(6, 10)), word(2) + "-" + word(2), word(2) + "_" + word(1) + pick(string.digits, 2), word(1) + "." + word(2)])
+            named = r.choice(["token_count", "tokens_limit", "primary_key", "foreign_key", "keyboard_type", "tokenizer", "author", "authors", "keywords", "secretary", "token_type", "key_length", "keyword_index"])
+            before = f"{prose(3)} {named}{op}{quote}"
+        elif kind == 14:  # keys of documentation and runs that only look random
+            value = r.choice(["AKIA" + pick(string.ascii_uppercase, 9) + "EXAMPLE", "0123456789abcdef" * 2, pick("0", 20) + "1", "abcdefghijklmnop1234", "deadbeef" * r.randint(2, 5), "sk_test_" + "x" * 20, "a1b2c3d4e5f6a1b2c3d4", "xxxx-xxxx-xxxx-1234"])
+            before, path = f"{prose(3)} {name}{op}{quote}", r.choice([path, "docs/example.md", "tests/fixtures.json"])
+        else:  # identifiers with changes of case
+            value = word(1) + "".join(word(r.randint(1, 2)).capitalize() for _ in range(5))
+            if r.random() < 0.4:
+                before = f"{prose(3)} {name}{op}"
         out.append((value, before, after, path, 0))
     return out
 
@@ -265,7 +311,8 @@ class Forest:
 
 
 def train(labelled: list[tuple[str, str, str, str, int]], words: frozenset[str]) -> Forest:
-    x = np.array([features(v, b, a, p, words) for v, b, a, p, _ in labelled])
+    longest = max(map(len, words), default=0)
+    x = np.array([features(v, b, a, path_of(p, b), words, longest) for v, b, a, p, _ in labelled])
     return Forest().fit(x, np.array([float(t[4]) for t in labelled]))
 
 
@@ -273,11 +320,11 @@ _SCHEMA = "doc_id long, finding long, rule string, first_char long, end_char lon
 
 
 def scan_secrets(docs: DataFrame, *, model_file: str | None = None, labelled: list | None = None, id_col: str = "doc_id", text_col: str = "text",
-                 path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
+                 path_col: str | None = None, threshold: float = 0.5, least_run: int = LEAST_RUN) -> DataFrame:
     """One row for each candidate: its place, rule, hash, score and verdict.  The
     secret itself is never in the result."""
     words = dictionary(model_file)
-    forest = train(labelled if labelled is not None else labelled_findings(), words)
+    forest, longest = train(labelled if labelled is not None else labelled_findings(), words), words.longest
 
     def run(batches):
         import pandas as pd
@@ -286,10 +333,10 @@ def scan_secrets(docs: DataFrame, *, model_file: str | None = None, labelled: li
         for pdf in batches:
             found, x = [], []
             for key, text, path in zip(id_longs(pdf["__id"]), pdf["__text"].tolist(), pdf["__path"].tolist()):
-                for k, (s, e, rule) in enumerate(candidates(text or "")):
+                for k, (s, e, rule) in enumerate(candidates(text or "", least_run)):
                     value = text[s:e]
                     found.append([key, k, rule, s, e, hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()])
-                    x.append(features(value, text[max(0, s - AROUND) : s], text[e : e + AROUND], path, words))
+                    x.append(features(value, text[max(0, s - AROUND) : s], text[e : e + AROUND], path_of(path, text[max(0, s - FAR) : s]), words, longest))
             score = forest.scores(np.array(x).reshape(-1, FEATURES))
             out = pd.DataFrame([[*f, float(p), bool(p >= threshold)] for f, p in zip(found, score)], columns=names)
             out["doc_id"] = pd.array(out["doc_id"].tolist(), dtype="Int64")
