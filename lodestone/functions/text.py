@@ -55,6 +55,16 @@ def iso_instant(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def pretty_json(**values: Column) -> Column:
+    """An object of strings as JSON of several lines, two blanks deep."""
+    def plain(c: Column) -> Column:
+        one = F.to_json(F.array(c.cast("string")))
+        return F.substring(one, F.lit(2), F.length(one) - 2)
+
+    rows = [F.concat(F.lit(f'  "{n}": '), plain(c)) for n, c in values.items()]
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *rows), F.lit("\n}"))
+
+
 def rule_line(n: int = 80) -> Column:
     return F.repeat(F.lit("-"), F.lit(n))
 

@@ -58,6 +58,15 @@ def corpus_sources(docs: DataFrame) -> DataFrame:
     return named.select(F.coalesce("type", F.lit("unknown")).alias("type"), "source")
 
 
+def rank_by(rows: DataFrame, value: str, name: str = "place") -> DataFrame:
+    """The rank of each row by a whole number, largest first, equal ones alike.
+    Ranks come from the rows of each value, so only distinct values meet in one
+    task: counts that add up to n have at most about sqrt(2 n)."""
+    values = rows.groupBy(value).agg(F.count("*").alias("__n"))
+    above = F.sum("__n").over(Window.orderBy(F.desc(value))) - F.col("__n")
+    return rows.join(values.select(value, (above + 1).cast("long").alias(name)), value)
+
+
 def number(rows: DataFrame, *order: str, name: str = "index") -> DataFrame:
     """Consecutive numbers from 0 in a given order, without one task for all: a
     range partitioning, counts of its partitions, and a number in each.  The

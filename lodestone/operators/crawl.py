@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import extract_page
+from .corpus import number
 
 
 def crawl(spark: SparkSession, start: str, fetch: Callable[[DataFrame], DataFrame], max_pages: int = 50, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -33,9 +34,9 @@ def crawl(spark: SparkSession, start: str, fetch: Callable[[DataFrame], DataFram
         n += found
         links = got.select("place", F.posexplode("page.links").alias("k", "link")).select("place", "k", F.col("link.url").alias("url"))
         links = links.groupBy("url").agg(F.min(F.struct("place", "k")).alias("first")).join(queued, "url", "left_anti")
-        # no more than could still be visited, were every page fine; failures only shorten
-        new = links.select("url", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("place"))
-        frontier = keep(new)
+        # every link may still be needed, since pages fail: numbered without one task for all
+        new = number(links.select("url", "first.place", "first.k"), "place", "k", name="__place")
+        frontier = keep(new.select("url", F.col("__place").alias("place")))
         queued = keep(queued.unionByName(frontier.select("url")))
         if frontier.isEmpty():
             break

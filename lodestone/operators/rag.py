@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ SYSTEM = "You are a support assistant. Use only the context provided. Always cit
 #: The answers without an index and without a hit.
 NOT_AVAILABLE = "Sorry, the knowledge base is not available. Please try again later."
 NOT_FOUND = "I couldn't find relevant information in the knowledge base to answer your question."
+FAILED = "Sorry, I encountered an error while processing your question: "
 
 
 def context(hits: DataFrame, query_col: str = "query_id") -> DataFrame:
@@ -38,12 +40,32 @@ def extractive(context: Column, sources: Column) -> Column:
     return F.concat(F.substring(context, 1, 300), F.lit("\n\nSources: "), F.array_join(sources, ", "))
 
 
+def guarded(generate: Callable[[str, list[str]], str]) -> Callable[[Column, Column], Column]:
+    """A generator made of a Python function (a model client, say) of context and
+    sources.  Where it raises, the row's answer is the fixed error text, and
+    ``answer`` gives it no sources; the job goes on."""
+
+    @F.pandas_udf("string")
+    def run(context: pd.Series, sources: pd.Series) -> pd.Series:
+        out = []
+        for c, s in zip(context, sources):
+            try:
+                out.append(None if c is None else generate(c, list(s)))
+            except Exception as e:  # noqa: BLE001  the message is the answer
+                out.append(f"{FAILED}{e}")
+        return pd.Series(out)
+
+    return run
+
+
 def answer(queries: DataFrame, contexts: DataFrame | None, generate: Callable[[Column, Column], Column] = extractive, query_col: str = "query_id") -> DataFrame:
     """``queries`` with answer and sources: from the index's context, or the two
-    fixed answers for no index and for no hit."""
+    fixed answers for no index and for no hit.  A failed generation has no sources."""
     none = F.array().cast("array<string>")
     if contexts is None:
         return queries.withColumn("answer", F.lit(NOT_AVAILABLE)).withColumn("sources", none)
     out = queries.join(contexts, query_col, "left")
     made = F.when(F.col("context").isNull(), F.lit(NOT_FOUND)).otherwise(generate(F.col("context"), F.col("sources")))
-    return out.withColumn("answer", made).withColumn("sources", F.coalesce("sources", none)).drop("context")
+    out = out.withColumn("answer", made)
+    given = F.when(F.startswith("answer", F.lit(FAILED)), none).otherwise(F.coalesce("sources", none))
+    return out.withColumn("sources", given).drop("context")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import or_default
+from ..functions.triage import reply
 from .corpus import number
 
 
@@ -52,6 +53,24 @@ def update(tickets: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.select(*[(F.coalesce(new[c], F.col(f"t.{c}")) if c in new else F.col(f"t.{c}")).alias(c) for c in tickets.columns])
 
 
+def clear(tickets: DataFrame) -> DataFrame:
+    """No tickets, in the same columns; numbers start from 1 again."""
+    return tickets.where(F.lit(False))
+
+
+#: Topic, sentiment and priority of the demo tickets, in order.
+DEMO = [
+    ("Login Issue", "Negative", "High"), ("Feature Request", "Positive", "Low"), ("Data Export", "Neutral", "Medium"), ("Billing Question", "Neutral", "Medium"),
+    ("Performance Issue", "Negative", "High"), ("Integration Help", "Neutral", "Medium"), ("Account Setup", "Positive", "Low"), ("Data Security", "Neutral", "High"),
+]
+
+
+def demo(spark, year: int = 2024) -> DataFrame:
+    """The demo tickets; their responses are this project's canned replies."""
+    rows = spark.createDataFrame([(i, *row) for i, row in enumerate(DEMO, 1)], "id long, topic string, sentiment string, priority string")
+    return rows.select("id", ticket_number(F.col("id"), F.lit(year)).alias("ticket_number"), "topic", "sentiment", "priority", reply(F.col("topic")).alias("response"))
+
+
 def newest_first(tickets: DataFrame) -> DataFrame:
     """With the display number: 1 for the newest."""
     total = tickets.count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -88,22 +88,30 @@ def _corpus(spark, sf_dir):
         return rows.select(*[given[n].cast(kinds[n]).alias(n) for n in given])
 
     docs = _table(spark, sf_dir, "documents")
-    pages = _table(spark, sf_dir, "pages")
+    pages = _pages(spark, sf_dir)
     bench = _table(spark, sf_dir, "benchmark")
-    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
     return corpus.union_documents(
         part(docs, source=F.concat(F.lit("doc/"), F.col("doc_id")), content=F.col("text"), type=F.lit("existing_data")),
         part(
-            pages, source=F.concat(F.lit("product_docs/"), F.col("url")), content=F.regexp_extract("html", "<h1>(.*?)</h1>", 1), type=F.lit("product_docs"), title=title,
-            sections=F.array(F.struct(F.lit(1).alias("level"), title.alias("text"))), code_blocks=F.array(F.col("url")),
+            pages, source=F.concat(F.lit("product_docs/"), F.col("url")), content=F.col("p.content"), type=F.lit("product_docs"), title=F.col("p.title"),
+            sections=F.col("p.sections"), code_blocks=F.col("p.code_blocks"),
         ),
         part(bench, source=F.concat(F.lit("bench/"), F.col("item_id")), content=F.col("text"), type=F.lit("uploaded_file")),
     )
 
 
-_CORPUS_SQL = """corpus AS (
-  SELECT 'doc/' || doc_id AS source, text AS content, 'existing_data' AS type, NULL::VARCHAR AS title, NULL::VARCHAR AS code FROM documents
-  UNION ALL SELECT 'product_docs/' || url, regexp_extract(html, '<h1>(.*?)</h1>', 1), 'product_docs', regexp_extract(html, '<title>(.*?)</title>', 1), url FROM pages
+_UNESCAPED = "regexp_replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;?', '&', 'g')"
+_CLEAN = "regexp_replace(trim(regexp_replace({}, '\\s+', ' ', 'g')), '(?i)(Skip to main content|Table of contents|Navigation|Menu)', '', 'g')"
+
+
+def _tag_sql(tag: str) -> str:
+    return _CLEAN.format(_UNESCAPED.format(f"regexp_extract(html, '<{tag}>(.*?)</{tag}>', 1, 's')"))
+
+
+_CONTENT_SQL = _CLEAN.format(_UNESCAPED.format("regexp_replace(regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's'), '<[^>]*>', '', 'g')"))
+_CORPUS_SQL = f"""corpus AS (
+  SELECT 'doc/' || doc_id AS source, text AS content, 'existing_data' AS type, NULL::VARCHAR AS title, NULL::VARCHAR AS heading FROM documents
+  UNION ALL SELECT 'product_docs/' || url, {_CONTENT_SQL}, 'product_docs', {_tag_sql('title')}, {_tag_sql('h1')} FROM pages
   UNION ALL SELECT 'bench/' || item_id, text, 'uploaded_file', NULL, NULL FROM benchmark)"""
 
 
@@ -190,7 +198,7 @@ def knn_lookup(spark, sf_dir):
 
 
 def index_stats(spark, sf_dir):
-    return _table(spark, sf_dir, "embeddings").agg(F.count("*").alias("total_documents"), F.max(F.size("embedding")).cast("long").alias("dimension"), (F.count("*") > 0).alias("index_loaded"))
+    return retrieval.index_summary(_table(spark, sf_dir, "embeddings"))
 
 
 def _contexts(spark, sf_dir):
@@ -234,7 +242,7 @@ def classify_documents(spark, sf_dir):
 def canned_reply(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").where("role = 'user'")
     topic = G.classify_rules(F.col("text"))["topic"]
-    return turns.select("conv_id", "turn", F.length(G.reply(topic)).cast("long").alias("reply_chars"))
+    return turns.select("conv_id", "turn", G.reply(topic).alias("reply"))
 
 
 def classify_json(spark, sf_dir):
@@ -313,7 +321,9 @@ _MOOD_SQL = (
 _PRIORITY_SQL = _rule_sql(lambda r: r[3], G.DEFAULT[2])
 _TICKETS_SQL = f"""tickets AS (
   SELECT conv_id * 1000 + turn AS id, text AS query, CASE WHEN turn % 5 <> 0 THEN {_TOPIC_SQL} ELSE 'General Inquiry' END AS topic, {_MOOD_SQL} AS sentiment,
-    CASE WHEN turn % 7 = 0 THEN 'P3' ELSE {_PRIORITY_SQL} END AS priority, 'No response generated' AS response, 'Resolved' AS status,
+    CASE WHEN turn % 7 = 0 THEN 'P3' ELSE {_PRIORITY_SQL} END AS priority,     'No response generated' AS response, 'Resolved' AS status,
+    '{{"query":' || to_json(text) || ',"analysis":{{' || CASE WHEN turn % 5 <> 0 THEN '"topic":' || to_json({_TOPIC_SQL}) || ',' ELSE '' END || '"sentiment":' || to_json({_MOOD_SQL}) || ',"priority":'
+      || CASE WHEN turn % 7 = 0 THEN '""' ELSE to_json({_PRIORITY_SQL}) END || '}}}}' AS full_response,
     TIMESTAMP '2024-01-01 00:00:00' + to_minutes(conv_id) + to_seconds(turn) AS created_at,
     row_number() OVER (ORDER BY TIMESTAMP '2024-01-01 00:00:00' + to_minutes(conv_id) + to_seconds(turn), conv_id * 1000 + turn) AS n
   FROM conversations WHERE role = 'user')"""
@@ -321,7 +331,7 @@ _CREATED = "yyyy-MM-dd HH:mm:ss"
 
 
 def ticket_create(spark, sf_dir):
-    return _tickets(spark, sf_dir).select("id", "ticket_number", "topic", "sentiment", "priority", "response", "status", X.iso_instant(F.col("created_at")).alias("created_at"), F.size("sources").cast("long").alias("n_sources"))
+    return _tickets(spark, sf_dir).select("id", "ticket_number", "topic", "sentiment", "priority", "response", "status", "full_response", X.iso_instant(F.col("created_at")).alias("created_at"), F.size("sources").cast("long").alias("n_sources"))
 
 
 def ticket_stats(spark, sf_dir):
@@ -368,7 +378,7 @@ def _logs(spark, sf_dir):
 
 
 def log_tail(spark, sf_dir):
-    return logs.tail(_logs(spark, sf_dir)).select("id", "level", "type", F.date_format("ts", "HH:mm:ss").alias("at"))
+    return logs.tail(_logs(spark, sf_dir)).select("id", "level", "type", X.clock(F.col("ts")).alias("at"))
 
 
 def log_tail_by_user(spark, sf_dir):
@@ -475,10 +485,37 @@ def stream_log_counts(spark, sf_dir):
 def site_rank(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select("page_id", U.authority(F.col("url")).alias("site"))
     counts = pages.groupBy("site").agg(F.count("*").alias("n"))
-    return counts.select("site", "n", F.rank().over(Window.orderBy(F.desc("n"))).cast("long").alias("place"))
+    return corpus.rank_by(counts, "n").select("site", "n", "place")
+
+
+def _index(spark, sf_dir):
+    """An index of the whole corpus, and the benchmark's documents."""
+    import uuid
+
+    path = f"{work_dir(spark)}/lodestone/index-{uuid.uuid4().hex}"
+    docs = _corpus(spark, sf_dir)
+    jobs.build_index(docs, path)
+    asked = corpus.rendered(docs.where("type = 'uploaded_file'")).select(F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("query_id"), F.col("text").alias("query"))
+    return path, asked
 
 
 def answer_flow(spark, sf_dir):
+    """Questions through a classifier, routes, fixed answers and retrieval from an
+    index of the whole corpus.  Each asks in the words of a benchmark document, and
+    its topic and priority go by its number, so that all routes are taken."""
+    path, asked = _index(spark, sf_dir)
+    number = F.regexp_extract("query", r"Source: bench/(\d+) ", 1).cast("long")
+
+    def model(query):
+        n = F.regexp_extract(query, r"Source: bench/(\d+) ", 1).cast("long")
+        topic = F.element_at(F.array(*[F.lit(t) for t in _TOPIC_OF]), (n % 10 + 1).cast("int"))
+        return F.to_json(F.struct(topic.alias("topic"), F.lit("Curious").alias("sentiment"), F.concat(F.lit("P"), (n % 3).cast("string")).alias("priority")))
+
+    out = jobs.answer_queries(spark, path, asked.where(number.isNotNull()), model, k=1)
+    return out.select("query_id", "analysis.topic", "answer", F.array_join("sources", ",").alias("sources"))
+
+
+def rule_flow(spark, sf_dir):
     """Every user turn through rules, routes and the fixed answers; nothing is
     eligible for retrieval under rule topics, so no index is read."""
     turns = _table(spark, sf_dir, "conversations").where("role = 'user'")
@@ -487,6 +524,17 @@ def answer_flow(spark, sf_dir):
     return out.select("query_id", "answer", F.size("sources").cast("long").alias("n_sources"))
 
 
+def failing_answers(spark, sf_dir):
+    """Questions whose generator fails for every third context."""
+    def generate(context, sources):
+        if len(context) % 3 == 0:
+            raise ValueError(f"no answer of {len(context)} characters")
+        return context[:50]
+
+    out = rag.answer(_questions(spark, sf_dir), _contexts(spark, sf_dir), rag.guarded(generate))
+    return out.select("query_id", "answer", F.size("sources").cast("long").alias("n_sources"))
+
+
 #: A small site for the crawl: a cycle, repeated links, a failing page.
 _SITE = [
     ("https://s.com/", '<title>home</title><main><a href="/a">a</a><a href="/b">b</a><a href="/a">again</a></main>'),
@@ -521,29 +569,116 @@ def ingest_files(spark, sf_dir):
 
 
 def index_job(spark, sf_dir):
-    """Render, chunk, embed and write the benchmark items, then ask for each."""
-    import uuid
-
-    path = f"{work_dir(spark)}/lodestone/index-{uuid.uuid4().hex}"
-    bench = _table(spark, sf_dir, "benchmark")
-    docs = readers.as_documents(bench, source=F.concat(F.lit("bench/"), F.col("item_id")), content=F.col("text"), kind="uploaded_file")
-    jobs.build_index(docs, path)
-    asked = corpus.rendered(docs.withColumn("item_id", F.regexp_extract("source", r"(\d+)$", 1).cast("long"))).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    """Render, embed and write the whole corpus, then ask for each benchmark item."""
+    path, asked = _index(spark, sf_dir)
     hits = jobs.retrieve(spark, path, asked, 1)
     return hits.select("query_id", "source", F.round("score", 4).alias("score"))
 
 
-def stream_ticket_numbers(spark, sf_dir):
-    """Purchases numbered by a stream with one counter for each year."""
+def _fresh(spark, name):
     import uuid
 
-    state.enable_state(spark)
+    return f"{work_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+
+
+def index_rebuild(spark, sf_dir):
+    """An index that is there stays, unless a rebuild is forced, which replaces it
+    as a whole."""
+    path, bench = _fresh(spark, "rebuilt"), _corpus(spark, sf_dir).where("type = 'uploaded_file'")
+    docs = _corpus(spark, sf_dir).where("type <> 'product_docs'")
+    steps = [jobs.build_index(bench, path), jobs.build_index(docs, path), jobs.build_index(docs, path, force=True)]
+    return spark.createDataFrame([(i, s["total_documents"], s["built"]) for i, s in enumerate(steps)], "step long, total_documents long, built boolean")
+
+
+def file_readers(spark, sf_dir):
+    """The benchmark as one text file, through the readers of text folders, of a
+    static file and of uploads."""
+    folder = _fresh(spark, "files")
+    _table(spark, sf_dir, "benchmark").orderBy("item_id").select("text").coalesce(1).write.text(folder)
+    a = readers.read_text_files(spark, folder).select(F.lit("folder").alias("reader"), "text")
+    b = readers.read_existing(spark, f"{folder}/*.txt").select(F.lit("file").alias("reader"), F.col("content").alias("text"))
+    c = readers.read_uploads(spark, folder).select(F.lit("uploads").alias("reader"), F.col("content").alias("text"))
+    none = readers.read_text_files(spark, folder, "*.md").select(F.lit("suffix").alias("reader"), "text")
+    return a.unionByName(b).unionByName(c).unionByName(none)
+
+
+def saved_pages(spark, sf_dir):
+    """Extracted pages saved as JSON lines and as text, and the JSON read back."""
+    folder = _fresh(spark, "pages")
+    pages = _pages(spark, sf_dir).select(F.col("page_id").alias("position"), "p.*")
+    readers.write_pages(pages, f"{folder}/json", f"{folder}/text")
+    back = readers.read_scraped(spark, f"{folder}/json", "product_docs", lines=True)
+    text = spark.read.text(f"{folder}/text").where(F.startswith("value", F.lit("URL: ")))
+    urls = text.select(F.substring("value", 6, 1 << 20).alias("url")).groupBy("url").agg(F.count("*").alias("n_saved"))
+    out = back.withColumn("url", F.regexp_replace("source", "^product_docs/", "")).join(urls, "url", "left")
+    return out.select("source", "title", "content", F.size("sections").cast("long").alias("n_sections"), "n_saved")
+
+
+def crawl_sites(spark, sf_dir):
+    """Two sites, the second failing at its second page, with counts by kind."""
+    other = [("https://t.com/", '<title>t</title><main><a href="/lost">x</a><a href="/u">u</a></main>'), ("https://t.com/u", "<title>u</title><main>u</main>")]
+    pages = spark.createDataFrame(_SITE + other, "url string, html string")
+    out = jobs.crawl_sites(spark, {"docs": "https://s.com/", "developer": "https://t.com/"}, lambda f: f.join(pages, "url", "left"), 30, settle)
+    return out.groupBy("kind").agg(F.count("*").alias("n_pages"), F.max("position").cast("long").alias("last"))
+
+
+def _events(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    rows = stream.where("event_type = 'purchase'").select(F.year("ts").alias("year"), F.col("event_id").alias("id"))
-    base = f"{work_dir(spark)}/lodestone/numbers-{uuid.uuid4().hex}"
-    state.write_available(state.number_tickets(rows), f"{base}/out", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/out").select("id", tickets.ticket_number(F.col("n"), F.col("year")).alias("ticket_number"))
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def stream_log_tail(spark, sf_dir):
+    """The bounded log of each event type, kept by a stream."""
+    state.enable_state(spark)
+    rows = _events(spark, sf_dir).select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("props").alias("message"))
+    name = f"log_tail_{_fresh(spark, 'x').rsplit('-', 1)[1]}"
+    out = state.run_available(state.log_tail(rows), name, _fresh(spark, "tail"), "update")
+    return out.select("key", "place", "id", "message")
+
+
+def stream_attachments(spark, sf_dir):
+    """The state of each attachment after all its events, kept by a stream."""
+    state.enable_state(spark)
+    status = F.element_at(F.array(*[F.lit(s) for s in ("pending", "uploading", "success", "error")]), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
+    name = f"attachments_{_fresh(spark, 'x').rsplit('-', 1)[1]}"
+    return state.run_available(state.attachment_status(rows), name, _fresh(spark, "attachments"), "update").select("id", "status")
+
+
+def ticket_clear(spark, sf_dir):
+    """All tickets cleared, then those of even conversations made anew."""
+    rows = _tickets(spark, sf_dir)
+    turns = _table(spark, sf_dir, "conversations").where("role = 'user' AND conv_id % 2 = 0")
+    new = turns.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("query"), *[F.lit("").alias(c) for c in ("topic", "sentiment", "priority", "answer")],
+        F.lit(None).cast("array<string>").alias("sources"), F.lit("2024-05-01").cast("timestamp").alias("created_at"),
+    )
+    return tickets.clear(rows).unionByName(tickets.create(new)).select("id", "ticket_number", "topic")
+
+
+def demo_tickets(spark, sf_dir):
+    return tickets.demo(spark).select("id", "ticket_number", "topic", "sentiment", "priority")
+
+
+def chat_append(spark, sf_dir):
+    """User turns, with the assistant's appended as new messages."""
+    turns = _table(spark, sf_dir, "conversations")
+    old = turns.where("role = 'user'").select("conv_id", "role", "text")
+    new = turns.where("role <> 'user'").select("conv_id", "role")
+    return chat.append(old, new).groupBy("conv_id").agg(F.count("*").alias("n"), F.count("text").alias("n_texts"))
+
+
+def analysis_json(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", G.classify_rules(F.col("text")).alias("c"))
+    return turns.select("conv_id", "turn", X.pretty_json(topic=F.col("c.topic"), sentiment=F.col("c.sentiment"), priority=F.col("c.priority")).alias("shown"))
+
+
+def stream_ticket_numbers(spark, sf_dir):
+    """Purchases numbered by a stream with one counter for each year."""
+    rows = _events(spark, sf_dir).where("event_type = 'purchase'").select(F.year("ts").alias("year"), F.col("event_id").alias("id"))
+    base = _fresh(spark, "numbers")
+    out = state.number_stream(rows, f"{base}/out", f"{base}/checkpoint")
+    return out.select("id", tickets.ticket_number(F.col("n"), F.col("year")).alias("ticket_number"))
 
 
 #: Flagship: the answers to the first questions, from retrieved context.
@@ -556,11 +691,11 @@ corpus_union corpus_format corpus_stats corpus_by_type corpus_sources distinct_s
 knn_cosine_top2 knn_l2 knn_single knn_lookup index_stats rag_context rag_prompt rag_answer classify_rules classify_documents canned_reply classify_json
 route_tickets route_counts badge_map ticket_create ticket_stats ticket_serial ticket_filter_status ticket_filter_priority ticket_by_id ticket_delete
 ticket_update ticket_card log_tail log_tail_by_user log_by_type log_counts escalations query_events upload_validate mime_dispatch file_size_fmt
-attachment_latest stream_log_counts site_rank answer_flow crawl_bfs site_scan ingest_files index_job stream_ticket_numbers attach_files chat_update demo_scores rag_context_l2""".split()
+attachment_latest stream_log_counts site_rank answer_flow crawl_bfs site_scan ingest_files index_job stream_ticket_numbers attach_files chat_update demo_scores rag_context_l2
+rule_flow failing_answers index_rebuild file_readers saved_pages crawl_sites stream_log_tail stream_attachments ticket_clear demo_tickets chat_append
+analysis_json""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
-_UNESCAPED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&')"
-_CLEAN = "regexp_replace(trim(regexp_replace({}, '\\s+', ' ', 'g')), '(?i)(Skip to main content|Table of contents|Navigation|Menu)', '', 'g')"
 _AUTH = "nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), '')"
 _WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
 
@@ -585,7 +720,8 @@ _QUESTIONS = "questions AS (SELECT conv_id * 50 AS query_id, arg_min(text, turn)
 
 
 def _case(x: str, table: dict[str, str], default: str) -> str:
-    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{default}' END"
+    plain = lambda s: s.replace("'", "''")
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{plain(v)}'" for k, v in table.items()) + f" ELSE '{plain(default)}' END"
 
 
 _WAY = "CASE WHEN priority = 'P0' THEN 'escalate' WHEN topic IN ('How-to', 'Product', 'API/SDK', 'SSO', 'Best practices') THEN 'rag' ELSE 'team' END"
@@ -601,7 +737,7 @@ SELECT doc_id, st // 30 AS chunk_ix, doc_id || '#' || (st // 30) AS chunk_id, ar
     "doc_chunk_counts": f"SELECT doc_id, len({_WORDS})::BIGINT AS n_words, ceil(len({_WORDS}) / 30.0)::BIGINT AS n_chunks FROM documents",
     "text_preview": "SELECT doc_id, substring(text, 1, 100) || '...' AS head, substring(text, 1, 500) || '...' AS long_head FROM documents",
     "clean_text": f"SELECT doc_id, {_CLEAN.format('text')} AS text FROM documents",
-    "page_title": f"SELECT page_id, {_CLEAN.format(_UNESCAPED.format('''regexp_extract(html, '<title>(.*?)</title>', 1, 's')'''))} AS title FROM pages",
+    "page_title": f"SELECT page_id, {_tag_sql('title')} AS title FROM pages",
     "page_content": f"""WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's'), '<[^>]*>', '', 'g') AS t FROM pages)
 SELECT page_id, {_CLEAN.format(_UNESCAPED.format('t'))} AS content FROM a""",
     "page_sections": f"""WITH h AS (SELECT page_id, {_CLEAN.format(_UNESCAPED.format('''regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')'''))} AS text FROM pages)
@@ -614,10 +750,10 @@ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos,
     "valid_urls": f"""SELECT page_id, url, {_AUTH} AS authority, NOT regexp_matches(lower(url), '\\.(pdf|jpg|png|gif|css|js)') AND NOT contains(url, '#') AS valid,
   replace({_AUTH}, '.', '_') AS stem FROM pages""",
     "pages_per_site": f"SELECT {_AUTH} AS site, count(*) AS n_pages FROM pages GROUP BY 1",
-    "corpus_union": f"WITH {_CORPUS_SQL} SELECT source, content, type, title, CASE WHEN type = 'product_docs' THEN 1 ELSE 0 END::BIGINT AS n_sections FROM corpus",
+    "corpus_union": f"WITH {_CORPUS_SQL} SELECT source, content, type, title, CASE WHEN length(heading) > 3 THEN 1 ELSE 0 END::BIGINT AS n_sections FROM corpus",
     "corpus_format": f"""WITH {_CORPUS_SQL}
-SELECT source, concat_ws(chr(10) || chr(10), 'Title: ' || nullif(title, ''), 'Content: ' || nullif(content, ''), 'Sections:' || chr(10) || '# ' || nullif(title, ''),
-  'Code Examples:' || chr(10) || 'Code Block 1:' || chr(10) || '```' || chr(10) || code || chr(10) || '```', 'Source: ' || source || ' (Type: ' || type || ')') AS text FROM corpus""",
+SELECT source, concat_ws(chr(10) || chr(10), 'Title: ' || nullif(title, ''), 'Content: ' || nullif(content, ''), 'Sections:' || chr(10) || '# ' || CASE WHEN length(heading) > 3 THEN heading END,
+  'Source: ' || source || ' (Type: ' || type || ')') AS text FROM corpus""",
     "corpus_stats": f"WITH {_CORPUS_SQL} SELECT count(*) AS total_documents, coalesce(sum(length(content)), 0)::BIGINT AS total_content_length FROM corpus",
     "corpus_by_type": f"WITH {_CORPUS_SQL} SELECT type, count(*) AS n FROM corpus GROUP BY 1",
     "corpus_sources": f"WITH {_CORPUS_SQL} SELECT type, source FROM corpus WHERE source <> ''",
@@ -642,7 +778,7 @@ FROM questions LEFT JOIN ctx ON questions.query_id = ctx.query_id""",
     "classify_rules": f"""WITH c AS (SELECT conv_id, turn, {_TOPIC_SQL} AS topic, {_MOOD_SQL} AS sentiment, {_PRIORITY_SQL} AS priority FROM conversations)
 SELECT *, 'Query analyzed using natural language processing. Classified as ' || lower(topic) || ' with ' || lower(sentiment) || ' sentiment. Priority determined based on urgency indicators and topic classification.' AS details FROM c""",
     "classify_documents": f"SELECT {_TOPIC_SQL} AS topic, {_MOOD_SQL} AS sentiment, {_PRIORITY_SQL} AS priority, count(*) AS n FROM documents GROUP BY 1, 2, 3",
-    "canned_reply": f"SELECT conv_id, turn, {_case(_TOPIC_SQL, {k: str(len(v)) for k, v in G.REPLIES.items()}, '0')}::BIGINT AS reply_chars FROM conversations WHERE role = 'user'",
+    "canned_reply": f"SELECT conv_id, turn, {_case(_TOPIC_SQL, G.REPLIES, G.REPLIES[G.DEFAULT[0]])} AS reply FROM conversations WHERE role = 'user'",
     "classify_json": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Unknown' ELSE event_type END AS topic, CASE WHEN event_id % 3 = 0 THEN 'Neutral' ELSE 'Curious' END AS sentiment,
   CASE WHEN event_id % 3 = 0 THEN 'P2' ELSE 'P' || (event_id % 3) END AS priority FROM events""",
     "route_tickets": f"""WITH {_ANALYSED_SQL}, w AS (SELECT *, {_WAY} AS way FROM a)
@@ -656,7 +792,7 @@ SELECT priority, event_type, CASE priority WHEN 'P0' THEN 'red' WHEN 'P1' THEN '
   CASE upper(event_type) WHEN 'ERROR' THEN 'red' WHEN 'WARN' THEN 'yellow' WHEN 'INFO' THEN 'green' ELSE 'gray' END AS level_colour,
   CASE event_type WHEN 'error' THEN 'red' ELSE 'gray' END AS type_colour FROM d""",
     "ticket_create": f"""WITH {_TICKETS_SQL}
-SELECT id, printf('TKT-%d-%03d', 2024, n) AS ticket_number, topic, sentiment, priority, response, status, strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z') AS created_at, 0::BIGINT AS n_sources FROM tickets""",
+SELECT id, printf('TKT-%d-%03d', 2024, n) AS ticket_number, topic, sentiment, priority, response, status, full_response, strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z') AS created_at, 0::BIGINT AS n_sources FROM tickets""",
     "ticket_stats": f"""WITH {_TICKETS_SQL}
 SELECT CASE WHEN grouping(status) = 0 THEN 'status' WHEN grouping(priority) = 0 THEN 'priority' WHEN grouping(sentiment) = 0 THEN 'sentiment' ELSE 'total' END AS dimension,
   coalesce(status, priority, sentiment) AS value, count(*) AS n FROM tickets GROUP BY GROUPING SETS ((status), (priority), (sentiment), ())""",
@@ -685,7 +821,11 @@ SELECT doc_id, way, CASE way WHEN 'image' THEN 'Image file: ' || name || ' (OCR
 SELECT id, status, CASE status WHEN 'uploading' THEN 'spinner' WHEN 'success' THEN 'green' WHEN 'error' THEN 'red' ELSE 'gray' END AS mark FROM s""",
     "stream_log_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "site_rank": f"WITH c AS (SELECT {_AUTH} AS site, count(*) AS n FROM pages GROUP BY 1) SELECT site, n, rank() OVER (ORDER BY n DESC) AS place FROM c",
-    "answer_flow": f"""SELECT conv_id * 1000 + turn AS query_id, 'This ticket has been classified as ''' || {_TOPIC_SQL} || ''' and routed to the appropriate team.' AS answer, 0::BIGINT AS n_sources
+    "answer_flow": f"""WITH {_CORPUS_SQL}, b AS (SELECT item_id, [{", ".join(f"'{t}'" for t in _TOPIC_OF)}][item_id % 10 + 1] AS topic, 'P' || (item_id % 3) AS priority,
+  'Content: ' || text || chr(10) || chr(10) || 'Source: bench/' || item_id || ' (Type: uploaded_file)' AS text FROM benchmark), w AS (SELECT *, {_WAY} AS way FROM b)
+SELECT item_id AS query_id, topic, CASE way WHEN 'escalate' THEN '{G.ESCALATED}' WHEN 'team' THEN 'This ticket has been classified as ''' || topic || ''' and routed to the appropriate team.'
+  ELSE substring(text || chr(10) || '[source: bench/' || item_id || ']', 1, 300) || chr(10) || chr(10) || 'Sources: bench/' || item_id END AS answer, CASE WHEN way = 'rag' THEN 'bench/' || item_id ELSE '' END AS sources FROM w""",
+    "rule_flow": f"""SELECT conv_id * 1000 + turn AS query_id, 'This ticket has been classified as ''' || {_TOPIC_SQL} || ''' and routed to the appropriate team.' AS answer, 0::BIGINT AS n_sources
 FROM conversations WHERE role = 'user' AND trim(text) <> ''""",
     "crawl_bfs": """SELECT * FROM (VALUES (0::BIGINT, 'https://s.com/', 'home', 3::BIGINT), (1, 'https://s.com/a', 'a', 3), (2, 'https://s.com/b', 'b', 2), (3, 'https://s.com/c', 'c', 1),
   (4, 'https://s.com/d', 'd', 0)) v(position, url, title, n_links)""",
@@ -695,6 +835,26 @@ FROM conversations WHERE role = 'user' AND trim(text) <> ''""",
     "index_job": "SELECT item_id AS query_id, 'bench/' || item_id AS source, 1.0::DOUBLE AS score FROM benchmark",
     "stream_ticket_numbers": """SELECT event_id AS id, printf('TKT-%d-%03d', year(ts), row_number() OVER (PARTITION BY year(ts) ORDER BY event_id)) AS ticket_number
 FROM events WHERE event_type = 'purchase'""",
+    "failing_answers": f"""WITH {_CONTEXT}, {_QUESTIONS}
+SELECT questions.query_id, CASE WHEN context IS NULL THEN 'I couldn''t find relevant information in the knowledge base to answer your question.'
+  WHEN length(context) % 3 = 0 THEN 'Sorry, I encountered an error while processing your question: no answer of ' || length(context) || ' characters' ELSE substring(context, 1, 50) END AS answer,
+  CASE WHEN context IS NULL OR length(context) % 3 = 0 THEN 0 ELSE len(sources) END::BIGINT AS n_sources FROM questions LEFT JOIN ctx ON questions.query_id = ctx.query_id""",
+    "index_rebuild": """SELECT * FROM (SELECT 0::BIGINT AS step, count(*) AS total_documents, true AS built FROM benchmark UNION ALL SELECT 1, count(*), false FROM benchmark
+  UNION ALL SELECT 2, (SELECT count(*) FROM documents) + (SELECT count(*) FROM benchmark), true)""",
+    "file_readers": """WITH t AS (SELECT string_agg(text, chr(10) ORDER BY item_id) || chr(10) AS text FROM benchmark) SELECT reader, text FROM t, (VALUES ('folder'), ('file'), ('uploads')) r(reader)""",
+    "saved_pages": f"""SELECT 'product_docs/' || url AS source, {_tag_sql('title')} AS title, {_CONTENT_SQL} AS content, CASE WHEN length({_tag_sql('h1')}) > 3 THEN 1 ELSE 0 END::BIGINT AS n_sections,
+  count(*) OVER (PARTITION BY url) AS n_saved FROM pages""",
+    "crawl_sites": "SELECT * FROM (VALUES ('docs', 6::BIGINT, 5::BIGINT), ('developer', 2, 1)) v(kind, n_pages, last)",
+    "stream_log_tail": """SELECT key, place, id, message FROM (SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS place, event_id AS id, props AS message FROM events)
+WHERE place <= 51""",
+    "stream_attachments": """WITH e AS (SELECT user_id AS id, ts, ['pending', 'uploading', 'success', 'error'][event_id % 4 + 1] AS status FROM events)
+SELECT id, coalesce(arg_min(status, (ts, status)) FILTER (WHERE status IN ('success', 'error')), CASE WHEN bool_or(status = 'uploading') THEN 'uploading' ELSE 'pending' END) AS status FROM e GROUP BY id""",
+    "ticket_clear": """SELECT conv_id * 1000 + turn AS id, printf('TKT-2024-%03d', row_number() OVER (ORDER BY conv_id * 1000 + turn)) AS ticket_number, 'General Inquiry' AS topic
+FROM conversations WHERE role = 'user' AND conv_id % 2 = 0""",
+    "demo_tickets": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, 'TKT-2024-{i:03d}', '{t}', '{s}', '{p}')" for i, (t, s, p) in enumerate(tickets.DEMO, 1)) + ") v(id, ticket_number, topic, sentiment, priority)",
+    "chat_append": "SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'user' AND text IS NOT NULL) AS n_texts FROM conversations GROUP BY 1",
+    "analysis_json": f"""SELECT conv_id, turn, '{{' || chr(10) || '  "topic": ' || to_json({_TOPIC_SQL}) || ',' || chr(10) || '  "sentiment": ' || to_json({_MOOD_SQL}) || ',' || chr(10) || '  "priority": ' || to_json({_PRIORITY_SQL}) || chr(10) || '}}' AS shown
+FROM conversations""",
     "attach_files": f"""WITH {_FILES_SQL} SELECT doc_id AS id, 'pending' AS status, 0::BIGINT AS upload_progress, 'gray' AS mark FROM f
 WHERE size <= 10485760 AND content_type <> 'application/zip' AND doc_id <> 4""",
     "chat_update": """SELECT conv_id * 1000 + turn AS id, role, CASE WHEN role = 'assistant' AND conv_id % 2 = 0 THEN 'answer ' || conv_id

@@ -38,11 +38,12 @@ def read_existing(spark: SparkSession, path: str) -> DataFrame:
     return as_documents(rows, source=F.col("_metadata.file_name"), content=F.col("value"), kind="existing_data")
 
 
-def read_scraped(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Pages saved as a JSON array; their source is the kind and the URL."""
+def read_scraped(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
+    """Pages saved as a JSON array, or as JSON lines; their source is the kind and
+    the URL."""
     if not exists(spark, path):
         return empty(spark, DOCUMENT)
-    rows = spark.read.schema(PAGE).json(path, multiLine=True)
+    rows = spark.read.schema(PAGE).json(path, multiLine=not lines)
     return as_documents(
         rows, source=F.concat(F.lit(kind + "/"), F.col("url")), content=F.col("content"), kind=kind, title=F.col("title"),
         sections=F.coalesce("sections", F.array()), code_blocks=F.coalesce("code_blocks", F.array()),

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.corpus import number
 from ..operators.logs import KEPT
 from ..operators.retrieval import normalize
+from ..sources.readers import exists
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -75,8 +76,9 @@ class _Counter(StatefulProcessor):
 
 
 def number_tickets(requests: DataFrame) -> DataFrame:
-    """Consecutive numbers for requests (year, id) as they come; the counter of
-    a year is one state, so one year's numbers are given by one task."""
+    """Consecutive numbers for requests (year, id) as they come, as a stream; the
+    counter of a year is one state, so one year's numbers are given by one task.
+    ``number_stream`` is the form for many requests a batch."""
     return requests.select("year", "id").groupBy("year").transformWithStateInPandas(
         statefulProcessor=_Counter(), outputStructType="year int, id long, n long", outputMode="Append", timeMode="None"
     )
@@ -86,6 +88,31 @@ def number_tickets(requests: DataFrame) -> DataFrame:
 STATES = {"pending": 0, "uploading": 1, "success": 2, "error": 2}
 
 
+def number_stream(requests: DataFrame, path: str, checkpoint: str, order: str = "id") -> DataFrame:
+    """Consecutive numbers for requests (year, id) as they come, for years of any
+    size: a batch is numbered over many tasks, and only the last number of each
+    year is carried on, in a small table that each batch writes anew.  A repeated
+    batch overwrites its own folders.  Returns (year, id, n) of all batches."""
+    spark = requests.sparkSession
+
+    def add(batch: DataFrame, k: int) -> None:
+        rows = number(batch.select("year", order), "year", order, name="__n")
+        first = rows.groupBy("year").agg(F.min("__n").alias("__first"), F.count("*").alias("__count"))
+        before = f"{path}/last/batch={k - 1}"
+        if k and exists(spark, before):
+            last = spark.read.schema("year int, last long").parquet(before)
+        else:
+            last = spark.createDataFrame([], "year int, last long")
+        # a row for each year
+        first = first.join(last, "year", "full").select("year", "__first", "__count", F.coalesce("last", F.lit(0)).alias("last"))
+        first.select(F.col("year").cast("int"), (F.col("last") + F.coalesce("__count", F.lit(0))).alias("last")).write.mode("overwrite").parquet(f"{path}/last/batch={k}")
+        out = rows.join(F.broadcast(first.where("__count > 0")), "year").select(F.col("year").cast("int"), order, (F.col("last") + F.col("__n") - F.col("__first") + 1).alias("n"))
+        out.write.mode("overwrite").parquet(f"{path}/numbers/batch={k}")
+
+    requests.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/numbers").drop("batch")
+
+
 class _Attachment(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.now = handle.getValueState("status", "status string")

@@ -54,6 +54,71 @@ def test_top_k(spark):
     assert retrieval.top_k(index, q.where("query_id < 0"), 3).count() == 0
 
 
+def test_top_k_over_batches_and_blocks(spark, monkeypatch):
+    """Ties at the edge go by id, whatever batches and query blocks there are."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(0, 3, 4)]) for i in range(300)]
+    index = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(i, v) for i, v in rows[:20]], "query_id long, embedding array<float>")
+    want = sorted((q, i, sum((a - b) ** 2 for a, b in zip(v, w))) for q, v in rows[:20] for i, w in sorted(rows, key=lambda r: (sum((a - b) ** 2 for a, b in zip(v, r[1])), r[0]))[:7])
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 6)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "16")
+    try:
+        got = sorted((r.query_id, r.vec_id, r.score) for r in retrieval.top_k(index, queries, 7, "l2").collect())
+    finally:
+        spark.conf.set(key, old)
+    assert got == want
+
+
+def test_ranks_come_from_counts(spark):
+    rows = spark.createDataFrame([("a", 5), ("b", 3), ("c", 5), ("d", 1)], "site string, n long")
+    assert {r.site: r.place for r in corpus.rank_by(rows, "n").collect()} == {"a": 1, "c": 1, "b": 3, "d": 4}
+
+
+def test_pretty_json(spark):
+    got = spark.range(1).select(X.pretty_json(a=F.lit('x "y"'), b=F.lit(None)).alias("x")).first().x
+    assert got == json.dumps({"a": 'x "y"', "b": None}, indent=2)
+
+
+def test_failed_generations_are_answers(spark):
+    q = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "query_id long, query string")
+    hits = spark.createDataFrame([(1, 1, "good", "s"), (2, 1, "bad", "s")], "query_id long, rank int, text string, source string")
+
+    def generate(context, sources):
+        if context.startswith("bad"):
+            raise RuntimeError("model away")
+        return context.upper()
+
+    got = {r.query_id: (r.answer, r.sources) for r in rag.answer(q, rag.context(hits), rag.guarded(generate)).collect()}
+    assert got == {1: ("GOOD\n[SOURCE: S]", ["s"]), 2: (rag.FAILED + "model away", []), 3: (rag.NOT_FOUND, [])}
+
+
+def test_pdf_text(monkeypatch):
+    import sys
+    import types
+
+    monkeypatch.setitem(sys.modules, "pypdf", None)
+    assert uploads._pdf(b"%PDF") == uploads.NO_PDF
+    page = lambda t: types.SimpleNamespace(extract_text=lambda: t)
+    reader = lambda f: types.SimpleNamespace(pages=[page("one"), page(f.read().decode())])
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=reader))
+    assert uploads._pdf(b"two") == "one\ntwo\n"
+
+
+def test_no_local_work_folder_on_a_cluster():
+    import types
+
+    from lodestone.session import work_dir
+
+    cluster = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d: d), sparkContext=types.SimpleNamespace(getCheckpointDir=lambda: None, master="spark://x:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        work_dir(cluster)
+
+
 def test_norm_of_zero(spark):
     got = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<double>").select(retrieval.normalize(F.col("v")).alias("u")).collect()
     assert [r.u for r in got] == [[0.0, 0.0], [0.6, 0.8]]
