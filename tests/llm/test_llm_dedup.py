@@ -41,7 +41,7 @@ def line_docs():
     return out
 
 
-@pytest.mark.parametrize(("batches", "fanout"), [(1, 2), (2, 2), (5, 2), (4, 3)])
+@pytest.mark.parametrize(("batches", "fanout"), [(1, 2), (4, 2), (5, 3)])
 def test_lines(spark, batches, fanout):
     docs = line_docs()
     df = spark.createDataFrame(docs, "doc_id long, text string, key string").repartition(4)
@@ -50,8 +50,7 @@ def test_lines(spark, batches, fanout):
     assert set(got[0].asDict()) == {"doc_id", "text", "key", "n_lines", "n_dropped", "kept_text"}
 
 
-@pytest.mark.parametrize("far", [[2**60 + 3], [-(2**63), 2**63 - 1], [-(2**63), -5]])
-@pytest.mark.parametrize("batches", [2, 5])
+@pytest.mark.parametrize(("far", "batches"), [([2**60 + 3, 2**61 - 1, 2**61 - 2], 2), ([-(2**63), -(2**62), 2**62, 2**63 - 1], 4)])
 def test_lines_of_far_ids(spark, far, batches):
     docs = [(i, "\n".join(f"line {k} held by some " + "y" * 40 for k in (i % 7, 100 + i // 5, 200 + i // 4))) for i in [*range(101), *far]]
     got = lines.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), batches=batches).collect()
@@ -71,6 +70,18 @@ def test_runs_are_compacted(spark):
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     got = {r.h1: (r.n_docs, r.keeper) for r in runs.table().collect()}
     assert got[1] == (5, 100) and got[4] == (1, 98) and len(got) == 6
+    # runs meet runs without an exchange
+    merged = runs._merged([r for level in runs.levels for r in level])
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    runs.discard()
+    assert not runs.paths and lines.LineRuns(spark).table().count() == 0
+
+
+def test_many_lines_in_linear_time(spark):
+    """A text of 20,000 lines, nearly all of which go."""
+    text = "\n".join(f"line number {k % 7} that is long enough to take part" for k in range(20000))
+    got = lines.line_dedup(spark.createDataFrame([(i, text) for i in range(6)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in got) == [(i, 20000, 20000 if i < 5 else 0) for i in range(6)]
 
 
 def brute_sets(docs, n):
@@ -147,6 +158,19 @@ def test_near_duplicates_of_nothing(spark):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False)]
 
 
+def test_rows_of_one_id_go_by_their_own_text(spark):
+    a, b = "one two three four five six seven eight", "other words that stand for a text of their own"
+    docs = spark.createDataFrame([(5, a), (3, b), (5, b), (None, b), (7, None), (8, "")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in near.without_near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(5, a), (3, b), (None, b), (7, None), (8, "")], key=repr)
+
+
+def test_blocks_are_bounded(spark):
+    rows = [(1000, 10), (10, 1 << 20), (1, 1)]
+    n = [r[0] for r in spark.createDataFrame(rows, "n long, s long").select(near._chunks(near.F.col("n"), 128, near.F.col("s"))).collect()]
+    assert n == [8, 4, 1]
+
+
 def test_band_recall_at_the_threshold():
     rng, hasher, missed = np.random.default_rng(1), near.MinMax(), 0
     for _ in range(200):

@@ -17,10 +17,11 @@ from lodestone.llm import html_extract as html
 from lodestone.llm import quality_classifier as clf
 from lodestone.llm import quality_rules as rules
 from lodestone.llm import secret_scan as secrets
+from lodestone.llm import token_store as store
 from lodestone.llm import url_filter as urls
 
 P = pytest.importorskip("public_tokenizers")
-PIECE = P.path("piece_bpe_32k.model")
+PIECE, BYTE = P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.json")
 
 
 # ---- URL filters -----------------------------------------------------------
@@ -120,6 +121,77 @@ def test_template_by_host(spark):
     assert {x.page_id: x.text for x in got} == want
 
 
+def _neutral_site(r, host, n, teasers, lead="lead"):
+    """Pages whose classes say nothing: constant furniture, the text, and teasers
+    that differ from page to page."""
+    word = lambda k: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(r.randrange(9999)) for _ in range(k))
+    rows, want = [], {}
+    for _ in range(n):
+        k = len(rows)
+        title, body = word(4), [word(r.randint(20, 40)) for _ in range(r.randint(2, 5))]
+        beside = "".join(f'<div class="q3"><span>{word(5)}</span></div>' for _ in range(teasers))
+        again = r.choice(["Our readers like this week's offer", "Win a trip to the sea", "Only until Friday"])
+        rows.append((f"https://{host}/p{k}", page(
+            f'<div class="q1">Welcome to this site</div><div class="q2"><div class="{lead}"><h1>{title}</h1><p>Read more of this every day.</p>'
+            + "".join(f"<p>{b}</p>" for b in body) + f'<div class="q7">{again}</div></div><div class="q5">{beside}</div></div><div class="q9">All rights kept, {host}</div>')))
+        want[rows[-1][0]] = "\n".join([title, *body])
+    return rows, want
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_neutral_sites(spark, words):
+    """Without telling tags and classes only the template finds the text: no page
+    is right without it, and with it all are."""
+    r, rows, want = random.Random(3), [], {}
+    for host, n, teasers in (("a.com", 30, 0), ("b.com", 30, 3), ("c.com", 8, 2), ("d.com", 25, 1)):
+        own, texts = _neutral_site(r, host, n, teasers)
+        rows += own
+        want |= texts
+    rows.append(("https://a.com/none", None))  # pages that lack the frame don't break it
+    rows.append(("https://b.com/cut", "<!DOCTYPE html><html><head><title>"))
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {x.url: x.text for x in html.extract_main_text(df, words=words).collect()}
+    assert {u: got[u] for u in want} == want
+    assert not any(html.extract(h, None, words) == want[u] for u, h in rows if u in want)
+
+
+def test_registered_pages_without_their_tags(spark):
+    """The registered pages with article, nav, footer and class names made neutral:
+    the template still finds the text of nearly every page, rules alone of none."""
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    named = {}
+    name = lambda x: named.setdefault(x, f"{chr(97 + len(named))}q")
+
+    def plain(h):
+        h = re.sub(r'class="([^"]*)"', lambda m: f'class="{name(m[1])}"', h)
+        h = re.sub(r"<(article|nav|footer|aside|header|form|section)(?: class=\"[^\"]*\")?[^>]*>", lambda m: f'<div class="{name(m[1])}">', h)
+        return re.sub(r"</(?:article|nav|footer|aside|header|form|section)>", "</div>", h)
+
+    host = lambda u: re.match(r"\w+://([^/?#]+)", u)[1]
+    many = Counter(host(p.url) for p in pages)
+    rows = [(p.page_id, p.url, plain(p.html)) for p in pages if many[host(p.url)] >= 4]
+    want = {p.page_id: html.extract(p.html) for p in pages}
+    got = {x.page_id: x.text for x in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    right = sum(got[i] == want[i] for i, _, _ in rows)
+    alone = sum(html.extract(h) == want[i] for i, _, h in rows)
+    assert alone == 0 and right >= 0.95 * len(rows)
+
+
+def test_choice_of_slots():
+    # path, frame, varying, again, links, headings, blocks
+    slots = [
+        ("", True, 0, 0, 0, 0, 0), ("/a", True, 0, 0, 0, 0, 0), ("/a/b", True, 700, 20, 0, 0, 1), ("/a/b/h1", True, 50, 0, 0, 50, 1), ("/a/b/ad", True, 60, 60, 0, 0, 1),
+        ("/a/b/ul/li", False, 80, 0, 80, 0, 4.0), ("/a/c", True, 300, 0, 0, 0, 1), ("/menu", True, 40, 40, 40, 0, 5),
+    ]
+    assert html.choose(slots) == ("/a/b", ["/a/b/ad", "/a/b/ul/li"])
+    assert html.choose([("", True, 500, 0, 0, 0, 1)]) == (None, [])
+
+
 def test_copies_are_no_template(spark):
     one = page("<article><h1>Same title</h1><p>Same short text.</p><p>And more of the same.</p></article>")
     rows = [(k, "https://copy.com/p", one) for k in range(30)]
@@ -392,6 +464,57 @@ def test_quality_rules(spark):
     assert "words" in got[0].asDict() and len(got) == len(texts)
 
 
+def test_figures_against_brute_force():
+    from collections import Counter as C
+    from math import log2
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    lib, byte = sentencepiece.SentencePieceProcessor(model_file=PIECE), Tokenizer.from_file(BYTE)
+    r = random.Random(8)
+    texts = ["the " * n + " ".join(r.choices(["Haus", "漢字", "été", "😀", "naïve", "x\ty"], k=n)) for n in (0, 1, 5, 40, 900)] + ["ა" * 30, "", "\n\n\t"]
+    found = rules.measure(texts, PIECE, BYTE)
+    decode = {c: b for b, c in store.ByteEncoder.of(BYTE).letters.items()}
+
+    def share(ids):
+        n, count = len(ids), C(ids)
+        return max(0.0, -sum(c / n * log2(c / n) for c in count.values())) / log2(1 + n / (1 + n / rules.SATURATION)) if n else 0.0
+
+    def whole(i):
+        try:
+            return bool(bytes(decode[c] for c in byte.id_to_token(i)).decode()) or True
+        except UnicodeDecodeError:
+            return False
+
+    for k, t in enumerate(texts):
+        ids, more = lib.encode(t), byte.encode(t, add_special_tokens=False).ids
+        fallback = sum(lib.is_byte(i) for i in ids) - sum(c < " " for c in t)
+        want = [len(t) / len(ids), max(0, fallback) / len(ids), share(ids)] if ids else [0, 0, 0]
+        want += [len(t) / len(more), sum(not whole(i) for i in more) / len(more), share(more)] if more else [0, 0, 0]
+        got = [found[c][k] for c in ("chars_per_token", "byte_share", "entropy_share", "byte_chars_per_token", "byte_byte_share", "byte_entropy_share")]
+        assert np.allclose(got, want), t
+
+
+def test_bands_by_language():
+    said = {
+        "en": "The committee met on Tuesday to discuss the budget, which several members had already called too small for the repairs that the old library needs.",
+        "de": "Der Ausschuss hat am Dienstag über den Haushalt beraten, den mehrere Mitglieder schon als zu klein für die Reparaturen an der alten Bibliothek bezeichnet haben.",
+        "fr": "Le comité a tenu une réunion mardi pour parler du budget de la ville, que plusieurs membres trouvent trop petit pour les travaux de la vieille bibliothèque.",
+        "es": "El comité se reunió el martes para hablar del presupuesto, que varios miembros consideran demasiado pequeño para las obras de la vieja biblioteca.",
+    }
+    found = rules.measure([*said.values(), "Merhaba dünya"], PIECE, BYTE)
+    assert found["language"] == [*said, None] and found["kept"] == [True] * 4 + [False]
+    # each band can reject: the byte vocabulary's, the piece vocabulary's, the language's
+    strict = rules.Band(99.0, 100.0, 1.0, 0.0)
+    one = [said["en"]]
+    assert rules.measure(one, PIECE, BYTE, byte_bands={"en": strict})["kept"] == [False] == rules.measure(one, PIECE, BYTE, bands={**rules.BANDS, "en": strict})["kept"]
+    assert rules.measure(one, PIECE, BYTE, bands={**rules.BANDS, "de": strict, "latin": strict})["kept"] == [True]
+    # one formula at every size: no step at 512 tokens
+    long = [rules.figures(np.arange(n) % 300, n, np.zeros(300, bool))[2] for n in (500, 511, 512, 513, 530)]
+    assert max(abs(a - b) for a, b in zip(long, long[1:])) < 0.01
+
+
 def test_fertility_verdict():
     letters = "".join(chr(c) for c in range(0x1680, 0x169B))  # no pieces: bytes throughout
     found = rules.measure([" ".join(letters[k:] for k in range(25)), "Ελληνικά " + "και τα λοιπά " * 3], PIECE)
@@ -407,7 +530,7 @@ def test_junk_outside_the_bands():
     thai = " ".join("\u0e01\u0e32\u0e23" + "".join(chr(0xE000 + r.randrange(200)) for _ in range(12)) for _ in range(40))
     turkish = "Komite, eski kütüphanenin kıştan önce ihtiyaç duyduğu onarımlar için birkaç üyenin çok küçük bulduğu gelecek yılın bütçesini görüşmek üzere salı günü toplandı ve karar aldı."
     vietnamese = "Ủy ban đã họp vào thứ ba để thảo luận về ngân sách năm tới, mà nhiều thành viên cho là quá nhỏ so với việc sửa chữa thư viện cũ trước mùa đông."
-    found = rules.measure([signs, menu, thai, turkish, vietnamese], PIECE)
+    found = rules.measure([signs, menu, thai, turkish, vietnamese], PIECE, BYTE)
     assert found["base_failed"] == [False] * 5
     assert found["script"] == ["latin", "latin", "thai", "latin", "latin"]
     assert found["kept"] == [False, False, False, True, True]

@@ -56,5 +56,34 @@ def test_stages(spark):
     assert {r.doc_id for r in held[-1].collect()} == set(text[4])
 
 
+ROWS = [
+    (5, "A text that is long enough to pass, with words of many kinds about the sea, the wind and what the sailors told their children of it in the winter."),
+    (3, "Another text, by which the cook explains how bread is made of flour and water, why it must rest for a night, and when the oven is hot enough for it."),
+    (5, "Another text, by which the cook explains how bread is made of flour and water, why it must rest for a night, and when the oven is hot enough for it."),
+    (None, "A third text that has no number, in which a traveller counts the bridges of the town and finds that there is one more of them than the map will show."),
+    (-(2**62), "A fourth text with a number far below all others, where the gardener waits for the rain and writes down each evening how high the beans have grown."),
+    (2**62, "A fifth text with a number far above all others, in which two friends argue over a game of chess until the lamp is out and nobody knows who has won it."),
+    (7, None), (8, ""),
+]
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Rows that repeat an id, null and far ids, null and empty texts, columns
+    named like the operators' results, and empty tables, through every stage."""
+    schema = "doc_id long, text string, script string, kept_text string, kept boolean, component_id string, `a.b` string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "MINE", "OWN", None, "c", "dot", len(t or "")) for i, t in ROWS], schema)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held, none = docs, docs.where("false")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        held, none = cut(stage(spark, held, str(tmp_path)), name), cut(stage(spark, none, str(tmp_path)), name)
+        assert held.columns == docs.columns and none.columns == docs.columns and none.count() == 0
+        got = [(r.doc_id, r.text) for r in held.collect()]
+        want = [(i, t) for i, t in ROWS[:6] if name in ("quality_rules", "line_dedup") or (i, t) != ROWS[2]]
+        assert sorted(got, key=repr) == sorted(want, key=repr), name
+        assert {(r.script, r.kept_text, r.kept, r.component_id, r["a.b"]) for r in held.collect()} == {("MINE", "OWN", None, "c", "dot")}
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, held, str(tmp_path)).count() == 5 and last(spark, none, str(tmp_path)).count() == 0
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 
@@ -32,8 +33,21 @@ def test_piece_ids(batch):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(texts, min_size=1, max_size=5))
 def test_byte_ids(batch):
-    enc = store.ByteEncoder.of(BYTE)
-    assert [x.tolist() for x in enc.encode(batch)] == [x.ids for x in enc.lib.encode_batch(batch, add_special_tokens=False)]
+    assert [x.tolist() for x in store.ByteEncoder.of(BYTE).encode(batch)] == [x.ids for x in _library().encode_batch(batch, add_special_tokens=False)]
+
+
+@functools.cache
+def _library():
+    """The library as it comes, apart from the encoder's own object."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(BYTE)
+
+
+def test_added_tokens():
+    got = [x.tolist() for x in store.ByteEncoder.of(BYTE).encode(["<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> <|endoftext|>", "<|endoftext", None])]
+    assert got == [_library().encode(t, add_special_tokens=False).ids for t in ["<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> <|endoftext|>", "<|endoftext", ""]]
+    assert got[0] == [50256]
 
 
 @pytest.mark.parametrize("text", ["a" * 5000, "ab" * 3000, "漢" * 2000, " " * 3000, "x1" * 40000, "\n" * 3000, "the " * 20000])
@@ -55,7 +69,12 @@ def test_cache_starts_anew(monkeypatch):
 def test_simple8b(values):
     x = np.array(values, np.uint64)
     words, offsets = store.pack(x)
-    assert (store.unpack(words) == x).all() and len(offsets) == -(-len(x) // store.BLOCK)
+    assert (store.unpack(words) == x).all() and (store.unpack(words, offsets) == x).all() and len(offsets) == -(-len(x) // store.BLOCK)
+    for a, b in ((0, 1), (1, 3), (2, 9)):  # any range of blocks
+        assert (store.unpack(words, offsets, a, b) == x[a * store.BLOCK : b * store.BLOCK]).all() if a < len(offsets) else True
+    ends = np.array(sorted({len(x) // 3, len(x) // 2, len(x)}), np.int64)
+    for blocks in (1, 2):
+        assert np.concatenate(list(store.documents(words, offsets, ends, blocks)) or [x]).tolist() == x.tolist()
     for k, a in enumerate(offsets.tolist()):  # blocks stand alone
         b = offsets[k + 1] if k + 1 < len(offsets) else len(words)
         assert (store.unpack(words[a:b]) == x[k * store.BLOCK : (k + 1) * store.BLOCK]).all()
@@ -95,12 +114,16 @@ def test_digests(spark):
 def test_token_files(spark, tmp_path):
     path = str(tmp_path / "t")
     store.write_tokens(_docs(spark), path, BYTE, chunk_docs=2)
-    lib, start = store.ByteEncoder.of(BYTE).lib, 0
+    lib, start = _library(), 0
     got = sorted(store.read_checksums(spark, path).collect(), key=lambda r: r.start)
     for r, (i, t, _) in zip(got, sorted(DOCS, key=lambda d: (d[0] is not None, d[0]))):
         ids = lib.encode(t or "", add_special_tokens=False).ids + [0]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert sorted(len(r.ids) for r in store.read_tokens(spark, path).collect()) == sorted(r.n_tokens for r in got)
+    for i, t, _ in DOCS:
+        if i is not None:
+            found = [r.ids for r in store.read_document(spark, path, i).collect()]
+            assert found == [[*lib.encode(t or "", add_special_tokens=False).ids, 0]] * sum(d[0] == i for d in DOCS)
     store.write_tokens(_docs(spark).where("false"), str(tmp_path / "e"), BYTE)
     assert store.read_tokens(spark, str(tmp_path / "e")).count() == 0
