@@ -12,14 +12,19 @@ its host and each parent domain) and joined as of its fetch time: equal value,
 and the one interval that holds the time.  The most specific match decides: url,
 then the longest prefix, then host, then the longest domain.
 
+Hosts and paths are compared in lower case on both sides, so an entry for ``/en``
+holds for ``/EN`` too.
+
 Only DataFrame operations.  The intervals are broadcast while they are measured
-to have at most ``broadcast_rows`` rows; beyond, both sides are shuffled by value
+to take at most ``broadcast_bytes``; beyond, both sides are shuffled by value
 and salt, the captures spread over ``salts`` salts so that a host with a third
-of all captures does not land in one task.
+of all captures does not land in one task.  Each URL and time is looked up once,
+however often it was captured; captures without either go past that join, where
+they would be one key.
 
 Defined cases: a null, empty or unparsable URL matches nothing (verdict none,
 host null); a null fetch time matches nothing; list rows with a null field or an
-unknown kind or action are void; repeated captures each get their verdict; an
+unknown kind or action are void; repeated captures each get their verdict; a URL of any length is split to its end; an
 empty list gives ``none`` throughout; an empty capture table gives no rows.  All
 columns of the captures are kept; a result column replaces one of its name."""
 
@@ -72,14 +77,14 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", time_col: str = "fetched",
-                broadcast_rows: int = 200_000, salts: int = 16) -> DataFrame:
+                broadcast_bytes: int = 16 << 20, salts: int = 16) -> DataFrame:
     """All columns of ``captures`` plus ``RESULT``."""
     held = cut(intervals(entries), "list-intervals")
     own = captures.drop(*[c for c in RESULT if c in captures.columns and c not in (url_col, time_col)])
     key = own.select(F.col(url_col).alias("__url"), F.col(time_col).cast("timestamp").alias("__time")).where("__url IS NOT NULL AND __time IS NOT NULL").distinct()
     wanted = key.select("__url", "__time", F.inline(url_values(F.col("__url")))).withColumn("value", F.lower("value"))
-    n = held.count()
-    if n <= broadcast_rows:
+    size = held.agg(F.sum(F.octet_length("kind") + F.octet_length("value") + F.octet_length("action") + 64)).first()[0] or 0
+    if size <= broadcast_bytes:
         pairs = wanted.join(F.broadcast(held), ["kind", "value"])
     else:
         spread = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -90,7 +95,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, url_col: str = "url"
     best = pairs.groupBy("__url", "__time").agg(
         F.max(F.struct(rank[F.col("kind")].alias("rank"), F.length("value").alias("size"), "value", "kind", "since", "action")).alias("__best")
     )
-    out = own.join(best, (F.col(url_col) == F.col("__url")) & (F.col(time_col).cast("timestamp") == F.col("__time")), "left")
+    known = F.col(url_col).isNotNull() & F.col(time_col).cast("timestamp").isNotNull()
+    out = own.where(known).join(best, (F.col(url_col) == F.col("__url")) & (F.col(time_col).cast("timestamp") == F.col("__time")), "left")
+    nothing = best.schema["__best"].dataType
+    out = out.drop("__url", "__time").unionByName(own.where(~known).withColumn("__best", F.lit(None).cast(nothing)))
     return out.select(
         *own.columns,
         *([] if "host" in own.columns else [url_host(F.col(url_col)).alias("host")]),

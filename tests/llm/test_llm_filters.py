@@ -56,11 +56,11 @@ def brute_url(url, when):
     return best[2]
 
 
-@pytest.mark.parametrize("limit", [100, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_urls(spark, limit):
     entries = spark.createDataFrame([(k, v, day(s), a) for k, v, s, a in ENTRIES], "kind string, value string, since timestamp, action string")
     rows = [(u, day(n) if n is not None else None, "c") for u in URLS for n in (0, 4, 12, 20, 35, None)] + [(URLS[0], day(12), "c")]
-    got = urls.filter_urls(spark.createDataFrame(rows, "url string, fetched timestamp, kind string"), entries, broadcast_rows=limit, salts=3).collect()
+    got = urls.filter_urls(spark.createDataFrame(rows, "url string, fetched timestamp, kind string"), entries, broadcast_bytes=limit, salts=3).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.verdict == brute_url(r.url, r.fetched), r
