@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, line_dedup, minhash, quality_rules, sentencepiece_bpe
-from lodestone.llm._shared import cut
+from lodestone.llm._shared import cut, discard
 from lodestone.llm.queries import vocabulary
 from lodestone.session import ship
 
@@ -80,6 +80,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = None
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+        made = cut(stage(spark, docs if held is None else held, sf_dir), f"stage-{name}")
+        if held is not None:
+            discard(held)
+        held = made
+    return held
