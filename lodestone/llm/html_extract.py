@@ -56,7 +56,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, id_array, id_text
+from ._shared import cut, discard, id_array, id_text
 from .url_filter import url_host
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][A-Za-z0-9:\-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:\-]*)([^>]*)>", re.S)
@@ -381,14 +381,16 @@ def deduce_templates(pages: DataFrame, *, id_col: str = "page_id", url_col: str
                     out.append((host, container, without, keys))
             yield pd.DataFrame(out, columns=["host", "container", "without", "texts"])
 
-    return every.mapInPandas(settle, "host string, container string, without array<string>, texts array<long>")
+    out = cut(every.mapInPandas(settle, "host string, container string, without array<string>, texts array<long>"), "templates")
+    discard(stats)
+    return out
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                       support: float = 0.5, words: bool = True, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``; ``words`` off
     leaves out the words of class and id."""
-    templates = cut(deduce_templates(pages, id_col=id_col, url_col=url_col, html_col=html_col, support=support, words=words), "templates")
+    templates = deduce_templates(pages, id_col=id_col, url_col=url_col, html_col=html_col, support=support, words=words)
     names = F.aggregate("without", F.lit(0), lambda a, x: a + F.length(x))
     size = templates.agg(F.sum(F.length("host") + F.coalesce(F.length("container"), F.lit(0)) + names + 64 + 8 * F.size("texts"))).first()[0] or 0
     rows = pages.select(id_text(F.col(id_col)).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(url_host(F.col(url_col)), F.lit("")).alias("host"), F.col(html_col).alias("__html"))
