@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import work_dir
 
@@ -69,6 +70,11 @@ def parts(texts: list, most: int = PART_CHARS, rows: int = 1000) -> Iterator[tup
         yield first, len(texts)
 
 
+def quoted(name: str) -> Column:
+    """A column by its name alone, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def id_text(column: Column) -> Column:
     """An id on its way through pandas: as text, since a long column with a null
     would become floats there and lose digits."""

@@ -29,7 +29,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, discard, fresh_path, remove, setting
+from ._shared import cut, discard, fresh_path, quoted, remove, setting
 
 _BLANK = " \t\n\x0b\f\r"
 
@@ -160,7 +160,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
     kept = F.transform(places, lambda p: F.get("__lines", p))
     return out.select(
-        *plain.columns,
+        *[quoted(c) for c in plain.columns],
         F.size("__lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("__drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),

@@ -291,8 +291,10 @@ def quality_rules(docs, model_file: str, byte_file: str | None = None, *, text_c
     from ._shared import parts
 
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    own = docs.select(*[c for c in docs.columns if c not in names or c == text_col])
-    schema = T.StructType([*own.schema.fields, *T._parse_datatype_string(SCHEMA).fields])
+    own = docs.drop(*[c for c in names if c in docs.columns and c != text_col])
+    # input columns go by place through the Python function, whatever they are called
+    passed, place = own.toDF(*[f"c{k}" for k in range(len(own.columns))]), own.columns.index(text_col)
+    schema = T.StructType([*passed.schema.fields, *T._parse_datatype_string(SCHEMA).fields])
 
     def run(batches):
         import pyarrow as pa
@@ -300,11 +302,11 @@ def quality_rules(docs, model_file: str, byte_file: str | None = None, *, text_c
         kind = dict(zip(names, (c.split()[1] for c in SCHEMA.split(", "))))
         arrow = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
         for batch in batches:
-            held = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            held = batch.column(place).to_pylist()
             for a, b in parts(held):
                 part = batch.slice(a, b - a)
                 found = measure(held[a:b], model_file, byte_file, bands, byte_bands)
                 arrays = [pa.array(found[c], arrow[kind[c]]) for c in names]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *names])
 
-    return own.mapInArrow(run, schema)
+    return passed.mapInArrow(run, schema).toDF(*own.columns, *names)

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import cut, quoted
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
@@ -100,7 +100,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, url_col: str = "url"
     nothing = best.schema["__best"].dataType
     out = out.drop("__url", "__time").unionByName(own.where(~known).withColumn("__best", F.lit(None).cast(nothing)))
     return out.select(
-        *own.columns,
+        *[quoted(c) for c in own.columns],
         *([] if "host" in own.columns else [url_host(F.col(url_col)).alias("host")]),
         F.coalesce("__best.action", F.lit("none")).alias("verdict"),
         F.col("__best.kind").alias("entry_kind"),
