@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, line_dedup, minhash, quality_rules, sentencepiece_bpe
-from lodestone.llm._shared import cut, discard
+from lodestone.llm._shared import cut, discard, quoted
 from lodestone.llm.queries import vocabulary
 from lodestone.session import ship
 
@@ -34,7 +34,7 @@ def _renamed(docs: DataFrame) -> DataFrame:
 
 
 def _restored(out: DataFrame, docs: DataFrame) -> DataFrame:
-    return out.select(*[F.col(f"`{_own(c)}`").alias(c) for c in docs.columns])
+    return out.select(*[quoted(_own(c)).alias(c) for c in docs.columns])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
