@@ -163,16 +163,15 @@ def unpack(words: np.ndarray, offsets: np.ndarray | None = None, first: int = 0,
 def documents(words: np.ndarray, offsets: np.ndarray, ends: np.ndarray, blocks: int = 256):
     """The ids of each document of a chunk, whose ids end at ``ends``; decodes
     ``blocks`` blocks at a time."""
-    held, have, at = [], 0, 0  # decoded and not yet taken
-    begin = 0
+    held, base, at, begin = np.empty(0, np.uint64), 0, 0, 0  # decoded values from ``base`` on
     for end in ends.tolist():
-        while begin + have < end:
-            got = unpack(words, offsets, at, at + blocks)
-            held.append(got)
-            have, at = have + len(got), at + blocks
-        flat_ = np.concatenate(held) if held else np.empty(0, np.uint64)
-        yield flat_[: end - begin]
-        held, have = [flat_[end - begin :]], have - (end - begin)
+        if base + len(held) < end:
+            got, have = [held[begin - base :]], base + len(held)
+            while have < end:
+                got.append(unpack(words, offsets, at, at + blocks))
+                have, at = have + len(got[-1]), at + blocks
+            held, base = np.concatenate(got), begin
+        yield held[begin - base : end - base]
         begin = end
 
 
