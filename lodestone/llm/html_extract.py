@@ -10,7 +10,8 @@ what was left open around it doesn't change its name.
 1. Tokens of a host with equal vectors are one class.  A class is *valid* if it
    stands on at least ``support`` of the host's pages, two at least, and either
    has several tokens or stands on every page.  Texts on so many pages are template
-   too.
+   too, if they are all that their element holds, or else if they stand on at least
+   ``least`` pages: a line may return on two of three pages by chance.
 2. The valid classes nest by path into the host's template: elements that occur
    once on each of their pages are its frame, the others stand in the frame's
    slots.  A *slot* is what an element of the template holds outside of the
@@ -325,7 +326,7 @@ def choose(slots: list[tuple[str, bool, int, int, int, int, float]]) -> tuple[st
 
 
 def deduce_templates(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                     support: float = 0.5, words: bool = True) -> DataFrame:
+                     support: float = 0.5, least: int = 5, words: bool = True) -> DataFrame:
     """(host, container, without, texts) of every host with a template."""
     rows = pages.select(F.col(id_col).cast("string").alias("__id"), F.coalesce(url_host(F.col(url_col)), F.lit("")).alias("__host"), F.col(html_col).alias("__html"))
     stats = rows.mapInPandas(_count(words), _STATS).groupBy("host", "token").agg(
@@ -335,14 +336,18 @@ def deduce_templates(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     # a text on a single page is in no valid class
     stats = cut(stats.where("element OR pages > 1"), "token-vectors")
     whole = stats.where("element AND path = ''").select("host", F.col("pages").alias("n"), F.col("v1").alias("every1"), F.col("v2").alias("every2")).where("n > 1")
-    least = F.greatest(F.lit(2), F.ceil(F.col("n") * support))
+    enough = F.greatest(F.lit(2), F.ceil(F.col("n") * support))
     # classes: equal vectors; they are counted by partial sums before the shuffle
-    common = stats.join(whole, "host").where(F.col("pages") >= least)
+    common = stats.join(whole, "host").where(F.col("pages") >= enough)
     classes = common.groupBy("host", "v1", "v2").agg(F.count("*").alias("tokens"))
     common = common.join(classes, ["host", "v1", "v2"])
     valid = common.where("element AND (tokens > 1 OR v1 = every1 AND v2 = every2)")
     template = valid.select("host", "path", F.expr("times = pages").alias("frame"))
-    texts = common.where("NOT element").select("host", "token", "path", "chars")
+    frequent = common.where("NOT element").select("host", "token", "path", "chars", "pages")
+    whole_text = stats.where("element").select("host", "path", F.col("chars").alias("all"))
+    bound = frequent.groupBy("host", "path").agg(F.sum("chars").alias("same")).join(whole_text, ["host", "path"]).where("same >= 0.9 * all")
+    texts = frequent.join(bound.select("host", "path", F.lit(True).alias("bound")), ["host", "path"], "left")
+    texts = texts.where(F.col("bound") | (F.col("pages") >= least)).select("host", "token", "path", "chars")
 
     # what each element holds by itself goes to the nearest element of the template above
     again = stats.where("NOT element").groupBy("host", "path").agg(F.sum("chars").alias("again"))
@@ -387,10 +392,10 @@ def deduce_templates(pages: DataFrame, *, id_col: str = "page_id", url_col: str
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                      support: float = 0.5, words: bool = True, broadcast_bytes: int = 32 << 20) -> DataFrame:
+                      support: float = 0.5, least: int = 5, words: bool = True, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``; ``words`` off
     leaves out the words of class and id."""
-    templates = deduce_templates(pages, id_col=id_col, url_col=url_col, html_col=html_col, support=support, words=words)
+    templates = deduce_templates(pages, id_col=id_col, url_col=url_col, html_col=html_col, support=support, least=least, words=words)
     names = F.aggregate("without", F.lit(0), lambda a, x: a + F.length(x))
     size = templates.agg(F.sum(F.length("host") + F.coalesce(F.length("container"), F.lit(0)) + names + 64 + 8 * F.size("texts"))).first()[0] or 0
     rows = pages.select(id_text(F.col(id_col)).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(url_host(F.col(url_col)), F.lit("")).alias("host"), F.col(html_col).alias("__html"))

@@ -182,6 +182,16 @@ def test_registered_pages_without_their_tags(spark):
     assert alone == 0 and right >= 0.95 * len(rows)
 
 
+def test_lines_that_return_on_small_hosts(spark):
+    """A line of the text on two of three pages stays; a notice in an element of
+    its own goes."""
+    again = "This line was also in another text of the same site."
+    body = [["one line here", again, "two"], ["three and four", again, "five", "six"], ["seven"]]
+    rows = [(k, "http://s.com/x", page(f"<div class='aq'><h1>Title {k} of three</h1>" + "".join(f"<p>{t}</p>" for t in b) + "<div class='bq'>Notice of the house</div></div>")) for k, b in enumerate(body)]
+    got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "\n".join([f"Title {k} of three", *b]) for k, b in enumerate(body)}
+
+
 def test_choice_of_slots():
     # path, frame, varying, again, links, headings, blocks
     slots = [
