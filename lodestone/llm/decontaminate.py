@@ -137,27 +137,27 @@ class Sampler:
         self.factor = _constants(picks, 606) | np.uint64(1)
         self.offset = _constants(walks * samples, 707 + w).reshape(walks, samples)
 
-    def walk(self, rows: np.ndarray, salt: np.uint64) -> np.ndarray:
-        """(step, row): the words that one walk copies; 0 after a window's end."""
+    def walk(self, rows: np.ndarray) -> np.ndarray:
+        """(step, walk, row): the words that the walks copy; 0 after a window's end."""
         n, width = rows.shape
         padded = np.concatenate([rows, np.zeros((n, self.steps + 1), np.uint64)], 1).ravel()
-        base = np.arange(n) * (width + self.steps + 1)
-        out = np.empty((self.steps, n), np.uint64)
-        i = np.zeros(n, np.int64)
+        at = np.tile(np.arange(n) * (width + self.steps + 1), self.walks)
+        salt = np.repeat(self.salt, n)
+        out = np.empty((self.steps, self.walks * n), np.uint64)
         for j in range(self.steps):
-            out[j] = x = padded[base + i]
+            x = np.take(padded, at, out=out[j])
             coin = (x ^ salt) * np.uint64((2 * j + 3) * 0x9E3779B97F4A7C15 & _ALL)
-            i += (coin >> np.uint64(63)).astype(np.int64)
-        return out
+            at += (coin >> np.uint64(63)).view(np.int64)
+        return out.reshape(self.steps, self.walks, n)
 
     def keys(self, rows: np.ndarray) -> np.ndarray:
         """(row, walks * samples): the keys; 0 where a sample is past the end."""
         out = np.empty((len(rows), self.offset.size), np.uint64)
-        some = max(1, STEPS // (4 * self.w))
+        some = max(1, STEPS // (2 * self.walks * self.w))
         for at in range(0, len(rows), some):
-            part, got = rows[at : at + some], []
+            walked, got = self.walk(rows[at : at + some]), []
             for r in range(self.walks):
-                words = self.walk(part, self.salt[r])[self.places[r]]  # sample, pick, row
+                words = walked[:, r][self.places[r]]  # sample, pick, row
                 key = mix((words * self.factor[None, :, None]).sum(1, dtype=np.uint64) + self.offset[r][:, None])
                 got.append(np.where((words > 0).all(1), key, np.uint64(0)))
             out[at : at + some] = np.concatenate(got).T
