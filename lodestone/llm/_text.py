@@ -124,7 +124,7 @@ class IdCache:
     """Hash of a word -> its ids, as flat arrays; at most ``most`` words, after
     which it starts anew.  ``fill(words)`` gives the id arrays of new words."""
 
-    def __init__(self, fill, most: int = 1_500_000):
+    def __init__(self, fill, most: int = 800_000):
         self.fill, self.most = fill, most
         self.clear()
 
