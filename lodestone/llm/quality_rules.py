@@ -32,6 +32,7 @@ gives no rows."""
 from __future__ import annotations
 
 import dataclasses
+import functools
 
 import numpy as np
 
@@ -202,13 +203,17 @@ def scripts(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.where(table.sum(1) > 0, table.argmax(1), len(SCRIPTS))
 
 
+@functools.lru_cache(1)
+def _function_hashes() -> list[np.ndarray]:
+    return [np.sort(word_hashes(words)[0]) for words in FUNCTION_WORDS.values()]
+
+
 def languages(texts: list[str]) -> list[str | None]:
     """The language whose function words hold most of each text's words."""
     h, _, _, first, _ = word_hashes(texts)
     names = list(FUNCTION_WORDS)
     hits = []
-    for name in names:
-        own = np.sort(word_hashes(FUNCTION_WORDS[name])[0])
+    for own in _function_hashes():
         at = np.minimum(np.searchsorted(own, h), len(own) - 1)
         upto = np.concatenate([[0], np.cumsum(own[at] == h)])
         hits.append(upto[first[1:]] - upto[first[:-1]])
@@ -230,6 +235,7 @@ def figures(ids: np.ndarray, chars: int, bad: np.ndarray, less: int = 0) -> tupl
     return chars / n, max(0, int(np.count_nonzero(bad[ids])) - less) / n, entropy / float(most)
 
 
+@functools.lru_cache(4)
 def _parts(enc: ByteEncoder) -> np.ndarray:
     """Whether each token of a byte-level vocabulary is no run of whole characters."""
     byte = {c: b for b, c in enc.letters.items()}
