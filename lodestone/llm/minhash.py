@@ -250,6 +250,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent
     reps = full.join(classes.withColumnRenamed("rep", "doc"), ["k1", "k2", "doc"], "left_semi")
     keyed = reps.select("doc", "n_shingles", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    # tables that meet a hot key are written first: only then can its join be split
+    hubs = cut(hubs, "hubs")
     pairs = keyed.join(hubs, "key").where("doc <> hub").groupBy("hub", F.col("doc").alias("node")).agg(F.max("n_shingles").alias("size"))
     pairs = cut(pairs, "star-pairs")
 
@@ -261,6 +263,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent
 
     # 1. members against their hub, hot hubs salted
     spread = pairs.groupBy("hub").agg(_chunks(F.count("*"), CHUNK, F.sum("size")).alias("salts"))
+    spread = cut(spread, "hub-salts")
     head = spread.hint("merge").join(texts.withColumnRenamed("node", "hub"), "hub").select(
         "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("hub").alias("node"), "text"
     )
@@ -275,13 +278,17 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent
     lab = labels.withColumnRenamed("label", "comp")
     ball = star.join(lab, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ball = ball.join(labels.toDF("hub", "hub_comp"), "hub", "left").withColumn("stray", F.col("comp") != F.coalesce("hub_comp", "hub"))
+    # written before it is counted by hub, so that a hot hub's join can be split
+    found = cut(ball.select("hub", "node", "comp", "far", "size", "stray"), "ball-members")
     # a lone stray that can reach nobody needs no comparison
     stray = F.col("stray").cast("int")
-    many = ball.groupBy("hub").agg(F.sum(stray).alias("strays"), F.sum(stray * F.col("size")).alias("own"), F.count("*").alias("n"), F.sum("size").alias("all"))
+    many = found.groupBy("hub").agg(F.sum(stray).alias("strays"), F.sum(stray * F.col("size")).alias("own"), F.count("*").alias("n"), F.sum("size").alias("all"))
     many = many.where("strays > 0 AND n > 1").select(
         "hub", _chunks(F.col("strays"), BLOCK, F.col("own")).alias("ni"), _chunks(F.col("n"), BLOCK, F.col("all")).alias("nj")
     )
-    ball = cut(ball.select("hub", "node", "comp", "far", "stray").join(many, "hub"), "balls")
+    many = cut(many, "ball-sizes")
+    ball = cut(found.drop("size").join(many, "hub"), "balls")
+    discard(found, many)
     cell = ball.withColumn("i", _dealt(F.col("ni"))).withColumn("j", _dealt(F.col("nj")))
     left = cell.where("stray").select("hub", "i", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "stray", "node", "comp", "far")
     right = cell.select("hub", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), "j", F.lit(False).alias("stray"), "node", "comp", "far")
@@ -291,7 +298,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent
     upper = components(more)
     ends = follow(labels.unionByName(need.join(labels, "node", "left_anti").withColumn("label", F.col("node"))), upper)
     ends = cut(ends, "near-labels")
-    discard(pairs, texts, star, labels, ball, upper)
+    discard(hubs, spread, pairs, texts, star, labels, ball, upper)
 
     found = classes.join(ends.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component"))
     # rows without a set go past the join, where they would be one key
