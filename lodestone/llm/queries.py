@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _bench
+from . import filter_audit as _audit
 from . import html_extract as _html
 from . import line_dedup as _line
 from . import minhash as _near
@@ -103,6 +104,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -114,6 +119,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 SQL = {
@@ -159,5 +165,27 @@ b AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(a
         lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS ls FROM a),
 t AS (SELECT page_id, url, array_to_string(list_filter(ls, lambda x: x <> ''), chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+""",
+    "op13_filter_audit": r"""
+WITH l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+        min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        [len(ws) < 200, 100 * list_unique(ws) < 50 * len(ws), 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text),
+         regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails
+      FROM w LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e
+      WHERE a.i NOT IN (b.i, c.i, d.i, e.i) AND b.i NOT IN (c.i, d.i, e.i) AND c.i NOT IN (d.i, e.i) AND d.i <> e.i),
+s AS (SELECT o.o, x.i AS step, m.*, m.fails[o.o[x.i]] AS own, len(list_filter(o.o[1:x.i - 1], lambda k: m.fails[k])) > 0 AS gone,
+             len(list_filter(m.fails, lambda v: v)) AS n_fails FROM m, o, x)
+SELECT part, array_to_string(list_transform(o, lambda k: chr((64 + k)::INT)), '') AS filter_order, step::INT AS step,
+       sum(CASE WHEN NOT gone AND NOT own THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+       sum(CASE WHEN own AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN own AND n_fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+       sum(CASE WHEN own AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN own AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost,
+       sum(CASE WHEN own THEN n * 120 // n_fails ELSE 0 END)::BIGINT AS shapley
+FROM s GROUP BY 1, 2, 3
 """,
 }
