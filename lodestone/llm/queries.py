@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import decontaminate as _bench
 from . import filter_audit as _audit
 from . import html_extract as _html
+from . import importance as _weights
 from . import line_dedup as _line
 from . import minhash as _near
 from . import quality_classifier as _quality
@@ -104,10 +105,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _weights.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=1, buckets=10000, least_words=20, percent=10, seed=2024)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def _crc_entry(x: int) -> int:
+    for _ in range(8):
+        x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+    return x
+
+
+#: crc32 in SQL: byte by byte through its table, once for each distinct word.
+_CRC_TABLE = "[" + ", ".join(str(_crc_entry(b)) for b in range(256)) + "]::BIGINT[]"
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS_SQL = "list_filter(string_split_regex(" + _LOWER_SQL + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -119,6 +136,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op12_importance": op12_importance,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -165,6 +183,26 @@ b AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(a
         lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS ls FROM a),
 t AS (SELECT page_id, url, array_to_string(list_filter(ls, lambda x: x <> ''), chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+""",
+    "op12_importance": r"""
+WITH k AS (SELECT """ + _CRC_TABLE + r""" AS crcs),
+d AS (SELECT doc_id, """ + _WORDS_SQL + r""" AS ws FROM documents),
+b AS (SELECT """ + _WORDS_SQL + r""" AS ws FROM benchmark),
+u AS (SELECT doc_id, unnest(ws) AS w FROM d),
+v AS (SELECT unnest(ws) AS w FROM b),
+h0 AS (SELECT w, list_transform(range(1, octet_length(encode(w)) + 1), lambda i: ('0x' || substr(hex(encode(w)), 2 * i - 1, 2))::BIGINT) AS bytes FROM (SELECT w FROM u UNION SELECT w FROM v)),
+h AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(crcs[xor(c & 255, x) + 1], c >> 8)), 4294967295::BIGINT) % 10000 AS bucket FROM h0, k),
+s AS (SELECT bucket, count(*) AS s FROM u JOIN h USING (w) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM v JOIN h USING (w) GROUP BY 1),
+n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS ss, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS tt),
+g AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (ss + 10000)) / ((s + 1)::DOUBLE * (tt + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), n),
+w AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS gained FROM u JOIN h USING (w) JOIN g USING (bucket) GROUP BY 1),
+x AS (SELECT d.doc_id, coalesce(n_features, 0)::BIGINT AS n_features,
+             coalesce((gained - ((gained % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+             ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (doc_id)),
+y AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM x),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM y WHERE n_features >= 20)
+SELECT y.doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END::BIGINT AS rank FROM y LEFT JOIN z USING (doc_id)
 """,
     "op13_filter_audit": r"""
 WITH l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
