@@ -16,6 +16,7 @@ from . import quality_rules as _rules
 from . import secret_scan as _secrets
 from . import sentencepiece_bpe as _piece
 from . import token_store as _tokens
+from . import toxicity as _toxic
 from . import url_filter as _urls
 from ._shared import fresh_path
 
@@ -105,6 +106,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _toxic.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _weights.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=1, buckets=10000, least_words=20, percent=10, seed=2024)
     return out.select("doc_id", "n_features", "weight", "score", "rank")
@@ -136,6 +141,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op11_toxicity": op11_toxicity,
     "op12_importance": op12_importance,
     "op13_filter_audit": op13_filter_audit,
 }
