@@ -4,12 +4,13 @@ Words are runs without ASCII white space, lower-cased and stripped of signs at b
 ends.  Two lexicons are looked up: ``SEEDS``, insults of four languages, and *stems*,
 beginnings of 3 to 8 letters (or whole words) that labelled toxic documents hold more
 often than others by a z score of the smoothed log odds.  The features of a text:
-densities of both lexicons, the densest window of 50 words, the share of hits within
+densities of both lexicons, the densest window of 50 words, the strongest stem, the share of hits within
 five words of a second-person pronoun, shares of capitals and of words all in
 capitals, exclamation and question marks, other signs, and obfuscation: digits or
 signs among letters, letters stretched or spelled out, words that are hits only once
 that is undone.
 
+Of labelled near copies, which share the least values of two hashes of five words, one is kept.
 The stems are learned by five folds: a training row's features use stems learned from
 the other folds, so the trees see densities as unseen texts have them.  The trees
 (depth 3, logistic loss, histograms) are fitted on the rows of all folds; isotonic
@@ -44,7 +45,7 @@ from ._text import IdCache, flat, is_space, mix, slabs, span_hashes, words
 from .decontaminate import _Lower
 from .token_store import _Classes
 
-SAMPLE, STEMS, FOLDS, WINDOW, NEAR = 8000, 20_000, 5, 50, 5
+SAMPLE, STEMS, FOLDS, WINDOW, NEAR = 16_000, 20_000, 5, 50, 5
 
 #: Insults by language, and second-person words.
 SEEDS = {
@@ -60,7 +61,7 @@ YOU = (
 ).split()
 _PLAIN = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "|": "l", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t"})
 _ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$*") + "«»“”„‘’¿¡…–—"
-_FEATURES = 20
+_FEATURES = 23
 
 
 class Lexicon:
@@ -124,6 +125,8 @@ def features(texts: list, cache: IdCache) -> np.ndarray:
         window = upto[np.minimum(np.arange(len(s)) + WINDOW, first[doc + 1])] - upto[:-1]
         most = np.zeros(len(part))
         np.maximum.at(most, doc, window)
+        peak = np.zeros(len(part))
+        np.maximum.at(peak, doc, weight)
         spoken = np.concatenate([[0], np.cumsum(you)])
         at = np.arange(len(s))
         near = spoken[np.minimum(at + NEAR + 1, first[doc + 1])] - spoken[np.maximum(at - NEAR, first[doc])] > 0
@@ -144,10 +147,30 @@ def features(texts: list, cache: IdCache) -> np.ndarray:
             np.log1p(each(weight >= 400)), most / WINDOW, share(each(hit & near), n), share(each(you), n), share(signs(low != cp), letters), share(each(shout), n),
             share(signs(cp == 33), chars), share(signs(cp == 63), chars), share(signs((kind == 4) & ~is_space(cp)), chars), share(signs(kind == 3), chars),
             share(each(odd), n), share(each(stretched), n), share(each(hidden), n), share(each(spelled), n),
+            share(each(weight >= 800), n), np.log1p(each(weight >= 800)), peak / 100,
         ])
     return out
 
 
+def signatures(texts: list) -> np.ndarray:
+    """The least values of each text's runs of five words (or of fewer, if it has no
+    more) under two hashes; near copies mostly have the same."""
+    out = np.zeros((2, len(texts)), np.int64)
+    for base, part in slabs(texts, 1 << 19):
+        cp, starts = flat(part)
+        low = _Lower.get()[cp]
+        s, e, first = words(low, starts)
+        h = span_hashes(low, s, e)
+        for i in range(len(part)):
+            own = h[first[i] : first[i + 1]]
+            if len(own):
+                k = min(5, len(own))
+                run = sum(own[j : len(own) - k + 1 + j] * np.uint64(2 * j + 3) for j in range(k))
+                for j, other in enumerate((run, run ^ np.uint64(0x9E3779B97F4A7C15))):
+                    out[j, base + i] = (mix(other).min() >> np.uint64(1)).astype(np.int64)
+    return out
+
+
 def stem_counts(texts: list) -> Counter:
     """Texts that hold each beginning, and each whole word (marked by =)."""
     found: Counter = Counter()
@@ -260,7 +283,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
     known = known.where(bucket != 0).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     texts = docs.select(quoted(id_col).cast("long").alias("__id"), quoted(text_col).alias("__text"))
     rows = texts.join(F.broadcast(known), "__id").groupBy("__id", "__y").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
-    rows = cut(rows.withColumn("__fold", F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(FOLDS)).cast("int")), "labelled-sample")
+
+    def sign(batches):
+        for pdf in batches:
+            a, b = signatures(pdf["__text"].tolist())
+            yield pdf.assign(__sign=a, __more=b)
+
+    # near copies have one signature: one of them is enough, and none may be in two folds
+    rows = rows.mapInPandas(sign, "__id long, __y int, __text string, __sign long, __more long").groupBy("__sign", "__more", "__y").agg(F.min_by(F.struct("__id", "__text"), "__id").alias("r"))
+    rows = cut(rows.select("r.*", "__y", F.pmod("__sign", F.lit(FOLDS)).cast("int").alias("__fold")), "labelled-sample")
     cells = {(r["__fold"], r["__y"]): r["count"] for r in rows.groupBy("__fold", "__y").count().collect()}
     per = np.array([[cells.get((f, y), 0) for f in range(FOLDS)] for y in (0, 1)], float)
     total = per.sum()
