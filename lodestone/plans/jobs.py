@@ -13,10 +13,11 @@ from pyspark.sql.types import ArrayType, FloatType
 from ..functions.triage import classify_rules, parse_classification, route, routed_answer
 from ..operators import rag
 from ..operators.chunks import chunk
-from ..operators.corpus import number, rendered
-from ..operators.crawl import crawl
+from ..operators.corpus import number, rendered, union_documents
+from ..operators.crawl import crawl_many
 from ..operators.retrieval import look_up, normalize, top_k
-from ..sources.readers import read_index, write_index
+from ..session import discard, settle
+from ..sources.readers import as_documents, read_index, write_index
 
 DIMENSION = 64
 
@@ -81,11 +82,18 @@ def answer_queries(spark: SparkSession, path: str, queries: DataFrame, classify:
     return direct.select(*columns).unionByName(found.select(*columns))
 
 
-def crawl_sites(spark: SparkSession, sites: dict[str, str], fetch: Callable[[DataFrame], DataFrame], max_pages: int = 30, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Pages of several sites {kind: start}, with their kind; counts by kind are
-    ``groupBy('kind').count()``."""
-    found = None
-    for kind, start in sites.items():
-        pages = crawl(spark, start, fetch, max_pages, keep).withColumn("kind", F.lit(kind))
-        found = pages if found is None else found.unionByName(pages)
-    return found
+def crawl_sites(starts: DataFrame, fetch: Callable[[DataFrame], DataFrame], max_pages: int = 30) -> DataFrame:
+    """Pages of all sites of ``starts`` (kind, site, url), with their kind; counts by
+    kind are ``groupBy('kind').count()``."""
+    return crawl_many(starts.select("site", "url"), fetch, max_pages).join(starts.select("kind", "site"), "site")
+
+
+def scrape(starts: DataFrame, fetch: Callable[[DataFrame], DataFrame], path: str, others: DataFrame, embed: Callable[[Column], Column] = hash_embedding, max_pages: int = 30) -> dict:
+    """The scrape action: crawl, join the pages to the ``others`` documents and build
+    the index anew.  Pages by kind, and what the build says."""
+    pages = settle(crawl_sites(starts, fetch, max_pages))
+    docs = as_documents(pages, source=F.concat("kind", F.lit("/"), "url"), content=F.col("content"), kind=F.col("kind"), title=F.col("title"), sections=F.col("sections"), code_blocks=F.col("code_blocks"))
+    built = build_index(union_documents(others, docs), path, embed, force=True)
+    kinds = {r.kind: r["count"] for r in pages.groupBy("kind").count().collect()}  # a row a kind
+    discard(pages)
+    return built | {"pages": kinds}

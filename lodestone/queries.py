@@ -67,8 +67,58 @@ def page_links(spark, sf_dir):
     return out.select("page_id", F.col("pos").cast("long").alias("pos"), "link")
 
 
+#: Where the main content stands in the pages derived below, by page_id modulo 7,
+#: each with its end tag.
+_SCOPES = [
+    ("<main>", "</main>"), ('<div role="main">', "</div>"), ('<div class="x main-content">', "</div>"), ('<section class="content wide">', "</section>"),
+    ('<div class="documentation">', "</div>"), ("<article>", "</article>"), ('<div class="markdown-body">', "</div>"),
+]
+#: What stands after the main heading there; # is the page's number.
+_MARKUP = (
+    "<h2>Part #</h2><h3>ab</h3><h4>Step <b>no #</b></h4><h5> Deep   down # </h5><h6>Last #</h6><pre><code>run --page #\n  --all</code></pre><code>x=#</code>"
+    '<pre>plain block of #</pre><a href="/up/#">Up #</a><a href="/files/#.pdf">file</a><a href="/up/#" title="a > b">again</a><a href="#top">top</a><a name="n">n</a>'
+)
+
+
+def _marked_up(spark, sf_dir):
+    """Pages with headings of all levels, code, links inside the content, and the
+    content under each of the places where it is looked for."""
+    pages = _table(spark, sf_dir, "pages")
+    number = F.col("page_id").cast("string")
+    # the target #top is no number
+    markup = F.replace(F.replace(F.lit(_MARKUP.replace('"#top"', '"@top"')), F.lit("#"), number), F.lit("@"), F.lit("#"))
+    html = F.regexp_replace("html", "</h1>", F.concat(F.lit("</h1>"), markup))
+    kind = (F.col("page_id") % len(_SCOPES)).cast("int") + 1
+    for k, tag in ((0, "<article>"), (1, "</article>")):
+        html = F.replace(html, F.lit(tag), F.element_at(F.array(*[F.lit(x[k]) for x in _SCOPES]), kind))
+    return pages.select("page_id", "url", extract_page(html, "url", "url").alias("p"))
+
+
 def page_code(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", F.size("p.code_blocks").cast("long").alias("n_code"), F.size("p.links").cast("long").alias("n_links"))
+    out = _marked_up(spark, sf_dir).select("page_id", F.posexplode("p.code_blocks").alias("pos", "code"))
+    return out.select("page_id", F.col("pos").cast("long").alias("pos"), "code")
+
+
+def page_headings(spark, sf_dir):
+    out = _marked_up(spark, sf_dir).select("page_id", F.posexplode("p.sections").alias("pos", "s"))
+    return out.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("s.level").cast("long").alias("level"), F.col("s.text").alias("text"))
+
+
+def page_inner_links(spark, sf_dir):
+    out = _marked_up(spark, sf_dir).select("page_id", F.posexplode("p.links").alias("pos", "a"))
+    return out.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("a.text").alias("text"), F.col("a.url").alias("link"))
+
+
+def page_selectors(spark, sf_dir):
+    return _marked_up(spark, sf_dir).select("page_id", F.col("p.content").alias("content"))
+
+
+def code_format(spark, sf_dir):
+    """The parts of a rendered document that hold headings and code."""
+    docs = _marked_up(spark, sf_dir).select(
+        F.lit("s").alias("source"), F.lit("t").alias("content"), F.lit("product_docs").alias("type"), F.lit(None).cast("string").alias("title"), "p.sections", "p.code_blocks", "page_id"
+    )
+    return corpus.rendered(docs).select("page_id", "text")
 
 
 def valid_urls(spark, sf_dir):
@@ -535,29 +585,48 @@ def failing_answers(spark, sf_dir):
     return out.select("query_id", "answer", F.size("sources").cast("long").alias("n_sources"))
 
 
-#: A small site for the crawl: a cycle, repeated links, a failing page.
-_SITE = [
-    ("https://s.com/", '<title>home</title><main><a href="/a">a</a><a href="/b">b</a><a href="/a">again</a></main>'),
-    ("https://s.com/a", '<title>a</title><main><a href="/">home</a><a href="/c">c</a><a href="/gone">x</a></main>'),
-    ("https://s.com/b", '<title>b</title><main><a href="/c">c</a><a href="/d">d</a><a href="/x.json">x</a></main>'),
-    ("https://s.com/c", '<title>c</title><main><a href="/e">e</a><a href="https://t.com/">t</a></main>'),
-    ("https://s.com/d", "<title>d</title><main>d</main>"),
-    ("https://s.com/e", "<title>e</title><main>e</main>"),
-]
+def _linked_pages(spark, sf_dir):
+    """(site, k, url, html): the pages of each site in order of page_id, k from 0,
+    with links to the pages 2k+1, 2k+2 and 5k+3 of their site, back to k/2, and to an
+    address that is in no table."""
+    pages = _table(spark, sf_dir, "pages").select(U.authority(F.col("url")).alias("site"), "page_id", "url", "html").where("site IS NOT NULL")
+    pages = pages.groupBy("site", "url").agg(F.min(F.struct("page_id", "html")).alias("p")).select("site", "url", "p.*")
+    rows = corpus.number(pages, "site", "page_id", name="n")
+    first = rows.groupBy("site").agg(F.min("n").alias("first"))
+    rows = settle(rows.join(first, "site").select("site", (F.col("n") - F.col("first")).alias("k"), "url", "html"))
+    goes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.expr(to).alias("to")) for i, to in enumerate(("2 * k + 1", "2 * k + 2", "5 * k + 3", "k div 2"))]))
+    edges = rows.select("site", "k", goes.alias("e")).select("site", "k", "e.i", F.col("e.to").alias("to"))
+    links = edges.join(rows.select("site", F.col("k").alias("to"), F.col("url").alias("goal")), ["site", "to"])
+    tag = F.concat(F.lit('<a href="'), F.replace("goal", F.lit("&"), F.lit("&amp;")), F.lit('">to</a>'))
+    links = links.groupBy("site", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", tag.alias("tag")))), lambda x: x["tag"]), " ").alias("tags"))  # four a page at most
+    html = F.replace("html", F.lit("</h1>"), F.concat(F.lit('</h1><a href="/lost/'), F.col("k"), F.lit('">lost</a>'), F.coalesce("tags", F.lit(""))))
+    return rows.join(links, ["site", "k"], "left").select("site", "k", "url", html.alias("html"))
+
+
+def _crawled(spark, sf_dir, max_pages):
+    pages = settle(_linked_pages(spark, sf_dir))
+    starts = pages.where("k = 0").select("site", "url")
+    return crawl.crawl_many(starts, site.from_table(pages), max_pages), pages
 
 
 def crawl_bfs(spark, sf_dir):
-    pages = spark.createDataFrame(_SITE, "url string, html string")
-    out = crawl.crawl(spark, "https://s.com/", lambda f: f.join(pages, "url", "left"), 5, settle)
-    return out.select(F.col("position").cast("long").alias("position"), "url", "title", F.size("links").cast("long").alias("n_links"))
+    """Every page that each site's first page leads to, with its depth."""
+    return _crawled(spark, sf_dir, None)[0].select("site", "url", "depth")
 
 
-def site_scan(spark, sf_dir):
-    import json
+def crawl_order(spark, sf_dir):
+    """The first seven pages of each site in crawl order; failed ones don't count."""
+    found, pages = _crawled(spark, sf_dir, 7)
+    return found.join(pages.select("site", "k", "url"), ["site", "url"]).select("site", "position", "depth", "k")
+
 
-    site.register(spark)
-    urls = [u for u, _ in _SITE] + ["https://s.com/gone"]
-    out = spark.read.format("site").option("pages", json.dumps(dict(_SITE))).option("urls", json.dumps(urls)).load()
+def site_scan(spark, sf_dir):
+    """Pages of one language, and for each an address that the table lacks, fetched by
+    address."""
+    pages = _table(spark, sf_dir, "pages").select("url", "html")
+    asked = pages.where("url LIKE '%/en/%'").select("url")
+    asked = asked.unionByName(asked.select(F.concat("url", F.lit("/lost")).alias("url"))).distinct()
+    out = site.from_table(pages)(asked.select(U.authority(F.col("url")).alias("site"), "url", F.col("url").alias("start")))
     return out.select("url", F.coalesce(F.length("html"), F.lit(0)).cast("long").alias("n_chars"), "error")
 
 
@@ -615,11 +684,12 @@ def saved_pages(spark, sf_dir):
 
 
 def crawl_sites(spark, sf_dir):
-    """Two sites, the second failing at its second page, with counts by kind."""
-    other = [("https://t.com/", '<title>t</title><main><a href="/lost">x</a><a href="/u">u</a></main>'), ("https://t.com/u", "<title>u</title><main>u</main>")]
-    pages = spark.createDataFrame(_SITE + other, "url string, html string")
-    out = jobs.crawl_sites(spark, {"docs": "https://s.com/", "developer": "https://t.com/"}, lambda f: f.join(pages, "url", "left"), 30, settle)
-    return out.groupBy("kind").agg(F.count("*").alias("n_pages"), F.max("position").cast("long").alias("last"))
+    """Sites of two kinds crawled together, pages by kind."""
+    pages = settle(_linked_pages(spark, sf_dir))
+    kind = F.when(F.startswith("site", F.lit("blog.")), "developer").otherwise("docs")
+    starts = pages.where("k = 0").select(kind.alias("kind"), "site", "url")
+    out = jobs.crawl_sites(starts, site.from_table(pages), 5)
+    return out.groupBy("kind").agg(F.count("*").alias("n_pages"), F.countDistinct("site").alias("n_sites"))
 
 
 def _events(spark, sf_dir):
@@ -686,12 +756,12 @@ def flagship(spark, sf_dir):
     return rag_answer(spark, sf_dir)
 
 
-_NAMES = """doc_chunks doc_chunk_counts text_preview clean_text page_title page_content page_sections page_links page_code valid_urls pages_per_site
+_NAMES = """doc_chunks doc_chunk_counts text_preview clean_text page_title page_content page_sections page_links page_code page_headings page_inner_links page_selectors code_format valid_urls pages_per_site
 corpus_union corpus_format corpus_stats corpus_by_type corpus_sources distinct_sources index_numbers progress_sample unindexed_docs index_normalized knn_cosine
 knn_cosine_top2 knn_l2 knn_single knn_lookup index_stats rag_context rag_prompt rag_answer classify_rules classify_documents canned_reply classify_json
 route_tickets route_counts badge_map ticket_create ticket_stats ticket_serial ticket_filter_status ticket_filter_priority ticket_by_id ticket_delete
 ticket_update ticket_card log_tail log_tail_by_user log_by_type log_counts escalations query_events upload_validate mime_dispatch file_size_fmt
-attachment_latest stream_log_counts site_rank answer_flow crawl_bfs site_scan ingest_files index_job stream_ticket_numbers attach_files chat_update demo_scores rag_context_l2
+attachment_latest stream_log_counts site_rank answer_flow crawl_bfs crawl_order site_scan ingest_files index_job stream_ticket_numbers attach_files chat_update demo_scores rag_context_l2
 rule_flow failing_answers index_rebuild file_readers saved_pages crawl_sites stream_log_tail stream_attachments ticket_clear demo_tickets chat_append
 analysis_json""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
@@ -700,6 +770,18 @@ _AUTH = "nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)
 _WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
 
 
+#: Reached pages: a path is kept as text, so that the first page of a level comes first.
+_CRAWL_SQL = f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS k
+  FROM (SELECT {_AUTH} AS site, url, min(page_id) AS page_id FROM pages GROUP BY 1, 2) WHERE site IS NOT NULL),
+g AS (SELECT *, NOT regexp_matches(lower(url), '\\.(pdf|jpg|png|gif|css|js)') AND NOT contains(url, '#') AS ok FROM p),
+e AS (SELECT site, k, unnest([2 * k + 1, 2 * k + 2, 5 * k + 3, k // 2]) AS goal, unnest([0, 1, 2, 3]) AS i FROM p),
+w AS (SELECT site, 0::BIGINT AS k, 0 AS depth, '' AS path, [0::BIGINT] AS seen FROM p WHERE k = 0
+  UNION ALL SELECT e.site, e.goal, w.depth + 1, w.path || e.i, list_append(w.seen, e.goal) FROM w JOIN e ON w.site = e.site AND w.k = e.k AND NOT list_contains(w.seen, e.goal)
+    JOIN g ON g.site = e.site AND g.k = e.goal AND g.ok WHERE w.depth < 10),
+d AS (SELECT site, k, min(depth) AS depth FROM w GROUP BY 1, 2)
+"""
+
+
 def _knn_sql(k: int, l2: bool = False) -> str:
     score = "list_sum(list_transform(list_zip(q.v, i.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))" if l2 else "list_cosine_similarity(q.v, i.v)"
     order = "score" if l2 else "score DESC"
@@ -746,7 +828,21 @@ SELECT page_id, 0::BIGINT AS pos, 1::BIGINT AS level, text FROM h WHERE length(t
 l AS (SELECT page_id, unnest(range(len(hs))) AS k, site || unnest(hs) AS link FROM a),
 v AS (SELECT * FROM l WHERE NOT regexp_matches(lower(link), '\\.(pdf|jpg|png|gif|css|js)') AND NOT contains(link, '#'))
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, {_UNESCAPED.format('link')} AS link FROM v""",
-    "page_code": "SELECT page_id, 0::BIGINT AS n_code, 0::BIGINT AS n_links FROM pages",
+    "page_code": """SELECT page_id, unnest([0, 1, 2])::BIGINT AS pos, unnest(['run --page ' || page_id || ' --all', 'run --page ' || page_id || ' --all', 'plain block of ' || page_id]) AS code
+FROM pages WHERE contains(html, '</h1>')""",
+    "page_headings": f"""WITH h AS (SELECT page_id, {_tag_sql('h1')} AS text FROM pages WHERE contains(html, '</h1>')),
+a AS (SELECT page_id, 0 AS k, 1 AS level, text FROM h UNION ALL
+  SELECT page_id, unnest([1, 2, 3, 4]), unnest([2, 4, 5, 6]), unnest(['Part ' || page_id, 'Step no ' || page_id, 'Deep down ' || page_id, 'Last ' || page_id]) FROM h)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, level::BIGINT AS level, text FROM a WHERE length(text) > 3""",
+    "page_inner_links": """WITH a AS (SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || '/up/' || page_id AS link FROM pages WHERE contains(html, '</h1>'))
+SELECT page_id, unnest([0, 1])::BIGINT AS pos, unnest(['Up ' || page_id, 'again']) AS text, link FROM a""",
+    "page_selectors": f"""WITH b AS (SELECT page_id, replace(html, '</h1>', '</h1>' || replace($m${_MARKUP.replace(' title="a > b"', '').replace('"#top"', '""')}$m$, '#', page_id::VARCHAR)) AS html FROM pages)
+SELECT page_id, {_CONTENT_SQL} AS content FROM b""",
+    "code_format": f"""WITH h AS (SELECT page_id, page_id::VARCHAR AS n, {_tag_sql('h1')} AS t, contains(html, '</h1>') AS marked FROM pages)
+SELECT page_id, 'Content: t' || CASE WHEN marked THEN chr(10) || chr(10) || 'Sections:' || CASE WHEN length(t) > 3 THEN chr(10) || '# ' || t ELSE '' END || chr(10) || '## Part ' || n || chr(10) || '#### Step no ' || n
+  || chr(10) || '##### Deep down ' || n || chr(10) || '###### Last ' || n || chr(10) || chr(10) || 'Code Examples:' || chr(10)
+  || array_to_string(['Code Block 1:', '```', 'run --page ' || n || ' --all', '```', 'Code Block 2:', '```', 'run --page ' || n || ' --all', '```', 'Code Block 3:', '```', 'plain block of ' || n, '```'], chr(10)) ELSE '' END
+  || chr(10) || chr(10) || 'Source: s (Type: product_docs)' AS text FROM h""",
     "valid_urls": f"""SELECT page_id, url, {_AUTH} AS authority, NOT regexp_matches(lower(url), '\\.(pdf|jpg|png|gif|css|js)') AND NOT contains(url, '#') AS valid,
   replace({_AUTH}, '.', '_') AS stem FROM pages""",
     "pages_per_site": f"SELECT {_AUTH} AS site, count(*) AS n_pages FROM pages GROUP BY 1",
@@ -827,9 +923,13 @@ SELECT item_id AS query_id, topic, CASE way WHEN 'escalate' THEN '{G.ESCALATED}'
   ELSE substring(text || chr(10) || '[source: bench/' || item_id || ']', 1, 300) || chr(10) || chr(10) || 'Sources: bench/' || item_id END AS answer, CASE WHEN way = 'rag' THEN 'bench/' || item_id ELSE '' END AS sources FROM w""",
     "rule_flow": f"""SELECT conv_id * 1000 + turn AS query_id, 'This ticket has been classified as ''' || {_TOPIC_SQL} || ''' and routed to the appropriate team.' AS answer, 0::BIGINT AS n_sources
 FROM conversations WHERE role = 'user' AND trim(text) <> ''""",
-    "crawl_bfs": """SELECT * FROM (VALUES (0::BIGINT, 'https://s.com/', 'home', 3::BIGINT), (1, 'https://s.com/a', 'a', 3), (2, 'https://s.com/b', 'b', 2), (3, 'https://s.com/c', 'c', 1),
-  (4, 'https://s.com/d', 'd', 0)) v(position, url, title, n_links)""",
-    "site_scan": "SELECT * FROM (VALUES " + ", ".join(f"('{u}', {len(h)}::BIGINT, NULL::VARCHAR)" for u, h in _SITE) + ", ('https://s.com/gone', 0, '404')) v(url, n_chars, error)",
+    "crawl_bfs": _CRAWL_SQL + "SELECT site, url, depth::INT AS depth FROM d JOIN p USING (site, k)",
+    "crawl_order": _CRAWL_SQL + """,
+o AS (SELECT site, k, depth, (SELECT min(struct_pack(a := x.path)) FROM w x WHERE x.site = d.site AND x.k = d.k AND x.depth = d.depth).a AS path FROM d)
+SELECT site, row_number() OVER (PARTITION BY site ORDER BY depth, path) - 1 AS position, depth::INT AS depth, k FROM o QUALIFY position < 7""",
+    "site_scan": """WITH a AS (SELECT DISTINCT url FROM pages WHERE url LIKE '%/en/%')
+SELECT url, (SELECT max(length(html)) FROM pages p WHERE p.url = a.url)::BIGINT AS n_chars, NULL AS error FROM a
+UNION ALL SELECT url || '/lost', 0, '404' FROM a""",
     "ingest_files": """SELECT * FROM (VALUES ('a.txt', 3::BIGINT, NULL::VARCHAR, 'one'), ('b.txt', 1, NULL, 'Error'), ('c.json', 10, NULL, '{' || chr(10) || '  "k": [' || chr(10) || '    1' || chr(10) || '  ]' || chr(10) || '}'),
   ('e.png', 1, NULL, 'Image file: STORED (OCR processing not implemented yet)'), ('g.zip', 1, 'unsupported_type', NULL)) v(name, size, reject_reason, text)""",
     "index_job": "SELECT item_id AS query_id, 'bench/' || item_id AS source, 1.0::DOUBLE AS score FROM benchmark",
@@ -844,7 +944,8 @@ SELECT questions.query_id, CASE WHEN context IS NULL THEN 'I couldn''t find rele
     "file_readers": """WITH t AS (SELECT string_agg(text, chr(10) ORDER BY item_id) || chr(10) AS text FROM benchmark) SELECT reader, text FROM t, (VALUES ('folder'), ('file'), ('uploads')) r(reader)""",
     "saved_pages": f"""SELECT 'product_docs/' || url AS source, {_tag_sql('title')} AS title, {_CONTENT_SQL} AS content, CASE WHEN length({_tag_sql('h1')}) > 3 THEN 1 ELSE 0 END::BIGINT AS n_sections,
   count(*) OVER (PARTITION BY url) AS n_saved FROM pages""",
-    "crawl_sites": "SELECT * FROM (VALUES ('docs', 6::BIGINT, 5::BIGINT), ('developer', 2, 1)) v(kind, n_pages, last)",
+    "crawl_sites": _CRAWL_SQL + """, n AS (SELECT site, least(count(*), 5) AS n FROM d GROUP BY 1)
+SELECT CASE WHEN starts_with(site, 'blog.') THEN 'developer' ELSE 'docs' END AS kind, sum(n)::BIGINT AS n_pages, count(*) AS n_sites FROM n GROUP BY 1""",
     "stream_log_tail": """SELECT key, place, id, message FROM (SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS place, event_id AS id, props AS message FROM events)
 WHERE place <= 51""",
     "stream_attachments": """WITH e AS (SELECT user_id AS id, ts, ['pending', 'uploading', 'success', 'error'][event_id % 4 + 1] AS status FROM events)

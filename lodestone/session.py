@@ -57,4 +57,18 @@ def settle(df: DataFrame) -> DataFrame:
     rows even if a task is run again."""
     path = f"{work_dir(df.sparkSession)}/lodestone/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_to = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file system layer."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``settle`` wrote for tables that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t._settled_to)

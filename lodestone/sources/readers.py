@@ -59,9 +59,9 @@ def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
     return as_documents(rows, source=F.concat(F.lit("uploaded_files/"), F.element_at(F.split("path", "/"), -1)), content=F.col("text"), kind="uploaded_file")
 
 
-def as_documents(rows: DataFrame, source: Column, content: Column, kind: str, title: Column | None = None, sections: Column | None = None, code_blocks: Column | None = None) -> DataFrame:
+def as_documents(rows: DataFrame, source: Column, content: Column, kind: str | Column, title: Column | None = None, sections: Column | None = None, code_blocks: Column | None = None) -> DataFrame:
     kinds = {f.name: f.dataType for f in DOCUMENT.fields}
-    given = {"source": source, "content": content, "type": F.lit(kind), "title": title, "sections": sections, "code_blocks": code_blocks}
+    given = {"source": source, "content": content, "type": F.lit(kind) if isinstance(kind, str) else kind, "title": title, "sections": sections, "code_blocks": code_blocks}
     return rows.select(*[(F.lit(None) if c is None else c).cast(kinds[n]).alias(n) for n, c in given.items()])
 
 
