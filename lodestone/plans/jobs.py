@@ -53,7 +53,7 @@ def build_index(documents: DataFrame, path: str, embed: Callable[[Column], Colum
     rows = rows.withColumn("embedding", embed(F.col("text"))).where("embedding IS NOT NULL")
     rows = rows.withColumn("embedding", normalize(F.col("embedding")).cast("array<float>")).withColumn("alias", F.concat(F.lit("document_"), F.col("index")))
     write_index(rows, path)
-    return {"total_documents": spark.read.parquet(path).count(), "built": True}
+    return {"total_documents": read_index(spark, path).count(), "built": True}
 
 
 def retrieve(spark: SparkSession, path: str, queries: DataFrame, k: int = 3, embed: Callable[[Column], Column] = hash_embedding) -> DataFrame | None:

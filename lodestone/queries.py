@@ -12,7 +12,7 @@ from .functions.html import extract_page
 from .operators import chat, chunks, corpus, crawl, logs, rag, retrieval, tickets
 from .plans import jobs
 from .schemas import DOCUMENT, UPLOAD_TYPES
-from .session import settle, work_dir
+from .session import discard, settle, work_dir
 from .sources import readers, site, uploads
 from .streaming import state
 
@@ -519,16 +519,11 @@ def rag_context_l2(spark, sf_dir):
 
 # ---- streams and jobs ------------------------------------------------------
 def stream_log_counts(spark, sf_dir):
-    """Events by day and type through a stream that is drained once; complete
-    mode, since a drained stream never closes its newest windows."""
-    import uuid
-
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = state.window_counts(stream.select("ts", "event_type"))
-    name = f"log_counts_{uuid.uuid4().hex}"
-    # a day and type is one row: the result is bounded by the days there are
-    table = state.run_available(out, name, f"{work_dir(spark)}/{name}", "complete")
+    """Events by day and type through a stream of several batches with late rows.  A
+    count is given out once the watermark has closed its window, so the newest two
+    days are still open when the stream is drained."""
+    out = state.window_counts(_event_stream(spark, sf_dir).select("ts", "event_type"), late="8 days")
+    table = state.write_available(out, _fresh(spark, "counts"), _fresh(spark, "checkpoint"))
     return table.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
@@ -692,27 +687,51 @@ def crawl_sites(spark, sf_dir):
     return out.groupBy("kind").agg(F.count("*").alias("n_pages"), F.countDistinct("site").alias("n_sites"))
 
 
-def _events(spark, sf_dir):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+def _event_stream(spark, sf_dir, batches=4):
+    """The events as a stream of ``batches`` files in order of time; every tenth event
+    comes a file late."""
+    events, folder = _table(spark, sf_dir, "events"), _fresh(spark, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    span = (high - low) // batches + 1 if high is not None else 1
+    number = F.expr(f"(event_id - {low or 0}) div {span}") + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    dealt = settle(events.withColumn("file", F.least(number, F.lit(batches - 1))))
+    for k in range(batches):  # one after the other, since a stream takes files in order of their time
+        dealt.where(F.col("file") == k).drop("file").coalesce(1).write.parquet(f"{folder}/part-{k}")
+    discard(dealt)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
 
 
 def stream_log_tail(spark, sf_dir):
-    """The bounded log of each event type, kept by a stream."""
-    state.enable_state(spark)
-    rows = _events(spark, sf_dir).select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("props").alias("message"))
-    name = f"log_tail_{_fresh(spark, 'x').rsplit('-', 1)[1]}"
-    out = state.run_available(state.log_tail(rows), name, _fresh(spark, "tail"), "update")
+    """The bounded log of each event type, kept by a stream over several batches."""
+    rows = _event_stream(spark, sf_dir).select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("props").alias("message"))
+    with state.enable_state(spark):
+        out = state.latest_available(state.log_tail(rows, late="8 days", idle="60 days"), _fresh(spark, "tail"), _fresh(spark, "checkpoint"), "key")
     return out.select("key", "place", "id", "message")
 
 
 def stream_attachments(spark, sf_dir):
-    """The state of each attachment after all its events, kept by a stream."""
-    state.enable_state(spark)
+    """The end of each upload, by rows in order of time however late they come; an
+    upload without news for a day has failed."""
     status = F.element_at(F.array(*[F.lit(s) for s in ("pending", "uploading", "success", "error")]), (F.col("event_id") % 4 + 1).cast("int"))
-    rows = _events(spark, sf_dir).select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
-    name = f"attachments_{_fresh(spark, 'x').rsplit('-', 1)[1]}"
-    return state.run_available(state.attachment_status(rows), name, _fresh(spark, "attachments"), "update").select("id", "status")
+    rows = _event_stream(spark, sf_dir).select(F.col("user_id").alias("id"), "ts", F.col("event_id").alias("seq"), status.alias("status"))
+    with state.enable_state(spark):
+        out = state.write_available(state.attachment_ends(rows, "8 days", "1 day"), _fresh(spark, "ends"), _fresh(spark, "checkpoint"))
+    return out.select("id", "started_us", "ended_us", "status", "reason")
+
+
+def stream_index(spark, sf_dir):
+    """Documents added to an index in four batches, the second of them twice: the ids
+    they have, and each one's nearest neighbour with itself put aside."""
+    base, docs = _fresh(spark, "grown"), _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id")).alias("source"), "text")
+    for k in range(4):
+        docs.where(F.pmod("doc_id", F.lit(4)) == k).select("source", "text").write.parquet(f"{base}/in/part-{k}")
+        stream = spark.readStream.schema("source string, text string").parquet(f"{base}/in/*")
+        state.index_stream(stream, f"{base}/index", f"{base}/checkpoint", jobs.hash_embedding)
+    index = readers.read_index(spark, f"{base}/index")
+    asked = _table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    hits = jobs.retrieve(spark, f"{base}/index", asked, 1).select("query_id", F.round("score", 4).alias("score"))
+    ids = index.select("index", F.regexp_extract("source", "[0-9]+$", 0).cast("long").alias("doc_id"))
+    return ids.join(hits, F.col("doc_id") == F.col("query_id"), "left").select("doc_id", "index", "score")
 
 
 def ticket_clear(spark, sf_dir):
@@ -745,7 +764,7 @@ def analysis_json(spark, sf_dir):
 
 def stream_ticket_numbers(spark, sf_dir):
     """Purchases numbered by a stream with one counter for each year."""
-    rows = _events(spark, sf_dir).where("event_type = 'purchase'").select(F.year("ts").alias("year"), F.col("event_id").alias("id"))
+    rows = _event_stream(spark, sf_dir, 3).where("event_type = 'purchase'").select(F.year("ts").alias("year"), F.col("event_id").alias("id"))
     base = _fresh(spark, "numbers")
     out = state.number_stream(rows, f"{base}/out", f"{base}/checkpoint")
     return out.select("id", tickets.ticket_number(F.col("n"), F.col("year")).alias("ticket_number"))
@@ -762,7 +781,7 @@ knn_cosine_top2 knn_l2 knn_single knn_lookup index_stats rag_context rag_prompt
 route_tickets route_counts badge_map ticket_create ticket_stats ticket_serial ticket_filter_status ticket_filter_priority ticket_by_id ticket_delete
 ticket_update ticket_card log_tail log_tail_by_user log_by_type log_counts escalations query_events upload_validate mime_dispatch file_size_fmt
 attachment_latest stream_log_counts site_rank answer_flow crawl_bfs crawl_order site_scan ingest_files index_job stream_ticket_numbers attach_files chat_update demo_scores rag_context_l2
-rule_flow failing_answers index_rebuild file_readers saved_pages crawl_sites stream_log_tail stream_attachments ticket_clear demo_tickets chat_append
+rule_flow failing_answers index_rebuild file_readers saved_pages crawl_sites stream_log_tail stream_attachments stream_index ticket_clear demo_tickets chat_append
 analysis_json""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
@@ -770,6 +789,10 @@ _AUTH = "nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)
 _WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
 
 
+#: The events by the file that the stream has them in.
+_FILE_SQL = """WITH s AS (SELECT min(event_id) AS low, (max(event_id) - min(event_id)) // BATCHES + 1 AS span FROM events),
+f AS (SELECT e.*, least((event_id - low) // span + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END, BATCHES - 1) AS file FROM events e, s)
+"""
 #: Reached pages: a path is kept as text, so that the first page of a level comes first.
 _CRAWL_SQL = f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS k
   FROM (SELECT {_AUTH} AS site, url, min(page_id) AS page_id FROM pages GROUP BY 1, 2) WHERE site IS NOT NULL),
@@ -915,7 +938,8 @@ SELECT doc_id, way, CASE way WHEN 'image' THEN 'Image file: ' || name || ' (OCR
   WHEN size < 1073741824 THEN {_SIZE.format('1048576', 'MB')} ELSE {_SIZE.format('1073741824', 'GB')} END AS shown, format('{{:,}}', size) AS grouped FROM f""",
     "attachment_latest": """WITH s AS (SELECT user_id AS id, arg_max(['pending', 'uploading', 'success', 'error'][event_id % 4 + 1], (ts, event_id)) AS status FROM events GROUP BY 1)
 SELECT id, status, CASE status WHEN 'uploading' THEN 'spinner' WHEN 'success' THEN 'green' WHEN 'error' THEN 'red' ELSE 'gray' END AS mark FROM s""",
-    "stream_log_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "stream_log_counts": """WITH w AS (SELECT max(ts) - INTERVAL 8 DAY AS w FROM events)
+SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events, w GROUP BY 1, 2 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= any_value(w)""",
     "site_rank": f"WITH c AS (SELECT {_AUTH} AS site, count(*) AS n FROM pages GROUP BY 1) SELECT site, n, rank() OVER (ORDER BY n DESC) AS place FROM c",
     "answer_flow": f"""WITH {_CORPUS_SQL}, b AS (SELECT item_id, [{", ".join(f"'{t}'" for t in _TOPIC_OF)}][item_id % 10 + 1] AS topic, 'P' || (item_id % 3) AS priority,
   'Content: ' || text || chr(10) || chr(10) || 'Source: bench/' || item_id || ' (Type: uploaded_file)' AS text FROM benchmark), w AS (SELECT *, {_WAY} AS way FROM b)
@@ -933,8 +957,8 @@ UNION ALL SELECT url || '/lost', 0, '404' FROM a""",
     "ingest_files": """SELECT * FROM (VALUES ('a.txt', 3::BIGINT, NULL::VARCHAR, 'one'), ('b.txt', 1, NULL, 'Error'), ('c.json', 10, NULL, '{' || chr(10) || '  "k": [' || chr(10) || '    1' || chr(10) || '  ]' || chr(10) || '}'),
   ('e.png', 1, NULL, 'Image file: STORED (OCR processing not implemented yet)'), ('g.zip', 1, 'unsupported_type', NULL)) v(name, size, reject_reason, text)""",
     "index_job": "SELECT item_id AS query_id, 'bench/' || item_id AS source, 1.0::DOUBLE AS score FROM benchmark",
-    "stream_ticket_numbers": """SELECT event_id AS id, printf('TKT-%d-%03d', year(ts), row_number() OVER (PARTITION BY year(ts) ORDER BY event_id)) AS ticket_number
-FROM events WHERE event_type = 'purchase'""",
+    "stream_ticket_numbers": _FILE_SQL.replace("BATCHES", "3") + """SELECT event_id AS id, printf('TKT-%d-%03d', year(ts), row_number() OVER (PARTITION BY year(ts) ORDER BY file, event_id)) AS ticket_number
+FROM f WHERE event_type = 'purchase'""",
     "failing_answers": f"""WITH {_CONTEXT}, {_QUESTIONS}
 SELECT questions.query_id, CASE WHEN context IS NULL THEN 'I couldn''t find relevant information in the knowledge base to answer your question.'
   WHEN length(context) % 3 = 0 THEN 'Sorry, I encountered an error while processing your question: no answer of ' || length(context) || ' characters' ELSE substring(context, 1, 50) END AS answer,
@@ -948,8 +972,15 @@ SELECT questions.query_id, CASE WHEN context IS NULL THEN 'I couldn''t find rele
 SELECT CASE WHEN starts_with(site, 'blog.') THEN 'developer' ELSE 'docs' END AS kind, sum(n)::BIGINT AS n_pages, count(*) AS n_sites FROM n GROUP BY 1""",
     "stream_log_tail": """SELECT key, place, id, message FROM (SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS place, event_id AS id, props AS message FROM events)
 WHERE place <= 51""",
-    "stream_attachments": """WITH e AS (SELECT user_id AS id, ts, ['pending', 'uploading', 'success', 'error'][event_id % 4 + 1] AS status FROM events)
-SELECT id, coalesce(arg_min(status, (ts, status)) FILTER (WHERE status IN ('success', 'error')), CASE WHEN bool_or(status = 'uploading') THEN 'uploading' ELSE 'pending' END) AS status FROM e GROUP BY id""",
+    "stream_attachments": """WITH e AS (SELECT user_id AS id, epoch_us(ts) AS us, event_id AS seq, ['pending', 'uploading', 'success', 'error'][event_id % 4 + 1] AS status FROM events),
+w AS (SELECT max(us) // 1000 - 8 * 86400000 AS ms FROM e),
+r AS (SELECT *, lag(us) OVER o AS before, lag(status) OVER o AS old, lead(us) OVER o AS after FROM e, w WHERE us // 1000 + 1 <= ms WINDOW o AS (PARTITION BY id ORDER BY us, seq)),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR old IN ('success', 'error') OR us > before + 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY us, seq) AS g FROM r),
+u AS (SELECT id, g, min(us) AS started_us, max(us) AS last, max(CASE WHEN status IN ('success', 'error') THEN status END) AS done, any_value(ms) AS ms, count(after) = count(*) AS more FROM g GROUP BY 1, 2)
+SELECT id, started_us, CASE WHEN done IS NULL THEN last + 86400000000 ELSE last END AS ended_us, coalesce(done, 'error') AS status, CASE WHEN done IS NULL THEN 'timeout' END AS reason
+FROM u WHERE done IS NOT NULL OR more OR (last + 86400000000) // 1000 + 1 <= ms""",
+    "stream_index": """WITH n AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id % 4, 'doc/' || doc_id, text) - 1 AS index FROM documents)
+SELECT doc_id, index, CASE WHEN doc_id % 50 = 0 THEN CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 0.0 ELSE 1.0 END END::DOUBLE AS score FROM n""",
     "ticket_clear": """SELECT conv_id * 1000 + turn AS id, printf('TKT-2024-%03d', row_number() OVER (ORDER BY conv_id * 1000 + turn)) AS ticket_number, 'General Inquiry' AS topic
 FROM conversations WHERE role = 'user' AND conv_id % 2 = 0""",
     "demo_tickets": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, 'TKT-2024-{i:03d}', '{t}', '{s}', '{p}')" for i, (t, s, p) in enumerate(tickets.DEMO, 1)) + ") v(id, ticket_number, topic, sentiment, priority)",

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import rule_line
 from ..schemas import DOCUMENT, PAGE
+from . import versions
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -75,17 +78,52 @@ def write_pages(pages: DataFrame, json_path: str, text_path: str, order: str = "
     pages.repartitionByRange(order).sortWithinPartitions(order).select(block.alias("value")).write.mode("overwrite").text(text_path)
 
 
+def _checked(rows: DataFrame, dimension: int) -> DataFrame:
+    fine = F.when(F.size("embedding") == dimension, F.col("embedding")).otherwise(F.raise_error(F.lit(f"an embedding is not of dimension {dimension}")).cast("array<float>"))
+    return rows.withColumn("embedding", fine)
+
+
+def _ids(rows: DataFrame) -> int:
+    """How many numbers the rows take, gaps of missing ones included."""
+    found = rows.agg(F.max("index") - F.min("index") + 1).first()[0] if "index" in rows.columns else rows.count()
+    return found or 0
+
+
 def write_index(rows: DataFrame, path: str, dimension: int | None = None) -> None:
-    """Vectors and their rows as one table.  Its writing is atomic for readers
-    that list a commit; a wrong dimension stops it."""
+    """Vectors and their rows as a table that replaces the one before at once (see
+    ``versions``).  An embedding of another dimension stops it, and what was there
+    before stays."""
     d = dimension if dimension is not None else rows.select(F.size("embedding")).first()
     d = d[0] if isinstance(d, tuple) else d
-    if d is not None:
-        fine = F.when(F.size("embedding") == d, F.col("embedding")).otherwise(F.raise_error(F.lit(f"an embedding is not of dimension {d}")).cast("array<float>"))
-        rows = rows.withColumn("embedding", fine)
-    rows.write.mode("overwrite").parquet(path)
+    versions.commit(rows.sparkSession, path, lambda first: rows if d is None else _checked(rows, d), count=_ids, replaces=True)
+    versions.tidy(rows.sparkSession, path)
+
 
+def append_index(spark: SparkSession, path: str, make: Callable[[int], DataFrame], taken: Callable[[], int], key: str | None = None) -> dict:
+    """Add ``make(first id)`` to an index; ``taken`` tells how many ids it takes, rows
+    without an embedding included.  A key that is there already adds nothing."""
+    def checked(first: int) -> DataFrame:
+        rows, old = make(first), versions.read(spark, path)
+        d = None if old is None else old.select(F.size("embedding")).first()
+        return rows if d is None else _checked(rows, d[0])
 
-def read_index(spark: SparkSession, path: str) -> DataFrame | None:
+    return versions.commit(spark, path, checked, count=lambda rows: taken(), replaces=False, key=key)
+
+
+def read_index(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
     """The index table, or None where there is none."""
-    return spark.read.parquet(path) if exists(spark, path) else None
+    return versions.read(spark, path, version)
+
+
+def write_index_pair(rows: DataFrame, vectors: str, texts: str) -> None:
+    """The older form of an index: vectors by id, and a list of (id, text) apart."""
+    rows.select("index", "embedding").write.mode("overwrite").parquet(vectors)
+    rows.select("index", "text").write.mode("overwrite").json(texts)
+
+
+def read_index_pair(spark: SparkSession, vectors: str, texts: str) -> DataFrame | None:
+    """The older form as one table without sources; None unless both are there."""
+    if not exists(spark, vectors) or not exists(spark, texts):
+        return None
+    named = spark.read.schema("index long, text string").json(texts)
+    return spark.read.parquet(vectors).join(named, "index").withColumn("source", F.lit(None).cast("string"))

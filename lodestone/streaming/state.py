@@ -1,11 +1,17 @@
 """Streams of log events and attachments.
 
 Every function takes a streaming DataFrame (or a batch one, where no state is
-kept) and returns one; ``run_available`` drains a stream into a table."""
+kept) and returns one; ``write_available`` and ``latest_available`` drain a stream into
+files.  Stateful functions run Python beside the driver as well as in tasks, so the
+package has to be on the Python path where the driver runs: ``enable_state`` sees to
+that."""
 
 from __future__ import annotations
 
+import contextlib
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,14 +21,26 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.corpus import number
 from ..operators.logs import KEPT
 from ..operators.retrieval import normalize
-from ..sources.readers import exists
+from ..session import discard, settle
+from ..sources.readers import append_index, exists
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def enable_state(spark: SparkSession) -> None:
-    """Arbitrary state needs the RocksDB store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+@contextlib.contextmanager
+def enable_state(spark: SparkSession) -> Iterator[None]:
+    """Arbitrary state needs the RocksDB store: a session setting while the streams
+    inside run.  The package's folder goes on the Python path of workers that start
+    beside the driver, where ``addPyFile`` doesn't reach."""
+    key, root = "spark.sql.streaming.stateStore.providerClass", str(Path(__file__).resolve().parents[2])
+    old, workers = spark.conf.get(key, None), spark.sparkContext.environment
+    if root not in workers.get("PYTHONPATH", "").split(os.pathsep):
+        workers["PYTHONPATH"] = os.pathsep.join(filter(None, [root, workers.get("PYTHONPATH", "")]))
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
 def window_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", width: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -36,27 +54,49 @@ def window_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", w
 
 
 class _Tail(StatefulProcessor):
-    """The last events of a key, kept as a list state of bounded length."""
+    """The last events of a key, kept as a list state of bounded length that goes
+    once the watermark is ``idle`` past the newest of them."""
+
+    def __init__(self, idle_us: int):
+        self.idle = idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("tail", "ts timestamp, id long, message string")
+        self.handle = handle
+        self.held = handle.getListState("tail", "us long, id long, message string")
+
+    def _end(self, rows: list[tuple]) -> int:
+        return (rows[-1][0] + self.idle) // 1000 + 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         old = [tuple(x) for x in self.held.get()] if self.held.exists() else []
-        new = [(r.ts.to_pydatetime(), int(r.id), r.message) for pdf in rows for r in pdf.itertuples(index=False)]
-        every = sorted(old + new, key=lambda x: (x[0], x[1]))[-KEPT:]
+        new = [(int(r.us), int(r.id), r.message) for pdf in rows for r in pdf.itertuples(index=False)]
+        every = sorted(old + new, key=lambda x: x[:2])[-KEPT:]
         self.held.put(every)
-        yield pd.DataFrame([(key[0], n, *e) for n, e in enumerate(reversed(every), 1)], columns=["key", "place", "ts", "id", "message"])
+        self.handle.registerTimer(self._end(every))
+        yield pd.DataFrame([(key[0], n, *e) for n, e in enumerate(reversed(every), 1)], columns=["key", "place", "us", "id", "message"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        every = [tuple(x) for x in self.held.get()] if self.held.exists() else []
+        if every and self._end(every) <= timerValues.getCurrentWatermarkInMs():
+            self.held.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def log_tail(logs: DataFrame, key: str = "key") -> DataFrame:
-    """After each batch, the newest ``KEPT`` events of every key it touched."""
-    rows = logs.select(F.col(key).alias("key"), "ts", "id", "message")
+def _micros(spark: SparkSession, span: str) -> int:
+    """A span of time such as ``1 day`` in microseconds."""
+    return spark.sql(f"SELECT unix_micros(TIMESTAMP_MICROS(0) + INTERVAL {span}) AS us").first().us
+
+
+def log_tail(logs: DataFrame, key: str = "key", late: str = "1 day", idle: str = "30 days") -> DataFrame:
+    """``logs`` (key, ts, id, message) as a stream -> after each batch, (key, place, us,
+    id, message), the newest ``KEPT`` events of every key it touched.  Events come up to
+    ``late`` late; a key's state goes when nothing came for ``idle`` of event time."""
+    rows = logs.select(F.col(key).alias("key"), F.col("ts").cast("timestamp").alias("ts"), "id", "message").withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
     return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Tail(), outputStructType="key string, place long, ts timestamp, id long, message string", outputMode="Update", timeMode="None"
+        statefulProcessor=_Tail(_micros(logs.sparkSession, idle)), outputStructType="key string, place long, us long, id long, message string", outputMode="Update", timeMode="EventTime"
     )
 
 
@@ -110,30 +150,78 @@ def number_stream(requests: DataFrame, path: str, checkpoint: str, order: str =
         out.write.mode("overwrite").parquet(f"{path}/numbers/batch={k}")
 
     requests.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if not exists(spark, f"{path}/numbers"):
+        return spark.createDataFrame([], f"year int, {order} long, n long")
     return spark.read.parquet(f"{path}/numbers").drop("batch")
 
 
 class _Attachment(StatefulProcessor):
+    """Rows wait until the watermark has passed them and are taken in order of time,
+    so the result is the same however they were dealt to batches.  A file that is
+    neither done nor failed ``timeout`` after its last row ends as an error.  The state
+    of a file goes with its end; nothing is kept of files at rest."""
+
+    def __init__(self, timeout_us: int):
+        self.timeout = timeout_us
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("status", "status string")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, seq long, status string")
+        self.now = handle.getValueState("now", "started long, last long, status string")
 
     def handleInputRows(self, key, rows, timerValues):
-        status = self.now.get()[0] if self.now.exists() else "pending"
-        for ts, new in sorted((r.ts, r.status) for pdf in rows for r in pdf.itertuples(index=False)):
+        new = [(int(r.us), int(r.seq), r.status) for pdf in rows for r in pdf.itertuples(index=False)]
+        self.waiting.appendList(new)
+        for ms in {us // 1000 + 1 for us, _, _ in new}:
+            self.handle.registerTimer(ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs()
+        every = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        ready, rest = [x for x in every if x[0] // 1000 + 1 <= passed], [x for x in every if x[0] // 1000 + 1 > passed]
+        started, last, status = tuple(self.now.get()) if self.now.exists() else (None, None, "pending")
+        out = []
+        for us, _, new in ready:
+            if started is not None and us > last + self.timeout:
+                out.append((key[0], started, last + self.timeout, "error", "timeout"))
+                started, status = None, "pending"
+            if started is None:
+                started = us
+            last = us
             if STATES.get(new, -1) > STATES[status]:
                 status = new
-        self.now.update((status,))
-        yield pd.DataFrame([(key[0], status)], columns=["id", "status"])
+            if STATES[status] == 2:
+                out.append((key[0], started, us, status, None))
+                started, status = None, "pending"
+        if started is not None and (last + self.timeout) // 1000 + 1 <= passed:
+            out.append((key[0], started, last + self.timeout, "error", "timeout"))
+            started = None
+        if rest:
+            self.waiting.put(rest)
+        elif self.waiting.exists():
+            self.waiting.clear()
+        if started is not None:
+            self.now.update((started, last, status))
+            self.handle.registerTimer((last + self.timeout) // 1000 + 1)
+        elif self.now.exists():
+            self.now.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["id", "started_us", "ended_us", "status", "reason"])
 
     def close(self) -> None:
         pass
 
 
-def attachment_status(events: DataFrame) -> DataFrame:
-    """(id, status) after each batch: a file moves forward only, and success and
-    error are final."""
-    return events.select("id", "ts", "status").groupBy("id").transformWithStateInPandas(
-        statefulProcessor=_Attachment(), outputStructType="id long, status string", outputMode="Update", timeMode="None"
+def attachment_ends(events: DataFrame, late: str = "1 day", timeout: str = "1 hour") -> DataFrame:
+    """``events`` (id, ts, seq, status) as a stream -> (id, started_us, ended_us, status,
+    reason), one row when an upload ends: success and error are final, and an upload
+    without news for ``timeout`` of event time is an error of reason timeout.  A row
+    after the end begins anew.  Rows come up to ``late`` late; of equal times the
+    smaller seq comes first."""
+    rows = events.select("id", F.col("ts").cast("timestamp").alias("ts"), "seq", "status").withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("id").transformWithStateInPandas(
+        statefulProcessor=_Attachment(_micros(events.sparkSession, timeout)), outputStructType="id long, started_us long, ended_us long, status string, reason string", outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -144,26 +232,38 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 def index_stream(documents: DataFrame, path: str, checkpoint: str, embed: Callable[[Column], Column]) -> None:
     """Add new documents (source, text) to an index as they come.  Each batch is a
-    folder of its own that a repeated batch overwrites, so every document is in
-    the index once; rows are numbered from 0 in each batch."""
+    version of the index: its ids go on where those before end, readers take it up at
+    once, and a batch that is run again adds nothing.  Documents without an embedding
+    keep their gap in the numbers."""
+    spark = documents.sparkSession
 
     def add(batch: DataFrame, n: int) -> None:
-        rows = number(batch.select("source", "text"), "source", "text")
-        rows = rows.withColumn("embedding", embed(F.col("text"))).where("embedding IS NOT NULL")
-        rows = rows.withColumn("embedding", normalize(F.col("embedding")).cast("array<float>"))
-        rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        fresh = settle(batch.select("source", "text"))  # a source may not be read the same twice
+        def make(first: int) -> DataFrame:
+            rows = number(fresh, "source", "text").withColumn("index", F.col("index") + F.lit(first))
+            rows = rows.withColumn("embedding", embed(F.col("text"))).where("embedding IS NOT NULL")
+            return rows.withColumn("embedding", normalize(F.col("embedding")).cast("array<float>")).withColumn("alias", F.concat(F.lit("document_"), F.col("index")))
+
+        append_index(spark, path, make, fresh.count, key=f"{checkpoint}#{n}")
+        discard(fresh)
 
     documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what there is, then stop; the result is a table in memory, so only
-    for results of bounded size (use ``write_available`` for others)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def latest_available(stream: DataFrame, path: str, checkpoint: str, key: str) -> DataFrame:
+    """Process what there is of a stream that gives a key's rows anew with each batch
+    that touches it; the result has the rows of each key's last batch.  Batches are
+    folders, which a repeated batch overwrites: nothing passes through the driver."""
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    every = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(path)
+    last = every.groupBy(key).agg(F.max("batch").alias("batch"))
+    return every.join(last, [key, "batch"]).drop("batch")
 
 
-def write_available(stream: DataFrame, path: str, checkpoint: str) -> None:
+def write_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Append what there is to Parquet; restarts continue from the checkpoint."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
