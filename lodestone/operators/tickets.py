@@ -45,14 +45,48 @@ def delete(tickets: DataFrame, keys: DataFrame | int) -> DataFrame:
     return tickets.join(keys.select("id"), "id", "left_anti") if isinstance(keys, DataFrame) else tickets.where(~F.col("id").eqNullSafe(keys))
 
 
-def update(tickets: DataFrame, changes: DataFrame) -> DataFrame:
-    """Rows of ``changes`` (id and any ticket columns) over those of the same id;
-    a null leaves the old value."""
-    new = {c: F.col(f"__new.{c}") for c in changes.columns if c != "id"}
-    joined = tickets.alias("t").join(changes.alias("__new"), F.col("t.id") == F.col("__new.id"), "left")
+def update(tickets: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """Rows of ``changes`` (id and any ticket columns) over those of the same id; a
+    null leaves the old value.  Several changes of one id are folded field by field,
+    the last in ``order`` that is not null; without an order they are an error."""
+    fields = [c for c in changes.columns if c not in ("id", order)]
+    if order is None:
+        many = F.raise_error(F.concat(F.lit("several changes of ticket "), F.col("id").cast("string")))
+        one = changes.groupBy("id").agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in fields])
+        one = one.withColumn("id", F.when(F.col("__n") > 1, many.cast("long")).otherwise(F.col("id"))).drop("__n")
+    else:
+        one = changes.groupBy("id").agg(*[_last(F.col(c), F.col(order)).alias(c) for c in fields])
+    new = {c: F.col(f"__new.{c}") for c in fields}
+    joined = tickets.alias("t").join(one.alias("__new"), F.col("t.id") == F.col("__new.id"), "left")
     return joined.select(*[(F.coalesce(new[c], F.col(f"t.{c}")) if c in new else F.col(f"t.{c}")).alias(c) for c in tickets.columns])
 
 
+def _last(value: Column, order: Column) -> Column:
+    """The last value in order that is not null."""
+    return F.max_by(value, F.when(value.isNotNull(), order))
+
+
+def replay(log: DataFrame, order: str = "seq") -> DataFrame:
+    """Tickets after an ordered log of (id, kind, ``order``, ticket columns).  ``add``
+    makes a ticket anew; ``update`` sets the fields that are not null; ``delete`` ends
+    the ticket of its id and ``clear`` all of them; changes to a ticket that is not
+    there do nothing.  Of equal order values the result is any of theirs.
+
+    Three aggregations that combine before any shuffle: the last clear, the life of
+    each id after it, and each field's last value within that life.  No id's changes
+    are brought together in one task, however many there are."""
+    fields = [c for c in log.columns if c not in ("id", "kind", order)]
+    cleared = log.where("kind = 'clear'").agg(F.max(order).alias("__cleared"))  # one row
+    rows = log.where("kind <> 'clear'").join(F.broadcast(cleared)).where(F.col("__cleared").isNull() | (F.col(order) > F.col("__cleared"))).drop("__cleared")
+
+    def last(kind: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col(order)))
+
+    lives = rows.groupBy("id").agg(last("add").alias("__born"), last("delete").alias("__dead")).where("__born IS NOT NULL AND (__dead IS NULL OR __dead < __born)")
+    changed = rows.where("kind IN ('add', 'update')").join(lives.select("id", "__born"), "id").where(F.col(order) >= F.col("__born"))
+    return changed.groupBy("id").agg(*[_last(F.col(c), F.col(order)).alias(c) for c in fields])
+
+
 def clear(tickets: DataFrame) -> DataFrame:
     """No tickets, in the same columns; numbers start from 1 again."""
     return tickets.where(F.lit(False))

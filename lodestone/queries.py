@@ -415,6 +415,27 @@ def ticket_update(spark, sf_dir):
     return tickets.update(rows, changes).select("id", "status", "priority")
 
 
+def ticket_replay(spark, sf_dir):
+    """Tickets by user after a log of all events: sign-ups add one, errors delete it,
+    other events set single fields; two events clear everything."""
+    e = _table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_id").isin(1000, 1700), "clear").when(F.col("event_type") == "signup", "add").when((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0), "delete").otherwise("update")
+    log = e.select(
+        F.col("user_id").alias("id"), kind.alias("kind"), F.col("event_id").alias("seq"), F.when(F.col("event_type").isin("signup", "click"), F.concat(F.lit("S"), F.col("event_id") % 5)).alias("status"),
+        F.when(F.col("event_type").isin("signup", "view"), F.concat(F.lit("P"), F.col("event_id") % 4)).alias("priority"), F.when(F.col("event_type") == "purchase", F.col("props")).alias("topic"),
+    )
+    return tickets.replay(log)
+
+
+def ticket_fold(spark, sf_dir):
+    """Several partial changes of each ticket at once, folded field by field."""
+    rows, e = _tickets(spark, sf_dir), _table(spark, sf_dir, "events")
+    keys = corpus.number(rows.select("id"), "id", name="k")
+    n = keys.count()
+    changes = e.select((F.col("event_id") % max(n, 1)).alias("k"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", F.col("props")).alias("status"), F.when(F.col("event_type") == "view", F.concat(F.lit("P"), F.col("user_id"))).alias("priority"))
+    return tickets.update(rows, changes.join(keys, "k").drop("k"), "seq").select("id", "status", "priority")
+
+
 def ticket_card(spark, sf_dir):
     rows = _analysed(spark, sf_dir)
     return rows.select("event_id", *G.card_defaults(F.nullif("topic", F.lit("Unknown")), F.lit(None).cast("string"), F.nullif("priority", F.lit("P0"))))
@@ -666,16 +687,28 @@ def file_readers(spark, sf_dir):
     return a.unionByName(b).unionByName(c).unionByName(none)
 
 
-def saved_pages(spark, sf_dir):
-    """Extracted pages saved as JSON lines and as text, and the JSON read back."""
+def _saved(spark, sf_dir):
     folder = _fresh(spark, "pages")
     pages = _pages(spark, sf_dir).select(F.col("page_id").alias("position"), "p.*")
     readers.write_pages(pages, f"{folder}/json", f"{folder}/text")
-    back = readers.read_scraped(spark, f"{folder}/json", "product_docs", lines=True)
-    text = spark.read.text(f"{folder}/text").where(F.startswith("value", F.lit("URL: ")))
-    urls = text.select(F.substring("value", 6, 1 << 20).alias("url")).groupBy("url").agg(F.count("*").alias("n_saved"))
-    out = back.withColumn("url", F.regexp_replace("source", "^product_docs/", "")).join(urls, "url", "left")
-    return out.select("source", "title", "content", F.size("sections").cast("long").alias("n_sections"), "n_saved")
+    return folder
+
+
+def saved_pages(spark, sf_dir):
+    """Extracted pages saved as a JSON array, and read back as documents."""
+    out = readers.read_scraped(spark, f"{_saved(spark, sf_dir)}/json", "product_docs")
+    return out.select("source", "title", "content", F.size("sections").cast("long").alias("n_sections"))
+
+
+def saved_json(spark, sf_dir):
+    """Every line of the saved JSON with its count, but for the brackets of the parts."""
+    lines = spark.read.text(f"{_saved(spark, sf_dir)}/json").where("value NOT IN ('[', ']')")
+    return lines.select(F.regexp_replace("value", "^  },$", "  }").alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+
+
+def saved_text(spark, sf_dir):
+    """Every line of the saved text with its count."""
+    return spark.read.text(f"{_saved(spark, sf_dir)}/text").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
 def crawl_sites(spark, sf_dir):
@@ -779,9 +812,9 @@ _NAMES = """doc_chunks doc_chunk_counts text_preview clean_text page_title page_
 corpus_union corpus_format corpus_stats corpus_by_type corpus_sources distinct_sources index_numbers progress_sample unindexed_docs index_normalized knn_cosine
 knn_cosine_top2 knn_l2 knn_single knn_lookup index_stats rag_context rag_prompt rag_answer classify_rules classify_documents canned_reply classify_json
 route_tickets route_counts badge_map ticket_create ticket_stats ticket_serial ticket_filter_status ticket_filter_priority ticket_by_id ticket_delete
-ticket_update ticket_card log_tail log_tail_by_user log_by_type log_counts escalations query_events upload_validate mime_dispatch file_size_fmt
+ticket_update ticket_replay ticket_fold ticket_card log_tail log_tail_by_user log_by_type log_counts escalations query_events upload_validate mime_dispatch file_size_fmt
 attachment_latest stream_log_counts site_rank answer_flow crawl_bfs crawl_order site_scan ingest_files index_job stream_ticket_numbers attach_files chat_update demo_scores rag_context_l2
-rule_flow failing_answers index_rebuild file_readers saved_pages crawl_sites stream_log_tail stream_attachments stream_index ticket_clear demo_tickets chat_append
+rule_flow failing_answers index_rebuild file_readers saved_pages saved_json saved_text crawl_sites stream_log_tail stream_attachments stream_index ticket_clear demo_tickets chat_append
 analysis_json""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
@@ -921,6 +954,16 @@ SELECT CASE WHEN grouping(status) = 0 THEN 'status' WHEN grouping(priority) = 0
     "ticket_by_id": f"WITH {_TICKETS_SQL} SELECT id, topic, priority FROM tickets WHERE id = 0",
     "ticket_delete": f"WITH {_TICKETS_SQL} SELECT id FROM tickets WHERE id % 3 <> 0",
     "ticket_update": f"WITH {_TICKETS_SQL} SELECT id, CASE WHEN id % 4 = 0 THEN 'Open' ELSE status END AS status, CASE WHEN id % 8 = 0 THEN 'High' ELSE priority END AS priority FROM tickets",
+    "ticket_replay": """WITH l AS (SELECT user_id AS id, event_id AS seq, CASE WHEN event_id IN (1000, 1700) THEN 'clear' WHEN event_type = 'signup' THEN 'add' WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'delete' ELSE 'update' END AS kind,
+    CASE WHEN event_type IN ('signup', 'click') THEN 'S' || event_id % 5 END AS status, CASE WHEN event_type IN ('signup', 'view') THEN 'P' || event_id % 4 END AS priority, CASE WHEN event_type = 'purchase' THEN props END AS topic FROM events),
+c AS (SELECT max(seq) AS c FROM l WHERE kind = 'clear'),
+r AS (SELECT l.*, max(CASE WHEN kind = 'add' THEN seq END) OVER w AS born, max(CASE WHEN kind = 'delete' THEN seq END) OVER w AS dead FROM l, c WHERE kind <> 'clear' AND (c IS NULL OR seq > c) WINDOW w AS (PARTITION BY id))
+SELECT id, arg_max(status, seq) FILTER (WHERE status IS NOT NULL) AS status, arg_max(priority, seq) FILTER (WHERE priority IS NOT NULL) AS priority, arg_max(topic, seq) FILTER (WHERE topic IS NOT NULL) AS topic
+FROM r WHERE born IS NOT NULL AND coalesce(dead, -1) < born AND seq >= born AND kind <> 'delete' GROUP BY id""",
+    "ticket_fold": f"""WITH {_TICKETS_SQL}, k AS (SELECT id, priority, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS total FROM tickets),
+e AS (SELECT event_id % (SELECT max(total) FROM k) AS k, event_id AS seq, CASE WHEN event_type = 'click' THEN props END AS status, CASE WHEN event_type = 'view' THEN 'P' || user_id END AS priority FROM events),
+f AS (SELECT k, arg_max(status, seq) FILTER (WHERE status IS NOT NULL) AS status, arg_max(priority, seq) FILTER (WHERE priority IS NOT NULL) AS priority FROM e GROUP BY k)
+SELECT id, coalesce(f.status, 'Resolved') AS status, coalesce(f.priority, k.priority) AS priority FROM k LEFT JOIN f USING (k)""",
     "ticket_card": f"WITH {_ANALYSED_SQL} SELECT event_id, topic, 'Neutral' AS sentiment, CASE WHEN priority = 'P0' THEN 'P3' ELSE priority END AS priority FROM a",
     "log_tail": f"WITH {_LOGS} SELECT id, level, type, strftime(ts, '%H:%M:%S') AS at FROM logs ORDER BY ts DESC, id DESC LIMIT 51",
     "log_tail_by_user": f"WITH {_LOGS} SELECT user_id, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) AS r FROM logs) WHERE r <= 2",
@@ -966,8 +1009,14 @@ SELECT questions.query_id, CASE WHEN context IS NULL THEN 'I couldn''t find rele
     "index_rebuild": """SELECT * FROM (SELECT 0::BIGINT AS step, count(*) AS total_documents, true AS built FROM benchmark UNION ALL SELECT 1, count(*), false FROM benchmark
   UNION ALL SELECT 2, (SELECT count(*) FROM documents) + (SELECT count(*) FROM benchmark), true)""",
     "file_readers": """WITH t AS (SELECT string_agg(text, chr(10) ORDER BY item_id) || chr(10) AS text FROM benchmark) SELECT reader, text FROM t, (VALUES ('folder'), ('file'), ('uploads')) r(reader)""",
-    "saved_pages": f"""SELECT 'product_docs/' || url AS source, {_tag_sql('title')} AS title, {_CONTENT_SQL} AS content, CASE WHEN length({_tag_sql('h1')}) > 3 THEN 1 ELSE 0 END::BIGINT AS n_sections,
-  count(*) OVER (PARTITION BY url) AS n_saved FROM pages""",
+    "saved_pages": f"""SELECT 'product_docs/' || url AS source, {_tag_sql('title')} AS title, {_CONTENT_SQL} AS content, CASE WHEN length({_tag_sql('h1')}) > 3 THEN 1 ELSE 0 END::BIGINT AS n_sections FROM pages""",
+    "saved_json": f"""WITH p AS (SELECT url, {_tag_sql('title')} AS title, {_CONTENT_SQL} AS content, {_tag_sql('h1')} AS h FROM pages),
+l AS (SELECT unnest(list_concat(['  {{', '    "url": ' || to_json(url) || ',', '    "title": ' || to_json(title) || ',', '    "content": ' || to_json(content) || ','],
+  CASE WHEN length(h) > 3 THEN ['    "sections": [', '      {{', '        "level": 1,', '        "text": ' || to_json(h), '      }}', '    ],'] ELSE ['    "sections": [],'] END,
+  ['    "code_blocks": [],', '    "links": []', '  }}'])) AS line FROM p)
+SELECT line, count(*) AS n FROM l GROUP BY 1""",
+    "saved_text": f"""WITH p AS (SELECT unnest(['URL: ' || url, 'Title: ' || {_tag_sql('title')}, 'Content: ' || {_CONTENT_SQL}, repeat('-', 80), '']) AS line FROM pages)
+SELECT line, count(*) AS n FROM p GROUP BY 1""",
     "crawl_sites": _CRAWL_SQL + """, n AS (SELECT site, least(count(*), 5) AS n FROM d GROUP BY 1)
 SELECT CASE WHEN starts_with(site, 'blog.') THEN 'developer' ELSE 'docs' END AS kind, sum(n)::BIGINT AS n_pages, count(*) AS n_sites FROM n GROUP BY 1""",
     "stream_log_tail": """SELECT key, place, id, message FROM (SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS place, event_id AS id, props AS message FROM events)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.text import rule_line
 from ..schemas import DOCUMENT, PAGE
 from . import versions
+from .json_sink import register
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -69,13 +70,16 @@ def as_documents(rows: DataFrame, source: Column, content: Column, kind: str | C
 
 
 def write_pages(pages: DataFrame, json_path: str, text_path: str, order: str = "position") -> None:
-    """Crawled pages as JSON lines and as readable text, in crawl order."""
+    """Crawled pages as JSON arrays (see ``json_sink``) and as readable text, in crawl
+    order."""
+    register(pages.sparkSession)
     columns = [f.name for f in PAGE.fields]
-    pages.repartitionByRange(order).sortWithinPartitions(order).select(*columns).write.mode("overwrite").json(json_path)
+    dealt = pages.repartitionByRange(order).sortWithinPartitions(order)
+    dealt.select(*columns).write.format("json_array").mode("overwrite").save(json_path)
     block = F.concat(
         F.lit("URL: "), F.col("url"), F.lit("\nTitle: "), F.col("title"), F.lit("\nContent: "), F.col("content"), F.lit("\n"), rule_line(80), F.lit("\n")
     )
-    pages.repartitionByRange(order).sortWithinPartitions(order).select(block.alias("value")).write.mode("overwrite").text(text_path)
+    dealt.select(block.alias("value")).write.mode("overwrite").text(text_path)
 
 
 def _checked(rows: DataFrame, dimension: int) -> DataFrame:
