@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import discard, settle
 
 QUERY_BLOCK = 4096
 
@@ -67,7 +67,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 3, metric: str = "cosin
     query; cosine descending or squared L2 (``l2``) ascending, ties by id.
     Null vectors match nothing; vectors of another dimension are an error."""
     rows = index.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-    wanted = queries.where(F.col(vector_col).isNotNull()).select(F.col(query_col).cast("long").alias("query_id"), F.col(vector_col).alias("v"))
+    # written once: an embedder runs once, and every block sees the same vectors
+    wanted = settle(queries.where(F.col(vector_col).isNotNull()).select(F.col(query_col).cast("long").alias("query_id"), F.col(vector_col).alias("v")))
     n = wanted.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     found = None
@@ -78,6 +79,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 3, metric: str = "cosin
         got = rows.mapInPandas(_best(ids, q, k, metric), "query_id long, vec_id long, score double")
         got = got if blocks == 1 else settle(got)
         found = got if found is None else found.unionByName(got)
+    discard(wanted)
     # what is left of each partition, ranked
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     out = found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -9,7 +9,7 @@ from .functions import text as X
 from .functions import triage as G
 from .functions import urls as U
 from .functions.html import extract_page
-from .operators import chat, chunks, corpus, crawl, logs, rag, retrieval, tickets
+from .operators import chat, chunks, corpus, crawl, logs, pivots, rag, retrieval, tickets
 from .plans import jobs
 from .schemas import DOCUMENT, UPLOAD_TYPES
 from .session import discard, settle, work_dir
@@ -236,6 +236,21 @@ def knn_l2(spark, sf_dir):
     return _rounded(_hits(spark, sf_dir, 3, "l2"))
 
 
+def _pruned(spark, sf_dir, metric):
+    index, path = _table(spark, sf_dir, "embeddings"), _fresh(spark, "pivots")
+    pivots.lay_out(index, path, 32, metric)
+    return _rounded(pivots.top_k(spark, path, _queries_of(index), 3, metric))
+
+
+def knn_pruned(spark, sf_dir):
+    """As knn_cosine, from an index laid out by pivots, without what can't be near."""
+    return _pruned(spark, sf_dir, "cosine")
+
+
+def knn_pruned_l2(spark, sf_dir):
+    return _pruned(spark, sf_dir, "l2")
+
+
 def knn_single(spark, sf_dir):
     index = _table(spark, sf_dir, "embeddings")
     first = index.where("vec_id = 0").first().embedding
@@ -810,7 +825,7 @@ def flagship(spark, sf_dir):
 
 _NAMES = """doc_chunks doc_chunk_counts text_preview clean_text page_title page_content page_sections page_links page_code page_headings page_inner_links page_selectors code_format valid_urls pages_per_site
 corpus_union corpus_format corpus_stats corpus_by_type corpus_sources distinct_sources index_numbers progress_sample unindexed_docs index_normalized knn_cosine
-knn_cosine_top2 knn_l2 knn_single knn_lookup index_stats rag_context rag_prompt rag_answer classify_rules classify_documents canned_reply classify_json
+knn_cosine_top2 knn_l2 knn_pruned knn_pruned_l2 knn_single knn_lookup index_stats rag_context rag_prompt rag_answer classify_rules classify_documents canned_reply classify_json
 route_tickets route_counts badge_map ticket_create ticket_stats ticket_serial ticket_filter_status ticket_filter_priority ticket_by_id ticket_delete
 ticket_update ticket_replay ticket_fold ticket_card log_tail log_tail_by_user log_by_type log_counts escalations query_events upload_validate mime_dispatch file_size_fmt
 attachment_latest stream_log_counts site_rank answer_flow crawl_bfs crawl_order site_scan ingest_files index_job stream_ticket_numbers attach_files chat_update demo_scores rag_context_l2
@@ -918,6 +933,8 @@ SELECT vec_id, round(n, 6) AS norm, array_to_string(list_transform(v, lambda x:
     "knn_cosine": f"WITH {_knn_sql(3)} {_HITS}",
     "knn_cosine_top2": f"WITH {_knn_sql(2)} {_HITS}",
     "knn_l2": f"WITH {_knn_sql(3, True)} {_HITS}",
+    "knn_pruned_l2": f"WITH {_knn_sql(3, True)} {_HITS}",
+    "knn_pruned": f"WITH {_knn_sql(3)} {_HITS}",
     "knn_single": f"WITH {_knn_sql(3)} SELECT vec_id, round(score, 6) AS score FROM hits WHERE query_id = 0",
     "knn_lookup": f"WITH {_knn_sql(3)} SELECT query_id, rank, vec_id, source, lang FROM hits JOIN documents ON doc_id = vec_id",
     "index_stats": "SELECT count(*) AS total_documents, max(len(embedding))::BIGINT AS dimension, count(*) > 0 AS index_loaded FROM embeddings",
