@@ -38,6 +38,9 @@ on at least ``support`` of the pages, so it is at most 1 / ``support`` as large
 a page.  Templates are one row a host; they are broadcast while
 measured to be under ``broadcast_bytes``, else joined by host.
 
+Elements deeper than ``DEEP`` levels share a path by name.  A page is read in linear
+time, whatever is left open, crossed or unquoted in it.
+
 Defined cases: null or empty html gives an empty text; a null or bad url is the
 host ''; unclosed, crossed and truncated tags are read as far as they go; a page
 of any length is read to its end; pages without the host's container are read as
@@ -60,7 +63,11 @@ from pyspark.sql import functions as F
 from ._shared import cut, discard, id_array, id_text
 from .url_filter import url_host
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][A-Za-z0-9:\-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:\-]*)([^>]*)>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|(/?)([A-Za-z][A-Za-z0-9:\-]*)|([!?/]))")
+_STOP = re.compile("[\"'<>]")
+#: Levels of elements that have a path of their own; those below share the path of
+#: the last one and add their own name.  It bounds paths, not what is read.
+DEEP = 64
 _ATTR = re.compile(r"([A-Za-z\-:]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 #: Tag names of the HTML standard by their part here.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -90,10 +97,68 @@ _NO_WORDS: set[str] = set()
 
 
 class _Node:
-    __slots__ = ("tag", "path", "gone", "out", "inside", "comment", "heading")
+    __slots__ = ("tag", "path", "gone", "out", "inside", "comment", "heading", "section", "level", "base")
 
-    def __init__(self, tag, path, gone, out, inside, comment, heading):
+    def __init__(self, tag, path, gone, out, inside, comment, heading, section, level, base):
         self.tag, self.path, self.gone, self.out, self.inside, self.comment, self.heading = tag, path, gone, out, inside, comment, heading
+        self.section, self.level, self.base = section, level, base
+
+
+class _Open:
+    """The open elements: a stack that knows where each tag and where the last block
+    stands in it, so that no end tag searches it."""
+
+    def __init__(self, root: _Node):
+        self.stack, self.places, self.blocks = [root], {}, []
+
+    def push(self, node: _Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag not in _INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, k: int) -> None:
+        while len(self.stack) > k:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.tag not in _INLINE:
+                self.blocks.pop()
+
+    def end(self, tag: str) -> None:
+        found = self.places.get(tag)
+        # an inline end tag closes no block
+        if found and not (tag in _INLINE and self.blocks and self.blocks[-1] > found[-1]):
+            self.cut(found[-1])
+
+
+def _next(page: str, at: int, last: int) -> tuple[int, int, str, str, str] | None:
+    """(start, end, slash, tag, attributes) of the next piece of markup, the tag empty
+    where it counts for nothing; ``last`` is the place of the page's last ``>``.
+    Quoted values may hold any sign; a tag whose quotes don't match ends at its first
+    ``>``."""
+    while m := _OPEN.search(page, at):
+        start, at = m.start(), m.end()
+        if m[1]:
+            end = page.find("-->", at)
+            return start, len(page) if end < 0 else end + 3, "", "", ""
+        if last < at:
+            continue
+        if m[4]:
+            return start, page.find(">", at) + 1, "", "", ""
+        p, name, end = at, at, -1
+        while s := _STOP.search(page, p):
+            if s[0] in "<>":
+                end = s.start() if s[0] == ">" else -1
+                break
+            p = page.find(s[0], s.end()) + 1
+            if not p:
+                break
+        if end < 0:
+            end = page.find(">", name)
+            if m[2]:
+                return start, end + 1, "", "", ""
+        return start, end + 1, m[2], m[3].lower(), page[name:end]
+    return None
 
 
 @functools.lru_cache(4096)
@@ -122,9 +187,11 @@ def parse(page: str, words: bool = True) -> tuple[dict[str, list], list[Block]]:
     """Elements {path: [times, rank as a section]} and blocks in page order."""
     elements: dict[str, list] = {}
     blocks: list[Block] = []
-    stack = [_Node("", "", False, False, False, False, False)]
+    home = _Node("", "", False, False, False, False, False, None, 0, "")
+    home.section = home
+    opened = _Open(home)
+    stack = opened.stack
     held: list[str] = []
-    home = stack[0]
 
     def flush():
         nonlocal held
@@ -134,41 +201,31 @@ def parse(page: str, words: bool = True) -> tuple[dict[str, list], list[Block]]:
             if text:
                 blocks.append(Block(home.path, text, home.heading, not home.gone, not home.out))
 
-    at, size = 0, len(page)
+    at, size, last = 0, len(page), page.rfind(">")
     while at < size:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else size
+        found = _next(page, at, last)
+        stop = found[0] if found else size
         if stop > at:
             if not held:
                 home = stack[-1]
             held.append(page[at:stop])
-        if not m:
+        if not found:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        _, at, closing, tag, attrs = found
         if not tag:
             continue
-        closing, attrs = m[1] or m[4], m[3] or m[6] or ""
         if closing:
             if tag not in _INLINE:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if tag in _INLINE and any(x.tag not in _INLINE for x in stack[k + 1 :]):
-                        break  # an inline end tag closes no block
-                    del stack[k:]
-                    break
+            opened.end(tag)
             continue
         if tag not in _INLINE:
             flush()
         if tag in _VOID:
             continue
         top = stack[-1]
-        if tag == "p" and top.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
-            top = stack[-1]
-        elif tag in ("li", "tr", "td", "th", "dt", "dd", "option") and top.tag == tag:
-            stack.pop()
+        if tag == "p" and top.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or tag in ("li", "tr", "td", "th", "dt", "dd", "option") and top.tag == tag:
+            opened.cut(len(stack) - 1)
             top = stack[-1]
         suffix, marks, hidden = _marks(attrs) if attrs and _TELLING.search(attrs) else ("", _NO_WORDS, False)
         if not words:
@@ -183,12 +240,12 @@ def parse(page: str, words: bool = True) -> tuple[dict[str, list], list[Block]]:
             gone = out = hidden  # an article ends what was left open around it
         else:
             gone, out = top.gone or never, top.out or bad or comment
+        up = top.section if outer else top
+        path = f"{up.path if up.level < DEEP else up.base}/{tag}{suffix}"
+        node = _Node(tag, path, gone, out, inside and not out, comment, top.heading or tag == "h1", top.section, up.level + 1, path if up.level < DEEP else up.base)
         if outer:
-            above = next((x.path for x in reversed(stack) if x.tag in _SECTION), "")
-        else:
-            above = top.path
-        node = _Node(tag, f"{above}/{tag}{suffix}", gone, out, inside and not out, comment, top.heading or tag == "h1")
-        stack.append(node)
+            node.section = node
+        opened.push(node)
         rank = 3 if tag == "article" else 2 if tag == "main" else 1 if section or marks & _MAIN_WORDS else 0
         e = elements.setdefault(node.path, [0, 0 if out else rank])
         e[0] += 1
@@ -212,12 +269,18 @@ def _alone(elements: dict[str, list], blocks: list[Block]) -> str | None:
     main headings and some of the text, or a fair part of the text."""
     ok = [b for b in blocks if b.eligible]
     chars, heads, best = sum(len(b.text) for b in ok), sum(b.heading for b in ok), None
-    for path, (_, rank) in elements.items():
-        if rank:
-            own = [b for b in ok if _within(b.path, path)]
-            n, h = sum(len(b.text) for b in own), sum(b.heading for b in own)
-            if n and (n >= 0.3 * chars or heads and h >= heads and n >= 0.05 * chars):
-                best = max(best or (False, 0, 0, 0, ""), (h >= heads, rank, n, -path.count("/"), path))
+    # each block counts for the few sections above it
+    held: dict[str, list[int]] = {p: [0, 0] for p, (_, rank) in elements.items() if rank}
+    for b in ok if held else []:
+        p = b.path
+        while p:
+            if p in held:
+                held[p][0] += len(b.text)
+                held[p][1] += b.heading
+            p = p.rpartition("/")[0]
+    for path, (n, h) in held.items():
+        if n and (n >= 0.3 * chars or heads and h >= heads and n >= 0.05 * chars):
+            best = max(best or (False, 0, 0, 0, ""), (h >= heads, elements[path][1], n, -path.count("/"), path))
     return best[-1] if best else None
 
 
