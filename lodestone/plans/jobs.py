@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,27 @@ def hash_embedding(text: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def loading_embedder(load: Callable[[], Callable[[str], list[float]]]) -> Callable[[Column], Column]:
+    """An embedder around a model that is slow to load: ``load`` runs once a task, not
+    once a batch, and only where there are rows.  A row that the model fails for is null,
+    which leaves it out of an index and a gap in the numbers; a model that can't be
+    loaded ends the job."""
+    @F.pandas_udf(ArrayType(FloatType()))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = None
+        for texts in batches:
+            model = model or load()
+            out = []
+            for t in texts:
+                try:
+                    out.append(None if t is None else [float(x) for x in model(t)])
+                except Exception:  # noqa: BLE001  the row has no embedding
+                    out.append(None)
+            yield pd.Series(out, dtype=object)
+
+    return embed
+
+
 def build_index(documents: DataFrame, path: str, embed: Callable[[Column], Column] = hash_embedding, force: bool = False, chunked: bool = False) -> dict:
     """Render, optionally chunk, number, embed, normalise and write.  Without
     ``force`` an index that is there stays.  Documents that ``embed`` gives null

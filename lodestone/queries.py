@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .functions import triage as G
 from .functions import urls as U
+from .functions import variants
 from .functions.html import extract_page
 from .operators import chat, chunks, corpus, crawl, logs, pivots, rag, retrieval, tickets
 from .plans import jobs
@@ -661,13 +662,77 @@ def site_scan(spark, sf_dir):
     return out.select("url", F.coalesce(F.length("html"), F.lit(0)).cast("long").alias("n_chars"), "error")
 
 
+#: The kinds of files that documents are made into, by doc_id modulo 7.
+_KINDS = ["text/plain", "text/plain", "application/json", "application/json", "image/png", "application/pdf", "application/zip"]
+
+
 def ingest_files(spark, sf_dir):
-    rows = [("a.txt", "text/plain", b"one"), ("b.txt", "text/plain", b"\xff"), ("c.json", "application/json", b'{"k": [1]}'), ("e.png", "image/png", b"x"), ("g.zip", "application/zip", b"x")]
-    out = uploads.ingest(spark.createDataFrame(rows, "name string, content_type string, content binary"))
+    """Documents as files: plain, with a byte that is no UTF-8, as JSON, as broken
+    JSON, and as files whose text isn't read."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 7).cast("int").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    json_text = F.concat(F.lit('{"id": '), F.col("doc_id"), F.lit(', "parts": ["ä", 1.5, {"n": null}]'), F.when(F.col("k") == 2, "}").otherwise(""))
+    content = F.when(F.col("k") == 1, F.concat(F.lit(b"\xff"), F.col("text").cast("binary"))).when(F.col("k").isin(2, 3), json_text.cast("binary")).otherwise(F.col("text").cast("binary"))
+    files = docs.select(F.concat(F.lit("f"), F.col("doc_id"), F.lit(".bin")).alias("name"), F.element_at(F.array(*[F.lit(x) for x in _KINDS]), F.col("k") + 1).alias("content_type"), content.alias("content"))
+    out = uploads.ingest(files)
     text = F.when(F.startswith("text", F.lit("Error processing file")), "Error").otherwise(F.replace("text", F.col("stored_name"), F.lit("STORED")))
     return out.select("name", "size", "reject_reason", text.alias("text"))
 
 
+def stream_uploads(spark, sf_dir):
+    """Documents as files that come in three lots, some with a byte that is no UTF-8:
+    each content once, with the reason where it is refused."""
+    base, docs = _fresh(spark, "uploads"), _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    bad = F.col("doc_id") % 10 == 3
+    value = F.when(bad, F.concat(F.lit(b"\xff"), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary")).cast("string")
+    for k in range(3):
+        lot = docs.where(F.pmod("doc_id", F.lit(3)) == k).select(F.col("doc_id").alias("file"), value.alias("value"))
+        lot.write.partitionBy("file").text(f"{base}/in/lot-{k}")
+        out = uploads.ingest_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", limit=20_000)
+    text = F.when(F.startswith("text", F.lit("Error processing file")), "Error").otherwise(F.col("text"))
+    return out.select("hash", "size", "reject_reason", text.alias("text"))
+
+
+def _odd_props(spark, sf_dir):
+    """Event properties, some with another type, without the key, broken or nested."""
+    e, k = _table(spark, sf_dir, "events"), F.get_json_object("props", "$.k")
+    odd = F.expr("event_id % 5")
+    return e.select("event_id", "event_type", odd.cast("int").alias("odd"), F.when(odd == 1, F.concat(F.lit('{"k": "x'), k, F.lit('"}'))).when(odd == 2, "{}").when(odd == 3, F.concat(F.lit('{"k": '), k)).when(
+        odd == 4, F.concat(F.lit('{"k": ['), k, F.lit(', {"z": true}]}'))).otherwise(F.col("props")).alias("props"))
+
+
+def event_variants(spark, sf_dir):
+    v = _odd_props(spark, sf_dir).withColumn("v", variants.parse(F.col("props")))
+    return v.select(
+        "event_id", F.col("v").isNotNull().alias("valid"), variants.read(F.col("v"), "$.k", "bigint").alias("k"), variants.read(F.col("v"), "$.k", "string").alias("shown"),
+        variants.read(F.col("v"), "$.k[0]", "bigint").alias("first"), variants.read(F.col("v"), "$.k[1].z", "boolean").alias("z"), variants.shape(F.col("v")).alias("shape"),
+    )
+
+
+def variant_shapes(spark, sf_dir):
+    """The shape that all properties of a kind have in common."""
+    v = _odd_props(spark, sf_dir).select("event_type", F.when(F.col("odd") == 4, "list").when(F.col("odd") < 2, "plain").otherwise("bare").alias("kind"), variants.parse(F.col("props")).alias("v"))
+    return v.groupBy("event_type", "kind").agg(variants.common_shape(F.col("v")).alias("shape"), F.count("v").alias("n"))
+
+
+def index_gaps(spark, sf_dir):
+    """An index by a model that fails for every seventh document: their numbers stay
+    free."""
+    def load():
+        import re
+
+        def model(text):
+            n = int(re.search(r"Source: doc/(\d+) ", text)[1])
+            if n % 7 == 0:
+                raise ValueError("no embedding")
+            return [1.0, n % 10]
+
+        return model
+
+    path = _fresh(spark, "gaps")
+    jobs.build_index(_corpus(spark, sf_dir).where("type = 'existing_data'"), path, jobs.loading_embedder(load))
+    return readers.read_index(spark, path).select("source", "index", "alias")
+
+
 def index_job(spark, sf_dir):
     """Render, embed and write the whole corpus, then ask for each benchmark item."""
     path, asked = _index(spark, sf_dir)
@@ -794,7 +859,11 @@ def ticket_clear(spark, sf_dir):
 
 
 def demo_tickets(spark, sf_dir):
-    return tickets.demo(spark).select("id", "ticket_number", "topic", "sentiment", "priority")
+    """The demo tickets, with the user turns of the same sentiment and priority."""
+    turns = _table(spark, sf_dir, "conversations").where("role = 'user'").select(G.classify_rules(F.col("text")).alias("c"))
+    n = turns.groupBy("c.sentiment", "c.priority").agg(F.count("*").alias("n_turns"))
+    out = tickets.demo(spark).join(n, ["sentiment", "priority"], "left")
+    return out.select("id", "ticket_number", "topic", "sentiment", "priority", F.coalesce("n_turns", F.lit(0)).alias("n_turns"))
 
 
 def chat_append(spark, sf_dir):
@@ -829,7 +898,7 @@ knn_cosine_top2 knn_l2 knn_pruned knn_pruned_l2 knn_single knn_lookup index_stat
 route_tickets route_counts badge_map ticket_create ticket_stats ticket_serial ticket_filter_status ticket_filter_priority ticket_by_id ticket_delete
 ticket_update ticket_replay ticket_fold ticket_card log_tail log_tail_by_user log_by_type log_counts escalations query_events upload_validate mime_dispatch file_size_fmt
 attachment_latest stream_log_counts site_rank answer_flow crawl_bfs crawl_order site_scan ingest_files index_job stream_ticket_numbers attach_files chat_update demo_scores rag_context_l2
-rule_flow failing_answers index_rebuild file_readers saved_pages saved_json saved_text crawl_sites stream_log_tail stream_attachments stream_index ticket_clear demo_tickets chat_append
+rule_flow failing_answers index_rebuild file_readers saved_pages saved_json saved_text crawl_sites stream_log_tail stream_attachments stream_index stream_uploads event_variants variant_shapes index_gaps ticket_clear demo_tickets chat_append
 analysis_json""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
@@ -1014,8 +1083,21 @@ SELECT site, row_number() OVER (PARTITION BY site ORDER BY depth, path) - 1 AS p
     "site_scan": """WITH a AS (SELECT DISTINCT url FROM pages WHERE url LIKE '%/en/%')
 SELECT url, (SELECT max(length(html)) FROM pages p WHERE p.url = a.url)::BIGINT AS n_chars, NULL AS error FROM a
 UNION ALL SELECT url || '/lost', 0, '404' FROM a""",
-    "ingest_files": """SELECT * FROM (VALUES ('a.txt', 3::BIGINT, NULL::VARCHAR, 'one'), ('b.txt', 1, NULL, 'Error'), ('c.json', 10, NULL, '{' || chr(10) || '  "k": [' || chr(10) || '    1' || chr(10) || '  ]' || chr(10) || '}'),
-  ('e.png', 1, NULL, 'Image file: STORED (OCR processing not implemented yet)'), ('g.zip', 1, 'unsupported_type', NULL)) v(name, size, reject_reason, text)""",
+    "ingest_files": """WITH f AS (SELECT doc_id, doc_id % 7 AS k, coalesce(text, '') AS text, '{"id": ' || doc_id || ', "parts": ["ä", 1.5, {"n": null}]' AS j FROM documents)
+SELECT 'f' || doc_id || '.bin' AS name, CASE k WHEN 2 THEN octet_length(encode(j)) + 1 WHEN 3 THEN octet_length(encode(j)) ELSE octet_length(encode(text)) + CASE WHEN k = 1 THEN 1 ELSE 0 END END::BIGINT AS size, CASE WHEN k = 6 THEN 'unsupported_type' END AS reject_reason,
+  CASE k WHEN 0 THEN text WHEN 1 THEN 'Error' WHEN 3 THEN 'Error' WHEN 4 THEN 'Image file: STORED (OCR processing not implemented yet)' WHEN 5 THEN 'PDF processing not available. Please install PyPDF2.'
+    WHEN 2 THEN array_to_string(['{', '  "id": ' || doc_id || ',', '  "parts": [', '    "' || chr(92) || 'u00e4",', '    1.5,', '    {', '      "n": null', '    }', '  ]', '}'], chr(10)) END AS text FROM f""",
+    "stream_uploads": """WITH f AS (SELECT doc_id % 10 = 3 AS bad, text, CASE WHEN doc_id % 10 = 3 THEN '\\xFF'::BLOB ELSE ''::BLOB END || encode(text || chr(10)) AS content FROM documents WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT bad, text, sha256(content) AS hash, octet_length(content) AS size FROM f)
+SELECT hash, size::BIGINT AS size, CASE WHEN size > 20000 THEN 'too_large' END AS reject_reason, CASE WHEN size > 20000 THEN NULL WHEN bad THEN 'Error' ELSE text || chr(10) END AS text FROM g""",
+    "event_variants": """WITH e AS (SELECT event_id, event_id % 5 AS o, (props->>'k')::BIGINT AS k FROM events)
+SELECT event_id, o <> 3 AS valid, CASE WHEN o = 0 THEN k END AS k, CASE o WHEN 0 THEN k::VARCHAR WHEN 1 THEN 'x' || k WHEN 4 THEN '[' || k || ',{"z":true}]' END AS shown, CASE WHEN o = 4 THEN k END AS first, CASE WHEN o = 4 THEN true END AS z,
+  CASE o WHEN 0 THEN 'OBJECT<k: BIGINT>' WHEN 1 THEN 'OBJECT<k: STRING>' WHEN 2 THEN 'OBJECT<>' WHEN 4 THEN 'OBJECT<k: ARRAY<VARIANT>>' END AS shape FROM e""",
+    "variant_shapes": """WITH e AS (SELECT event_type, event_id % 5 AS o FROM events)
+SELECT event_type, CASE WHEN o = 4 THEN 'list' WHEN o < 2 THEN 'plain' ELSE 'bare' END AS kind, CASE WHEN o = 4 THEN 'OBJECT<k: ARRAY<VARIANT>>' WHEN o < 2 THEN CASE WHEN count(DISTINCT o) = 2 THEN 'OBJECT<k: VARIANT>' WHEN any_value(o) = 0 THEN 'OBJECT<k: BIGINT>' ELSE 'OBJECT<k: STRING>' END
+  WHEN bool_or(o = 2) THEN 'OBJECT<>' ELSE 'VOID' END AS shape, count(*) FILTER (WHERE o <> 3) AS n FROM e GROUP BY event_type, kind, (o = 4), (o < 2)""",
+    "index_gaps": """WITH n AS (SELECT doc_id, 'doc/' || doc_id AS source, row_number() OVER (ORDER BY 'doc/' || doc_id) - 1 AS index FROM documents)
+SELECT source, index, 'document_' || index AS alias FROM n WHERE doc_id % 7 <> 0""",
     "index_job": "SELECT item_id AS query_id, 'bench/' || item_id AS source, 1.0::DOUBLE AS score FROM benchmark",
     "stream_ticket_numbers": _FILE_SQL.replace("BATCHES", "3") + """SELECT event_id AS id, printf('TKT-%d-%03d', year(ts), row_number() OVER (PARTITION BY year(ts) ORDER BY file, event_id)) AS ticket_number
 FROM f WHERE event_type = 'purchase'""",
@@ -1049,7 +1131,9 @@ FROM u WHERE done IS NOT NULL OR more OR (last + 86400000000) // 1000 + 1 <= ms"
 SELECT doc_id, index, CASE WHEN doc_id % 50 = 0 THEN CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 0.0 ELSE 1.0 END END::DOUBLE AS score FROM n""",
     "ticket_clear": """SELECT conv_id * 1000 + turn AS id, printf('TKT-2024-%03d', row_number() OVER (ORDER BY conv_id * 1000 + turn)) AS ticket_number, 'General Inquiry' AS topic
 FROM conversations WHERE role = 'user' AND conv_id % 2 = 0""",
-    "demo_tickets": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, 'TKT-2024-{i:03d}', '{t}', '{s}', '{p}')" for i, (t, s, p) in enumerate(tickets.DEMO, 1)) + ") v(id, ticket_number, topic, sentiment, priority)",
+    "demo_tickets": "WITH d AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, 'TKT-2024-{i:03d}', '{t}', '{s}', '{p}')" for i, (t, s, p) in enumerate(tickets.DEMO, 1)) + f""") v(id, ticket_number, topic, sentiment, priority)),
+c AS (SELECT {_MOOD_SQL} AS sentiment, {_PRIORITY_SQL} AS priority FROM conversations WHERE role = 'user'), n AS (SELECT sentiment, priority, count(*) AS n_turns FROM c GROUP BY 1, 2)
+SELECT id, ticket_number, topic, d.sentiment, d.priority, coalesce(n_turns, 0) AS n_turns FROM d LEFT JOIN n USING (sentiment, priority)""",
     "chat_append": "SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'user' AND text IS NOT NULL) AS n_texts FROM conversations GROUP BY 1",
     "analysis_json": f"""SELECT conv_id, turn, '{{' || chr(10) || '  "topic": ' || to_json({_TOPIC_SQL}) || ',' || chr(10) || '  "sentiment": ' || to_json({_MOOD_SQL}) || ',' || chr(10) || '  "priority": ' || to_json({_PRIORITY_SQL}) || chr(10) || '}}' AS shown
 FROM conversations""",

@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import suffix
 from ..schemas import UPLOAD_LIMIT, UPLOAD_TYPES
+from ..session import discard, settle
 
 
 def reject_reason(size: Column, kind: Column, limit: int | None = UPLOAD_LIMIT) -> Column:
@@ -85,3 +86,35 @@ def ingest(files: DataFrame, limit: int | None = None) -> DataFrame:
     hard = accepted.where(~built_in).withColumn("text", _opaque_text("__way", "content", "stored_name"))
     rejected = out.where("reject_reason IS NOT NULL").withColumn("text", F.lit(None).cast("string"))
     return done.unionByName(hard).unionByName(rejected).drop("__way")
+
+
+_FILES = "path string, modificationTime timestamp, length long, content binary"
+#: Content types by the end of a name.
+TYPES = {".txt": "text/plain", ".md": "text/markdown", ".csv": "text/csv", ".json": "application/json", ".pdf": "application/pdf", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif"}
+
+
+def type_of(name: Column) -> Column:
+    """The content type that a name stands for."""
+    out = F.when(F.lit(False), F.lit(""))
+    for end, kind in TYPES.items():
+        out = out.when(F.endswith(F.lower(name), F.lit(end)), F.lit(kind))
+    return out.otherwise(F.lit("application/octet-stream"))
+
+
+def ingest_stream(spark: SparkSession, folder: str, path: str, checkpoint: str, limit: int | None = None, late: str = "1 day") -> DataFrame:
+    """Files as they come into a folder, each content once.  A file whose content came
+    within ``late`` before (by the files' times) is a copy and adds nothing; what is
+    remembered of contents goes after that time.  Batches are folders that a repeated
+    batch overwrites.  Returns what ``ingest`` gives, with the content's hash."""
+    files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").load(folder)
+    fresh = files.withColumn("hash", F.sha2("content", 256)).withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["hash"])
+    name = F.element_at(F.split("path", "/"), -1)
+
+    def put(batch: DataFrame, n: int) -> None:
+        # written once: the ways of extraction must not each run the stream's state
+        rows = settle(batch.select(name.alias("name"), type_of(name).alias("content_type"), "content", "hash"))
+        ingest(rows, limit).drop("content").write.mode("overwrite").parquet(f"{path}/batch={n}")
+        discard(rows)
+
+    fresh.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).drop("batch")

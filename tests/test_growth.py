@@ -87,3 +87,69 @@ def test_pruned_search_equals_the_full_scan(spark, tmp_path, metric):
     assert pivots.top_k(spark, str(tmp_path / "ix"), asked.limit(1), 1000, metric).count() == 551
     pivots.lay_out(index.limit(0), str(tmp_path / "none"), 4, metric)
     assert pivots.top_k(spark, str(tmp_path / "none"), asked, 3, metric).count() == 0
+
+
+# ---- uploads as they come --------------------------------------------------
+def test_each_content_once(spark, tmp_path):
+    from lodestone.sources import uploads
+
+    (tmp_path / "in").mkdir()
+
+    def put(name, data):
+        (tmp_path / "in" / name).write_bytes(data)
+
+    def run():
+        out = uploads.ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), limit=50)
+        return sorted((r.name, r.reject_reason, r.text if not (r.text or "").startswith("Error") else "Error") for r in out.collect())
+
+    put("a.txt", "één\n".encode())
+    put("b.json", b'{"k": 1}')
+    put("long.txt", b"x" * 51)
+    first = [("a.txt", None, "één\n"), ("b.json", None, '{\n  "k": 1\n}'), ("long.txt", "too_large", None)]
+    assert run() == first
+    put("copy.txt", "één\n".encode())
+    put("bad.txt", b"\xff\xfe")
+    put("x.zip", b"zip")
+    later = sorted([*first, ("bad.txt", None, "Error"), ("x.zip", "unsupported_type", None)])
+    assert run() == later
+    assert run() == later  # nothing new
+
+
+# ---- embedders and variants ------------------------------------------------
+def test_an_embedder_loads_once_a_task(spark, tmp_path):
+    from lodestone.plans import jobs
+
+    folder = str(tmp_path)
+
+    def load():
+        import uuid
+        from pathlib import Path
+
+        Path(folder, uuid.uuid4().hex).touch()
+
+        def model(text):
+            if text == "bad":
+                raise ValueError("no")
+            return [len(text)]
+
+        return model
+
+    rows = spark.range(0, 1000, 1, 2).select("id", F.when(F.col("id") == 7, "bad").when(F.col("id") == 8, None).otherwise(F.repeat(F.lit("x"), F.col("id").cast("int"))).alias("text"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {r.id: r.v for r in rows.select("id", jobs.loading_embedder(load)(F.col("text")).alias("v")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(list(Path(folder).iterdir())) == 2  # ten batches a task
+    assert got[7] is None and got[8] is None and got[9] == [9.0] and len(got) == 1000
+
+
+def test_variants(spark):
+    from lodestone.functions import variants
+
+    rows = spark.createDataFrame([(1, '{"k": 5, "a": [1, {"z": "y"}]}'), (2, '{"k": "five"}'), (3, "{broken"), (4, None), (5, "null"), (6, "[]")], "id long, text string")
+    v = rows.withColumn("v", variants.parse(F.col("text")))
+    got = {r.id: tuple(r)[1:] for r in v.select("id", F.col("v").isNotNull(), variants.read(F.col("v"), "$.k", "int"), variants.read(F.col("v"), "$.a[1].z", "string"), variants.shape(F.col("v"))).collect()}
+    assert got[1] == (True, 5, "y", "OBJECT<a: ARRAY<VARIANT>, k: BIGINT>") and got[2] == (True, None, None, "OBJECT<k: STRING>")
+    assert got[3] == got[4] == (False, None, None, None) and got[6][0] and got[6][1] is None
