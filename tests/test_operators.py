@@ -235,10 +235,11 @@ def test_crawl(spark, cap, want, tmp_path):
         assert "URL: https://s.com/a" in text and "-" * 80 in text
 
 
-def test_site_source(spark):
-    site.register(spark)
-    rows = spark.read.format("site").option("pages", json.dumps(SITE)).option("urls", json.dumps(["https://s.com/d", "https://s.com/zz"])).load()
-    assert {(r.url, r.error) for r in rows.collect()} == {("https://s.com/d", None), ("https://s.com/zz", "404")}
+def test_site_from_a_table(spark):
+    pages = spark.createDataFrame([("https://s.com/", "<p>1</p>")], "url string, html string")
+    asked = spark.createDataFrame([("s.com", "https://s.com/", "https://s.com/"), ("s.com", "https://s.com/gone", "https://s.com/")], "site string, url string, start string")
+    got = {r.url: (r.html, r.error) for r in site.from_table(pages)(asked).collect()}
+    assert got == {"https://s.com/": ("<p>1</p>", None), "https://s.com/gone": (None, "404")}
 
 
 def test_preview_always_ends_in_dots(spark):
