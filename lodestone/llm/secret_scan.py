@@ -1,9 +1,12 @@
 """Secret scans: pattern candidates, then a random forest against false positives.
 
 Candidates of a whole text are (a) values assigned to a name that speaks of a
-key, token, password or the like, (b) runs of at least ``least_run`` key characters
-with a digit or with several changes of case, (c) private-key headers and signed
-web tokens.  Overlapping candidates are merged into the longest.
+key, token, password or the like, at least ``least_value`` characters, (b) runs of at
+least ``least_run`` key characters with a digit or with several changes of case, (c)
+private-key headers and signed web tokens, (d) what is told in prose after such a name
+("the password is ..."), at least ``least_value`` characters with a letter and with a
+digit or sign inside, (e) passwords of URLs with a user.  Overlapping candidates are
+merged into the longest.
 
 The forest sees a candidate's length, its transitions between character classes
 and their entropy, how much of it dictionary words cover, words of its path, and
@@ -34,10 +37,11 @@ from pyspark.sql import functions as F
 
 from ._shared import id_longs, id_text
 
-_ASSIGNED = re.compile(
-    r"(?:key|token|secret|passw(?:or)?d|pwd|credential|auth)\w{0,20}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"'`;,<>]{6,})", re.IGNORECASE
-)
+_NAMED = r"(?:key|token|secret|passw(?:or)?d|pwd|credential|auth)"
+LEAST_VALUE = 6
 LEAST_RUN = 16
+_USER = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s/:@\"'<>]{0,64}:([^\s/@\"'<>]{3,})@")
+_INSIDE = re.compile(r"(?=.*[A-Za-z])(?=.*[\d!@#$%^&*+~?])")
 _CASES = re.compile(r"[a-z](?=[A-Z])")
 _FILE = re.compile(r"[\w./\-]*\.(?:env|py|js|ts|json|ya?ml|toml|ini|cfg|conf|md|rst|lock|txt|xml|properties|sh|tf|pem|ipynb)\b")
 _KNOWN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]+")
@@ -65,11 +69,27 @@ def _run(least: int) -> re.Pattern:
     return re.compile(rf"[A-Za-z0-9+/_\-]{{{least},}}={{0,2}}")
 
 
-def candidates(text: str, least_run: int = LEAST_RUN) -> list[tuple[int, int, str]]:
+@functools.lru_cache(16)
+def _assigned(least: int) -> re.Pattern:
+    return re.compile(rf"{_NAMED}\w{{0,20}}[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"']?([^\s\"'`;,<>]{{{least},}})", re.IGNORECASE)
+
+
+@functools.lru_cache(16)
+def _told(least: int) -> re.Pattern:
+    return re.compile(rf"\b(?:{_NAMED}s?|passphrase|passcode|login)\s{{1,3}}(?:(?:is|was|are|as|with|of)\s{{1,3}})?[\"'`]?(?=([^\s\"'`;,<>]{{{least},}}))", re.IGNORECASE)
+
+
+def candidates(text: str, least_run: int = LEAST_RUN, least_value: int = LEAST_VALUE) -> list[tuple[int, int, str]]:
     """(start, end, rule), in order and without overlaps."""
     found = []
     if "=" in text or ":" in text:
-        found += [(m.start(1), m.end(1), "assigned") for m in _ASSIGNED.finditer(text)]
+        found += [(m.start(1), m.end(1), "assigned") for m in _assigned(least_value).finditer(text)]
+    if "://" in text and "@" in text:
+        found += [(m.start(1), m.end(1), "url") for m in _USER.finditer(text)]
+    for m in _told(least_value).finditer(text):
+        value = m[1].rstrip(".:)")  # what ends a sentence
+        if len(value) >= least_value and _INSIDE.match(value):
+            found.append((m.start(1), m.start(1) + len(value), "told"))
     found += [
         (m.start(), m.end(), "run") for m in _run(least_run).finditer(text) if _DIGIT.search(m[0]) or len(_CASES.findall(m[0])) >= 4
     ]
@@ -127,7 +147,7 @@ def path_of(path: str | None, before: str) -> str:
 
 
 _CLASS = {c: k for k, cs in enumerate((string.ascii_lowercase, string.ascii_uppercase, string.digits)) for c in cs}
-FEATURES = 29
+FEATURES = 30
 
 
 def features(value: str, before: str, after: str, path: str | None, words: frozenset[str], longest: int = 16) -> list[float]:
@@ -154,7 +174,7 @@ def features(value: str, before: str, after: str, path: str | None, words: froze
         float(any(w in close[-2:] for w in _GOOD) or any(w in x for x in close[-2:] for w in _GOOD[:7])),
         float(sum(w in near for w in _GOOD)), float(sum(w in near for w in _BAD)),
         float(any(w in where for w in _BAD_PATH)), float(any(w in low for w in ("example", "sample", "test", "changeme", "your", "xxxx", "dummy"))),
-        float(before.rstrip(" \"'").endswith(("=", ":"))),
+        float(before.rstrip(" \"'").endswith(("=", ":"))), float(after[:1] == "@" and "://" in before),
         float(any(w in _NOT for w in close[-3:])),
         max((n for n in (len(x) for x in _LETTERS.findall(low))), default=0) / n,
     ]
@@ -206,9 +226,12 @@ def labelled_findings(n: int = 2400, seed: int = 5) -> list[tuple[str, str, str,
                 before, after = "Authorization: Bearer ", " " + prose(2)
         if kind in (0, 1, 5, 6) and r.random() < 0.25:  # told in prose
             before, after = f"{prose(3)} {r.choice(['the api key is', 'my password is', 'use the token', 'login with password', 'secret key', 'access token'])} ", f" {prose(3)}"
+        if kind == 6 and r.random() < 0.3:  # of a user in a URL
+            value = r.choice([value.replace("@", "a").replace("#", "b"), word(2) + pick(string.digits, r.randint(1, 4)) + word(1)])
+            before, after = f"{prose(3)} {r.choice(['postgres', 'https', 'mysql', 'redis', 'amqp', 'ftp'])}://{r.choice(['admin', 'root', 'app', word()])}:", f"@{word()}.{r.choice(['internal', 'com', 'local'])}:5432/{word()}"
         out.append((value, before, after, r.choice(["src/app.py", "config/prod.env", "web/page.html", ""]), 1))
     for _ in range(n - n * 2 // 5):
-        kind = r.randrange(16)
+        kind = r.randrange(18)
         name, op, quote = r.choice(names), r.choice([" = ", "=", ": "]), r.choice(['"', "'", ""])
         before, after, path = f"{prose(4)} ", f" {prose(4)}", r.choice(["src/app.py", "docs/guide.md", "package-lock.json", "tests/test_app.py", ""])
         if kind == 0:
@@ -249,6 +272,12 @@ def labelled_findings(n: int = 2400, seed: int = 5) -> list[tuple[str, str, str,
         elif kind == 14:  # keys of documentation and runs that only look random
             value = r.choice(["AKIA" + pick(string.ascii_uppercase, 9) + "EXAMPLE", "0123456789abcdef" * 2, pick("0", 20) + "1", "abcdefghijklmnop1234", "deadbeef" * r.randint(2, 5), "sk_test_" + "x" * 20, "a1b2c3d4e5f6a1b2c3d4", "xxxx-xxxx-xxxx-1234"])
             before, path = f"{prose(3)} {name}{op}{quote}", r.choice([path, "docs/example.md", "tests/fixtures.json"])
+        elif kind == 16:  # told in prose, and no secret
+            value = r.choice([word(2) + pick(string.digits, r.randint(1, 2)), f"v{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 20)}", word(1) + "-" + pick(string.digits, 2) + word(1), word(2) + "?", "#" + pick(string.digits, 3) + word(1), f"{word(2)}/{pick(string.digits, 4)}", word(2) + "!"])
+            before = f"{prose(3)} {r.choice(['the token', 'key', 'password', 'login with', 'secret is', 'tokens of', 'auth'])} "
+        elif kind == 17:  # users in URLs without a password of their own
+            value = r.choice(["password", "pass", "<password>", "${DB_PASS}", "xxxx", "***", "changeme", "secret", "PASSWORD", "$PW"])
+            before, after = f"{prose(3)} {r.choice(['postgres', 'https', 'mysql', 'redis'])}://{r.choice(['user', 'username', 'admin'])}:", f"@{r.choice(['host', 'localhost', 'example.com'])}:5432/db"
         else:  # identifiers with changes of case
             value = word(1) + "".join(word(r.randint(1, 2)).capitalize() for _ in range(5))
             if r.random() < 0.4:
@@ -320,7 +349,7 @@ _SCHEMA = "doc_id long, finding long, rule string, first_char long, end_char lon
 
 
 def scan_secrets(docs: DataFrame, *, model_file: str | None = None, labelled: list | None = None, id_col: str = "doc_id", text_col: str = "text",
-                 path_col: str | None = None, threshold: float = 0.5, least_run: int = LEAST_RUN) -> DataFrame:
+                 path_col: str | None = None, threshold: float = 0.5, least_run: int = LEAST_RUN, least_value: int = LEAST_VALUE) -> DataFrame:
     """One row for each candidate: its place, rule, hash, score and verdict.  The
     secret itself is never in the result."""
     words = dictionary(model_file)
@@ -333,7 +362,7 @@ def scan_secrets(docs: DataFrame, *, model_file: str | None = None, labelled: li
         for pdf in batches:
             found, x = [], []
             for key, text, path in zip(id_longs(pdf["__id"]), pdf["__text"].tolist(), pdf["__path"].tolist()):
-                for k, (s, e, rule) in enumerate(candidates(text or "", least_run)):
+                for k, (s, e, rule) in enumerate(candidates(text or "", least_run, least_value)):
                     value = text[s:e]
                     found.append([key, k, rule, s, e, hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()])
                     x.append(features(value, text[max(0, s - AROUND) : s], text[e : e + AROUND], path_of(path, text[max(0, s - FAR) : s]), words, longest))
