@@ -3,19 +3,22 @@
 A list is dated entries (kind, value, since, action): kind ``url``, ``prefix``
 (host and leading path segments), ``host`` or ``domain`` (the host and all hosts
 below it); action ``block``, ``allow`` or ``remove``.  Entries of one kind and
-value become validity intervals: each holds from its date until the next one's;
+value are validity intervals: each holds from its date until the next one's;
 ``remove`` only ends what was before.  Of entries with the same kind, value and
 date, block outranks allow, and allow outranks remove.
 
 Every capture is split into the values it could match (its URL, each path prefix,
-its host and each parent domain) and joined as of its fetch time: equal value,
-and the one interval that holds the time.  The most specific match decides: url,
+its host and each parent domain) and joined as of its fetch time: a value's history is
+cut into blocks of at most ``fan`` entries in order of date, a capture meets the one row
+that says when its value's blocks begin, then the one block that holds its time, and in
+it the entry.  So captures times entries are never joined, and work grows with the
+captures plus the entries, however many a value has.  The most specific match decides: url,
 then the longest prefix, then host, then the longest domain.
 
 Hosts and paths are compared in lower case on both sides, so an entry for ``/en``
 holds for ``/EN`` too.
 
-Only DataFrame operations.  The intervals are broadcast while they are measured
+Only DataFrame operations.  The blocks are broadcast while they are measured
 to take at most ``broadcast_bytes``; beyond, both sides are shuffled by value
 and salt, the captures spread over ``salts`` salts so that a host with a third
 of all captures does not land in one task.  Each URL and time is looked up once,
@@ -30,11 +33,15 @@ columns of the captures are kept; a result column replaces one of its name."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.corpus import number
 from ._shared import cut, quoted
 
+#: Entries of one value in a block.
+FAN = 256
+
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
 RANKS = {"domain": 1, "host": 2, "prefix": 3, "url": 4}
@@ -66,31 +73,52 @@ def url_values(url: Column) -> Column:
     return F.when(host.isNotNull(), every)
 
 
-def intervals(entries: DataFrame) -> DataFrame:
-    """(kind, value, action, since, until): when each entry is in force."""
+def dated(entries: DataFrame) -> DataFrame:
+    """(kind, value, since, action): the valid entries, one a value and date."""
     order = {"remove": 0, "allow": 1, "block": 2}
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
     valid = entries.where(F.col("kind").isin(*RANKS) & F.col("action").isin(*order) & F.col("value").isNotNull() & F.col("since").isNotNull())
-    one = valid.groupBy("kind", F.lower("value").alias("value"), F.col("since").cast("timestamp").alias("since")).agg(F.max_by("action", rank[F.col("action")]).alias("action"))
-    until = F.lead("since").over(Window.partitionBy("kind", "value").orderBy("since"))
-    return one.withColumn("until", until).where("action <> 'remove'")
+    return valid.groupBy("kind", F.lower("value").alias("value"), F.col("since").cast("timestamp").alias("since")).agg(F.max_by("action", rank[F.col("action")]).alias("action"))
+
+
+def histories(entries: DataFrame, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """(blocks, index): ``blocks`` (kind, value, block, dated) holds each value's entries
+    in order, at most ``fan`` a row; ``index`` (kind, value, starts) says when each block
+    of a value begins.  An entry is in force from its date to the next one's, so the last
+    one up to a time is the one that holds then.  Blocks come from numbers over a range
+    partitioning: no value's history is brought together in one task."""
+    rows = number(dated(entries), "kind", "value", "since", name="n")
+    rows = rows.groupBy("kind", "value", F.expr(f"n div {int(fan)}").alias("block"))
+    blocks = cut(rows.agg(F.array_sort(F.collect_list(F.struct("since", "action"))).alias("dated")), "list-blocks")
+    starts = F.array_sort(F.collect_list(F.struct(F.col("dated")[0]["since"].alias("since"), "block")))
+    return blocks, blocks.groupBy("kind", "value").agg(starts.alias("starts"))
+
+
+def _as_of(array: Column, time: Column, field: str) -> Column:
+    """The last element of a sorted array that began by a time."""
+    return F.try_element_at(F.filter(array, lambda x: x["since"] <= time), F.lit(-1))[field]
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", time_col: str = "fetched",
-                broadcast_bytes: int = 16 << 20, salts: int = 16) -> DataFrame:
+                broadcast_bytes: int = 16 << 20, salts: int = 16, fan: int = FAN) -> DataFrame:
     """All columns of ``captures`` plus ``RESULT``."""
-    held = cut(intervals(entries), "list-intervals")
+    blocks, index = histories(entries, fan)
     own = captures.drop(*[c for c in RESULT if c in captures.columns and c not in (url_col, time_col)])
     key = own.select(F.col(url_col).alias("__url"), F.col(time_col).cast("timestamp").alias("__time")).where("__url IS NOT NULL AND __time IS NOT NULL").distinct()
     wanted = key.select("__url", "__time", F.inline(url_values(F.col("__url")))).withColumn("value", F.lower("value"))
-    size = held.agg(F.sum(F.octet_length("kind") + F.octet_length("value") + F.octet_length("action") + 64)).first()[0] or 0
-    if size <= broadcast_bytes:
-        pairs = wanted.join(F.broadcast(held), ["kind", "value"])
-    else:
-        spread = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        wanted = wanted.withColumn("salt", F.pmod(F.xxhash64("__url", "__time"), F.lit(salts)).cast("int"))
-        pairs = wanted.join(spread, ["kind", "value", "salt"])
-    pairs = pairs.where("since <= __time AND (until IS NULL OR __time < until)")
+    size = blocks.agg(F.sum(F.octet_length("kind") + F.octet_length("value") + 64 + F.size("dated") * 32)).first()[0] or 0
+    salt = F.pmod(F.xxhash64("__url", "__time"), F.lit(salts)).cast("int")
+
+    def met(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+        """One row of ``side`` at most for each of ``rows``."""
+        if size <= broadcast_bytes:
+            return rows.join(F.broadcast(side), on)
+        return rows.withColumn("salt", salt).join(side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, "salt"]).drop("salt")
+
+    # the block as of the time, then the entry: one row a value at every step
+    pairs = met(wanted, index, ["kind", "value"]).withColumn("block", _as_of(F.col("starts"), F.col("__time"), "block")).drop("starts")
+    pairs = met(pairs.where("block IS NOT NULL"), blocks, ["kind", "value", "block"])
+    pairs = pairs.select("__url", "__time", "kind", "value", *[_as_of(F.col("dated"), F.col("__time"), c).alias(c) for c in ("since", "action")]).where("action <> 'remove'")
     rank = F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv])
     best = pairs.groupBy("__url", "__time").agg(
         F.max(F.struct(rank[F.col("kind")].alias("rank"), F.length("value").alias("size"), "value", "kind", "since", "action")).alias("__best")
