@@ -222,17 +222,23 @@ def languages(texts: list[str]) -> list[str | None]:
     return [names[b] if c > 0 and c >= LEAST_SHARE * m else None for b, c, m in zip(best.tolist(), table.max(1).tolist(), n.tolist())]
 
 
-def figures(ids: np.ndarray, chars: int, bad: np.ndarray, less: int = 0) -> tuple[float, float, float]:
-    """(characters per token, byte share, entropy share) of a text's ids; ``bad``
-    marks the tokens that are no whole character, ``less`` of which don't count."""
-    n = len(ids)
-    if not n:
-        return 0.0, 0.0, 0.0
-    counts = np.unique(ids, return_counts=True)[1]
-    p = counts / n
-    entropy = max(0.0, float(-(p * np.log2(p)).sum()))
-    most = np.log2(1 + n / (1 + n / SATURATION))
-    return chars / n, max(0, int(np.count_nonzero(bad[ids])) - less) / n, entropy / float(most)
+def figures(ids: list[np.ndarray], chars: np.ndarray, bad: np.ndarray, less: np.ndarray | int = 0) -> np.ndarray:
+    """Rows of characters per token, byte share and entropy share, a column for each
+    text's ids; ``bad`` marks the tokens that are no whole character, ``less`` of
+    which don't count."""
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    doc = np.repeat(np.arange(len(ids)), n)
+    token = np.concatenate([np.empty(0, np.int64), *ids]).astype(np.int64)
+    some = np.maximum(n, 1)
+    fallback = np.maximum(0, np.bincount(doc, weights=bad[token], minlength=len(ids)) - less)
+    # runs of equal tokens of a text are its counts
+    key = np.sort(doc * len(bad) + token)
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    own = key[first] // len(bad)
+    p = np.diff(first, append=len(key)) / some[own]
+    entropy = np.maximum(0.0, -np.bincount(own, weights=p * np.log2(p), minlength=len(ids)))
+    most = np.log2(1 + some / (1 + some / SATURATION))
+    return np.where(n > 0, np.stack([chars / some, fallback / some, entropy / most]), 0.0)
 
 
 @functools.lru_cache(4)
@@ -247,8 +253,8 @@ def _parts(enc: ByteEncoder) -> np.ndarray:
     return out
 
 
-def _fits(found: tuple[float, float, float], band: Band | None) -> bool:
-    return band is None or band.chars_low <= found[0] <= band.chars_high and found[1] <= band.bytes_high and found[2] >= band.entropy_low
+def _fits(found: np.ndarray, band: Band | None) -> bool:
+    return band is None or bool(band.chars_low <= found[0] <= band.chars_high and found[1] <= band.bytes_high and found[2] >= band.entropy_low)
 
 
 def measure(texts: list, model_file: str, byte_file: str | None = None, bands: dict[str, Band] = BANDS, byte_bands: dict[str, Band] = BYTE_BANDS) -> dict[str, list]:
@@ -257,7 +263,6 @@ def measure(texts: list, model_file: str, byte_file: str | None = None, bands: d
     is_byte = np.zeros(enc.bpe.lib.get_piece_size(), bool)
     is_byte[enc.bpe.bytes] = True
     second = ByteEncoder.of(byte_file) if byte_file else None
-    is_part = _parts(second) if second else None
     found: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ")}
     for _, part in slabs(texts):
         cp, starts = flat(part)
@@ -265,22 +270,21 @@ def measure(texts: list, model_file: str, byte_file: str | None = None, bands: d
         kinds, spoken = scripts(cp, starts), languages(part)
         failed = (got["n_words"] < 20) | (100 * got["n_repeat_words"] > 30 * got["n_words"])
         control = np.concatenate([[0], np.cumsum(cp < 32)])
-        others = second.encode(part) if second else [None] * len(part)
-        for k, (ids, more) in enumerate(zip(enc.encode(part), others)):
+        chars = np.diff(starts) - 1
+        # line feeds and tabs are byte tokens too, but no fallback for lack of a piece
+        piece = figures(enc.encode(part), chars, is_byte, control[starts[1:] - 1] - control[starts[:-1]])
+        byte = figures(second.encode(part), chars, _parts(second)) if second else None
+        for k in range(len(part)):
             script = _NAMES[kinds[k]]
             language = spoken[k] if script == "latin" else None
             name = language if language in bands else script
-            # line feeds and tabs are byte tokens too, but no fallback for lack of a piece
-            piece = figures(ids, len(part[k]), is_byte, int(control[starts[k + 1] - 1] - control[starts[k]]))
-            byte = figures(more, len(part[k]), is_part) if second else (None, None, None)
-            fits = _fits(piece, bands[name]) and (second is None or _fits(byte, byte_bands.get(name)))
+            fits = _fits(piece[:, k], bands[name]) and (byte is None or _fits(byte[:, k], byte_bands.get(name)))
             found["kept"].append(bool(fits and not failed[k]))
             found["script"].append(script)
             found["language"].append(language)
-            for c, v in zip(("chars_per_token", "byte_share", "entropy_share"), piece):
-                found[c].append(v)
-            for c, v in zip(("byte_chars_per_token", "byte_byte_share", "byte_entropy_share"), byte):
-                found[c].append(v)
+        for row, c in enumerate(("chars_per_token", "byte_share", "entropy_share")):
+            found[c] += piece[row].tolist()
+            found[f"byte_{c}"] += byte[row].tolist() if byte is not None else [None] * len(part)
         found["base_failed"] += failed.tolist()
         for c, v in got.items():
             found[c] += v.tolist()
