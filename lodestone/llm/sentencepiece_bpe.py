@@ -128,8 +128,8 @@ class PieceBpe:
             touched[np.maximum(at - 1, 0)] = True
             sym, word, piece, touched = sym[rest], word[rest], piece[rest], touched[rest]
             # only symbols next to a merge have new pairs
+            touched[:-1] |= touched[1:].copy()
             place = np.flatnonzero(touched)
-            place = np.union1d(place, np.maximum(np.flatnonzero(touched) - 1, 0))
             piece[place] = self._pieces(sym, word, place)
         sym = np.concatenate(done_sym) if done_sym else sym
         word = np.concatenate(done_word) if done_word else word
