@@ -547,6 +547,56 @@ def test_junk_outside_the_bands():
     assert found["kept"] == [False, False, False, True, True]
 
 
+def test_each_figure_rejects_what_the_others_pass():
+    import dataclasses
+
+    import sentencepiece
+
+    r = random.Random(14)
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    pieces = list(map(lib.id_to_piece, range(lib.get_piece_size())))
+    long = [p[1:] for p in pieces if re.fullmatch("▁[a-z]{11,}", p)]
+    common = [p[1:] for p in pieces if re.fullmatch("▁[a-z]{5,6}", p)]
+    some = "the of and to in is that it was for on with".split()
+    letters = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 9)))
+    texts = [
+        " ".join(r.choice(some) if k % 8 == 0 else letters() for k in range(300)),  # random letters: few characters a token
+        " ".join(chr(0xE000 + r.randrange(4000)) if k % 12 == 0 else r.choice(some if k % 5 == 1 else common) for k in range(300)),  # signs without a piece
+        " ".join(r.choice(some) if k % 12 == 0 else r.choice(long) for k in range(300)),  # a list of long words
+        " ".join(r.choices(some[:4] + common[:2], k=300)),  # few words over and over
+    ]
+    loose = [{"chars_low": 0.0}, {"bytes_high": 1.0}, {"chars_high": 99.0}, {"entropy_low": 0.0}]
+    for k, text in enumerate(texts):
+        found = rules.measure([text], PIECE, BYTE)
+        assert found["language"] == ["en"] and found["base_failed"] == [False] and found["kept"] == [False], k
+        for j, change in enumerate(loose):
+            bands, byte = ({n: dataclasses.replace(b, **change) for n, b in x.items()} for x in (rules.BANDS, rules.BYTE_BANDS))
+            assert rules.measure([text], PIECE, BYTE, bands, byte)["kept"] == [j == k], (k, change, found)
+
+
+def test_bands_from_training_rows(spark):
+    import zlib
+
+    r = random.Random(15)
+    said = {"en": "the of and council met in winter".split(), "de": "der die und Ausschuss wurde im Winter".split()}
+    docs = [(i, " ".join(r.choices([*said[("en", "de")[i % 2]], f"w{i}x", "Zq"], k=r.randint(10, 80)))) for i in range(120)] + [(None, "the of and"), (500, None), (501, "")]
+    labels = [(i, int(i % 3 > 0)) for i in range(120)] + [(1, 1), (None, 1), (7, None), (500, 1)]
+    rows = rules.quality_rules(spark.createDataFrame(docs, "doc_id long, text string"), PIECE, BYTE)
+    bands = rules.fit_bands(rows, spark.createDataFrame(labels, "doc_id long, quality int"), chars_room=0.1, bytes_room=0.2, entropy_room=0.3, chars_high=9.0)
+    found = rules.measure([t for _, t in docs], PIECE, BYTE)
+    good = {i for i, y in labels if y == 1}
+    for got, v in zip(bands, ("", "byte_")):
+        assert set(got) == {"en", "de"}
+        for name, band in got.items():
+            own = [k for k, (i, _) in enumerate(docs) if i in good and i is not None and zlib.crc32(str(i).encode()) % 5 and found["language"][k] == name and not found["base_failed"][k]]
+            of = lambda c: [found[v + c][k] for k in own]
+            assert len(own) > 10
+            assert np.allclose((band.chars_low, band.chars_high, band.bytes_high, band.entropy_low),
+                               (min(of("chars_per_token")) * 0.9, 9.0, max(of("byte_share")) + 0.2, min(of("entropy_share")) * 0.7))
+    none = rules.fit_bands(rows, spark.createDataFrame([], "doc_id long, quality int"))
+    assert none == ({}, {})
+
+
 def test_classifier(spark):
     r = random.Random(9)
     good, bad = [f"{a}{b}" for a in ("ta", "lo", "mi", "re") for b in ("ran", "sol", "ten", "vic")], ["$$$", "%%%", "BUY", "NOW", "!!", "win", "free"]
