@@ -101,12 +101,20 @@ def type_of(name: Column) -> Column:
     return out.otherwise(F.lit("application/octet-stream"))
 
 
-def ingest_stream(spark: SparkSession, folder: str, path: str, checkpoint: str, limit: int | None = None, late: str = "1 day") -> DataFrame:
+def pack(files: DataFrame, folder: str) -> None:
+    """Files (path, content) as they come, many to a Parquet file, with the columns that
+    Spark's reader of binary files gives."""
+    rows = files.select("path", F.current_timestamp().alias("modificationTime"), F.octet_length("content").cast("long").alias("length"), "content")
+    rows.write.mode("append").parquet(folder)
+
+
+def ingest_stream(spark: SparkSession, folder: str, path: str, checkpoint: str, limit: int | None = None, late: str = "1 day", packed: bool = False) -> DataFrame:
     """Files as they come into a folder, each content once.  A file whose content came
     within ``late`` before (by the files' times) is a copy and adds nothing; what is
-    remembered of contents goes after that time.  Batches are folders that a repeated
-    batch overwrites.  Returns what ``ingest`` gives, with the content's hash."""
-    files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").load(folder)
+    remembered of contents goes after that time.  ``packed``: the folder holds Parquet
+    packs of files (``pack``) instead of the files themselves, since a stream lists
+    every file on the driver.  Batches are folders that a repeated batch overwrites.  Returns what ``ingest`` gives, with the content's hash."""
+    files = spark.readStream.format("parquet" if packed else "binaryFile").schema(_FILES).option("recursiveFileLookup", "true").load(folder)
     fresh = files.withColumn("hash", F.sha2("content", 256)).withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["hash"])
     name = F.element_at(F.split("path", "/"), -1)
 

@@ -115,6 +115,20 @@ def test_each_content_once(spark, tmp_path):
     assert run() == later  # nothing new
 
 
+def test_packed_files_are_taken_as_files(spark, tmp_path):
+    from lodestone.sources import uploads
+
+    def run(*files):
+        uploads.pack(spark.createDataFrame(list(files), "path string, content binary"), f"{tmp_path}/in")
+        out = uploads.ingest_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp", limit=50, packed=True)
+        return sorted((r.name, r.size, r.reject_reason, r.text if not (r.text or "").startswith("Error") else "Error") for r in out.collect())
+
+    first = [("a.txt", 5, None, "één"), ("long.txt", 51, "too_large", None)]
+    assert run(("in/a.txt", "één".encode()), ("in/long.txt", b"x" * 51)) == first
+    assert run(("in/copy.txt", "één".encode()), ("in/bad.txt", b"\xff\xfe"), ("in/none.txt", b"")) == sorted([*first, ("bad.txt", 2, None, "Error"), ("none.txt", 0, None, "")])
+    assert len(list((tmp_path / "in").glob("*.parquet"))) < 9  # a stream lists packs, not files
+
+
 # ---- embedders and variants ------------------------------------------------
 def test_an_embedder_loads_once_a_task(spark, tmp_path):
     from lodestone.plans import jobs
