@@ -51,9 +51,10 @@ def paced(get: Callable[[str], str | None] = http_get, delay: float = 1.0) -> Fe
 
 
 def from_table(pages: DataFrame) -> Fetcher:
-    """Pages of a table (url, html), one row a url; what it lacks fails with 404."""
+    """Pages of a table (url, html), one row a url; what it lacks fails with 404, and a
+    page without html is no failure."""
     def fetch(frontier: DataFrame) -> DataFrame:
-        found = frontier.join(pages.select("url", "html"), "url", "left")
-        return found.select("site", "url", "start", "html", F.when(F.col("html").isNull(), "404").alias("error"))
+        found = frontier.join(pages.select("url", "html", F.lit(True).alias("there")), "url", "left")
+        return found.select("site", "url", "start", "html", F.when(F.col("there").isNull(), "404").alias("error"))
 
     return fetch

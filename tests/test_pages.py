@@ -19,3 +19,14 @@ def _equal(spark, tmp_path, name, pages):
 
 def _page(i, title="T", body="b"):
     return f"<html><head><title>{title}</title></head><body><article><h1>Head {i}</h1><p>{body}</p></article></body></html>"
+
+
+def test_a_crawl_ends_at_the_depth_of_its_sql(spark, tmp_path):
+    # a chain through k to 2k+1 alone: other pages have no address that a crawl takes
+    takes, k = {0}, 0
+    while k < 5000:
+        k = 2 * k + 1
+        takes.add(k)
+    pages = [(k, f"https://a.example/{k}" + ("" if k in takes else ".pdf"), _page(k)) for k in range(5001)]
+    got = _equal(spark, tmp_path, "crawl_bfs", pages)
+    assert got.depth.max() == 10 and len(got) == 12
