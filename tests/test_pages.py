@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
 
 from lodestone import queries as core
 from tools.compare import rows
@@ -30,3 +31,16 @@ def test_a_crawl_ends_at_the_depth_of_its_sql(spark, tmp_path):
     pages = [(k, f"https://a.example/{k}" + ("" if k in takes else ".pdf"), _page(k)) for k in range(5001)]
     got = _equal(spark, tmp_path, "crawl_bfs", pages)
     assert got.depth.max() == 10 and len(got) == 12
+
+
+def test_an_address_with_several_pages_is_scanned_once(spark, tmp_path):
+    pages = [(1, "https://a.example/en/1", "abc"), (2, "https://a.example/en/1", "abcdef"), (3, "https://a.example/en/2", None), (4, "https://a.example/de/3", "x")]
+    got = _equal(spark, tmp_path, "site_scan", pages)
+    assert len(got) == 4 and got.n_chars.max() == 6
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_saved_pages_tell_of_the_text_too(spark, tmp_path, copies):
+    pages = [(10 * c + i, f"https://a.example/{i}", _page(i)) for c in range(copies) for i in range(3)]
+    got = _equal(spark, tmp_path, "saved_pages", pages)
+    assert set(got.n_saved) == {copies} and len(got) == 3 * copies
