@@ -32,6 +32,9 @@ class _Writer(DataSourceWriter):
     def __init__(self, path: str, columns: list[str]):
         self.path, self.columns = path.rstrip("/"), columns
         self.aside = f"{self.path}.new-{uuid.uuid4().hex}"
+        # made here alone: a task that outlives commit or abort finds no folder and fails
+        system, new = self._open(self.aside)
+        system.create_dir(new, recursive=True)
 
     def _open(self, path: str):
         from pyarrow import fs
@@ -43,7 +46,6 @@ class _Writer(DataSourceWriter):
 
         task = TaskContext.get()
         system, folder = self._open(self.aside)
-        system.create_dir(folder, recursive=True)
         # a second attempt writes a file of its own; commit takes the one that was reported
         name, n = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.json", 0
         with system.open_output_stream(f"{folder}/{name}") as out:
@@ -59,7 +61,6 @@ class _Writer(DataSourceWriter):
 
         system, new = self._open(self.aside)
         _, goal = self._open(self.path)
-        system.create_dir(new, recursive=True)
         kept = {m.name for m in messages if m is not None}
         for found in system.get_file_info(fs.FileSelector(new)):
             if found.base_name not in kept:
@@ -76,8 +77,15 @@ class _Writer(DataSourceWriter):
         from pyarrow import fs
 
         system, new = self._open(self.aside)
-        if system.get_file_info(new).type != fs.FileType.NotFound:
-            system.delete_dir(new)
+        # a task still running may open its one file while the folder is emptied
+        for left in range(len(messages), -1, -1):
+            if system.get_file_info(new).type == fs.FileType.NotFound:
+                break
+            try:
+                system.delete_dir(new)
+            except OSError:
+                if not left:
+                    raise
 
 
 def _plain(value):

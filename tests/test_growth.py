@@ -68,6 +68,20 @@ def test_json_arrays_commit_at_once(spark, tmp_path):
         rows.write.format("json_array").mode("append").save(str(path))
 
 
+def test_a_task_that_outlives_an_abort_leaves_nothing(tmp_path, monkeypatch):
+    import pyspark
+
+    class Task:
+        partitionId = taskAttemptId = lambda self: 3
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(Task))
+    writer = json_sink._Writer(str(tmp_path / "out"), ["id"])
+    writer.abort([None])
+    with pytest.raises(OSError):
+        writer.write(iter([(1,)]))
+    assert list(tmp_path.iterdir()) == []
+
+
 # ---- pruned search ---------------------------------------------------------
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 def test_pruned_search_equals_the_full_scan(spark, tmp_path, metric):
