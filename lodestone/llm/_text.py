@@ -12,6 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 
 SLAB = 1 << 20
+#: Where workers also hold vocabularies: characters at a time, and words of a cache.  A
+#: worker lives on through all stages of a job, so what it keeps counts in all of them.
+SMALL_SLAB, SMALL_CACHE = 1 << 18, 200_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

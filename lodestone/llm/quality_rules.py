@@ -36,7 +36,7 @@ import functools
 
 import numpy as np
 
-from ._text import flat, mix, slabs, span_hashes, spans, words
+from ._text import SMALL_CACHE, SMALL_SLAB, flat, mix, slabs, span_hashes, spans, words
 from .decontaminate import word_hashes
 from .sentencepiece_bpe import Encoder
 from .token_store import ByteEncoder
@@ -263,9 +263,9 @@ def measure(texts: list, model_file: str, byte_file: str | None = None, bands: d
     enc = Encoder.of(model_file)
     is_byte = np.zeros(enc.bpe.lib.get_piece_size(), bool)
     is_byte[enc.bpe.bytes] = True
-    second = ByteEncoder.of(byte_file) if byte_file else None
+    second = ByteEncoder.of(byte_file, SMALL_CACHE) if byte_file else None
     found: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ")}
-    for _, part in slabs(texts):
+    for _, part in slabs(texts, SMALL_SLAB):
         cp, starts = flat(part)
         got = base_counts(cp, starts)
         kinds, spoken = scripts(cp, starts), languages(part)

@@ -26,7 +26,7 @@ import hashlib
 import numpy as np
 
 from ._shared import id_array, parts
-from ._text import IdCache, _Flat, flat, gather, slabs, span_hashes, spans
+from ._text import SMALL_CACHE, SMALL_SLAB, IdCache, _Flat, flat, gather, slabs, span_hashes, spans
 
 SPACE = 0x2581
 _NONE = np.int64(1) << np.int64(40)
@@ -164,7 +164,7 @@ class Encoder:
 
     def __init__(self, model_file: str):
         self.bpe = PieceBpe(model_file)
-        self.cache = IdCache(self.bpe.encode_words)
+        self.cache = IdCache(self.bpe.encode_words, SMALL_CACHE)
 
     @classmethod
     def of(cls, model_file: str) -> Encoder:
@@ -174,7 +174,7 @@ class Encoder:
 
     def encode(self, texts: list) -> list[np.ndarray]:
         out = []
-        for _, part in slabs(texts):
+        for _, part in slabs(texts, SMALL_SLAB):
             part = ["▁" + t.replace(" ", "▁") if t else "" for t in part]
             cp, starts = flat(part)
             end = np.zeros(len(cp), bool)

@@ -245,7 +245,7 @@ class ByteEncoder:
 
     _made: dict[str, ByteEncoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -258,13 +258,13 @@ class ByteEncoder:
         # tokens that take white space or whole words along are left to the library
         self.plain = not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
         self.letters = _byte_letters()
-        self.cache = IdCache(self.fill)
+        self.cache = IdCache(self.fill, most)
 
     @classmethod
-    def of(cls, path: str) -> ByteEncoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, most: int = 800_000) -> ByteEncoder:
+        if (path, most) not in cls._made:
+            cls._made[path, most] = cls(path, most)
+        return cls._made[path, most]
 
     def fill(self, words: list[str]) -> list[list[int]]:
         run, letters = self.model.tokenize, self.letters

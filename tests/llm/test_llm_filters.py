@@ -634,3 +634,13 @@ def test_word_vectors_of_all_documents(spark, monkeypatch):
     clf.score_quality(docs, labels, sample=10)
     count, total = clf.contexts(texts)
     assert count.max() >= 200 and np.array_equal(seen[0][0], count) and np.array_equal(seen[0][1], total)
+
+
+def test_token_caches_of_a_worker_stay_small():
+    """A worker lives through all stages, so its caches stop growing after 200,000 words and a slab's own."""
+    from lodestone.llm import quality_rules, sentencepiece_bpe, token_store
+
+    for k in range(5):
+        quality_rules.measure([" ".join(f"w{k}x{i}y{j}" for j in range(500)) for i in range(120)], PIECE, BYTE)
+    for cache in (sentencepiece_bpe.Encoder.of(PIECE).cache, *[e.cache for e in token_store.ByteEncoder._made.values()]):
+        assert len(cache.keys) < 260_000
