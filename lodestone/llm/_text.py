@@ -123,43 +123,113 @@ def words(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return s, e, np.searchsorted(s, starts)
 
 
+class Slots:
+    """Places of distinct 64-bit hashes in the order they were added; an open table
+    that is at most a quarter full."""
+
+    def __init__(self):
+        self.keys = np.empty(0, np.uint64)
+        self._table(1 << 10)
+
+    def _table(self, size: int) -> None:
+        self.table = np.full(size, -1, np.int32)
+        self.shift = np.uint64(65 - size.bit_length())
+        self._place(0)
+
+    def _place(self, first: int) -> None:
+        at = (self.keys[first:] >> self.shift).astype(np.int64)
+        slot = np.arange(first, len(self.keys), dtype=np.int32)
+        while len(at):
+            free = self.table[at] < 0
+            self.table[at[free]] = slot[free]
+            lost = self.table[at] != slot
+            at, slot = (at[lost] + 1) & (len(self.table) - 1), slot[lost]
+
+    def add(self, fresh: np.ndarray) -> None:
+        """Hashes that are distinct and new."""
+        first = len(self.keys)
+        self.keys = np.concatenate([self.keys, fresh])
+        if 4 * len(self.keys) > len(self.table):
+            self._table(1 << (4 * len(self.keys) - 1).bit_length())
+        else:
+            self._place(first)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 if unknown."""
+        at = (h >> self.shift).astype(np.int64)
+        slot = self.table[at]
+        open_ = np.flatnonzero(slot >= 0)
+        while len(open_):
+            open_ = open_[self.keys[slot[open_]] != h[open_]]
+            at[open_] = (at[open_] + 1) & (len(self.table) - 1)
+            slot[open_] = self.table[at[open_]]
+            open_ = open_[slot[open_] >= 0]
+        return slot
+
+
 class IdCache:
-    """Hash of a word -> its ids, as flat arrays; at most ``most`` words, after
-    which it starts anew.  ``fill(words)`` gives the id arrays of new words."""
+    """Hash of a word -> its ids, as flat arrays; beyond ``most`` words those used
+    last stay, half of them at most.  ``fill(words)`` gives the id arrays of new words;
+    with ``as_spans`` it is called as fill(cp, starts, ends), the words being spans."""
 
-    def __init__(self, fill, most: int = 800_000):
-        self.fill, self.most = fill, most
+    def __init__(self, fill, most: int = 800_000, as_spans: bool = False):
+        self.fill, self.most, self.as_spans = fill, most, as_spans
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.slots = np.empty(0, np.int64)
+        self.slots = Slots()
+        self.used = np.empty(0, np.int32)  # the call that used a word last
+        self.calls = 0
         self.offsets = np.zeros(1, np.int64)
         self.ids = np.empty(0, np.uint32)
 
+    @property
+    def keys(self) -> np.ndarray:
+        return self.slots.keys
+
+    def _shrink(self) -> None:
+        kept = np.flatnonzero(self.used > np.partition(self.used, -(self.most // 2))[-(self.most // 2)])
+        keys, self.used = self.keys[kept], self.used[kept]
+        self.ids, counts = gather(self.offsets, self.ids, kept)
+        self.offsets = np.concatenate([[0], np.cumsum(counts)])
+        self.slots = Slots()
+        self.slots.add(keys)
+
     def rows(self, cp: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Slot of each span's word; ids of slot k are ids[offsets[k]:offsets[k+1]]."""
-        uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) > self.most:
-            self.clear()
-        at = np.searchsorted(self.keys, uniq)
-        known = np.zeros(len(uniq), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == uniq[inside]
-        fresh = np.flatnonzero(~known)
-        if len(fresh):
-            w = first[fresh]
-            text = cp.tobytes()
-            lists = self.fill([text[4 * a : 4 * b].decode("utf-32-le", "surrogatepass") for a, b in zip(s[w].tolist(), e[w].tolist())])
+            self._shrink()
+        slot = self.slots.find(h)
+        miss = np.flatnonzero(slot < 0)
+        if len(miss):
+            order = np.argsort(h[miss])
+            own = h[miss[order]]
+            head = np.concatenate([[True], own[1:] != own[:-1]])
+            w, n = miss[order[head]], len(self.keys)
+            lists = self.fill(cp, s[w], e[w]) if self.as_spans else self.fill(strings(cp, s[w], e[w]))
             counts = lists.counts if isinstance(lists, _Flat) else np.fromiter(map(len, lists), np.int64, len(lists))
-            slot = len(self.offsets) - 1 + np.arange(len(fresh))
+            ids = lists.flat if isinstance(lists, _Flat) else np.fromiter((i for x in lists for i in x), np.uint32, int(counts.sum()))
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(counts)])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.uint32, int(counts.sum())) if not isinstance(lists, _Flat) else lists.flat])
-            keys = np.concatenate([self.keys, uniq[fresh]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.slots = keys[order], np.concatenate([self.slots, slot])[order]
-            at = np.searchsorted(self.keys, uniq)
-        return self.slots[at][back]
+            self.ids = np.concatenate([self.ids, ids])
+            self.used = np.concatenate([self.used, np.zeros(len(w), np.int32)])
+            self.slots.add(own[head])
+            slot[miss[order]] = n - 1 + np.cumsum(head)
+        self.calls += 1
+        self.used[slot] = self.calls
+        return slot
+
+
+def gather_spans(cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The code points of all spans, one after the other."""
+    n = e - s
+    return cp[np.arange(int(n.sum())) + np.repeat(s - (np.cumsum(n) - n), n)]
+
+
+def strings(cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[str]:
+    """The text of each span."""
+    text = gather_spans(cp, s, e).tobytes().decode("utf-32-le", "surrogatepass")
+    upto = np.cumsum(e - s)
+    return [text[a:b] for a, b in zip((upto - (e - s)).tolist(), upto.tolist())]
 
 
 class _Flat(list):

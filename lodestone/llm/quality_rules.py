@@ -37,9 +37,9 @@ import functools
 import numpy as np
 
 from ._text import SMALL_CACHE, SMALL_SLAB, flat, mix, slabs, span_hashes, spans, words
-from .decontaminate import word_hashes
+from .decontaminate import _Lower
 from .sentencepiece_bpe import Encoder
-from .token_store import ByteEncoder
+from .token_store import ByteEncoder, _Classes
 
 #: First and last code point of the letters of each script.
 SCRIPTS = {
@@ -144,6 +144,7 @@ def _script_table() -> np.ndarray:
 
 
 _SCRIPT_OF = _script_table()
+_SYMBOL = np.isin(np.arange(128), [ord(c) for c in "#*$%&|<>"])
 WINDOW = 8
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -158,7 +159,7 @@ def base_counts(cp: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     s, e, first = words(cp, starts)
     doc = np.repeat(np.arange(n), np.diff(first))
     out = {"n_words": np.diff(first), "word_chars": np.bincount(doc, weights=e - s, minlength=n).astype(np.int64)}
-    symbol = np.flatnonzero(np.isin(cp, np.array([ord(c) for c in "#*$%&|<>"], np.uint32)))
+    symbol = np.flatnonzero(_SYMBOL[np.minimum(cp, 127)])
     out["n_symbols"] = np.diff(np.searchsorted(symbol, starts))
     # lines with a word, fewer the distinct ones
     feed = cp == 10
@@ -179,8 +180,9 @@ def base_counts(cp: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
             total += h[j : j + m] * np.uint64(pow(0x9E3779B97F4A7C15, 2 * j + 1, 1 << 64))
         begin = np.flatnonzero(doc[:m] == doc[WINDOW - 1 :])
         key = mix(total[begin]) + mix(doc[begin].astype(np.uint64))
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
+        order = np.argsort(key)
+        own = key[order]
+        same = own[1:] == own[:-1]
         twice = np.zeros(len(key), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
@@ -196,28 +198,42 @@ def base_counts(cp: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
 
 def scripts(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Number in ``_NAMES`` of the script with most letters of each text."""
-    n = len(starts) - 1
     kind = _SCRIPT_OF[cp]
-    at = np.flatnonzero(kind < 255)
-    doc = np.searchsorted(starts, at, "right") - 1
-    table = np.bincount(doc * len(SCRIPTS) + kind[at], minlength=n * len(SCRIPTS)).reshape(n, len(SCRIPTS))
+    table = np.zeros((len(starts) - 1, len(SCRIPTS)), np.int64)
+    for k in np.flatnonzero(np.bincount(kind, minlength=256)[: len(SCRIPTS)]).tolist():
+        table[:, k] = np.add.reduceat(kind == k, starts[:-1], dtype=np.int64)
     return np.where(table.sum(1) > 0, table.argmax(1), len(SCRIPTS))
 
 
 @functools.lru_cache(1)
-def _function_hashes() -> list[np.ndarray]:
-    return [np.sort(word_hashes(words)[0]) for words in FUNCTION_WORDS.values()]
+def _function_keys() -> tuple[np.ndarray, np.ndarray, int]:
+    """All function words, each as a number of its code points (a byte each), in
+    order; whether each language has them; the length of the longest."""
+    keys = {w: int.from_bytes(w.encode("latin-1"), "big") for words in FUNCTION_WORDS.values() for w in words}
+    every = sorted(keys, key=keys.get)
+    own = np.array([[w in words for w in every] for words in FUNCTION_WORDS.values()])
+    return np.array([keys[w] for w in every], np.uint64), own, max(map(len, every))
 
 
-def languages(texts: list[str]) -> list[str | None]:
+def languages(cp: np.ndarray, starts: np.ndarray) -> list[str | None]:
     """The language whose function words hold most of each text's words."""
-    h, _, _, first, _ = word_hashes(texts)
+    kind = _Classes.get()[cp]
+    s, e = spans((kind == 2) | (kind == 3))
+    first = np.searchsorted(s, starts)
+    keys, own, longest = _function_keys()
+    short = np.flatnonzero(e - s <= longest)
+    a, n, low = s[short], (e - s)[short], _Lower.get()
+    word, fits = np.zeros(len(short), np.uint64), np.ones(len(short), bool)
+    for k in range(longest):
+        more = n > k
+        char = low[cp[np.where(more, a + k, a)]]
+        fits &= char < 256
+        word = np.where(more, word << np.uint64(8) | char, word)
+    at = np.minimum(np.searchsorted(keys, word), len(keys) - 1)
+    hit = np.flatnonzero(fits & (keys[at] == word))
+    doc = np.searchsorted(starts, a[hit], "right") - 1
     names = list(FUNCTION_WORDS)
-    hits = []
-    for own in _function_hashes():
-        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-        upto = np.concatenate([[0], np.cumsum(own[at] == h)])
-        hits.append(upto[first[1:]] - upto[first[:-1]])
+    hits = [np.bincount(doc[o[at[hit]]], minlength=len(starts) - 1) for o in own]
     table, n = np.stack(hits, 1), np.diff(first)
     best = table.argmax(1)
     return [names[b] if c > 0 and c >= LEAST_SHARE * m else None for b, c, m in zip(best.tolist(), table.max(1).tolist(), n.tolist())]
@@ -268,7 +284,7 @@ def measure(texts: list, model_file: str, byte_file: str | None = None, bands: d
     for _, part in slabs(texts, SMALL_SLAB):
         cp, starts = flat(part)
         got = base_counts(cp, starts)
-        kinds, spoken = scripts(cp, starts), languages(part)
+        kinds, spoken = scripts(cp, starts), languages(cp, starts)
         failed = (got["n_words"] < 20) | (100 * got["n_repeat_words"] > 30 * got["n_words"])
         control = np.concatenate([[0], np.cumsum(cp < 32)])
         chars = np.diff(starts) - 1

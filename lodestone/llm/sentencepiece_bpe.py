@@ -2,7 +2,8 @@
 
 A text becomes ``▁`` + text with spaces as ``▁``.  No piece has a ``▁`` after
 another character, so the merges of a text fall apart into *words*: a run of
-``▁`` and what follows up to the next one.  A word's ids depend on the word
+``▁`` and what follows up to the next one.  Where no piece holds a line feed, a feed
+is a word of its own and ends the one before.  A word's ids depend on the word
 alone; distinct words are encoded once and kept in a bounded cache.
 
 The words of one call are one flat array of symbols.  Each round takes, for
@@ -26,10 +27,11 @@ import hashlib
 import numpy as np
 
 from ._shared import id_array, parts
-from ._text import SMALL_CACHE, SMALL_SLAB, IdCache, _Flat, flat, gather, slabs, span_hashes, spans
+from ._text import SMALL_CACHE, SMALL_SLAB, IdCache, Slots, _Flat, flat, gather, gather_spans, slabs, span_hashes
 
 SPACE = 0x2581
-_NONE = np.int64(1) << np.int64(40)
+_NONE = np.int32(1 << 30)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class PieceBpe:
@@ -56,7 +58,7 @@ class PieceBpe:
         risky = np.zeros(n, bool)
         # the order in which pieces are merged: by score, best first
         score = {p: -lib.get_score(i) for p, i in plain.items()}
-        self.rank = np.full(n, _NONE, np.int64)
+        self.rank = np.full(n + 1, _NONE, np.int32)  # the last one for no piece, -1
         levels = {s: k for k, s in enumerate(sorted({score[p] for p in plain if len(p) > 1}))}
         for p, i in plain.items():
             if len(p) == 1:
@@ -72,88 +74,88 @@ class PieceBpe:
                     if len(q) > 1 and score[p] <= score[q]:
                         risky[x] = True
         self.risky = risky
-        keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
-        order = np.argsort(keys)
-        self.keys, self.merged = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+        self.feeds_alone = not any("\n" in p for p in plain)
+        self.pairs = Slots()
+        self.pairs.add(np.fromiter(pairs.keys(), np.uint64, len(pairs)) * _SPREAD)
+        self.merged = np.array([*pairs.values(), -1], np.int32)
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that each pair of symbols makes, -1 if none."""
-        k = (a.astype(np.int64) << 20) | b
-        at = np.searchsorted(self.keys, k)
-        at[at == len(self.keys)] = 0
-        return np.where((self.keys[at] == k) & (a >= 0) & (b >= 0), self.merged[at], -1)
-
-    def encode_words(self, words: list[str]) -> _Flat:
-        cp, starts = flat(words)
-        lens = np.diff(starts) - 1
-        word = np.repeat(np.arange(len(words)), lens)
-        keep = np.ones(len(cp), bool)
-        keep[starts[1:] - 1] = False
-        char = cp[keep].astype(np.int64)
-        sym = self.chars[char].astype(np.int64)
-        sym[sym < 0] = -1 - char[sym < 0]  # an unknown character keeps its code point
-        done_sym, done_word = [], []
-        piece = self._pieces(sym, word)
-        while len(sym):
-            rank = np.where(piece >= 0, self.rank[piece], _NONE)
-            first = np.flatnonzero(np.diff(word, prepend=-1))
-            count = np.diff(first, append=len(word))
+        k = ((a.astype(np.int64) << 20) | b).view(np.uint64) * _SPREAD
+        out = self.merged[self.pairs.find(k)]
+        out[(a | b) < 0] = -1
+        return out
+
+    def encode_spans(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> _Flat:
+        """The ids of each span of code points, a word each."""
+        count = ends - starts
+        char = gather_spans(cp, starts, ends)
+        sym = self.chars[char]
+        lost = np.flatnonzero(sym < 0)
+        sym[lost] = -1 - char[lost].astype(np.int32)  # an unknown character keeps its code point
+        last = np.zeros(len(sym), bool)  # symbols that end a word
+        last[np.cumsum(count)[count > 0] - 1] = True
+        name = np.flatnonzero(count)
+        count = count[name]
+        piece = self._pieces(sym, last, np.arange(len(sym)))
+        rank = self.rank[piece]
+        done = []
+        while len(name):
+            first = np.cumsum(count) - count
             best = np.minimum.reduceat(rank, first)
             live = best < _NONE
-            if not live.all():  # words without a pair are finished
-                mask = np.repeat(live, count)
-                done_sym.append(sym[~mask])
-                done_word.append(word[~mask])
-                sym, word, piece, rank = sym[mask], word[mask], piece[mask], rank[mask]
-                if not len(sym):
-                    break
-                first = np.flatnonzero(np.diff(word, prepend=-1))
-                count = np.diff(first, append=len(word))
-                best = best[live]
-            hit = (rank == np.repeat(best, count)).astype(np.int8)
+            keep = np.repeat(live, count)
+            gone = ~live
+            if gone.any():  # words without a pair are finished
+                done.append((name[gone], count[gone], sym[~keep]))
+                best[gone] = -1
+            at = np.flatnonzero(rank == np.repeat(best, count))
             # of touching pairs in a run, every second one from the left
-            at = np.flatnonzero(hit)
             new_run = np.diff(at, prepend=-2) != 1
             run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
             at = at[(np.arange(len(at)) - run_start) % 2 == 0]
-            leftmost = np.diff(word[at], prepend=-1) != 0
-            careful = np.zeros(int(word[-1]) + 1, bool)
-            careful[word[at][self.risky[piece[at]]]] = True
-            at = at[leftmost | ~careful[word[at]]]
+            word = np.searchsorted(first, at, "right") - 1
+            risky = self.risky[piece[at]]
+            if risky.any():
+                leftmost = np.diff(word, prepend=-1) != 0
+                careful = np.zeros(len(name), bool)
+                careful[word[risky]] = True
+                go = leftmost | ~careful[word]
+                at, word = at[go], word[go]
             sym[at] = piece[at]
-            rest = np.ones(len(sym), bool)
-            rest[at + 1] = False
-            touched = np.zeros(len(sym), bool)
-            touched[at] = True
-            touched[np.maximum(at - 1, 0)] = True
-            sym, word, piece, touched = sym[rest], word[rest], piece[rest], touched[rest]
+            last[at] = last[at + 1]
+            keep[at + 1] = False
             # only symbols next to a merge have new pairs
-            touched[:-1] |= touched[1:].copy()
-            place = np.flatnonzero(touched)
-            piece[place] = self._pieces(sym, word, place)
-        sym = np.concatenate(done_sym) if done_sym else sym
-        word = np.concatenate(done_word) if done_word else word
-        order = np.argsort(word, kind="stable")
-        sym, word = sym[order], word[order]
+            place = at - np.arange(len(at)) - np.cumsum(np.where(gone, count, 0))[word]
+            place = np.concatenate([place, place[place > 0] - 1])
+            count = (count - np.bincount(word, minlength=len(name)))[live]
+            name, sym, last, piece, rank = name[live], sym[keep], last[keep], piece[keep], rank[keep]
+            piece[place] = self._pieces(sym, last, place)
+            rank[place] = self.rank[piece[place]]
+        counts = np.zeros(len(starts), np.int64)
+        for k, n, _ in done:
+            counts[k] = n
+        first = np.cumsum(counts) - counts
+        sym = np.empty(int(counts.sum()), np.int32)
+        for k, n, own in done:
+            sym[np.arange(len(own)) + np.repeat(first[k] - (np.cumsum(n) - n), n)] = own
         unknown = np.flatnonzero(sym < 0)
         if len(unknown):  # byte pieces
             raw = [chr(-1 - c).encode("utf-8", "surrogatepass") for c in sym[unknown].tolist()]
             times = np.ones(len(sym), np.int64)
             times[unknown] = [len(r) for r in raw]
-            where = np.repeat(sym < 0, times)
-            sym, word = np.repeat(sym, times), np.repeat(word, times)
+            where, word = np.repeat(sym < 0, times), np.repeat(np.arange(len(counts)), counts)
+            counts = np.bincount(word, weights=times, minlength=len(counts)).astype(np.int64)
+            sym = np.repeat(sym, times)
             sym[where] = self.bytes[np.frombuffer(b"".join(raw), np.uint8)]
-        counts = np.bincount(word, minlength=len(words))
-        out = _Flat(range(len(words)))
+        out = _Flat(range(len(counts)))
         out.flat, out.counts = sym.astype(np.uint32), counts
         return out
 
-    def _pieces(self, sym: np.ndarray, word: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
-        if place is None:
-            place = np.arange(len(sym))
-        nxt = np.minimum(place + 1, max(len(sym) - 1, 0))
-        out = self.pair(sym[place], sym[nxt]) if len(place) else np.empty(0, np.int64)
-        out[(nxt == place) | (word[nxt] != word[place])] = -1
+    def _pieces(self, sym: np.ndarray, last: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """What the symbols at some places make with the next ones of their words."""
+        out = self.pair(sym[place], sym[np.minimum(place + 1, len(sym) - 1)])
+        out[last[place]] = -1
         return out
 
 
@@ -164,7 +166,7 @@ class Encoder:
 
     def __init__(self, model_file: str):
         self.bpe = PieceBpe(model_file)
-        self.cache = IdCache(self.bpe.encode_words, SMALL_CACHE)
+        self.cache = IdCache(self.bpe.encode_spans, SMALL_CACHE, as_spans=True)
 
     @classmethod
     def of(cls, model_file: str) -> Encoder:
@@ -181,6 +183,11 @@ class Encoder:
             end[starts[1:] - 1] = True  # the feeds between texts belong to none
             mark = cp == SPACE
             head = mark & ~np.concatenate([[False], mark[:-1]])
+            if self.bpe.feeds_alone:
+                feed = cp == 10
+                head |= feed
+                head[1:] |= feed[:-1]
+                head &= ~end
             s = np.flatnonzero(head)
             cuts = np.flatnonzero(head | end)
             e = cuts[np.searchsorted(cuts, s, "right")]

@@ -38,7 +38,7 @@ import zlib
 import numpy as np
 
 from ._shared import id_array, id_longs
-from ._text import IdCache, flat, gather, slabs, span_hashes
+from ._text import IdCache, _Flat, flat, gather, gather_spans, slabs, span_hashes
 
 BLOCK = 1024
 #: Ids in a word and bits of each, by selector.
@@ -258,7 +258,8 @@ class ByteEncoder:
         # tokens that take white space or whole words along are left to the library
         self.plain = not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
         self.letters = _byte_letters()
-        self.cache = IdCache(self.fill, most)
+        self.letter = np.array([ord(self.letters[b]) for b in range(256)], "<u2")
+        self.cache = IdCache(self.fill, most, as_spans=True)
 
     @classmethod
     def of(cls, path: str, most: int = 800_000) -> ByteEncoder:
@@ -266,9 +267,18 @@ class ByteEncoder:
             cls._made[path, most] = cls(path, most)
         return cls._made[path, most]
 
-    def fill(self, words: list[str]) -> list[list[int]]:
-        run, letters = self.model.tokenize, self.letters
-        return [[t.id for t in run(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))] for w in words]
+    def fill(self, cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> _Flat:
+        char = gather_spans(cp, s, e)
+        raw = np.frombuffer(char.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+        text = self.letter[raw].tobytes().decode("utf-16-le")
+        # bytes before each character, then before each word
+        upto = np.concatenate([[0], np.cumsum(1 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF))])
+        cut = upto[np.concatenate([[0], np.cumsum(e - s)])].tolist()
+        run = self.model.tokenize
+        found = [run(text[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+        out = _Flat(range(len(found)))
+        out.flat, out.counts = np.array([t.id for x in found for t in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        return out
 
     def encode(self, texts: list) -> list[np.ndarray]:
         texts = [t or "" for t in texts]

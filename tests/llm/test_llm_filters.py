@@ -644,3 +644,50 @@ def test_token_caches_of_a_worker_stay_small():
         quality_rules.measure([" ".join(f"w{k}x{i}y{j}" for j in range(500)) for i in range(120)], PIECE, BYTE)
     for cache in (sentencepiece_bpe.Encoder.of(PIECE).cache, *[e.cache for e in token_store.ByteEncoder._made.values()]):
         assert len(cache.keys) < 260_000
+
+
+def test_words_are_encoded_seldom():
+    """Words in use outlive a full cache, and a line's end makes no new word of known ones."""
+    from lodestone.llm import sentencepiece_bpe
+
+    enc = sentencepiece_bpe.Encoder(PIECE)
+    fill, seen = enc.cache.fill, []
+    enc.cache.fill, enc.cache.most = lambda *a: seen.append(len(a[-1])) or fill(*a), 1000
+    common = " ".join(f"common{i}" for i in range(100))
+    for k in range(40):
+        text = common + " " + " ".join(f"new{k}x{i}" for i in range(100))
+        assert [x.tolist() for x in enc.encode([text])] == [enc.bpe.lib.encode(text)]
+    assert sum(seen) == 100 + 40 * 100 and len(enc.cache.keys) <= 1200
+    enc.cache.clear()
+    del seen[:]
+    texts = ["▁tail\n head", "\n", "\n\n a\n\n", "", " \n", "one\n", "two \n one\n two", "\x00\n \n"]
+    texts += ["\n".join(f"{a} w{i} {b}" for i in range(3)) for a in "ab" for b in "cd"]
+    assert [x.tolist() for x in enc.encode(texts)] == [enc.bpe.lib.encode(t) for t in texts]
+    enc.cache.clear()
+    del seen[:]
+    enc.encode(["\n".join(f"{a}{j} {b}{j}" for j in range(10)) for a in "abcd" for b in "efgh"])
+    # first words of a text and of a line, last words of a line, the line feed
+    assert sum(seen) == 4 + 4 * 9 + 4 * 10 + 1
+
+
+def test_slots_and_shrunk_caches():
+    from lodestone.llm import _text
+
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), np.arange(3000, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(50, dtype=np.uint64)]))
+    rng.shuffle(keys)
+    slots = _text.Slots()
+    assert slots.find(keys).max() == -1
+    for a in range(0, len(keys), 700):
+        slots.add(keys[a : a + 700])
+        assert np.array_equal(slots.find(keys), np.where(np.arange(len(keys)) < a + 700, np.arange(len(keys)), -1))
+    # a word's ids are its code points, whatever the cache has dropped
+    cache = _text.IdCache(lambda words: [[*map(ord, w)] for w in words], 50)
+    for _ in range(200):
+        text = " ".join(str(int(x)) for x in rng.zipf(1.3, 30) % 5000)
+        cp, starts = _text.flat([text])
+        s, e, _ = _text.words(cp, starts)
+        rows = cache.rows(cp, s, e, _text.span_hashes(cp, s, e))
+        ids, counts = _text.gather(cache.offsets, cache.ids, rows)
+        assert "".join(map(chr, ids.tolist())) == text.replace(" ", "") and counts.tolist() == (e - s).tolist()
+        assert len(cache.keys) <= 80
